@@ -160,65 +160,53 @@ def relation_sources(mentions: DataFrame, outputs: DataFrame) -> DataFrame:
     )
 
 
-def last_by_output(rows: DataFrame, prefix: str) -> DataFrame:
+def last_by_output(rows: DataFrame, name: str) -> DataFrame:
     """A later definition of the same output replaces an earlier one."""
     return rows.groupBy("stmt", F.col("relation").alias("qualifier"), F.col("output").alias("column")).agg(
-        F.max_by(F.struct("source_table", "source_column"), F.struct("relation_pos", "item")).alias(prefix)
+        F.max_by(F.struct("source_table", "source_column"), F.struct("relation_pos", "item")).alias(name)
     )
 
 
+PROJECTIONS = (
+    "array<struct<is_cte:boolean,relation_pos:int,item:int,scope:int,relation:string,output:string,"
+    "calc:struct<type:string,lo:int,hi:int,open:int>,source_table:string,source_column:string>>"
+)
+
+
 def projection_map(sources: DataFrame) -> DataFrame:
     """Every relation output with the column it stands for.
 
-    A derived table maps to what its own SELECT names. A CTE may name an earlier CTE, so
-    its outputs are folded in text order, each looking up the ones before it. Only outputs
-    of CTEs that name another CTE need the fold; its arrays are bounded by one statement.
+    A derived table maps to what its own SELECT names. A CTE may name a derived table or
+    an earlier CTE, so outputs are folded in that order and text order, each looking up
+    the ones before it. Only statements whose CTEs name another relation need the fold;
+    its arrays hold the outputs of one statement.
     """
-    derived = sources.where(~F.col("is_cte")).select(
-        *sources.columns, F.col("base_table").alias("source_table"), F.col("column").alias("source_column")
-    )
-    mapped = last_by_output(derived, "mapped")
-    through = sources.where("is_cte").join(mapped, ["stmt", "qualifier", "column"], "left")
-    ready = through.select(
-        *sources.columns,
-        F.coalesce("mapped.source_table", "base_table").alias("source_table"),
-        F.coalesce("mapped.source_column", "column").alias("source_column"),
-        (F.col("qualifier").isNotNull() & F.col("mapped").isNull()).alias("may_link"),
-    )
-    order = F.struct(
-        "relation_pos", "item", "scope", "relation", "output", "qualifier", "column", "source_table", "source_column", "may_link"
-    )
-    resolved_type = "array<struct<relation_pos:int,item:int,relation:string,output:string,source_table:string,source_column:string>>"
+    fields = ("is_cte", "relation_pos", "item", "scope", "relation", "output", "calc")
+    output = F.struct(*fields, "qualifier", "column", "base_table")
+    rows = sources.groupBy("stmt").agg(F.array_sort(F.collect_list(output)).alias("rows"))
 
-    def follow(done: Column, row: Column) -> Column:
-        earlier = F.try_element_at(
-            F.filter(done, lambda d: (d.relation == row.qualifier) & (d.output == row.column)), F.lit(-1)
+    def mapped(row: Column, table: Column, column: Column) -> Column:
+        return F.struct(
+            *[row[name].alias(name) for name in fields], table.alias("source_table"), column.alias("source_column")
         )
-        hit = F.when(row.may_link, earlier)
-        step = F.struct(
-            row.relation_pos.alias("relation_pos"),
-            row.item.alias("item"),
-            row.relation.alias("relation"),
-            row.output.alias("output"),
-            F.coalesce(hit.source_table, row.source_table).alias("source_table"),
-            F.coalesce(hit.source_column, row.source_column).alias("source_column"),
+
+    def last_named(done: Column, row: Column, is_cte: bool) -> Column:
+        same = F.filter(
+            done, lambda d: (d.is_cte == F.lit(is_cte)) & (d.relation == row.qualifier) & (d.output == row.column)
         )
-        return F.concat(done, F.array(step))
+        return F.when(row.is_cte, F.try_element_at(same, F.lit(-1)))
+
+    def follow(done: Column, row: Column) -> Column:
+        derived, cte = last_named(done, row, False), last_named(done, row, True)
+        table = F.coalesce(derived.source_table, cte.source_table, row.base_table)
+        column = F.coalesce(derived.source_column, cte.source_column, row.column)
+        return F.concat(done, F.array(mapped(row, table, column)))
 
-    rows = ready.groupBy("stmt").agg(F.array_sort(F.collect_list(order)).alias("rows"))
     names = F.transform("rows", lambda r: r.relation)
-    chained = F.exists("rows", lambda r: r.may_link & F.array_contains(names, r.qualifier))
-    as_is = F.transform(
-        "rows",
-        lambda r: F.struct(r.relation_pos, r.item, r.relation, r.output, r.source_table, r.source_column),
-    ).cast(resolved_type)
-    folded = F.aggregate("rows", F.array().cast(resolved_type), follow)
-    linked = rows.select("stmt", F.inline(F.when(chained, folded).otherwise(as_is)))
-    ctes = ready.drop("source_table", "source_column", "may_link").join(
-        linked.select("stmt", "relation_pos", "item", "source_table", "source_column"),
-        ["stmt", "relation_pos", "item"],
-    )
-    return derived.unionByName(ctes)
+    chained = F.exists("rows", lambda r: r.is_cte & F.array_contains(names, r.qualifier))
+    as_is = F.transform("rows", lambda r: mapped(r, r.base_table, r.column))
+    folded = F.aggregate("rows", F.array().cast(PROJECTIONS), follow)
+    return rows.select("stmt", F.inline(F.when(F.coalesce(chained, F.lit(False)), folded).otherwise(as_is)))
 
 
 def resolve_mentions(
@@ -281,10 +269,11 @@ def resolve_mentions(
         mapped.join(aliases, ["stmt", "alias_scope", "column"], "left")
         .withColumn("key_table", key_table)
         .withColumn("key_column", key_column)
+        .withColumn("by_alias", hit)
         .withColumn("places", F.when(F.size(places) == 0, F.array(F.lit("UNKNOWN"))).otherwise(F.array_sort(F.array_distinct(places))))
         .select(
             "stmt", "pos", "qualifier", "column", "scope", "clause", "places", "calc", "holders",
             "base_table", "mapped_table", "mapped_column", "qualifier_is_cte", "through_cte",
-            "key_table", "key_column",
+            "key_table", "key_column", "by_alias",
         )
     )

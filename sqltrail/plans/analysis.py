@@ -11,6 +11,7 @@ from sqltrail.operators import columns as col_ops
 from sqltrail.operators import resolve as res
 from sqltrail.operators import tables as tab
 from sqltrail.operators import tokens as tk
+from sqltrail.plans import reports
 from sqltrail.plans import statements as st
 from sqltrail.plans.stages import Stages
 
@@ -89,12 +90,15 @@ class Analysis:
 
     @cached_property
     def base_mentions(self) -> DataFrame:
-        return res.column_mentions(self.lexemes, self.scope_tables, self.around)
+        return self.stages.write(
+            "base_mentions", res.column_mentions(self.lexemes, self.scope_tables, self.around)
+        )
 
     @cached_property
     def projections(self) -> DataFrame:
         outputs = res.relation_items(self.items, self.lexemes, self.ctes, self.derived)
-        return res.projection_map(res.relation_sources(self.base_mentions, outputs))
+        sources = res.relation_sources(self.base_mentions, outputs)
+        return self.stages.write("projections", res.projection_map(sources))
 
     @cached_property
     def mentions(self) -> DataFrame:
@@ -135,5 +139,9 @@ class Analysis:
     def enriched(self) -> DataFrame:
         return col_ops.enrich_with_tables(self.columns, self.tables)
 
+    @cached_property
+    def statistics(self) -> DataFrame:
+        return reports.query_statistics(self.texts, self.tables, self.columns)
+
     def per_query(self, facts: DataFrame) -> DataFrame:
         return st.per_query(facts, self.queries, self.texts.select("stmt", "copies"), self.bucket_rows)
