@@ -95,11 +95,8 @@ def rewrite_star(sql: Column) -> Column:
 
 def requote_brackets(sql: Column, dialect: Column) -> Column:
     """``[name]`` outside quotes takes the quoting of its dialect."""
-    return (
-        F.when(~sql.contains("[") | (dialect == "tsql"), sql)
-        .when(dialect == "mysql", F.regexp_replace(sql, BRACKETED_NAME, "$1`$2`"))
-        .otherwise(F.regexp_replace(sql, BRACKETED_NAME, '$1"$2"'))
-    )
+    quoted = F.when(dialect == "tsql", "$1[$2]").when(dialect == "mysql", "$1`$2`").otherwise('$1"$2"')
+    return F.regexp_replace(sql, F.lit(BRACKETED_NAME), quoted)
 
 
 def fix_common_issues(sql: Column) -> Column:

@@ -38,7 +38,7 @@ NUMBER = r"0x[0-9a-f]++|\d++(?:\.\d*+)?+(?:e[+-]?\d++)?+|\.\d++"
 OPERATORS = r"\( ?\+ ?\)|::|:=|\|\||<=>|<>|!=|<=|>=|==|=>|->>|->|\^="
 PLACEHOLDER = r"(?::|@@?|\$)\w++|\?"
 TOKEN = "(?iU)" + "|".join((LITERAL, PHRASES, TOP_N, DOTTED_NAME, NUMBER, OPERATORS, PLACEHOLDER, r"\S"))
-TOKEN_BACKSLASH = TOKEN.replace(LITERAL, LITERAL_BACKSLASH)
+FIRST_STATEMENT = r"(?i)\A(?:[^;'\"`\[]++|" + LITERAL + "|" + QUOTED_NAME + r"|['\"`\[])*+"
 
 # Dialects in which a backslash escapes inside a literal, and in which
 # double quotes make a literal.
@@ -163,6 +163,7 @@ DELIMITERS = (
     + ("GROUP BY", "PARTITION BY", "ORDER BY", "DISTRIBUTE BY", "CONNECT BY", "START WITH", "GROUPING SETS")
 )
 
+STRAY_QUOTE = -(1 << 30)
 ERROR_BLANK = "SQL запрос пустой"
 ERROR_PREFIX = "Ошибка парсинга: "
 ERROR_NOTHING = ERROR_PREFIX + "нет выражения"
@@ -172,35 +173,43 @@ ERROR_QUOTES = ERROR_PREFIX + "незакрытая кавычка"
 
 def token_array(sql_clean: Column, dialect: Column) -> Column:
     """Tokens of the first statement of the text."""
-    tokens = F.when(
-        dialect.isin(*BACKSLASH_DIALECTS), F.regexp_extract_all(sql_clean, F.lit(TOKEN_BACKSLASH), F.lit(0))
-    ).otherwise(F.regexp_extract_all(sql_clean, F.lit(TOKEN), F.lit(0)))
-    return tokens
+    escaped = dialect.isin(*BACKSLASH_DIALECTS)
 
+    def split(literal: str) -> Column:
+        first = F.when(
+            sql_clean.contains(";"), F.regexp_extract(sql_clean, FIRST_STATEMENT.replace(LITERAL, literal), 0)
+        ).otherwise(sql_clean)
+        return F.regexp_extract_all(first, F.lit(TOKEN.replace(LITERAL, literal)), F.lit(0))
 
-def first_statement(tokens: Column) -> Column:
-    end = F.array_position(tokens, F.lit(";")).cast("int")
-    return F.when(end > 0, F.slice(tokens, F.lit(1), end - 1)).otherwise(tokens)
+    return F.when(escaped, split(LITERAL_BACKSLASH)).otherwise(split(LITERAL))
 
 
-def structural_errors(sql: Column, tokens: Column) -> Column:
+def bracket_balance(sql_clean: Column, dialect: Column) -> Column:
+    """Open brackets left at the end; negative once one closes too many, or STRAY_QUOTE.
+
+    Only brackets and stray quotes of the token array are kept for the fold.
+    """
+    marks = F.filter(token_array(sql_clean, dialect), lambda t: t.isin("(", ")", "'", '"', "`"))
+
+    def step(depth: Column, mark: Column) -> Column:
+        return (
+            F.when(~mark.isin("(", ")"), STRAY_QUOTE)
+            .when(depth < 0, depth)
+            .otherwise(depth + F.when(mark == "(", 1).otherwise(-1))
+        )
+
+    return F.aggregate(marks, F.lit(0), step)
+
+
+def structural_errors(sql: Column, sql_clean: Column, balance: Column) -> Column:
     """P10: what stops a statement from being read, as an array of messages."""
-    lowest = F.aggregate(
-        tokens,
-        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low")),
-        lambda acc, t: F.struct(
-            (acc.depth + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("depth"),
-            F.least(acc.low, acc.depth + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("low"),
-        ),
-        lambda acc: (acc.depth != 0) | (acc.low < 0),
-    )
-    return (
-        F.when(sql.isNull() | ~sql.rlike(r"(?U)[^\s\x1c-\x1f]"), F.array(F.lit(ERROR_BLANK)))
-        .when(F.size(tokens) == 0, F.array(F.lit(ERROR_NOTHING)))
-        .when(F.arrays_overlap(tokens, F.array(*[F.lit(q) for q in "'\"`"])), F.array(F.lit(ERROR_QUOTES)))
-        .when(lowest, F.array(F.lit(ERROR_BRACKETS)))
-        .otherwise(F.array().cast("array<string>"))
+    message = (
+        F.when(sql.isNull() | ~sql.rlike(r"(?U)[^\s\x1c-\x1f]"), ERROR_BLANK)
+        .when(~F.coalesce(sql_clean, F.lit("")).rlike(r"\A[^;]"), ERROR_NOTHING)
+        .when(balance == STRAY_QUOTE, ERROR_QUOTES)
+        .when(balance != 0, ERROR_BRACKETS)
     )
+    return F.filter(F.array(message), lambda m: m.isNotNull())
 
 
 def token_pieces(tokens: Column) -> Column:
@@ -289,12 +298,13 @@ def explode_tokens(readable: DataFrame) -> DataFrame:
     """``(stmt, pos, tok, w)`` of every readable statement.
 
     The exchange comes before the explode: it moves each text once, and the windows
-    below reuse its partitioning for the many token rows.
+    below reuse its partitioning for the many token rows. Every text has a token; the outer
+    explode only keeps the optimizer from tokenising a second time to test that.
     """
     tokens = readable.select(
         "stmt",
         F.col("dialect").isin(*DOUBLE_QUOTE_LITERAL_DIALECTS).alias("dq"),
-        F.posexplode("tokens").alias("pos", "tok"),
+        F.posexplode_outer("tokens").alias("pos", "tok"),
     )
     tokens = tokens.select("stmt", "pos", "tok", symbol(F.col("tok"), F.col("dq")).alias("w"))
     skipped = F.col("w").isin("IF EXISTS", "IF NOT EXISTS") | (F.col("w").startswith("(") & (F.col("w") != "("))
@@ -325,7 +335,6 @@ def with_neighbours(tokens: DataFrame) -> DataFrame:
     c = F.col
     tokens = tokens.select(
         "*",
-        F.upper("tok").alias("u"),
         *[F.lag("w", i).over(window).alias(f"p{i}w") for i in (1, 2)],
         *[F.lead("w", i).over(window).alias(f"n{i}w") for i in (1, 2, 3)],
         *[F.lag("tok", i).over(window).alias(f"p{i}t") for i in (1, 2)],
@@ -370,8 +379,16 @@ def with_neighbours(tokens: DataFrame) -> DataFrame:
         .when(c("bkind") == "over", "WINDOW")
         .when(c("bkind").isin("fn", "cast"), F.coalesce(lookup(FUNCTION_TYPES, called), called))
     )
+    # Settled here so that no neighbour text travels through the later sorts.
+    follows = F.when((c("n1w") == "AS") & c("n2w").isin(*NAMES), c("n2t")).when(
+        c("n1w").isin(*NAMES) & c("w").isin(*OPERAND_ENDS), c("n1t")
+    )
+    head = c("closes") & (c("n1w") == "AS") & (c("n2w") == "(") & c("n3w").isin("SELECT", "WITH", "(")
     return tokens.select(
-        "*",
+        "stmt", "pos", "tok", "w", "p1w", "p2w", "n1w", "p1pos", "depth", "opens", "closes", "is_alias",
+        F.when(c("w").isin("name", "id", ")"), follows).alias("follows"),
+        F.when((c("w") == "(") & (c("p1w") == "AS") & c("p2w").isin(*NAMES), c("p2t")).alias("cte_name"),
+        F.coalesce(head, F.lit(False)).alias("head"),
         F.when(
             c("opens"),
             F.struct(
@@ -384,7 +401,7 @@ def with_neighbours(tokens: DataFrame) -> DataFrame:
                 c("n1w").alias("after_w"),
             ),
         ).alias("bracket"),
-    )
+    )
 
 
 def with_brackets(tokens: DataFrame) -> DataFrame:
@@ -416,12 +433,21 @@ def with_brackets(tokens: DataFrame) -> DataFrame:
         F.coalesce(arithmetic, F.lit(False)).alias("arithmetic"),
     )
     run = Window.partitionBy("stmt", "seg")
-    head = c("closes") & (c("n1w") == "AS") & (c("n2w") == "(") & c("n3w").isin("SELECT", "WITH", "(")
+    u = F.upper("tok")
+    not_column = (
+        ((c("p1w") == "(") & F.upper("g.before").isin(*UNIT_FUNCTIONS) & (c("w") == "name"))
+        | ((c("g.type") == "TRIM") & u.isin(*TRIM_WORDS))
+        | ((c("g.kind") == "over") & u.isin(*FRAME_WORDS))
+    )
+    ends = [F.when(c("closes"), c(f"m.{name}")).alias(f"m_{name}") for name in ("open", "kind", "before", "before_w", "after_w")]
     return tokens.select(
-        "*",
+        *[name for name in tokens.columns if name not in ("g", "m", "depth")],
+        c("g.kind").alias("g_kind"),
+        F.coalesce(not_column, F.lit(False)).alias("not_column"),
+        *ends,
         F.max("arithmetic").over(run).alias("seg_arith"),
         F.max(F.coalesce(c("w") == "::", F.lit(False))).over(run).alias("seg_cast"),
-        F.max(F.coalesce(head, F.lit(False))).over(run).alias("seg_head"),
+        F.max("head").over(run).alias("seg_head"),
         F.min(F.when(~c("delimiter"), c("pos"))).over(run).alias("seg_lo"),
         F.max(F.when(~c("delimiter"), c("pos"))).over(run).alias("seg_hi"),
     )
@@ -432,10 +458,10 @@ def with_levels(tokens: DataFrame) -> DataFrame:
     c = F.col
     window, before, upto = running("pos")
     seg_calc = c("seg_arith") | c("seg_cast")
-    kind = F.coalesce(c("bracket.kind"), c("m.kind"))
+    kind = F.coalesce("bracket.kind", "m_kind")
     listed = (kind == "list") | ((kind == "fn") & c("seg_head"))
     calc = (kind.isin(*CALC_BRACKETS) & ~listed) | seg_calc
-    in_order = c("ordered") & ~F.coalesce(c("g.kind") == "query", F.lit(True))
+    in_order = c("ordered") & ~F.coalesce(c("g_kind") == "query", F.lit(True))
     typed = F.coalesce(c("bracket.type"), F.when(c("seg_arith"), "ARITHMETIC").when(c("seg_cast"), "CAST"))
     own_type = kind.isin(*CALC_BRACKETS)
     tokens = tokens.select(
@@ -454,7 +480,7 @@ def with_levels(tokens: DataFrame) -> DataFrame:
             level(flag(c("opens") & member), flag(c("closes") & member), before, upto).alias(name)
             for name, member in (("sd", kind == "query"), ("cd", calc), ("od", in_order), ("ld", listed))
         ],
-        F.when((c("p1w") == "AS") & (c("p2w") == ")"), F.lag("m.before", 2).over(window)).alias("listed_name"),
+        F.when((c("p1w") == "AS") & (c("p2w") == ")"), F.lag("m_before", 2).over(window)).alias("listed_name"),
     )
     return tokens.withColumn("calc_entered", F.when(c("entered").isNotNull(), F.lag("calc_bracket").over(window)))
 
@@ -467,7 +493,7 @@ def with_scopes(tokens: DataFrame) -> DataFrame:
     def latest(value: Column) -> Column:
         return F.last(value, ignorenulls=True).over(upto)
 
-    own = F.coalesce(c("g.kind").isin("query", "table"), F.lit(True))
+    own = F.coalesce(c("g_kind").isin("query", "table"), F.lit(True))
     starts = F.coalesce(c("entered.kind") == "query", F.lit(False))
     # A table hint or table function is no clause of its own.
     hint = c("w").isin("WITH", "TABLE") & (c("n1w") == "(")
@@ -520,7 +546,7 @@ def with_roles(tokens: DataFrame) -> DataFrame:
     table_position = (
         c("p1w").isin("FROM", "JOIN", "APPLY", "INTO", "UPDATE", "TABLE", "VIEW")
         | ((c("p1w") == ",") & in_tables)
-        | ((c("p1w") == "(") & (c("g.kind") == "table"))
+        | ((c("p1w") == "(") & (c("g_kind") == "table"))
         | ((c("p1w") == "USING") & c("scope").isNull())
     )
     not_called = F.coalesce(c("n1w") != "(", F.lit(True)) | c("p1w").isin("INTO", "TABLE", "VIEW")
@@ -529,17 +555,15 @@ def with_roles(tokens: DataFrame) -> DataFrame:
     derived = (
         (c("w") == ")")
         & c("own")
-        & (c("m.before_w").isin("FROM", "JOIN") | ((c("m.before_w") == ",") & in_tables))
-        & (c("m.kind").isin("query", "table") | (c("m.after_w") == "("))
-        & (c("m.after_w") != "VALUES")
+        & (c("m_before_w").isin("FROM", "JOIN") | ((c("m_before_w") == ",") & in_tables))
+        & (c("m_kind").isin("query", "table") | (c("m_after_w") == "("))
+        & (c("m_after_w") != "VALUES")
     )
-    fn = c("g.type")
+    literal_prefix = (c("w") == "name") & (c("n1w") == "str") & F.upper("tok").isin(*LITERAL_PREFIXES)
     skipped = (
-        ((c("n1w") == "str") & c("u").isin(*LITERAL_PREFIXES))
+        c("not_column")
+        | literal_prefix
         | (c("p2w") == "INTERVAL")
-        | ((c("p1w") == "(") & F.upper(c("g.before")).isin(*UNIT_FUNCTIONS) & (c("w") == "name"))
-        | ((fn == "TRIM") & c("u").isin(*TRIM_WORDS))
-        | ((c("g.kind") == "over") & c("u").isin(*FRAME_WORDS))
         | c("p1w").isin("::", "OVER", "COLLATE")
         | c("clause").isin("LIMIT", "INTO", "WITH")
     )
@@ -550,14 +574,11 @@ def with_roles(tokens: DataFrame) -> DataFrame:
         & (c("ld") == 0)
         & ~F.coalesce(skipped, F.lit(False))
     )
-    follows = F.when((c("n1w") == "AS") & c("n2w").isin(*NAMES), c("n2t")).when(
-        c("n1w").isin(*NAMES) & F.coalesce(c("w").isin(*OPERAND_ENDS), F.lit(False)), c("n1t")
-    )
     role = (
         F.when(table, "table")
         .when(cte, "cte")
-        .when(derived, F.when(follows.isNotNull(), "derived"))
-        .when(name & (c("g.kind") == "using"), "using")
+        .when(derived, F.when(c("follows").isNotNull(), "derived"))
+        .when(name & (c("g_kind") == "using"), "using")
         .when(column, "column")
     )
     calc = (
@@ -605,18 +626,18 @@ def with_roles(tokens: DataFrame) -> DataFrame:
         "arithmetic",
         (c("bracket.kind") == "query").alias("opens_query"),
         F.when(c("opens"), c("bracket.type")).alias("bracket_type"),
-        F.when(c("closes") & c("m.kind").isin(*CALC_BRACKETS), c("m.open")).alias("closes_calc"),
-        F.when((c("w") == "name") & c("u").isin(*LITERAL_PREFIXES) & (c("n1w") == "str"), True).otherwise(False).alias("typed_literal"),
+        F.when(c("closes") & c("m_kind").isin(*CALC_BRACKETS), c("m_open")).alias("closes_calc"),
+        F.coalesce(literal_prefix, F.lit(False)).alias("typed_literal"),
         "n1w",
         "sd",
         F.when(c("role").isin("table", "column", "using"), parts).alias("parts"),
         F.when(c("is_alias"), plain_name(c("tok"))).alias("alias_name"),
-        F.when(c("role").isin("table", "derived"), plain_name(follows))
-        .when(c("role") == "cte", plain_name(F.when(c("p2w").isin(*NAMES), c("p2t")).otherwise(c("listed_name"))))
+        F.when(c("role").isin("table", "derived"), plain_name(c("follows")))
+        .when(c("role") == "cte", plain_name(F.coalesce("cte_name", "listed_name")))
         .alias("alias"),
         # The query bracket that is the body of a CTE or derived table, if it is one.
         F.when((c("role") == "cte") & (c("bracket.kind") == "query"), c("pos"))
-        .when((c("role") == "derived") & (c("m.kind") == "query"), c("m.open"))
+        .when((c("role") == "derived") & (c("m_kind") == "query"), c("m_open"))
         .alias("body"),
         F.when(c("role") == "column", calc).alias("calc"),
         F.when(c("role") == "column", places).alias("places"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,22 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
 
 
+@contextmanager
+def small_methods(spark: SparkSession):
+    """Keep generated methods within what the JVM compiles.
+
+    HotSpot never compiles a method above 8000 bytes, and the wide token expressions would
+    exceed that in one fused stage; with the limit Spark runs them as smaller methods.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Stages:
     """Writes each stage once as Parquet and reads it back.
 
@@ -33,7 +50,8 @@ class Stages:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        with small_methods(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def delete(self) -> None:

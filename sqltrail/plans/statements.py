@@ -34,12 +34,11 @@ def distinct_statements(statements: DataFrame) -> DataFrame:
 
 def clean_statements(texts: DataFrame) -> DataFrame:
     """Add ``sql_clean`` and ``parse_errors`` (P8, P10). Row-wise, so no exchange."""
-    tokens = tk.first_statement(tk.token_array(F.col("sql_clean"), F.col("dialect")))
     return (
         texts.withColumn("sql_clean", preprocess(F.col("sql"), F.col("dialect")))
-        .withColumn("tokens", tokens)
-        .withColumn("parse_errors", tk.structural_errors(F.col("sql"), F.col("tokens")))
-        .drop("tokens")
+        .withColumn("balance", tk.bracket_balance(F.col("sql_clean"), F.col("dialect")))
+        .withColumn("parse_errors", tk.structural_errors(F.col("sql"), F.col("sql_clean"), F.col("balance")))
+        .drop("balance")
     )
 
 
@@ -48,7 +47,7 @@ def with_tokens(texts: DataFrame) -> DataFrame:
 
     The exchange moves the cleaned text, which is far smaller than its token rows.
     """
-    tokens = tk.first_statement(tk.token_array(F.col("sql_clean"), F.col("dialect")))
+    tokens = tk.token_array(F.col("sql_clean"), F.col("dialect"))
     return (
         texts.select("stmt", "dialect", "sql_clean").repartition("stmt").select("stmt", "dialect", tokens.alias("tokens"))
     )
