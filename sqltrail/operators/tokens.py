@@ -29,15 +29,17 @@ PHRASES = (
     r"(?:(?:OUTER|INNER|CROSS|SEMI|ANTI) )?+JOIN|"
     r"(?:CROSS|OUTER) APPLY|(?:GROUP|PARTITION|CLUSTER|DISTRIBUTE|SORT) BY|"
     r"ORDER (?:SIBLINGS )?BY|NULLS (?:FIRST|LAST)|(?:IGNORE|RESPECT) NULLS|WITHIN GROUP|GROUPING SETS|AT TIME ZONE|"
-    r"(?:UNION|INTERSECT|EXCEPT|MINUS)(?: ALL| DISTINCT)?+|CONNECT BY(?: NOCYCLE)?+|START WITH|"
+    r"(?:UNION|INTERSECT)(?: ALL| DISTINCT)?+|(?:NOT )?+MATCHED(?: BY (?:SOURCE|TARGET))?+|CONNECT BY(?: NOCYCLE)?+|START WITH|"
     r"INSERT (?:INTO|OVERWRITE)(?: TABLE)?+|MERGE INTO|IF (?:NOT )?+EXISTS|"
     r"AS (?:NOT )?+MATERIALIZED)\b"
 )
+# These two are names unless a query follows; the blank after them tells the tokens apart.
+EXCEPT_QUERY = r"\b(?:EXCEPT|MINUS)(?: ALL| DISTINCT)?+ (?=(?:\( ?)*+(?:SELECT|WITH|VALUES)\b)"
 TOP_N = r"\bTOP (?:\d++|\( ?\d++ ?\))(?: PERCENT\b)?+"
 NUMBER = r"0x[0-9a-f]++|\d++(?:\.\d*+)?+(?:e[+-]?\d++)?+|\.\d++"
 OPERATORS = r"\( ?\+ ?\)|::|:=|\|\||<=>|<>|!=|<=|>=|==|=>|->>|->|\^="
 PLACEHOLDER = r"(?::|@@?|\$)\w++|\?"
-TOKEN = "(?iU)" + "|".join((LITERAL, PHRASES, TOP_N, DOTTED_NAME, NUMBER, OPERATORS, PLACEHOLDER, r"\S"))
+TOKEN = "(?iU)" + "|".join((LITERAL, PHRASES, EXCEPT_QUERY, TOP_N, DOTTED_NAME, NUMBER, OPERATORS, PLACEHOLDER, r"\S"))
 FIRST_STATEMENT = r"(?i)\A(?:[^;'\"`\[]++|" + LITERAL + "|" + QUOTED_NAME + r"|['\"`\[])*+"
 
 # Dialects in which a backslash escapes inside a literal, and in which
@@ -50,7 +52,7 @@ RESERVED = (
     "SELECT FROM WHERE HAVING LIMIT OFFSET FETCH ALL DISTINCT ON USING AS AND OR NOT IN IS LIKE ILIKE "
     "RLIKE REGEXP BETWEEN EXISTS CASE WHEN THEN ELSE END OVER WITH RECURSIVE INTO VALUES UPDATE SET "
     "DELETE MERGE CREATE TABLE VIEW DROP ALTER TRUNCATE ASC DESC ANY SOME QUALIFY WINDOW LATERAL FOR "
-    "PRIOR PIVOT UNPIVOT TABLESAMPLE RETURNING ESCAPE COLLATE INTERVAL ROLLUP CUBE DIV MOD"
+    "MATCHED PRIOR PIVOT UNPIVOT TABLESAMPLE RETURNING ESCAPE COLLATE INTERVAL ROLLUP CUBE DIV MOD"
 ).split()
 CONSTANTS = "NULL TRUE FALSE DEFAULT".split()
 # Functions written without brackets, and the type each is reported as.
@@ -226,7 +228,7 @@ def token_pieces(tokens: Column) -> Column:
         ).otherwise(token)
         opens_call = (token == "(") & before.rlike(r"\A[\p{L}_#\"`\[]") & ~before.contains(" ") & ~F.upper(before).isin(*RESERVED)
         glued = token.isin(")", ",", "::") | before.isin("(", "::") | opens_call | (i == 0)
-        return F.concat(F.when(glued, "").otherwise(" "), text)
+        return F.concat(F.when(glued, "").otherwise(" "), F.rtrim(text))
 
     return F.transform(tokens, piece)
 
@@ -280,7 +282,7 @@ def symbol(token: Column, double_quote_literal: Column) -> Column:
         .when(spaced & upper.startswith("TOP "), "TOP")
         .when(spaced & upper.startswith("AS "), "AS")
         .when(spaced & upper.rlike(r"\A(?:INSERT|MERGE) "), "INTO")
-        .when(upper.rlike(r"\A(?:UNION|INTERSECT|EXCEPT|MINUS)(?: |\z)"), "SETOP")
+        .when(upper.rlike(r"\A(?:UNION|INTERSECT)(?: |\z)") | (spaced & upper.rlike(r"\A(?:EXCEPT|MINUS) ")), "SETOP")
         .when(spaced, upper)
         .otherwise("name")
     )
@@ -565,7 +567,7 @@ def with_roles(tokens: DataFrame) -> DataFrame:
         | literal_prefix
         | (c("p2w") == "INTERVAL")
         | c("p1w").isin("::", "OVER", "COLLATE")
-        | c("clause").isin("LIMIT", "INTO", "WITH")
+        | c("clause").isin("LIMIT", "WITH")
     )
     column = (
         name
