@@ -85,10 +85,6 @@ def _requoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir).select("query_id", clean.requote_brackets(F.col("sql"), dialect).alias("sql_out"))
 
 
-def _preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _log(spark, sf_dir).select("query_id", clean.preprocess(F.col("sql"), F.col("dialect")).alias("sql_clean"))
-
-
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.validate_sql(_log(spark, sf_dir)).select("query_id", "is_valid", "error")
 
@@ -196,7 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "P5_rewrite_star": _cleaned(clean.rewrite_star),
         "P6_requote_brackets": _requoted,
         "P7_fix_common_issues": _cleaned(clean.fix_common_issues),
-        "P8_preprocess": _preprocessed,
+        "P8_preprocess": _facts(lambda a: a.texts.select("stmt", "sql_clean")),
         "P9_validate_sql": _validated,
         "P10_capture_errors": _facts(lambda a: _joined(a.texts.select("stmt", "parse_errors"), "parse_errors")),
         "A1_cte_definitions": _facts(lambda a: a.ctes.select("stmt", "name")),
@@ -209,8 +205,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "A6_oracle_outer_marks": _facts(lambda a: a.outer_marks),
         "A7_apply_oracle_outer_marks": _facts(lambda a: a.references.select("stmt", "name", "alias", "join_type")),
         "A8_upsert_tables": _tables("schema", "name", "table_type", "aliases", "join_type"),
-        "A9_unique_tables": _facts(lambda a: _joined(tab.unique_tables(a.tables, "stmt"), "aliases", "columns")),
-        "A9_unique_tables_corpus": _corpus(lambda a: _joined(tab.unique_tables(a.tables), "aliases", "columns")),
+        "A9_unique_tables": _facts(lambda a: _joined(tab.unique_tables(a.tables), "aliases", "columns")),
+        "A9_unique_tables_corpus": _corpus(lambda a: tab.corpus_table_members(a.tables)),
         "A9_table_usage_corpus": _corpus(lambda a: reports.corpus_unique_tables(a.tables, a.texts)),
         "A10_table_by_name": _facts(_named_tables),
         "A11_columns_per_table": _tables("schema", "name", "table_type", "columns", "column_count"),

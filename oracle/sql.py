@@ -294,12 +294,9 @@ def all_sql() -> dict[str, str]:
     bracket_dialect = "CASE query_id % 3 WHEN 0 THEN 'tsql' WHEN 1 THEN 'mysql' ELSE 'other' END"
     search = "lower({0}) LIKE '%user%'"
     exploded = "unnest(string_split({0}, ', '))"
-    corpus_lists = (
-        "SELECT schema, name, table_type, coalesce(string_agg(DISTINCT a, ', ' ORDER BY a), '') AS aliases, "
-        "coalesce(string_agg(DISTINCT c, ', ' ORDER BY c), '') AS columns FROM ("
-        "SELECT schema, name, table_type, unnest(" + split_list("aliases") + ") AS a, NULL AS c FROM tf UNION ALL "
-        "SELECT schema, name, table_type, NULL, unnest(" + split_list("columns") + ") FROM tf UNION ALL "
-        "SELECT schema, name, table_type, NULL, NULL FROM tf) GROUP BY schema, name, table_type"
+    members = (
+        "SELECT DISTINCT schema, name, table_type, 'alias' AS part, unnest(" + split_list("aliases") + ") AS value FROM tf UNION ALL "
+        "SELECT DISTINCT schema, name, table_type, 'column', unnest(" + split_list("columns") + ") FROM tf"
     )
     return {
         "S2_statements_from_table": on_corpus("query_id, sql, dialect"),
@@ -329,7 +326,7 @@ def all_sql() -> dict[str, str]:
         "A7_apply_oracle_outer_marks": facts(REFERENCES, "SELECT query_id, name, alias, join_type FROM rf"),
         "A8_upsert_tables": facts(TABLES, "SELECT query_id, schema, name, table_type, aliases, join_type FROM tf"),
         "A9_unique_tables": facts(TABLES, "SELECT query_id, schema, name, table_type, aliases, columns FROM tf"),
-        "A9_unique_tables_corpus": facts(TABLES, corpus_lists),
+        "A9_unique_tables_corpus": facts(TABLES, members),
         "A9_table_usage_corpus": facts(
             TABLES, "SELECT schema, name, table_type, count(*) AS queries FROM tf GROUP BY schema, name, table_type"
         ),

@@ -60,9 +60,13 @@ def dotted(table: Column, column: Column) -> Column:
 
 
 def spread(rows: DataFrame, *contributions: Column) -> DataFrame:
-    """Contribution rows of each input row; null ones are left out."""
+    """Contribution rows of each input row; null ones are left out.
+
+    An outer generator, as a plain one makes the optimizer build every array twice, once
+    only to see that it is not empty.
+    """
     present = F.filter(F.array(*contributions), lambda x: x.isNotNull())
-    return rows.select("stmt", F.inline(present)).where(
+    return rows.select("stmt", F.inline_outer(present)).where(
         F.col("key_table").isNotNull() & F.col("key_column").isNotNull()
     )
 
@@ -97,7 +101,7 @@ def held_mentions(mentions: DataFrame, items: DataFrame, projections: DataFrame)
     outputs = projections.select("stmt", "scope", "item", "relation", "output", "is_cte")
     return (
         mentions.select(
-            "stmt", "pos", "key_table", "key_column", "base_table", "column", "mapped_table", "mapped_column", F.inline("holders")
+            "stmt", "pos", "key_table", "key_column", "base_table", "column", "mapped_table", "mapped_column", F.inline_outer("holders")
         )
         .join(items.select("stmt", "scope", "item", "alias", F.col("calc").isNotNull().alias("calculated")), ["stmt", "scope", "item"])
         .join(outputs, ["stmt", "scope", "item"], "left")

@@ -151,7 +151,7 @@ def relation_items(items: DataFrame, lex: DataFrame, ctes: DataFrame, derived: D
 
 def relation_sources(mentions: DataFrame, outputs: DataFrame) -> DataFrame:
     """First source column of each relation output, as the output's own SELECT names it."""
-    held = mentions.select("stmt", "pos", "qualifier", "column", "base_table", F.inline("holders"))
+    held = mentions.select("stmt", "pos", "qualifier", "column", "base_table", F.inline_outer("holders"))
     first = held.groupBy("stmt", "scope", "item").agg(
         F.min_by(F.struct("qualifier", "column", "base_table"), "pos").alias("source")
     )
@@ -206,7 +206,7 @@ def projection_map(sources: DataFrame) -> DataFrame:
     chained = F.exists("rows", lambda r: r.is_cte & F.array_contains(names, r.qualifier))
     as_is = F.transform("rows", lambda r: mapped(r, r.base_table, r.column))
     folded = F.aggregate("rows", F.array().cast(PROJECTIONS), follow)
-    return rows.select("stmt", F.inline(F.when(F.coalesce(chained, F.lit(False)), folded).otherwise(as_is)))
+    return rows.select("stmt", F.inline_outer(F.when(F.coalesce(chained, F.lit(False)), folded).otherwise(as_is)))
 
 
 def resolve_mentions(
@@ -241,7 +241,7 @@ def resolve_mentions(
         .drop("from_derived", "from_cte")
     )
     first = (
-        mapped.select("stmt", "pos", "mapped_table", "mapped_column", F.inline("holders"))
+        mapped.select("stmt", "pos", "mapped_table", "mapped_column", F.inline_outer("holders"))
         .groupBy("stmt", "scope", "item")
         .agg(F.min_by(F.struct("mapped_table", "mapped_column"), "pos").alias("source"), F.min("pos").alias("first_pos"))
     )

@@ -77,7 +77,7 @@ def enclosing_scopes(lex: DataFrame) -> DataFrame:
         F.array().cast(f"array<struct<qid:int,around:{AROUND}>>").alias("done"),
     )
     return opens.select(
-        "stmt", F.inline(F.aggregate("opens", empty, push, lambda acc: acc.done))
+        "stmt", F.inline_outer(F.aggregate("opens", empty, push, lambda acc: acc.done))
     )
 
 
@@ -178,35 +178,27 @@ def columns_per_table(tables: DataFrame, columns: DataFrame) -> DataFrame:
     )
 
 
-def unique_tables(tables: DataFrame, *within: str) -> DataFrame:
-    """Distinct tables with united aliases and columns, per query or corpus-wide.
+def unique_tables(tables: DataFrame) -> DataFrame:
+    """Distinct tables of each statement with united aliases and columns."""
+    keys = ("stmt", "schema", "name", "table_type")
+    return tables.groupBy(*keys).agg(
+        sorted_set(F.flatten(F.collect_list("aliases"))).alias("aliases"),
+        sorted_set(F.flatten(F.collect_list("columns"))).alias("columns"),
+    )
 
-    A popular table may stand in a third of all statements, so its names are made
-    distinct one by one before the lists are built.
-    """
-    keys = [*within, "schema", "name", "table_type"]
-
-    def united(column: str) -> DataFrame:
-        return (
-            tables.select(*keys, F.explode(column).alias("value"))
-            .distinct()
-            .groupBy(*keys)
-            .agg(F.array_sort(F.collect_list("value")).alias(column))
-        )
 
-    rows = tables.select(*keys).distinct()
-    for column in ("aliases", "columns"):
-        other = united(column)
-        same = [rows[k].eqNullSafe(other[k]) for k in keys]
-        condition = same[0]
-        for part in same[1:]:
-            condition = condition & part
-        rows = rows.join(other, condition, "left").select(
-            *[rows[k] for k in keys],
-            *[rows[x] for x in rows.columns if x not in keys],
-            F.coalesce(other[column], F.array().cast("array<string>")).alias(column),
-        )
-    return rows
+def corpus_table_members(tables: DataFrame) -> DataFrame:
+    """A9 over the whole log: every alias and column a table goes by, one row each.
+
+    A popular table may stand in a third of all statements under any number of names, so
+    its names stay rows and are made distinct, never gathered into one list.
+    """
+    keys = ("schema", "name", "table_type")
+    members = [
+        tables.select(*keys, F.lit(part).alias("part"), F.explode(column).alias("value"))
+        for part, column in (("alias", "aliases"), ("column", "columns"))
+    ]
+    return members[0].unionByName(members[1]).distinct()
 
 
 def table_by_name(tables: DataFrame, name: str, schema: str | None = None) -> DataFrame:

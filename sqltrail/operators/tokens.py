@@ -122,6 +122,7 @@ TRIM_WORDS = "LEADING TRAILING BOTH".split()
 
 NAMES = ("name", "id")
 OPERAND_ENDS = ("name", "id", "str", "num", "var", "const", "call", ")", "END")
+OPENING, CLOSING = ("(", "CASE"), (")", "END")
 COMPARISONS = ("=", "==", "<", ">", "<=", ">=", "<>", "!=", "<=>", "^=", "~")
 PREDICATES = COMPARISONS + tuple(
     "AND OR NOT IN IS LIKE ILIKE RLIKE REGEXP BETWEEN EXISTS ANY SOME".split()
@@ -342,13 +343,11 @@ def with_neighbours(tokens: DataFrame) -> DataFrame:
         *[F.lag("tok", i).over(window).alias(f"p{i}t") for i in (1, 2)],
         *[F.lead("tok", i).over(window).alias(f"n{i}t") for i in (1, 2)],
         F.lag("pos").over(window).alias("p1pos"),
-        level(flag(c("w").isin("(", "CASE")), flag(c("w").isin(")", "END")), before, upto).alias("depth"),
+        level(flag(c("w").isin(*OPENING)), flag(c("w").isin(*CLOSING)), before, upto).alias("depth"),
     )
     unit = (c("p2w") == "INTERVAL") | ((F.upper("tok") == "FILTER") & (c("n1w") == "("))
     tokens = tokens.select(
         "*",
-        c("w").isin("(", "CASE").alias("opens"),
-        c("w").isin(")", "END").alias("closes"),
         F.coalesce(
             ~F.coalesce(unit, F.lit(False))
             & (
@@ -385,14 +384,14 @@ def with_neighbours(tokens: DataFrame) -> DataFrame:
     follows = F.when((c("n1w") == "AS") & c("n2w").isin(*NAMES), c("n2t")).when(
         c("n1w").isin(*NAMES) & c("w").isin(*OPERAND_ENDS), c("n1t")
     )
-    head = c("closes") & (c("n1w") == "AS") & (c("n2w") == "(") & c("n3w").isin("SELECT", "WITH", "(")
+    head = c("w").isin(*CLOSING) & (c("n1w") == "AS") & (c("n2w") == "(") & c("n3w").isin("SELECT", "WITH", "(")
     return tokens.select(
-        "stmt", "pos", "tok", "w", "p1w", "p2w", "n1w", "p1pos", "depth", "opens", "closes", "is_alias",
+        "stmt", "pos", "tok", "w", "p1w", "p2w", "n1w", "depth", "is_alias",
         F.when(c("w").isin("name", "id", ")"), follows).alias("follows"),
         F.when((c("w") == "(") & (c("p1w") == "AS") & c("p2w").isin(*NAMES), c("p2t")).alias("cte_name"),
         F.coalesce(head, F.lit(False)).alias("head"),
         F.when(
-            c("opens"),
+            c("w").isin(*OPENING),
             F.struct(
                 c("pos").alias("open"),
                 c("bkind").alias("kind"),
@@ -410,9 +409,12 @@ def with_brackets(tokens: DataFrame) -> DataFrame:
     """Innermost bracket ``g``, matching opening ``m`` and operand run ``seg``."""
     c = F.col
     window, _, _ = running("pos")
-    tokens = tokens.select(
-        "*",
-        F.when(c("p1w").isin("(", "CASE") & ~c("closes"), F.lag("bracket").over(window)).alias("entered"),
+    closes = c("w").isin(*CLOSING)
+    outer = F.lag("bracket").over(window)
+    # The bracket a token is the first one of.
+    tokens = tokens.withColumn("outer", F.when(c("p1w").isin(*OPENING) & ~closes, outer)).select(
+        *tokens.columns,
+        F.when(c("outer").isNotNull(), F.struct(*[c(f"outer.{name}").alias(name) for name in ("open", "kind", "type", "before")])).alias("entered"),
     )
     _, _, upto = running("pos", "depth")
     delimiter = c("w").isin(*DELIMITERS) | c("is_alias")
@@ -441,9 +443,12 @@ def with_brackets(tokens: DataFrame) -> DataFrame:
         | ((c("g.type") == "TRIM") & u.isin(*TRIM_WORDS))
         | ((c("g.kind") == "over") & u.isin(*FRAME_WORDS))
     )
-    ends = [F.when(c("closes"), c(f"m.{name}")).alias(f"m_{name}") for name in ("open", "kind", "before", "before_w", "after_w")]
+    ends = [F.when(closes, c(f"m.{name}")).alias(f"m_{name}") for name in ("open", "kind", "before", "before_w", "after_w")]
     return tokens.select(
-        *[name for name in tokens.columns if name not in ("g", "m", "depth")],
+        *[name for name in tokens.columns if name not in ("g", "m", "depth", "entered", "head", "ordered")],
+        c("entered.open").alias("entered_open"),
+        (c("entered.kind") == "query").alias("enters_query"),
+        (c("ordered") & ~F.coalesce(c("g.kind") == "query", F.lit(True))).alias("in_order"),
         c("g.kind").alias("g_kind"),
         F.coalesce(not_column, F.lit(False)).alias("not_column"),
         *ends,
@@ -463,14 +468,13 @@ def with_levels(tokens: DataFrame) -> DataFrame:
     kind = F.coalesce("bracket.kind", "m_kind")
     listed = (kind == "list") | ((kind == "fn") & c("seg_head"))
     calc = (kind.isin(*CALC_BRACKETS) & ~listed) | seg_calc
-    in_order = c("ordered") & ~F.coalesce(c("g_kind") == "query", F.lit(True))
+    opens, closes = c("w").isin(*OPENING), c("w").isin(*CLOSING)
     typed = F.coalesce(c("bracket.type"), F.when(c("seg_arith"), "ARITHMETIC").when(c("seg_cast"), "CAST"))
     own_type = kind.isin(*CALC_BRACKETS)
     tokens = tokens.select(
         "*",
-        in_order.alias("in_order"),
         F.when(
-            c("opens") & calc,
+            opens & calc,
             F.struct(
                 c("pos").alias("open"),
                 typed.alias("type"),
@@ -479,12 +483,14 @@ def with_levels(tokens: DataFrame) -> DataFrame:
             ),
         ).alias("calc_bracket"),
         *[
-            level(flag(c("opens") & member), flag(c("closes") & member), before, upto).alias(name)
-            for name, member in (("sd", kind == "query"), ("cd", calc), ("od", in_order), ("ld", listed))
+            level(flag(opens & member), flag(closes & member), before, upto).alias(name)
+            for name, member in (("sd", kind == "query"), ("cd", calc), ("od", c("in_order")), ("ld", listed))
         ],
         F.when((c("p1w") == "AS") & (c("p2w") == ")"), F.lag("m_before", 2).over(window)).alias("listed_name"),
     )
-    return tokens.withColumn("calc_entered", F.when(c("entered").isNotNull(), F.lag("calc_bracket").over(window)))
+    return tokens.withColumn(
+        "calc_entered", F.when(c("entered_open").isNotNull(), F.lag("calc_bracket").over(window))
+    ).drop("calc_bracket", "seg_head", "seg")
 
 
 def with_scopes(tokens: DataFrame) -> DataFrame:
@@ -496,7 +502,7 @@ def with_scopes(tokens: DataFrame) -> DataFrame:
         return F.last(value, ignorenulls=True).over(upto)
 
     own = F.coalesce(c("g_kind").isin("query", "table"), F.lit(True))
-    starts = F.coalesce(c("entered.kind") == "query", F.lit(False))
+    starts = F.coalesce("enters_query", F.lit(False))
     # A table hint or table function is no clause of its own.
     hint = c("w").isin("WITH", "TABLE") & (c("n1w") == "(")
     clause = F.when(~F.coalesce(hint, F.lit(False)), lookup(CLAUSES, c("w")))
@@ -512,7 +518,7 @@ def with_scopes(tokens: DataFrame) -> DataFrame:
     tokens = tokens.select(
         "*",
         own.alias("own"),
-        F.coalesce(latest(F.when(starts, c("p1pos"))), F.lit(-1)).alias("qid"),
+        F.coalesce(latest(F.when(starts, c("entered_open"))), F.lit(-1)).alias("qid"),
         latest(F.when(select, c("pos")).when(starts, F.lit(-1))).alias("sel"),
         latest(F.when(select & (F.coalesce(c("p1w"), F.lit("")) != "SETOP"), c("pos")).when(starts, F.lit(-1))).alias("first_sel"),
         latest(keyword).alias("kw"),
@@ -627,8 +633,8 @@ def with_roles(tokens: DataFrame) -> DataFrame:
         "delimiter",
         "arithmetic",
         (c("bracket.kind") == "query").alias("opens_query"),
-        F.when(c("opens"), c("bracket.type")).alias("bracket_type"),
-        F.when(c("closes") & c("m_kind").isin(*CALC_BRACKETS), c("m_open")).alias("closes_calc"),
+        c("bracket.type").alias("bracket_type"),
+        F.when(c("m_kind").isin(*CALC_BRACKETS), c("m_open")).alias("closes_calc"),
         F.coalesce(literal_prefix, F.lit(False)).alias("typed_literal"),
         "n1w",
         "sd",

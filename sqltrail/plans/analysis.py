@@ -20,8 +20,8 @@ class Analysis:
     """Facts for ``statements(query_id, sql, dialect)``.
 
     Each distinct text is read once, however often it was run; ``per_query`` hands facts
-    of a text back to its queries. Fact tables carry ``stmt``. Texts, lexemes, mentions,
-    columns and tables are stages: written on first use and then read by every operator
+    of a text back to its queries. Fact tables carry ``stmt``. Queries, texts, lexemes,
+    mentions, columns and tables are stages: written on first use and then read by every operator
     that needs them. ``release`` deletes the stages.
     """
 
@@ -35,7 +35,8 @@ class Analysis:
 
     @cached_property
     def queries(self) -> DataFrame:
-        return st.keyed(self.statements).select("query_id", "stmt")
+        """``(query_id, stmt)``, written once so that no output reads the texts again."""
+        return self.stages.write("queries", st.query_keys(self.statements))
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -47,9 +48,15 @@ class Analysis:
         """Texts without parse errors; only these yield facts (P10)."""
         return self.texts.where(F.size("parse_errors") == 0)
 
+    @cached_property
+    def tokenised(self) -> DataFrame:
+        at_least = int(self.statements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        texts = self.readable
+        return st.with_tokens(texts, st.token_partitions(self.stages.size("texts"), at_least))
+
     @cached_property
     def lexemes(self) -> DataFrame:
-        return self.stages.write("lexemes", tk.lexemes(st.with_tokens(self.readable)))
+        return self.stages.write("lexemes", tk.lexemes(self.tokenised))
 
     @cached_property
     def around(self) -> DataFrame:
@@ -124,7 +131,7 @@ class Analysis:
         for part in parts[1:]:
             rows = rows.unionByName(part)
         closes = self.lexemes.where(F.col("closes_calc").isNotNull()).select("stmt", "closes_calc", "pos")
-        pieces = st.with_tokens(self.readable).select("stmt", tk.token_pieces(F.col("tokens")).alias("pieces"))
+        pieces = self.tokenised.select("stmt", tk.token_pieces(F.col("tokens")).alias("pieces"))
         return self.stages.write("columns", col_ops.merge_columns(rows, closes, pieces))
 
     @cached_property

@@ -54,6 +54,15 @@ class Stages:
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _folder(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def size(self, name: str) -> int:
+        """Bytes of a written stage, from file metadata."""
+        path, files = self._folder(name)
+        return files.getContentSummary(path).getLength()
+
     def delete(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._folder()
+        files.delete(path, True)

@@ -12,6 +12,8 @@ from sqltrail.operators import tokens as tk
 # handed back, so the list of such texts can never exceed HOT_SHARE rows.
 HOT_SHARE = 10_000
 BUCKET_ROWS = 100_000
+# A text becomes token rows of many times its size, so a task gets little text.
+TEXT_BYTES_PER_TASK = 4 << 20
 
 
 def statement_key(sql: Column, dialect: Column) -> Column:
@@ -19,8 +21,9 @@ def statement_key(sql: Column, dialect: Column) -> Column:
     return F.unhex(F.sha2(F.concat_ws("\u0000", dialect, F.coalesce(sql, F.lit("\u0000"))), 256))
 
 
-def keyed(statements: DataFrame) -> DataFrame:
-    return statements.select("query_id", statement_key(F.col("sql"), F.col("dialect")).alias("stmt"), "sql", "dialect")
+def query_keys(statements: DataFrame) -> DataFrame:
+    """``(query_id, stmt)``: which text each query ran."""
+    return statements.select("query_id", statement_key(F.col("sql"), F.col("dialect")).alias("stmt"))
 
 
 def distinct_statements(statements: DataFrame) -> DataFrame:
@@ -29,7 +32,8 @@ def distinct_statements(statements: DataFrame) -> DataFrame:
     Copies are counted on the map side first, so a text that fills a third of the log
     reaches the exchange as one row per task.
     """
-    return keyed(statements).groupBy("stmt", "sql", "dialect").agg(F.count(F.lit(1)).alias("copies"))
+    texts = statements.groupBy("sql", "dialect").agg(F.count(F.lit(1)).alias("copies"))
+    return texts.select(statement_key(F.col("sql"), F.col("dialect")).alias("stmt"), "sql", "dialect", "copies")
 
 
 def clean_statements(texts: DataFrame) -> DataFrame:
@@ -42,14 +46,23 @@ def clean_statements(texts: DataFrame) -> DataFrame:
     )
 
 
-def with_tokens(texts: DataFrame) -> DataFrame:
+def token_partitions(text_bytes: int, at_least: int) -> int:
+    """Tasks for the token stage, from the size of the written texts."""
+    return max(at_least, -(-text_bytes // TEXT_BYTES_PER_TASK))
+
+
+def with_tokens(texts: DataFrame, partitions: int) -> DataFrame:
     """``(stmt, dialect, tokens)`` partitioned by statement.
 
-    The exchange moves the cleaned text, which is far smaller than its token rows.
+    The exchange moves the cleaned text, which is far smaller than its token rows. The
+    number of partitions is given, as the size of the text says little about what the
+    windows after it have to sort.
     """
     tokens = tk.token_array(F.col("sql_clean"), F.col("dialect"))
     return (
-        texts.select("stmt", "dialect", "sql_clean").repartition("stmt").select("stmt", "dialect", tokens.alias("tokens"))
+        texts.select("stmt", "dialect", "sql_clean")
+        .repartition(partitions, "stmt")
+        .select("stmt", "dialect", tokens.alias("tokens"))
     )
 
 

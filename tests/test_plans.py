@@ -61,12 +61,17 @@ def test_copies_are_counted_before_the_exchange(spark):
 
 
 def test_token_stage_has_one_exchange(spark):
-    lex = tk.lexemes(st.with_tokens(entry._analysis(spark, SF).readable))
+    lex = tk.lexemes(entry._analysis(spark, SF).tokenised)
     physical = lex._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange hashpartitioning") == 1
     assert "BatchEvalPython" not in physical and "ArrowEvalPython" not in physical
 
 
+def test_token_tasks_follow_the_text_size():
+    assert st.token_partitions(10, 8) == 8
+    assert st.token_partitions(10 * st.TEXT_BYTES_PER_TASK + 1, 8) == 11
+
+
 def test_mentions_and_edges_agree(spark):
     analysis = entry._analysis(spark, SF)
     mentions = analysis.mentions.where(F.col("key_table").isNotNull()).count()
