@@ -48,18 +48,16 @@ def column_mentions(lex: DataFrame, tables: DataFrame, around: DataFrame) -> Dat
         written.alias("written"),
         F.when(F.col("clause") == "SELECT", F.struct("scope", "item")).alias("holder"),
     )
-    aliases = (
-        tables.where(F.col("alias").isNotNull())
-        .groupBy("stmt", "scope", F.col("alias").alias("qualifier"))
-        .agg(F.max_by("name", "pos").alias("aliased"))
-    )
-    # R3 needs to know only whether a scope has one distinct table name.
-    single = (
-        tables.groupBy("stmt", "scope")
-        .agg(F.min("name").alias("low"), F.max("name").alias("high"))
-        .where(F.col("low") == F.col("high"))
-        .select("stmt", "scope", F.col("low").alias("single"))
+    # R3 needs to know only whether a scope has one distinct table name; of tables under
+    # the same alias the last one counts.
+    named = F.struct("pos", "alias", "name")
+    scopes = tables.groupBy("stmt", "scope").agg(
+        F.min("name").alias("low"),
+        F.max("name").alias("high"),
+        F.array_sort(F.collect_list(F.when(F.col("alias").isNotNull(), named))).alias("named"),
     )
+    aliased = F.try_element_at(F.filter("named", lambda t: t["alias"] == F.col("qualifier")), F.lit(-1)).getField("name")
+    single = F.when(F.col("low") == F.col("high"), F.col("low"))
     outer_items = around.select(
         "stmt",
         "qid",
@@ -70,17 +68,16 @@ def column_mentions(lex: DataFrame, tables: DataFrame, around: DataFrame) -> Dat
     )
     own = F.filter(F.array("holder"), lambda h: h.isNotNull())
     return (
-        mentions.join(aliases, ["stmt", "scope", "qualifier"], "left")
-        .join(single, ["stmt", "scope"], "left")
+        mentions.join(scopes, ["stmt", "scope"], "left")
         .join(outer_items, ["stmt", "qid"], "left")
         .withColumn(
             "base_table",
-            F.when(F.col("qualifier").isNotNull(), F.coalesce("aliased", "qualifier")).otherwise(
-                F.coalesce("single", F.lit(UNKNOWN))
+            F.when(F.col("qualifier").isNotNull(), F.coalesce(aliased, "qualifier")).otherwise(
+                F.coalesce(single, F.lit(UNKNOWN))
             ),
         )
         .withColumn("holders", F.when(F.col("outer_items").isNull(), own).otherwise(F.concat(own, "outer_items")))
-        .drop("aliased", "single", "outer_items")
+        .drop("low", "high", "named", "outer_items")
     )
 
 
@@ -160,10 +157,13 @@ def relation_sources(mentions: DataFrame, outputs: DataFrame) -> DataFrame:
     )
 
 
-def last_by_output(rows: DataFrame, name: str) -> DataFrame:
-    """A later definition of the same output replaces an earlier one."""
-    return rows.groupBy("stmt", F.col("relation").alias("qualifier"), F.col("output").alias("column")).agg(
-        F.max_by(F.struct("source_table", "source_column"), F.struct("relation_pos", "item")).alias(name)
+def last_by_output(projections: DataFrame) -> DataFrame:
+    """Source of each output by name; a later definition replaces an earlier one."""
+    source = F.struct("source_table", "source_column")
+    order = F.struct("relation_pos", "item")
+    return projections.groupBy("stmt", F.col("relation").alias("qualifier"), F.col("output").alias("column")).agg(
+        F.max_by(source, F.when(~F.col("is_cte"), order)).alias("from_derived"),
+        F.max_by(source, F.when(F.col("is_cte"), order)).alias("from_cte"),
     )
 
 
@@ -218,8 +218,6 @@ def resolve_mentions(
     ORDER BY, GROUP BY or HAVING the select aliases of that SELECT come first.
     """
     c = F.col
-    derived = last_by_output(projections.where(~c("is_cte")), "from_derived")
-    ctes = last_by_output(projections.where("is_cte"), "from_cte")
     flagged = names.select("stmt", c("name").alias("qualifier"), F.lit(True).alias("qualifier_is_cte"))
     own_item = items.select(
         "stmt",
@@ -228,8 +226,7 @@ def resolve_mentions(
         (c("bare") | c("alias").isNotNull()).alias("shown"),
     )
     mapped = (
-        mentions.join(derived, ["stmt", "qualifier", "column"], "left")
-        .join(ctes, ["stmt", "qualifier", "column"], "left")
+        mentions.join(last_by_output(projections), ["stmt", "qualifier", "column"], "left")
         .join(flagged, ["stmt", "qualifier"], "left")
         .withColumn("item_scope", c("holder.scope"))
         .withColumn("own_item", c("holder.item"))

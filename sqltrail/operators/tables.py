@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqltrail.functions.text import sorted_set
@@ -106,17 +106,13 @@ def with_join_types(references: DataFrame, around: DataFrame, marks: DataFrame)
     ).where(F.col("outer_join").isNotNull())
     own = F.when(F.col("clause") == "JOIN", F.col("join_type"))
     typed = references.join(joins, ["stmt", "qid"], "left").withColumn("join_type", F.coalesce(own, "outer_join"))
-    by_alias = marks.select("stmt", F.col("qualifier").alias("upper_alias"), F.lit(True).alias("alias_mark"))
-    by_name = marks.select("stmt", F.col("qualifier").alias("upper_name"), F.lit(True).alias("name_mark"))
-    marked = F.coalesce("alias_mark", "name_mark", F.lit(False))
+    marked = marks.groupBy("stmt").agg(F.collect_set("qualifier").alias("marked"))
+    hit = F.array_contains("marked", F.upper("alias")) | F.array_contains("marked", F.upper("name"))
     open_type = F.col("join_type").isNull() | (F.col("join_type") == "INNER JOIN")
     return (
-        typed.withColumn("upper_alias", F.upper("alias"))
-        .withColumn("upper_name", F.upper("name"))
-        .join(by_alias, ["stmt", "upper_alias"], "left")
-        .join(by_name, ["stmt", "upper_name"], "left")
-        .withColumn("join_type", F.when(open_type & marked, "LEFT JOIN").otherwise(F.col("join_type")))
-        .drop("upper_alias", "upper_name", "alias_mark", "name_mark", "outer_join")
+        typed.join(marked, "stmt", "left")
+        .withColumn("join_type", F.when(open_type & hit, "LEFT JOIN").otherwise(F.col("join_type")))
+        .drop("marked", "outer_join")
     )
 
 
@@ -162,19 +158,18 @@ def upsert_tables(references: DataFrame, ctes: DataFrame, derived: DataFrame) ->
 
 def columns_per_table(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Attach column names to the first table of that name."""
-    first = tables.groupBy("stmt", "name").agg(F.min("rank").alias("rank"))
+    same_name = Window.partitionBy("stmt", "name")
     owned = (
         columns.where(F.col("table").isNotNull())
         .groupBy("stmt", F.col("table").alias("name"))
-        .agg(sorted_set(F.collect_set("full_name")).alias("columns"))
-        .join(first, ["stmt", "name"])
-        .select("stmt", "name", "rank", "columns")
+        .agg(sorted_set(F.collect_set("full_name")).alias("owned"))
     )
-    listed = F.coalesce("columns", F.array().cast("array<string>"))
+    listed = F.when(F.col("rank") == F.min("rank").over(same_name), F.col("owned"))
     return (
-        tables.join(owned, ["stmt", "name", "rank"], "left")
-        .withColumn("columns", listed)
+        tables.join(owned, ["stmt", "name"], "left")
+        .withColumn("columns", F.coalesce(listed, F.array().cast("array<string>")))
         .withColumn("column_count", F.size("columns"))
+        .drop("owned")
     )
 
 

@@ -21,7 +21,7 @@ class Analysis:
 
     Each distinct text is read once, however often it was run; ``per_query`` hands facts
     of a text back to its queries. Fact tables carry ``stmt``. Queries, texts, lexemes,
-    mentions, columns and tables are stages: written on first use and then read by every operator
+    items, mentions, columns and tables are stages: written on first use and then read by every operator
     that needs them. ``release`` deletes the stages.
     """
 
@@ -58,29 +58,35 @@ class Analysis:
     def lexemes(self) -> DataFrame:
         return self.stages.write("lexemes", tk.lexemes(self.tokenised))
 
+    @cached_property
+    def located(self) -> DataFrame:
+        """Lexemes partitioned by statement. Joins, groupings and windows on ``stmt`` and
+        anything else are then local: each stage moves its rows once, whatever it joins."""
+        return self.lexemes.repartition("stmt")
+
     @cached_property
     def around(self) -> DataFrame:
-        return tab.enclosing_scopes(self.lexemes)
+        return tab.enclosing_scopes(self.located)
 
     @cached_property
     def ctes(self) -> DataFrame:
-        return tab.cte_definitions(self.lexemes)
+        return tab.cte_definitions(self.located)
 
     @cached_property
     def derived(self) -> DataFrame:
-        return tab.derived_tables(self.lexemes)
+        return tab.derived_tables(self.located)
 
     @cached_property
     def cte_names(self) -> DataFrame:
-        return tab.cte_names(self.lexemes)
+        return tab.cte_names(self.located)
 
     @cached_property
     def outer_marks(self) -> DataFrame:
-        return tab.outer_marks(self.readable)
+        return tab.outer_marks(self.readable.repartition("stmt"))
 
     @cached_property
     def references(self) -> DataFrame:
-        typed = tab.with_join_types(tab.table_references(self.lexemes), self.around, self.outer_marks)
+        typed = tab.with_join_types(tab.table_references(self.located), self.around, self.outer_marks)
         return tab.classify_references(typed, self.cte_names)
 
     @cached_property
@@ -89,54 +95,56 @@ class Analysis:
 
     @cached_property
     def scope_tables(self) -> DataFrame:
-        return res.scope_tables(tab.table_references(self.lexemes), self.around)
+        return res.scope_tables(tab.table_references(self.located), self.around)
 
     @cached_property
     def items(self) -> DataFrame:
-        return res.select_items(self.lexemes)
+        """Select list items. Tokens are grouped before they move, hence not ``located``."""
+        return self.stages.write("items", res.select_items(self.lexemes))
 
     @cached_property
     def base_mentions(self) -> DataFrame:
         return self.stages.write(
-            "base_mentions", res.column_mentions(self.lexemes, self.scope_tables, self.around)
+            "base_mentions", res.column_mentions(self.located, self.scope_tables, self.around)
         )
 
     @cached_property
     def projections(self) -> DataFrame:
-        outputs = res.relation_items(self.items, self.lexemes, self.ctes, self.derived)
-        sources = res.relation_sources(self.base_mentions, outputs)
+        outputs = res.relation_items(self.items.repartition("stmt"), self.located, self.ctes, self.derived)
+        sources = res.relation_sources(self.base_mentions.repartition("stmt"), outputs)
         return self.stages.write("projections", res.projection_map(sources))
 
     @cached_property
     def mentions(self) -> DataFrame:
-        return self.stages.write(
-            "mentions", res.resolve_mentions(self.base_mentions, self.projections, self.items, self.cte_names)
-        )
+        base, projections = self.base_mentions.repartition("stmt"), self.projections.repartition("stmt")
+        return self.stages.write("mentions", res.resolve_mentions(base, projections, self.items.repartition("stmt"), self.cte_names))
 
     @cached_property
     def using(self) -> DataFrame:
-        return col_ops.using_mentions(self.lexemes, self.scope_tables)
+        return col_ops.using_mentions(self.located, self.scope_tables)
 
     @cached_property
     def columns(self) -> DataFrame:
-        held = col_ops.held_mentions(self.mentions, self.items, self.projections)
+        mentions, projections = self.mentions.repartition("stmt"), self.projections.repartition("stmt")
+        items = self.items.repartition("stmt")
+        held = col_ops.held_mentions(mentions, items, projections)
         parts = [
-            col_ops.mention_contributions(self.mentions),
+            col_ops.mention_contributions(mentions),
             col_ops.item_contributions(held),
-            col_ops.definition_contributions(self.items),
-            col_ops.output_contributions(self.projections),
+            col_ops.definition_contributions(items),
+            col_ops.output_contributions(projections),
             col_ops.using_contributions(self.using),
         ]
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
-        closes = self.lexemes.where(F.col("closes_calc").isNotNull()).select("stmt", "closes_calc", "pos")
+        closes = self.located.where(F.col("closes_calc").isNotNull()).select("stmt", "closes_calc", "pos")
         pieces = self.tokenised.select("stmt", tk.token_pieces(F.col("tokens")).alias("pieces"))
         return self.stages.write("columns", col_ops.merge_columns(rows, closes, pieces))
 
     @cached_property
     def tables(self) -> DataFrame:
-        return self.stages.write("tables", tab.columns_per_table(self.table_rows, self.columns))
+        return self.stages.write("tables", tab.columns_per_table(self.table_rows, self.columns.repartition("stmt")))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -144,7 +152,7 @@ class Analysis:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return col_ops.enrich_with_tables(self.columns, self.tables)
+        return col_ops.enrich_with_tables(self.columns.repartition("stmt"), self.tables.repartition("stmt"))
 
     @cached_property
     def statistics(self) -> DataFrame:

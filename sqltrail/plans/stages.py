@@ -21,20 +21,28 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
 
 
-@contextmanager
-def small_methods(spark: SparkSession):
-    """Keep generated methods within what the JVM compiles.
+# Settings under which stages are written, and why.
+STAGE_SETTINGS = {
+    # HotSpot never compiles a method above 8000 bytes, and the wide token expressions
+    # would exceed that in one fused stage; with the limit they run as smaller methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Rows partitioned by statement may be joined on the statement and more without moving
+    # again. No statement is larger than one input row, so this cannot skew.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+}
 
-    HotSpot never compiles a method above 8000 bytes, and the wide token expressions would
-    exceed that in one fused stage; with the limit Spark runs them as smaller methods.
-    """
-    key = "spark.sql.codegen.hugeMethodLimit"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "8000")
+
+@contextmanager
+def stage_settings(spark: SparkSession):
+    """Apply the stage settings to what is planned inside, then restore the session's."""
+    before = {key: spark.conf.get(key) for key in STAGE_SETTINGS}
+    for key, value in STAGE_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 class Stages:
@@ -50,7 +58,7 @@ class Stages:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
-        with small_methods(self.spark):
+        with stage_settings(self.spark):
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
