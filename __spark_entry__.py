@@ -277,6 +277,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "K2_csv_tables": _facts(lambda a: writers.csv_tables(a.tables)),
         "K3_csv_columns": _facts(lambda a: writers.csv_columns(a.enriched)),
+        "K4_text_output": _facts(_report),
         "K5_text_sheet": _facts(
             lambda a: reports.text_lines(a.texts, a.tables, a.columns, oracle.REPORT_TIME)
         ),

@@ -463,6 +463,7 @@ def all_sql() -> dict[str, str]:
             select="SELECT query_id, column_name, schema, table_name AS \"table\", coalesce(table_alias, '') AS table_alias, object_type, full_name, "
             "coalesce(calculation_type, '') AS calculation_type, usage_locations AS usage, CAST(usage_count AS BIGINT) AS usage_count FROM ef",
         ),
+        "K4_text_output": report_sql(),
         "K5_text_sheet": lines_sql(),
         "K6_escape_source_text": on_corpus(
             "query_id, CASE WHEN regexp_replace(sql, '^\\n+', '') LIKE '`%' THEN regexp_replace(sql, '^\\n+', '') "

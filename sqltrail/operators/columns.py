@@ -222,7 +222,8 @@ def merge_columns(contributions: DataFrame, closes: DataFrame, pieces: DataFrame
     return (
         merged.withColumn("calc_open", F.when(c("calc.hi").isNull(), c("calc.open")))
         .join(ends, ["stmt", "calc_open"], "left")
-        .join(pieces, "stmt", "left")
+        # Only calculated columns meet the token list of their statement.
+        .join(pieces.withColumnRenamed("stmt", "text_stmt"), (c("stmt") == c("text_stmt")) & calculated, "left")
         .select(
             "stmt",
             key.alias("column_key"),

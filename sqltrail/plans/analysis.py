@@ -50,8 +50,8 @@ class Analysis:
 
     @cached_property
     def tokenised(self) -> DataFrame:
-        at_least = int(self.statements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         texts = self.readable
+        at_least = self.statements.sparkSession.sparkContext.defaultParallelism
         return st.with_tokens(texts, st.token_partitions(self.stages.size("texts"), at_least))
 
     @cached_property

@@ -140,8 +140,13 @@ def search_metadata(view: DataFrame, text: str, *ignored: str) -> DataFrame:
 
 
 def sort_view(view: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """Sort by one column with its own type, so counts sort as numbers."""
-    return view.orderBy(F.col(column).desc() if descending else F.col(column).asc())
+    """Sort by one column with its own type, so counts sort as numbers.
+
+    Most counts are equal, and equal keys would fall into one sort task; the other columns
+    break the ties and let the ranges split.
+    """
+    chosen = F.col(column).desc() if descending else F.col(column).asc()
+    return view.orderBy(chosen, *[F.col(name) for name in view.columns if name != column])
 
 
 def listed(df: DataFrame, order: Column, value: Column, name: str) -> DataFrame:
