@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from sqltrail.sources.statements import DIALECTS, normalize_dialect, statements_
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 _analyses: dict[tuple[str, str], Analysis] = {}
+_lock = threading.Lock()
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +35,10 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     """One analysis per application and data set, so its stages are written once."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _analyses:
-        _analyses[key] = Analysis(_log(spark, sf_dir))
-    return _analyses[key]
+    with _lock:
+        if key not in _analyses:
+            _analyses[key] = Analysis(_log(spark, sf_dir))
+        return _analyses[key]
 
 
 def entry(spark: SparkSession) -> DataFrame:

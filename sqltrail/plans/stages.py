@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -49,18 +50,24 @@ class Stages:
     """Writes each stage once as Parquet and reads it back.
 
     A written stage survives lost executors, keeps later plans short, and lets each
-    reader fetch only the columns and roles it needs.
+    reader fetch only the columns and roles it needs. Threads that ask for the same stage
+    wait for one write.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self._lock = threading.RLock()
+        self._written: dict[str, DataFrame] = {}
         self.root = f"{shared_folder(spark).rstrip('/')}/sqltrail-{uuid.uuid4().hex}"
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}"
-        with stage_settings(self.spark):
-            df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        with self._lock:
+            if name not in self._written:
+                path = f"{self.root}/{name}"
+                with stage_settings(self.spark):
+                    df.write.mode("overwrite").parquet(path)
+                self._written[name] = self.spark.read.schema(df.schema).parquet(path)
+            return self._written[name]
 
     def _folder(self, name: str = ""):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
