@@ -30,7 +30,7 @@ PHRASES = (
     r"(?:CROSS|OUTER) APPLY|(?:GROUP|PARTITION|CLUSTER|DISTRIBUTE|SORT) BY|"
     r"ORDER (?:SIBLINGS )?BY|NULLS (?:FIRST|LAST)|(?:IGNORE|RESPECT) NULLS|WITHIN GROUP|GROUPING SETS|AT TIME ZONE|"
     r"(?:UNION|INTERSECT)(?: ALL| DISTINCT)?+|(?:NOT )?+MATCHED(?: BY (?:SOURCE|TARGET))?+|CONNECT BY(?: NOCYCLE)?+|START WITH|"
-    r"INSERT (?:INTO|OVERWRITE)(?: TABLE)?+|MERGE INTO|IF (?:NOT )?+EXISTS|"
+    r"LATERAL VIEW(?: OUTER)?+|INSERT (?:INTO|OVERWRITE)(?: TABLE)?+|MERGE INTO|IF (?:NOT )?+EXISTS|"
     r"AS (?:NOT )?+MATERIALIZED)\b"
 )
 # These two are names unless a query follows; the blank after them tells the tokens apart.
@@ -149,6 +149,7 @@ CLAUSES = {
     "VIEW": "INTO",
     "WITH": "WITH",
     "SETOP": "OTHER",
+    "LATERAL VIEW": "OTHER",
     "SET": "OTHER",
     "VALUES": "OTHER",
     "QUALIFY": "OTHER",
@@ -280,6 +281,7 @@ def symbol(token: Column, double_quote_literal: Column) -> Column:
         .when(spaced & upper.rlike(r"\A(?:ORDER|SORT|CLUSTER) "), "ORDER BY")
         .when(spaced & upper.startswith("CONNECT BY"), "CONNECT BY")
         .when(spaced & upper.startswith("NULLS "), "NULLS")
+        .when(spaced & upper.startswith("LATERAL VIEW"), "LATERAL VIEW")
         .when(spaced & upper.startswith("TOP "), "TOP")
         .when(spaced & upper.startswith("AS "), "AS")
         .when(spaced & upper.rlike(r"\A(?:INSERT|MERGE) "), "INTO")
@@ -572,8 +574,8 @@ def with_roles(tokens: DataFrame) -> DataFrame:
         c("not_column")
         | literal_prefix
         | (c("p2w") == "INTERVAL")
-        | c("p1w").isin("::", "OVER", "COLLATE")
-        | c("clause").isin("LIMIT", "WITH")
+        | c("p1w").isin("::", "OVER", "COLLATE", "WINDOW")
+        | c("clause").isin("LIMIT", "WITH", "NONE")
     )
     column = (
         name

@@ -59,6 +59,10 @@ STATEMENTS = {
     "exists": "SELECT a FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.k = t.k)",
     "table_parens": "SELECT a.x FROM (a JOIN b ON a.k = b.k) LEFT JOIN c ON c.k = b.k",
     "double_paren": "SELECT s.x FROM ((SELECT x FROM t1) UNION ALL (SELECT x FROM t2)) s",
+    "create_view": "CREATE OR REPLACE VIEW s.v (p, q) AS SELECT a, b FROM t",
+    "lateral_view": "SELECT t.a, e.item FROM t LATERAL VIEW OUTER explode(t.items) e AS item WHERE t.b = 1",
+    "named_window": "SELECT SUM(a) OVER w AS s FROM t WINDOW w AS (PARTITION BY b)",
+    "delete_from": "DELETE t FROM t JOIN u ON t.k = u.k WHERE u.v = 1",
     "set_operations": "SELECT a FROM t MINUS SELECT b FROM u EXCEPT (SELECT c FROM v) UNION SELECT minus FROM w",
     "deep": "SELECT " + "(" * 60 + "a" + ")" * 60 + " AS v FROM t",
     "example": "SELECT u.id AS user_id, d.title, COUNT(o.order_id) AS orders_total FROM users u "
@@ -73,7 +77,7 @@ STATEMENTS = {
     "SELECT e.id, a.mean_pay, t.best - e.pay AS gap FROM emps e LEFT JOIN avg_pay a ON e.id = a.id "
     "JOIN top_pay t ON t.dept = e.dept WHERE e.hired >= ADD_MONTHS(SYSDATE, -:months) AND e.rank <= :top;",
 }
-DIALECTS = {"mysql": "mysql", "top": "tsql"}
+DIALECTS = {"mysql": "mysql", "top": "tsql", "lateral_view": "hive"}
 
 
 @pytest.fixture(scope="module")
@@ -237,6 +241,15 @@ def test_other_statements(facts):
     assert set(columns["set_operations"]) == {"t.a", "u.b", "v.c", "w.minus"}
 
 
+def test_words_around_clauses(facts):
+    columns, tables, _ = facts
+    assert set(columns["create_view"]) == {"t.a", "t.b"} and {key[:2] for key in tables["create_view"]} == {("s", "v"), (None, "t")}
+    assert set(columns["lateral_view"]) == {"t.a", "e.item", "t.items", "t.b"}
+    assert {key[1] for key in tables["lateral_view"]} == {"t"} and columns["lateral_view"]["t.items"].is_calculation
+    assert set(columns["named_window"]) == {"t.a", "t.b", "CALC.s"}
+    assert set(columns["delete_from"]) == {"t.k", "u.k", "u.v"}
+
+
 def test_long_examples(facts):
     columns, tables, _ = facts
     assert {key[1] for key in tables["example"]} == {"users", "departments", "orders", "table2", "table3", "tt"}
