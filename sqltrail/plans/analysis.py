@@ -21,8 +21,8 @@ class Analysis:
 
     Each distinct text is read once, however often it was run; ``per_query`` hands facts
     of a text back to its queries. Fact tables carry ``stmt``. Queries, texts, lexemes,
-    items, mentions, columns and tables are stages: written on first use and then read by every operator
-    that needs them. ``release`` deletes the stages.
+    references, items, mentions, columns and tables are stages: written on first use and
+    then read by every operator that needs them. ``release`` deletes the stages.
     """
 
     def __init__(self, statements: DataFrame, bucket_rows: int = st.BUCKET_ROWS):
@@ -87,11 +87,11 @@ class Analysis:
     @cached_property
     def references(self) -> DataFrame:
         typed = tab.with_join_types(tab.table_references(self.located), self.around, self.outer_marks)
-        return tab.classify_references(typed, self.cte_names)
+        return self.stages.write("references", tab.classify_references(typed, self.cte_names))
 
     @cached_property
     def table_rows(self) -> DataFrame:
-        return tab.upsert_tables(self.references, self.ctes, self.derived)
+        return tab.upsert_tables(self.references.repartition("stmt"), self.ctes, self.derived)
 
     @cached_property
     def scope_tables(self) -> DataFrame:
@@ -152,7 +152,8 @@ class Analysis:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return col_ops.enrich_with_tables(self.columns.repartition("stmt"), self.tables.repartition("stmt"))
+        columns, tables = self.columns.repartition("stmt"), self.tables.repartition("stmt")
+        return self.stages.write("enriched", col_ops.enrich_with_tables(columns, tables))
 
     @cached_property
     def statistics(self) -> DataFrame:
