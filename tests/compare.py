@@ -45,7 +45,7 @@ if __name__ == "__main__":
     spark = session(8)
     sf_dir = sys.argv[1]
     oracles = entry.oracle_sql()
-    for name, build in entry.queries().items():
+    for name, build in entry.engine_queries().items():
         if len(sys.argv) > 2 and not any(name.startswith(p) for p in sys.argv[2:]):
             continue
         start = time.time()

@@ -6,13 +6,13 @@ from compare import difference
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
+QUERIES, ORACLES = entry.engine_queries(), entry.oracle_sql()
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(ORACLES)
+    assert not set(QUERIES) - set(ORACLES)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, name):
-    assert difference(entry.queries()[name](spark, SF), SF, ORACLES[name]) is None
+    assert difference(QUERIES[name](spark, SF), SF, ORACLES[name]) is None
