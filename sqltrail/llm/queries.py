@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, token_counts, url_filter
+from . import bpe, line_dedup, simhash, token_counts, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), rules)
@@ -33,6 +37,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": _op1,
         "op2_line_dedup": _op2,
+        "op3_simhash_near_dedup": _op3,
         "op4_url_filters": _op4,
         "op6_byte_bpe": _op6,
     }
