@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, simhash, token_counts, url_filter
+from . import bpe, html_text, line_dedup, simhash, token_counts, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,17 +29,27 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), rules)
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(spark, table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": _op1,
         "op2_line_dedup": _op2,
         "op3_simhash_near_dedup": _op3,
         "op4_url_filters": _op4,
+        "op5_html_extraction": _op5,
         "op6_byte_bpe": _op6,
+        "op7_warc": _op7,
     }
 
 
