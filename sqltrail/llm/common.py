@@ -75,3 +75,22 @@ def ascii_lower(text: Column) -> Column:
 def wide_hash(value: Column) -> Column:
     """128 bits of a value as a struct of two longs, hashed with two seeds."""
     return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(0x5EED), value).alias("b"))
+
+
+#: A key is hot if it has more rows than HOT_ROWS and than HOT_SHARE of all; so at most 1 / HOT_SHARE keys are.
+HOT_ROWS, HOT_SHARE, SALTS = 1_000, 1 / 10_000, 64
+
+
+def hot_keys(counts: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """The hot keys of a stored table with one row for each key; 1 / HOT_SHARE rows at most, so they may be broadcast."""
+    total = counts.agg(F.coalesce(F.sum(rows), F.lit(0))).scalar()
+    return counts.where(F.col(rows) > F.greatest(F.lit(HOT_ROWS), total * F.lit(HOT_SHARE))).select(*keys)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], hot: DataFrame, how: str) -> DataFrame:
+    """Join where rows of a hot key on the left are spread by ``spread`` over SALTS keys, and copied to them on the right."""
+    hot = F.broadcast(hot.select(*keys, F.lit(SALTS).alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1)).cast("long")
+    dealt = left.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), salts)).drop("__salts")
+    copied = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("__salts")
+    return dealt.join(copied, [*keys, "__salt"], how).drop("__salt")

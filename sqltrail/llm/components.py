@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class Forest:
+    """Groups of the entries of one bucket: of many links between probes and entries, those that join groups."""
+
+    def __init__(self, entries: int):
+        self.group = np.arange(entries)
+
+    def join(self, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of links (probe, entry), sorted by probe, one to each group that the probe touches; these are one group from then on."""
+        if not len(rows):
+            return rows, cols
+        a, b = [], []
+        cuts = np.flatnonzero(np.diff(rows)) + 1
+        for row, found in zip(rows[np.r_[0, cuts]], np.split(cols, cuts), strict=True):
+            groups, first = np.unique(self.group[found], return_index=True)
+            a.append(np.full(len(groups), row))
+            b.append(found[first])
+            if len(groups) > 1:
+                self.group[np.isin(self.group, groups)] = groups[0]
+        return np.concatenate(a), np.concatenate(b)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node with an edge; the component is its smallest node.
 

@@ -3,8 +3,8 @@
 Lines are exploded with their position, normalised and hashed to 128 bits. Distinct documents are
 counted per hash (first by hash and document, then by hash, both combined before the shuffle),
 so a line that stands in every document costs one row a task in the second step. The lines of
-frequent hashes are found by a semi join on the hash, which adaptive execution splits where a
-hash is hot, and only their positions travel back to the documents.
+frequent hashes are found by a semi join on the hash, salted for the few hot ones, and only
+their positions travel back to the documents.
 
 Defined cases: a null or empty text is one empty line. A null ``doc_id`` counts as one document
 of its own. Rows that share a ``doc_id`` count as one document, and each row is cleaned by its own
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, wide_hash
+from .common import BLANKS, ascii_lower, hot_keys, salted_join, stored, wide_hash
 
 
 def line_key(line: Column) -> Column:
@@ -43,11 +43,10 @@ def dropped_positions(docs: DataFrame, id_column: str, text_column: str, min_doc
         .where(F.length("__key") >= min_chars)
         .select("__doc", "__text", "__pos", wide_hash(F.col("__key")).alias("__hash"))
     )
-    frequent = (
-        lines.select("__hash", "__doc").distinct().groupBy("__hash").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_docs)
-    )
+    counts = lines.select("__hash", "__doc").distinct().groupBy("__hash").agg(F.count(F.lit(1)).alias("__n"))
+    frequent = stored(counts.where(F.col("__n") >= min_docs), "frequent-lines")
     return (
-        lines.join(frequent.select("__hash"), "__hash", "left_semi")
+        salted_join(lines, frequent.select("__hash"), ["__hash"], ["__doc", "__pos"], hot_keys(frequent, ["__hash"], "__n"), "left_semi")
         .groupBy("__doc", "__text")
         .agg(F.collect_set("__pos").alias("__dropped"))
     )

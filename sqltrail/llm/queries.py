@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, line_dedup, simhash, token_counts, url_filter, warc
+from . import bpe, decontaminate, html_text, line_dedup, quality, simhash, token_counts, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,16 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(spark, table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    return quality.report(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": _op1,
@@ -50,6 +60,8 @@ def queries() -> dict[str, Query]:
         "op5_html_extraction": _op5,
         "op6_byte_bpe": _op6,
         "op7_warc": _op7,
+        "op8_decontamination": _op8,
+        "op10_quality_classifier": _op10,
     }
 
 

@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .components import connected_components
+from .common import hot_keys, salted_join, stored
+from .components import Forest, connected_components
 
 BITS = 64
 SAMPLE = 4_000
@@ -193,6 +193,7 @@ class _Bucket:
 
     def __init__(self, distance: int):
         self.distance, self.entries, self.held = distance, np.zeros(0, np.uint64), []
+        self.forest = Forest(0)
 
     def add(self, fp: np.ndarray) -> None:
         self.held.append(fp)
@@ -201,22 +202,15 @@ class _Bucket:
         """Links of the probes that join groups of this bucket."""
         if self.held:
             self.entries, self.held = np.concatenate([self.entries, *self.held]), []
-            self.group = np.arange(len(self.entries))
+            self.forest = Forest(len(self.entries))
         a, b = [], []
         step = max(1, 2_000_000 // max(1, len(self.entries)))
         for at in range(0, len(fp) if len(self.entries) else 0, step):
             some = fp[at : at + step]
             rows, cols = np.nonzero(np.bitwise_count(some[:, None] ^ self.entries[None, :]) <= self.distance)
-            if not len(rows):
-                continue
-            cuts = np.flatnonzero(np.diff(rows)) + 1
-            for r, found in zip(rows[np.r_[0, cuts]], np.split(cols, cuts), strict=True):
-                groups, first = np.unique(self.group[found], return_index=True)
-                ends = self.entries[found[first]]
-                a.append(np.full(len(ends), some[r]))
-                b.append(ends)
-                if len(groups) > 1:
-                    self.group[np.isin(self.group, groups)] = groups[0]
+            rows, cols = self.forest.join(rows, cols)
+            a.append(some[rows])
+            b.append(self.entries[cols])
         if not a:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -292,9 +286,8 @@ def links(classes: DataFrame, distance: int = 4) -> DataFrame:
     return _verify(moved.select("part", "value", "fp", "role", "share"), distance)
 
 
-def groups(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """``fp, component, component_id`` for every fingerprint of ``prints`` (``doc_id, fp``)."""
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+def groups(classes: DataFrame, distance: int = 4) -> DataFrame:
+    """``fp, component, component_id`` for every row of ``classes`` (``fp`` and ``first``, its smallest id)."""
     found = connected_components(links(classes, distance))
     named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -309,7 +302,9 @@ def report(docs: DataFrame, distance: int = 4) -> DataFrame:
 def assigned(docs: DataFrame, distance: int = 4) -> DataFrame:
     """Per row ``doc_id, text_hash, fp, component, component_id``."""
     prints = stored(fingerprints(docs), "simhash-prints")
-    return prints.join(groups(prints, distance), "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "simhash-classes")
+    found = groups(classes, distance)
+    return salted_join(prints, found, ["fp"], ["doc_id", "text_hash"], hot_keys(classes, ["fp"], "rows"), "inner").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def deduplicate(docs: DataFrame, distance: int = 4) -> DataFrame:

@@ -73,22 +73,17 @@ def histogram(counted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return out.select(*by, "n_tokens", "n_docs", "docs_from", "tokens_from", "docs_total", "tokens_total", cut.alias("tokens_cut"))
 
 
-def truncated_total(hist: DataFrame, limits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """For each row of ``limits`` (column ``context_limit``) and group: the tokens left when documents are cut there.
+def truncated_total(hist: DataFrame, limits: list[int], by: tuple[str, ...] = ()) -> DataFrame:
+    """For each group and limit: the tokens left when documents are cut there.
 
     A limit between two lengths counts from the next longer one: all documents from there on are cut.
     """
-    ends = hist.groupBy(*by).agg(F.first("tokens_total").alias("tokens_total"))
-    asked = limits.select("context_limit").distinct()
-    longer = hist.join(F.broadcast(asked), F.col("n_tokens") >= F.col("context_limit"))
-    cut = longer.groupBy(*by, "context_limit").agg(F.min_by(F.struct("docs_from", "tokens_from"), "n_tokens").alias("s"))
-    left = cut.select(*by, "context_limit", (F.col("s.docs_from") * F.col("context_limit") - F.col("s.tokens_from")).alias("change"))
-    pairs = ends.join(F.broadcast(asked), F.lit(True))
-    left = left.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("context_limit").alias("__limit"), "change")
-    same = F.col("context_limit") == F.col("__limit")
-    for c in by:
-        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return pairs.join(left, same, "left").select(*by, "context_limit", (F.col("tokens_total") + F.coalesce("change", F.lit(0))).alias("tokens_cut"))
+    asked = hist.select("*", F.explode(F.array(*[F.lit(x).cast("long") for x in sorted(set(limits))])).alias("context_limit"))
+    longer = F.col("n_tokens") >= F.col("context_limit")
+    suffix = F.min_by(F.when(longer, F.struct("docs_from", "tokens_from")), F.when(longer, F.col("n_tokens")))
+    cut = asked.groupBy(*by, "context_limit").agg(F.first("tokens_total").alias("tokens_total"), suffix.alias("s"))
+    saved = F.col("s.tokens_from") - F.col("s.docs_from") * F.col("context_limit")
+    return cut.select(*by, "context_limit", (F.col("tokens_total") - F.coalesce(saved, F.lit(0))).alias("tokens_cut"))
 
 
 def quantile(hist: DataFrame, q: float, by: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ unique for each attempt, and only names reported by tasks that ended well are in
 
 Pages with equal payloads become one response and revisits of it. Payload digests are grouped (combined
 before the shuffle), and only digests with several pages are joined back, so a payload that a third of all
-pages share costs one row there and is split by adaptive execution in the join.
+pages share costs one row there and is salted in the join.
 
 Reading: a task parses the central directory from the end of each archive (ZIP64 too), locates the stored
 index and archive members, and turns the index into ranges of about ``RANGE`` bytes. The ranges are dealt
@@ -38,7 +38,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, stored
+from .common import hot_keys, new_folder, salted_join, stored
 
 DATE = "2024-01-01T00:00:00Z"
 RECORDS, BYTES, RANGE = 20_000, 256 << 20, 4 << 20
@@ -119,7 +119,8 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = rows.withColumn("sha1", F.sha1("payload"))
     large = rows.where(F.octet_length("payload") >= min_bytes)
     firsts = large.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
-    joined = rows.join(firsts.select("sha1", "first"), "sha1", "left")
+    firsts = stored(firsts, "equal-payloads")
+    joined = salted_join(rows, firsts.select("sha1", "first"), ["sha1"], ["page_id"], hot_keys(firsts, ["sha1"], "n"), "left")
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "payload", "sha1", refers_to.alias("refers_to"))
 
