@@ -53,11 +53,12 @@ def dropped_positions(docs: DataFrame, id_column: str, text_column: str, min_doc
 
 
 def clean(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = 10, min_chars: int = 1
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = 10, min_chars: int = 1, length_column: str | None = None
 ) -> DataFrame:
     """The rows with all lines gone whose key stands in ``min_docs`` documents or more.
 
-    Adds ``__n_lines`` and ``__n_dropped``; the text column holds the kept lines joined by newlines.
+    Adds ``__n_lines`` and ``__n_dropped``; the text column holds the kept lines joined by newlines, and
+    ``length_column``, if named and there, its code points.
     """
     found = dropped_positions(docs, id_column, text_column, min_docs, min_chars)
     keyed = docs.select("*", *_row_key(id_column, text_column))
@@ -70,7 +71,8 @@ def clean(
         F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n")
     )
     out = joined.withColumn("__lines", lines).withColumn("__kept", text)
-    named = [F.col("__kept").alias(text_column) if c == text_column else F.col(c) for c in docs.columns]
+    new = {text_column: F.col("__kept")} | ({length_column: F.length("__kept").cast(docs.schema[length_column].dataType)} if length_column in docs.columns else {})
+    named = [new.get(c, F.col(c)).alias(c) for c in docs.columns]
     sizes = [F.size("__lines").cast("long").alias("__n_lines"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("__n_dropped")]
     return out.select(*named, *sizes)
 

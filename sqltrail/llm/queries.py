@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, line_dedup, quality, simhash, token_counts, url_filter, warc
+from . import bpe, decontaminate, embedding_dedup, html_text, line_dedup, quality, simhash, token_counts, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.report(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
     return quality.report(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -61,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op6_byte_bpe": _op6,
         "op7_warc": _op7,
         "op8_decontamination": _op8,
+        "op9_embedding_near_dedup": _op9,
         "op10_quality_classifier": _op10,
     }
 
