@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .common import stored
 
 BLOCK = 1024
 
@@ -46,6 +47,7 @@ def histogram(counted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     document is cut at this length.
     """
     bins = counted.groupBy(*by, "n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    bins = stored(bins, "length-bins")  # both uses below would encode the documents anew
     bins = bins.withColumn("__block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("__tokens", F.col("n_docs") * F.col("n_tokens"))
     blocks = bins.groupBy(*by, "__block").agg(F.sum("n_docs").alias("__d"), F.sum("__tokens").alias("__t"))
     whole = W.partitionBy(*by)
