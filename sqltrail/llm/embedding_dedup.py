@@ -37,7 +37,7 @@ from .common import hot_keys, salted_join, stored, wide_hash
 from .components import Forest, connected_components
 
 COSINE = 0.9
-TREES, LEAF, BLOCK, SAMPLE, SEED = 6, 400, 4_096, 20_000, 11
+TREES, LEAF, BLOCK, SAMPLE, SEED = 4, 400, 4_096, 20_000, 11
 #: Spill margin, in standard deviations of the projected distance of two vectors at the threshold.
 SPILL = 0.5
 #: Levels whose thresholds are kept for each node.

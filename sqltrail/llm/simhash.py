@@ -118,6 +118,7 @@ def _take(values: np.ndarray, bits: list[int]) -> np.ndarray:
 def plan(sample: np.ndarray, classes: int, distance: int) -> list[tuple[list[int], int]]:
     """Partitions (lists of bits) and their thresholds; those that are never probed are left out."""
     best: tuple[float, list[tuple[list[int], int]]] = (np.inf, [])
+    sample = sample if len(sample) else np.zeros(1, np.uint64)
     half = max(1, len(sample) // 2)
     left, right = sample[:half], sample[half:][:half]
     for m in range(1, distance + 2):

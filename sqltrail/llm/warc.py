@@ -158,7 +158,7 @@ def members(source, size: int, name: str = "archive") -> Iterator[tuple[str, int
 
     tail_at = max(0, size - 65_557)
     tail = at(tail_at, size - tail_at)
-    found = tail.rfind(b"PK\x05\x06")
+    found = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))
     while found >= 0 and found + 22 + struct.unpack_from("<H", tail, found + 20)[0] != len(tail):
         found = tail.rfind(b"PK\x05\x06", 0, found)
     if found < 0:
