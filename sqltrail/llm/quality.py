@@ -32,7 +32,8 @@ BUCKETS, RANK = 4096, 8
 TRAIN_ROWS = 6_000
 FOLDS = 5
 THRESHOLD = 0.3
-EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.01, 1e-4
+#: Passes over the sample, or as many as make STEPS steps.
+EPOCHS, STEPS, BATCH, RATE, DECAY = 8, 600, 64, 0.01, 1e-4
 KNOWN_WORDS = 1_000_000
 _OTHER = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 _CLASSES = np.zeros((256, 6))
@@ -116,7 +117,7 @@ class FactorisationMachine:
         random = np.random.default_rng(seed)
         p = [np.array([np.log(share / (1 - share))]), self.w, random.normal(0, 0.05, self.v.shape)]
         m, s, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS // -(-len(x) // BATCH)))):
             order = random.permutation(len(x))
             for start in range(0, len(x), BATCH):
                 pick = order[start : start + BATCH]
