@@ -10,27 +10,27 @@ TABLE, SUBQUERY, CTE = "Таблица", "Подзапрос", "CTE"
 
 # template, order found, schema, name, type, aliases, join type, columns
 TABLES = [
-    (0, 1, None, "users_{g}", TABLE, "u", None, "users_{g}.active, users_{g}.id, users_{g}.name"),
-    (0, 2, None, "orders_{g}", TABLE, "o", "LEFT JOIN", "orders_{g}.amount, orders_{g}.order_id, orders_{g}.user_id"),
-    (1, 1, None, "orders_{g}", TABLE, "o", None, "orders_{g}.amount, orders_{g}.customer_id"),
-    (2, 1, None, "accounts_{g}", TABLE, "a", None, "accounts_{g}.id"),
-    (2, 2, None, "users_{g}", TABLE, "u", "INNER JOIN", "users_{g}.id"),
-    (3, 1, None, "base", CTE, "b, base", None, "base.id, base.name"),
-    (3, 2, None, "users_{g}", TABLE, "u", None, "users_{g}.id, users_{g}.name"),
-    (3, 3, None, "orders_{g}", TABLE, "o", None, "orders_{g}.user_id"),
-    (4, 1, None, "users_{g}", TABLE, "u", None, "users_{g}.id, users_{g}.name"),
-    (4, 2, None, "table2", TABLE, "", "LEFT JOIN", "table2.t2, table2.t3"),
-    (4, 3, None, "tt", SUBQUERY, "tt", None, "tt.t2, tt.t3"),
-    (5, 1, None, "table_a", TABLE, "a", None, "table_a.id"),
-    (5, 2, None, "table_b", TABLE, "b", "LEFT JOIN", "table_b.a_id, table_b.id, table_b.name"),
-    (5, 3, None, "table_c", TABLE, "c", "INNER JOIN", "table_c.b_id, table_c.id, table_c.value"),
-    (5, 4, None, "table_d", TABLE, "d", "RIGHT OUTER JOIN", "table_d.c_id"),
-    (6, 1, None, "emp_{g}", TABLE, "e", None, "emp_{g}.deptno, emp_{g}.ename"),
-    (6, 2, None, "dept_{g}", TABLE, "d", "LEFT JOIN", "dept_{g}.deptno, dept_{g}.dname"),
-    (7, 1, None, "users_{g}", TABLE, "", None, "users_{g}.*, users_{g}.id"),
-    (8, 1, None, "t_{g}", TABLE, "", None, "t_{g}.x"),
+    (0, 1, None, "stock_{g}", TABLE, "s", None, "stock_{g}.hidden, stock_{g}.sku, stock_{g}.title"),
+    (0, 2, None, "reviews_{g}", TABLE, "r", "LEFT OUTER JOIN", "reviews_{g}.lang, reviews_{g}.paid, reviews_{g}.sku, reviews_{g}.stars"),
+    (1, 1, None, "parcels_{g}", TABLE, "p", None, "parcels_{g}.depot, parcels_{g}.weight"),
+    (2, 1, None, "workers_{g}", TABLE, "w", None, "workers_{g}.badge"),
+    (2, 2, None, "shifts_{g}", TABLE, "h", "INNER JOIN", "shifts_{g}.badge"),
+    (3, 1, None, "recent", CTE, "n, recent", None, "recent.host, recent.seen"),
+    (3, 2, None, "visits_{g}", TABLE, "v", None, "visits_{g}.host, visits_{g}.seen"),
+    (3, 3, None, "bans_{g}", TABLE, "b", None, "bans_{g}.day"),
+    (4, 1, None, "topics_{g}", TABLE, "k", None, "topics_{g}.hits, topics_{g}.tag"),
+    (4, 2, None, "feeds", TABLE, "", "LEFT JOIN", "feeds.lag, feeds.tag"),
+    (4, 3, None, "fd", SUBQUERY, "fd", None, "fd.lag, fd.tag"),
+    (5, 1, None, "cities", TABLE, "c", None, "cities.code"),
+    (5, 2, None, "districts", TABLE, "d", "LEFT JOIN", "districts.city, districts.code, districts.label"),
+    (5, 3, None, "exams", TABLE, "e", "INNER JOIN", "exams.district, exams.score"),
+    (5, 4, None, "feasts", TABLE, "f", "FULL OUTER JOIN", "feasts.city"),
+    (6, 1, None, "marks_{g}", TABLE, "m", None, "marks_{g}.grade, marks_{g}.yr"),
+    (6, 2, None, "years_{g}", TABLE, "y", "LEFT JOIN", "years_{g}.unit, years_{g}.yr"),
+    (7, 1, None, "logs_{g}", TABLE, "", None, "logs_{g}.*, logs_{g}.sev"),
+    (8, 1, None, "jobs_{g}", TABLE, "", None, "jobs_{g}.made"),
     (9, 1, "s", "t_{g}", TABLE, "", None, "t_{g}.a b"),
-    (10, 1, None, "mytable_{g}", TABLE, "t1, t2", "INNER JOIN", "mytable_{g}.id, mytable_{g}.parent"),
+    (10, 1, None, "nodes_{g}", TABLE, "p, q", "INNER JOIN", "nodes_{g}.above, nodes_{g}.id"),
     (13, 1, None, "t_{g}", TABLE, "", None, ""),
     (14, 1, None, "deals_{g}", TABLE, "d", None, "deals_{g}.fee, deals_{g}.region, deals_{g}.total"),
     (15, 1, None, "a", CTE, "a", None, "a.k, a.v"),
@@ -55,27 +55,27 @@ TABLES = [
 
 # template, schema, name, alias, type, join type as written, join type after outer marks
 REFERENCES = [
-    (0, None, "users_{g}", "u", TABLE, None, None),
-    (0, None, "orders_{g}", "o", TABLE, "LEFT JOIN", "LEFT JOIN"),
-    (1, None, "orders_{g}", "o", TABLE, None, None),
-    (2, None, "accounts_{g}", "a", TABLE, None, None),
-    (2, None, "users_{g}", "u", TABLE, "INNER JOIN", "INNER JOIN"),
-    (3, None, "users_{g}", "u", TABLE, None, None),
-    (3, None, "base", "b", CTE, None, None),
-    (3, None, "orders_{g}", "o", TABLE, None, None),
-    (4, None, "users_{g}", "u", TABLE, None, None),
-    (4, None, "table2", None, TABLE, "LEFT JOIN", "LEFT JOIN"),
-    (5, None, "table_a", "a", TABLE, None, None),
-    (5, None, "table_b", "b", TABLE, "LEFT JOIN", "LEFT JOIN"),
-    (5, None, "table_c", "c", TABLE, "INNER JOIN", "INNER JOIN"),
-    (5, None, "table_d", "d", TABLE, "RIGHT OUTER JOIN", "RIGHT OUTER JOIN"),
-    (6, None, "emp_{g}", "e", TABLE, None, None),
-    (6, None, "dept_{g}", "d", TABLE, "INNER JOIN", "LEFT JOIN"),
-    (7, None, "users_{g}", None, TABLE, None, None),
-    (8, None, "t_{g}", None, TABLE, None, None),
+    (0, None, "stock_{g}", "s", TABLE, None, None),
+    (0, None, "reviews_{g}", "r", TABLE, "LEFT OUTER JOIN", "LEFT OUTER JOIN"),
+    (1, None, "parcels_{g}", "p", TABLE, None, None),
+    (2, None, "workers_{g}", "w", TABLE, None, None),
+    (2, None, "shifts_{g}", "h", TABLE, "INNER JOIN", "INNER JOIN"),
+    (3, None, "visits_{g}", "v", TABLE, None, None),
+    (3, None, "recent", "n", CTE, None, None),
+    (3, None, "bans_{g}", "b", TABLE, None, None),
+    (4, None, "topics_{g}", "k", TABLE, None, None),
+    (4, None, "feeds", None, TABLE, "LEFT JOIN", "LEFT JOIN"),
+    (5, None, "cities", "c", TABLE, None, None),
+    (5, None, "districts", "d", TABLE, "LEFT JOIN", "LEFT JOIN"),
+    (5, None, "exams", "e", TABLE, "INNER JOIN", "INNER JOIN"),
+    (5, None, "feasts", "f", TABLE, "FULL OUTER JOIN", "FULL OUTER JOIN"),
+    (6, None, "marks_{g}", "m", TABLE, None, None),
+    (6, None, "years_{g}", "y", TABLE, "INNER JOIN", "LEFT JOIN"),
+    (7, None, "logs_{g}", None, TABLE, None, None),
+    (8, None, "jobs_{g}", None, TABLE, None, None),
     (9, "s", "t_{g}", None, TABLE, None, None),
-    (10, None, "mytable_{g}", "t1", TABLE, None, None),
-    (10, None, "mytable_{g}", "t2", TABLE, "INNER JOIN", "INNER JOIN"),
+    (10, None, "nodes_{g}", "p", TABLE, None, None),
+    (10, None, "nodes_{g}", "q", TABLE, "INNER JOIN", "INNER JOIN"),
     (13, None, "t_{g}", None, TABLE, None, None),
     (14, None, "deals_{g}", "d", TABLE, None, None),
     (15, None, "src_{g}", "t", TABLE, None, None),
@@ -98,13 +98,13 @@ REFERENCES = [
 
 # template, alias, table, number of SELECTs whose FROM or JOINs reach it
 SCOPE_TABLES = [
-    (0, "u", "users_{g}", 1), (0, "o", "orders_{g}", 1), (1, "o", "orders_{g}", 1),
-    (2, "a", "accounts_{g}", 1), (2, "u", "users_{g}", 1),
-    (3, "u", "users_{g}", 1), (3, "b", "base", 1), (3, "o", "orders_{g}", 1),
-    (4, "u", "users_{g}", 1), (4, None, "table2", 2),
-    (5, "a", "table_a", 1), (5, "b", "table_b", 1), (5, "c", "table_c", 1), (5, "d", "table_d", 1),
-    (6, "e", "emp_{g}", 1), (6, "d", "dept_{g}", 1), (7, None, "users_{g}", 1), (8, None, "t_{g}", 1),
-    (9, None, "t_{g}", 1), (10, "t1", "mytable_{g}", 1), (10, "t2", "mytable_{g}", 1), (14, "d", "deals_{g}", 1),
+    (0, "s", "stock_{g}", 1), (0, "r", "reviews_{g}", 1), (1, "p", "parcels_{g}", 1),
+    (2, "w", "workers_{g}", 1), (2, "h", "shifts_{g}", 1),
+    (3, "v", "visits_{g}", 1), (3, "n", "recent", 1), (3, "b", "bans_{g}", 1),
+    (4, "k", "topics_{g}", 1), (4, None, "feeds", 2),
+    (5, "c", "cities", 1), (5, "d", "districts", 1), (5, "e", "exams", 1), (5, "f", "feasts", 1),
+    (6, "m", "marks_{g}", 1), (6, "y", "years_{g}", 1), (7, None, "logs_{g}", 1), (8, None, "jobs_{g}", 1),
+    (9, None, "t_{g}", 1), (10, "p", "nodes_{g}", 1), (10, "q", "nodes_{g}", 1), (14, "d", "deals_{g}", 1),
     (15, "t", "src_{g}", 1), (15, None, "a", 1), (15, None, "b", 1), (15, "q", "b", 1),
     (16, "p", "prices_{g}", 1), (16, "o", "orders_{g}", 1), (16, None, "dual", 1), (16, "x", "arch_{g}", 1),
     (17, None, "l_{g}", 2), (17, None, "r_{g}", 2), (18, "e", "ev_{g}", 1), (18, "u", "us_{g}", 1),
@@ -113,27 +113,28 @@ SCOPE_TABLES = [
 
 # template, qualifier, column as written, owner and column it means, times, by select alias
 MENTIONS = [
-    (0, "u", "id", "users_{g}", "id", 3, False), (0, "u", "name", "users_{g}", "name", 2, False),
-    (0, "o", "order_id", "orders_{g}", "order_id", 2, False), (0, "o", "amount", "orders_{g}", "amount", 1, False),
-    (0, "o", "user_id", "orders_{g}", "user_id", 1, False), (0, "u", "active", "users_{g}", "active", 1, False),
-    (0, None, "user_id", "users_{g}", "id", 1, True),
-    (1, "o", "amount", "orders_{g}", "amount", 1, False), (1, "o", "customer_id", "orders_{g}", "customer_id", 1, False),
-    (2, "a", "id", "accounts_{g}", "id", 1, False),
-    (3, "u", "id", "users_{g}", "id", 1, False), (3, "u", "name", "users_{g}", "name", 1, False),
-    (3, "b", "id", "base", "id", 2, False), (3, "o", "user_id", "orders_{g}", "user_id", 1, False),
-    (4, "u", "id", "users_{g}", "id", 2, False), (4, "u", "name", "users_{g}", "name", 1, False),
-    (4, "table2", "t2", "table2", "t2", 1, False), (4, "table2", "t3", "table2", "t3", 1, False),
-    (4, "tt", "t2", "table2", "t2", 1, False),
-    (5, "a", "id", "table_a", "id", 2, False), (5, "b", "name", "table_b", "name", 1, False),
-    (5, "c", "value", "table_c", "value", 1, False), (5, "b", "a_id", "table_b", "a_id", 1, False),
-    (5, "b", "id", "table_b", "id", 1, False), (5, "c", "b_id", "table_c", "b_id", 1, False),
-    (5, "c", "id", "table_c", "id", 1, False), (5, "d", "c_id", "table_d", "c_id", 1, False),
-    (6, "e", "ename", "emp_{g}", "ename", 1, False), (6, "d", "dname", "dept_{g}", "dname", 1, False),
-    (6, "e", "deptno", "emp_{g}", "deptno", 1, False), (6, "d", "deptno", "dept_{g}", "deptno", 1, False),
-    (7, None, "*", "users_{g}", "*", 1, False), (7, None, "id", "users_{g}", "id", 1, False),
-    (8, None, "x", "t_{g}", "x", 1, False), (9, None, "a b", "t_{g}", "a b", 1, False),
-    (10, "t1", "id", "mytable_{g}", "id", 1, False), (10, "t2", "id", "mytable_{g}", "id", 2, False),
-    (10, "t1", "parent", "mytable_{g}", "parent", 1, False), (12, None, "x_{g}", "UNKNOWN", "x_{g}", 1, False),
+    (0, "s", "sku", "stock_{g}", "sku", 3, False), (0, "s", "title", "stock_{g}", "title", 2, False),
+    (0, "r", "paid", "reviews_{g}", "paid", 2, False), (0, "r", "stars", "reviews_{g}", "stars", 1, False),
+    (0, "r", "sku", "reviews_{g}", "sku", 1, False), (0, "r", "lang", "reviews_{g}", "lang", 1, False),
+    (0, "s", "hidden", "stock_{g}", "hidden", 1, False), (0, None, "item_sku", "stock_{g}", "sku", 1, True),
+    (1, "p", "weight", "parcels_{g}", "weight", 1, False), (1, "p", "depot", "parcels_{g}", "depot", 1, False),
+    (2, "w", "badge", "workers_{g}", "badge", 2, False),
+    (3, "v", "host", "visits_{g}", "host", 1, False), (3, "v", "seen", "visits_{g}", "seen", 1, False),
+    (3, "n", "host", "recent", "host", 1, False), (3, "n", "seen", "recent", "seen", 1, False),
+    (3, "b", "day", "bans_{g}", "day", 1, False),
+    (4, "k", "tag", "topics_{g}", "tag", 2, False), (4, "k", "hits", "topics_{g}", "hits", 1, False),
+    (4, "feeds", "tag", "feeds", "tag", 1, False), (4, "feeds", "lag", "feeds", "lag", 1, False),
+    (4, "fd", "tag", "feeds", "tag", 1, False),
+    (5, "c", "code", "cities", "code", 3, False), (5, "d", "label", "districts", "label", 1, False),
+    (5, "e", "score", "exams", "score", 1, False), (5, "d", "city", "districts", "city", 1, False),
+    (5, "e", "district", "exams", "district", 1, False), (5, "d", "code", "districts", "code", 1, False),
+    (5, "f", "city", "feasts", "city", 1, False),
+    (6, "m", "grade", "marks_{g}", "grade", 1, False), (6, "y", "unit", "years_{g}", "unit", 1, False),
+    (6, "m", "yr", "marks_{g}", "yr", 1, False), (6, "y", "yr", "years_{g}", "yr", 1, False),
+    (7, None, "*", "logs_{g}", "*", 1, False), (7, None, "sev", "logs_{g}", "sev", 1, False),
+    (8, None, "made", "jobs_{g}", "made", 1, False), (9, None, "a b", "t_{g}", "a b", 1, False),
+    (10, "p", "id", "nodes_{g}", "id", 1, False), (10, "q", "id", "nodes_{g}", "id", 2, False),
+    (10, "p", "above", "nodes_{g}", "above", 1, False), (12, None, "x_{g}", "UNKNOWN", "x_{g}", 1, False),
     (14, "d", "region", "deals_{g}", "region", 2, False), (14, "d", "total", "deals_{g}", "total", 2, False),
     (14, "d", "fee", "deals_{g}", "fee", 1, False),
     (15, "t", "k", "src_{g}", "k", 1, False), (15, "t", "v", "src_{g}", "v", 1, False),
@@ -156,8 +157,8 @@ MENTIONS = [
 
 # template, relation, output, source table, source column
 PROJECTIONS = [
-    (3, "base", "id", "users_{g}", "id"), (3, "base", "name", "users_{g}", "name"),
-    (4, "tt", "t2", "table2", "t2"), (4, "tt", "t3", "table2", "t3"),
+    (3, "recent", "host", "visits_{g}", "host"), (3, "recent", "seen", "visits_{g}", "seen"),
+    (4, "fd", "tag", "feeds", "tag"), (4, "fd", "lag", "feeds", "lag"),
     (15, "a", "k", "src_{g}", "k"), (15, "a", "v", "src_{g}", "v"),
     (15, "b", "kk", "src_{g}", "k"), (15, "b", "s", "src_{g}", "v"),
     (19, "i", "x", "core_{g}", "x"), (19, "o2", "x", "i", "x"),
@@ -165,7 +166,7 @@ PROJECTIONS = [
 
 # template, table, column per USING name and table of the SELECT
 USING = [
-    (2, "accounts_{g}", "id"), (2, "users_{g}", "id"),
+    (2, "workers_{g}", "badge"), (2, "shifts_{g}", "badge"),
     (18, "ev_{g}", "uid"), (18, "us_{g}", "uid"), (18, "ev_{g}", "org"), (18, "us_{g}", "org"),
 ]
 
@@ -176,50 +177,50 @@ SIZED = "CASE WHEN o.qty > 5 THEN 'big' ELSE 'small' END"
 # template, owner, column, table alias, aliases, select aliases, usage, count,
 # calculation type, calculation expression, dependencies
 COLUMNS = [
-    (0, "users_{g}", "id", "u", "u.id, user_id", "user_id", "GROUP BY, JOIN, ORDER BY, SELECT", 4, None, None, ""),
-    (0, "users_{g}", "name", "u", "u.name, user_name", "user_name", "GROUP BY, SELECT", 2, None, None, ""),
-    (0, "users_{g}", "active", "u", "u.active", "", "WHERE", 1, None, None, ""),
-    (0, "orders_{g}", "order_id", "o", "o.order_id", "", "HAVING, SELECT, calculation", 2, "COUNT", "COUNT(o.order_id)", ""),
-    (0, "orders_{g}", "amount", "o", "o.amount", "", "SELECT, calculation", 1, "SUM", "SUM(o.amount)", ""),
-    (0, "orders_{g}", "user_id", "o", "o.user_id", "", "JOIN", 1, None, None, ""),
-    (0, "CALC", "total_orders", None, "total_orders", "", "SELECT", 1, "COUNT", "COUNT(o.order_id)", "orders_{g}.order_id"),
-    (0, "CALC", "total_amount", None, "total_amount", "", "SELECT", 1, "SUM", "SUM(o.amount)", "orders_{g}.amount"),
-    (1, "orders_{g}", "amount", "o", "o.amount", "", "SELECT, calculation", 1, "SUM", "SUM(o.amount)", ""),
-    (1, "orders_{g}", "customer_id", "o", "o.customer_id", "", "GROUP BY", 1, None, None, ""),
-    (1, "CALC", "total_amount", None, "total_amount", "", "SELECT", 1, "SUM", "SUM(o.amount)", "orders_{g}.amount"),
-    (2, "accounts_{g}", "id", "a", "a.id", "", "JOIN, SELECT", 2, None, None, ""),
-    (2, "users_{g}", "id", None, "", "", "JOIN", 1, None, None, ""),
-    (3, "base", "id", "b", "b.id, base.id", "", "SELECT, WHERE", 3, None, None, "users_{g}.id"),
-    (3, "base", "name", "base", "base.name", "", "SELECT", 1, None, None, "users_{g}.name"),
-    (3, "users_{g}", "id", "u", "base.id, u.id", "", "SELECT", 1, None, None, ""),
-    (3, "users_{g}", "name", "u", "base.name, u.name", "", "SELECT", 1, None, None, ""),
-    (3, "orders_{g}", "user_id", "o", "o.user_id", "", "SELECT", 1, None, None, ""),
-    (4, "users_{g}", "id", "u", "u.id, user_id", "user_id", "JOIN, SELECT", 2, None, None, ""),
-    (4, "users_{g}", "name", "u", "u.name, user_name", "user_name", "SELECT", 1, None, None, ""),
-    (4, "table2", "t2", "table2", "tt.t2", "", "JOIN, SELECT", 2, None, None, ""),
-    (4, "table2", "t3", "table2", "tt.t3", "", "SELECT", 1, None, None, ""),
-    (4, "tt", "t2", "tt", "tt.t2", "", "SELECT", 1, None, None, "table2.t2"),
-    (4, "tt", "t3", "tt", "tt.t3", "", "SELECT", 1, None, None, "table2.t3"),
-    (5, "table_a", "id", "a", "a.id", "", "JOIN, SELECT", 2, None, None, ""),
-    (5, "table_b", "name", "b", "b.name", "", "SELECT", 1, None, None, ""),
-    (5, "table_b", "a_id", "b", "b.a_id", "", "JOIN", 1, None, None, ""),
-    (5, "table_b", "id", "b", "b.id", "", "JOIN", 1, None, None, ""),
-    (5, "table_c", "value", "c", "c.value", "", "SELECT", 1, None, None, ""),
-    (5, "table_c", "b_id", "c", "c.b_id", "", "JOIN", 1, None, None, ""),
-    (5, "table_c", "id", "c", "c.id", "", "JOIN", 1, None, None, ""),
-    (5, "table_d", "c_id", "d", "d.c_id", "", "JOIN", 1, None, None, ""),
-    (6, "emp_{g}", "ename", "e", "e.ename", "", "SELECT", 1, None, None, ""),
-    (6, "emp_{g}", "deptno", "e", "e.deptno", "", "WHERE", 1, None, None, ""),
-    (6, "dept_{g}", "dname", "d", "d.dname", "", "SELECT", 1, None, None, ""),
-    (6, "dept_{g}", "deptno", "d", "d.deptno", "", "WHERE", 1, None, None, ""),
-    (7, "users_{g}", "*", None, "", "", "SELECT", 1, None, None, ""),
-    (7, "users_{g}", "id", None, "", "", "WHERE", 1, None, None, ""),
-    (8, "t_{g}", "x", None, "", "", "SELECT, calculation", 1, "CAST", "CAST(x AS DATE)", ""),
-    (8, "CALC", "d", None, "d", "", "SELECT", 1, "CAST", "CAST(x AS DATE)", "t_{g}.x"),
-    (8, "CALC", "dt", None, "dt", "", "SELECT", 1, "CAST", "CAST('2000-01-01' AS DATE)", ""),
+    (0, "stock_{g}", "sku", "s", "item_sku, s.sku", "item_sku", "GROUP BY, JOIN, ORDER BY, SELECT", 4, None, None, ""),
+    (0, "stock_{g}", "title", "s", "s.title", "", "GROUP BY, SELECT", 2, None, None, ""),
+    (0, "stock_{g}", "hidden", "s", "s.hidden", "", "WHERE", 1, None, None, ""),
+    (0, "reviews_{g}", "paid", "r", "r.paid", "", "HAVING, SELECT, calculation", 2, "MAX", "MAX(r.paid)", ""),
+    (0, "reviews_{g}", "stars", "r", "r.stars", "", "SELECT, calculation", 1, "AVG", "AVG(r.stars)", ""),
+    (0, "reviews_{g}", "sku", "r", "r.sku", "", "JOIN", 1, None, None, ""),
+    (0, "reviews_{g}", "lang", "r", "r.lang", "", "WHERE", 1, None, None, ""),
+    (0, "CALC", "least_paid", None, "least_paid", "", "SELECT", 1, "MIN", "MIN(r.paid)", "reviews_{g}.paid"),
+    (0, "CALC", "mean_stars", None, "mean_stars", "", "SELECT", 1, "AVG", "AVG(r.stars)", "reviews_{g}.stars"),
+    (1, "parcels_{g}", "weight", "p", "p.weight", "", "SELECT, calculation", 1, "MAX", "MAX(p.weight)", ""),
+    (1, "parcels_{g}", "depot", "p", "p.depot", "", "GROUP BY", 1, None, None, ""),
+    (1, "CALC", "heaviest", None, "heaviest", "", "SELECT", 1, "MAX", "MAX(p.weight)", "parcels_{g}.weight"),
+    (2, "workers_{g}", "badge", "w", "w.badge", "", "JOIN, SELECT, WHERE", 3, None, None, ""),
+    (2, "shifts_{g}", "badge", None, "", "", "JOIN", 1, None, None, ""),
+    (3, "recent", "host", "n", "n.host, recent.host", "", "SELECT", 2, None, None, "visits_{g}.host"),
+    (3, "recent", "seen", "n", "n.seen, recent.seen", "", "SELECT, WHERE", 2, None, None, "visits_{g}.seen"),
+    (3, "visits_{g}", "host", "v", "recent.host, v.host", "", "SELECT", 1, None, None, ""),
+    (3, "visits_{g}", "seen", "v", "recent.seen, v.seen", "", "SELECT", 1, None, None, ""),
+    (3, "bans_{g}", "day", "b", "b.day", "", "SELECT", 1, None, None, ""),
+    (4, "topics_{g}", "tag", "k", "k.tag, label", "label", "JOIN, SELECT", 2, None, None, ""),
+    (4, "topics_{g}", "hits", "k", "k.hits", "", "SELECT", 1, None, None, ""),
+    (4, "feeds", "tag", "feeds", "fd.tag", "", "JOIN, SELECT", 2, None, None, ""),
+    (4, "feeds", "lag", "feeds", "fd.lag", "", "SELECT", 1, None, None, ""),
+    (4, "fd", "tag", "fd", "fd.tag", "", "SELECT", 1, None, None, "feeds.tag"),
+    (4, "fd", "lag", "fd", "fd.lag", "", "SELECT", 1, None, None, "feeds.lag"),
+    (5, "cities", "code", "c", "c.code", "", "JOIN, SELECT", 3, None, None, ""),
+    (5, "districts", "label", "d", "d.label", "", "SELECT", 1, None, None, ""),
+    (5, "districts", "city", "d", "d.city", "", "JOIN", 1, None, None, ""),
+    (5, "districts", "code", "d", "d.code", "", "JOIN", 1, None, None, ""),
+    (5, "exams", "score", "e", "e.score", "", "SELECT", 1, None, None, ""),
+    (5, "exams", "district", "e", "e.district", "", "JOIN", 1, None, None, ""),
+    (5, "feasts", "city", "f", "f.city", "", "JOIN", 1, None, None, ""),
+    (6, "marks_{g}", "grade", "m", "m.grade", "", "SELECT", 1, None, None, ""),
+    (6, "marks_{g}", "yr", "m", "m.yr", "", "WHERE", 1, None, None, ""),
+    (6, "years_{g}", "unit", "y", "y.unit", "", "SELECT", 1, None, None, ""),
+    (6, "years_{g}", "yr", "y", "y.yr", "", "WHERE", 1, None, None, ""),
+    (7, "logs_{g}", "*", None, "", "", "SELECT", 1, None, None, ""),
+    (7, "logs_{g}", "sev", None, "", "", "WHERE", 1, None, None, ""),
+    (8, "jobs_{g}", "made", None, "", "", "SELECT, calculation", 1, "CAST", "CAST(made AS DATETIME)", ""),
+    (8, "CALC", "made_at", None, "made_at", "", "SELECT", 1, "CAST", "CAST(made AS DATETIME)", "jobs_{g}.made"),
+    (8, "CALC", "fixed_day", None, "fixed_day", "", "SELECT", 1, "CAST", "CAST('2000-01-01' AS DATE)", ""),
     (9, "t_{g}", "a b", None, "", "", "SELECT", 1, None, None, ""),
-    (10, "mytable_{g}", "id", "t1", "t1.id, t2.id", "", "JOIN, SELECT", 3, None, None, ""),
-    (10, "mytable_{g}", "parent", "t1", "t1.parent", "", "JOIN", 1, None, None, ""),
+    (10, "nodes_{g}", "id", "p", "p.id, q.id", "", "JOIN, SELECT", 3, None, None, ""),
+    (10, "nodes_{g}", "above", "p", "p.above", "", "JOIN", 1, None, None, ""),
     (12, "UNKNOWN", "x_{g}", None, "", "", "WHERE", 1, None, None, ""),
     (14, "deals_{g}", "region", "d", "d.region", "", "SELECT, calculation", 2, "WINDOW", RANKED, ""),
     (14, "deals_{g}", "total", "d", "d.total", "", "ORDER BY, SELECT, calculation", 2, "ARITHMETIC", GROSS, ""),

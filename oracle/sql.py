@@ -11,7 +11,7 @@ import json
 from oracle import expected as x
 from sqltrail.functions import clean as c
 from sqltrail.sinks.writers import JSON_SCHEMA
-from sqltrail.sources.corpus import DIALECT_NAMES, SUFFIXES, TEMPLATES
+from sqltrail.sources.corpus import DIALECT_NAMES, TEMPLATES
 from sqltrail.sources.statements import DIALECTS
 
 N = len(TEMPLATES)
@@ -36,8 +36,9 @@ def values(name: str, columns: str, rows) -> str:
 
 EVENTS = (
     "ev AS (SELECT event_id AS query_id, CAST(event_id % {n} AS INTEGER) AS tpl, "
-    "CAST((event_id // {n}) % {s} AS VARCHAR) AS g FROM events)"
-).format(n=N, s=SUFFIXES)
+    "CASE WHEN event_id % 3 = 0 THEN coalesce(event_type, 'none') "
+    "ELSE coalesce(user_id, 0) || 'x' || (event_id // {n}) END AS g FROM events)"
+).format(n=N)
 BODIES = values(
     "bodies",
     "tpl, body, label, dialect",
@@ -292,7 +293,7 @@ def facts(part: str, select: str) -> str:
 
 def all_sql() -> dict[str, str]:
     bracket_dialect = "CASE query_id % 3 WHEN 0 THEN 'tsql' WHEN 1 THEN 'mysql' ELSE 'other' END"
-    search = "lower({0}) LIKE '%user%'"
+    search = "lower({0}) LIKE '%stock%'"
     exploded = "unnest(string_split({0}, ', '))"
     members = (
         "SELECT DISTINCT schema, name, table_type, 'alias' AS part, unnest(" + split_list("aliases") + ") AS value FROM tf UNION ALL "
@@ -322,7 +323,7 @@ def all_sql() -> dict[str, str]:
         "A3_classify_cte_reference": facts(REFERENCES, "SELECT query_id, name, alias, table_type FROM rf"),
         "A4_derived_tables": facts(TABLES, f"SELECT query_id, name FROM tf WHERE table_type = '{x.SUBQUERY}'"),
         "A5_join_type_per_table": facts(REFERENCES, "SELECT query_id, name, alias, written AS join_type FROM rf"),
-        "A6_oracle_outer_marks": query(EVENTS, select="SELECT query_id, 'D' AS qualifier FROM ev WHERE tpl = 6"),
+        "A6_oracle_outer_marks": query(EVENTS, select="SELECT query_id, 'Y' AS qualifier FROM ev WHERE tpl = 6"),
         "A7_apply_oracle_outer_marks": facts(REFERENCES, "SELECT query_id, name, alias, join_type FROM rf"),
         "A8_upsert_tables": facts(TABLES, "SELECT query_id, schema, name, table_type, aliases, join_type FROM tf"),
         "A9_unique_tables": facts(TABLES, "SELECT query_id, schema, name, table_type, aliases, columns FROM tf"),
@@ -331,7 +332,7 @@ def all_sql() -> dict[str, str]:
             TABLES, "SELECT schema, name, table_type, count(*) AS queries FROM tf GROUP BY schema, name, table_type"
         ),
         "A10_table_by_name": facts(
-            TABLES, "SELECT query_id, schema, name, table_type FROM tf WHERE (name = 't_3' AND schema = 's') OR (name = 'base' AND schema IS NULL)"
+            TABLES, "SELECT query_id, schema, name, table_type FROM tf WHERE (name = 't_view' AND schema = 's') OR (name = 'recent' AND schema IS NULL)"
         ),
         "A11_columns_per_table": facts(TABLES, f"SELECT query_id, schema, name, table_type, columns, {COLUMN_COUNT} FROM tf"),
         "R1_scope_tables": facts(SCOPES, "SELECT query_id, alias, name, CAST(selects AS BIGINT) AS selects FROM sf"),
@@ -464,6 +465,7 @@ def all_sql() -> dict[str, str]:
             "coalesce(calculation_type, '') AS calculation_type, usage_locations AS usage, CAST(usage_count AS BIGINT) AS usage_count FROM ef",
         ),
         "K4_text_output": report_sql(),
+        "K8_write_metadata": documents_sql(),
         "K5_text_sheet": lines_sql(),
         "K6_escape_source_text": on_corpus(
             "query_id, CASE WHEN regexp_replace(sql, '^\\n+', '') LIKE '`%' THEN regexp_replace(sql, '^\\n+', '') "

@@ -23,6 +23,8 @@ NAME_PART = f"(?:{QUOTED_NAME}|{PLAIN_NAME})"
 DOTTED_NAME = NAME_PART + r"(?: ?\.{1,2} ?" + NAME_PART + ")*+"
 LITERAL = r"(?:\b[NEBXRU])?+'[^']*+(?:''[^']*+)*+'"
 LITERAL_BACKSLASH = r"(?:\b[NEBXRU])?+'[^'\\]*+(?:(?:''|\\.)[^'\\]*+)*+'"
+# A literal between equal dollar tags; what lies in it is no quote, bracket or semicolon.
+LITERAL_DOLLAR = r"\$(?<tag>\w*+)\$(?s:.*?)\$\k<tag>\$|" + LITERAL
 PHRASES = (
     r"\b(?:IS(?: NOT)? DISTINCT FROM|"
     r"(?:(?:NATURAL|ASOF|GLOBAL|ANY|ALL|POSITIONAL) )*+(?:(?:LEFT|RIGHT|FULL) )?+"
@@ -40,11 +42,12 @@ NUMBER = r"0x[0-9a-f]++|\d++(?:\.\d*+)?+(?:e[+-]?\d++)?+|\.\d++"
 OPERATORS = r"\( ?\+ ?\)|::|:=|\|\||<=>|<>|!=|<=|>=|==|=>|->>|->|\^="
 PLACEHOLDER = r"(?::|@@?|\$)\w++|\?"
 TOKEN = "(?iU)" + "|".join((LITERAL, PHRASES, EXCEPT_QUERY, TOP_N, DOTTED_NAME, NUMBER, OPERATORS, PLACEHOLDER, r"\S"))
-FIRST_STATEMENT = r"(?i)\A(?:[^;'\"`\[]++|" + LITERAL + "|" + QUOTED_NAME + r"|['\"`\[])*+"
+FIRST_STATEMENT = r"(?i)\A(?:[^;'\"`\[$]++|" + LITERAL + "|" + QUOTED_NAME + r"|['\"`\[$])*+"
 
 # Dialects in which a backslash escapes inside a literal, and in which
 # double quotes make a literal.
 BACKSLASH_DIALECTS = ("bigquery", "clickhouse", "databricks", "hive", "mysql", "redshift", "snowflake")
+DOLLAR_DIALECTS = ("databricks", "postgres", "snowflake")
 DOUBLE_QUOTE_LITERAL_DIALECTS = ("bigquery", "databricks", "hive", "mysql")
 
 # Words that are never a column or an alias.
@@ -54,6 +57,11 @@ RESERVED = (
     "DELETE MERGE CREATE TABLE VIEW DROP ALTER TRUNCATE ASC DESC ANY SOME QUALIFY WINDOW LATERAL FOR "
     "MATCHED PRIOR PIVOT UNPIVOT TABLESAMPLE RETURNING ESCAPE COLLATE INTERVAL ROLLUP CUBE DIV MOD"
 ).split()
+# Of these, the words that are names where a name can stand and no clause.
+SOFT = (
+    "LIMIT OFFSET FETCH RECURSIVE VALUES SET MERGE TABLE VIEW TRUNCATE ANY SOME QUALIFY WINDOW LATERAL FOR MATCHED "
+    "PRIOR PIVOT UNPIVOT TABLESAMPLE RETURNING ESCAPE COLLATE INTERVAL ROLLUP CUBE DIV MOD"
+).split()
 CONSTANTS = "NULL TRUE FALSE DEFAULT".split()
 # Functions written without brackets, and the type each is reported as.
 BARE_FUNCTIONS = {
@@ -71,6 +79,38 @@ BARE_FUNCTIONS = {
 # Functions reported under another type than their own name.
 FUNCTION_TYPES = {
     "ADD_MONTHS": "ADDMONTHS",
+    "ANY_VALUE": "ANYVALUE",
+    "ARG_MAX": "ARGMAX",
+    "ARG_MIN": "ARGMIN",
+    "ARRAY_CONTAINS": "ARRAYCONTAINS",
+    "ARRAY_SIZE": "ARRAYSIZE",
+    "BOOL_AND": "LOGICALAND",
+    "BOOL_OR": "LOGICALOR",
+    "CHAR_LENGTH": "LENGTH",
+    "DATE_FROM_PARTS": "DATEFROMPARTS",
+    "DENSE_RANK": "DENSERANK",
+    "JSON_EXTRACT": "JSONEXTRACT",
+    "JSON_OBJECT": "JSONOBJECT",
+    "JSON_VALUE": "JSONVALUE",
+    "LAST_DAY": "LASTDAY",
+    "LCASE": "LOWER",
+    "LPAD": "PAD",
+    "MAX_BY": "ARGMAX",
+    "MIN_BY": "ARGMIN",
+    "MONTHS_BETWEEN": "MONTHSBETWEEN",
+    "NTH_VALUE": "NTHVALUE",
+    "PARSE_JSON": "PARSEJSON",
+    "PERCENT_RANK": "PERCENTRANK",
+    "REGEXP_EXTRACT": "REGEXPEXTRACT",
+    "REGEXP_LIKE": "REGEXPLIKE",
+    "RPAD": "PAD",
+    "SORT_ARRAY": "SORTARRAY",
+    "SPLIT_PART": "SPLITPART",
+    "STARTS_WITH": "STARTSWITH",
+    "STRPOS": "STRPOSITION",
+    "TIMESTAMP_TRUNC": "TIMESTAMPTRUNC",
+    "TO_TIMESTAMP": "STRTOTIME",
+    "UCASE": "UPPER",
     "APPROX_COUNT_DISTINCT": "APPROXDISTINCT",
     "ARRAY_AGG": "ARRAYAGG",
     "CEILING": "CEIL",
@@ -167,12 +207,25 @@ DELIMITERS = (
     + ("GROUP BY", "PARTITION BY", "ORDER BY", "DISTRIBUTE BY", "CONNECT BY", "START WITH", "GROUPING SETS")
 )
 
+# A soft word is a name between one of the first and one of the second, or the end.
+BEFORE_NAMES = (
+    "SELECT ALL DISTINCT WHERE HAVING ON AND OR NOT THEN ELSE CASE WHEN LIKE BETWEEN".split()
+    + ["GROUP BY", "ORDER BY", "PARTITION BY", "DISTRIBUTE BY", ",", "(", "+", "-", "*", "/", "%", "||", *COMPARISONS]
+)
+AFTER_NAMES = (
+    "FROM AS AND OR IS IN LIKE ILIKE BETWEEN THEN WHEN ELSE END ASC DESC WHERE HAVING LIMIT INTO NOT".split()
+    + ["GROUP BY", "ORDER BY", "PARTITION BY", "JOIN", "SETOP", "NULLS", ",", ")", ";", "+", "-", "*", "/", "%", "||", "::", *COMPARISONS]
+)
+STAR_CHANGES = ("EXCEPT", "EXCLUDE", "REPLACE", "RENAME")
+
 STRAY_QUOTE = -(1 << 30)
 ERROR_BLANK = "SQL запрос пустой"
 ERROR_PREFIX = "Ошибка парсинга: "
 ERROR_NOTHING = ERROR_PREFIX + "нет выражения"
 ERROR_BRACKETS = ERROR_PREFIX + "непарные скобки"
 ERROR_QUOTES = ERROR_PREFIX + "незакрытая кавычка"
+ERROR_PLACE = ERROR_PREFIX + "пропущено выражение"
+EMPTY_CLAUSE = ("WHERE", "HAVING", "GROUP BY", "ORDER BY", "FROM", "JOIN", "ON")
 
 
 def token_array(sql_clean: Column, dialect: Column) -> Column:
@@ -185,15 +238,16 @@ def token_array(sql_clean: Column, dialect: Column) -> Column:
         ).otherwise(sql_clean)
         return F.regexp_extract_all(first, F.lit(TOKEN.replace(LITERAL, literal)), F.lit(0))
 
-    return F.when(escaped, split(LITERAL_BACKSLASH)).otherwise(split(LITERAL))
+    dollars = dialect.isin(*DOLLAR_DIALECTS) & sql_clean.contains("$")
+    return F.when(dollars, split(LITERAL_DOLLAR)).when(escaped, split(LITERAL_BACKSLASH)).otherwise(split(LITERAL))
 
 
-def bracket_balance(sql_clean: Column, dialect: Column) -> Column:
+def bracket_balance(tokens: Column) -> Column:
     """Open brackets left at the end; negative once one closes too many, or STRAY_QUOTE.
 
     Only brackets and stray quotes of the token array are kept for the fold.
     """
-    marks = F.filter(token_array(sql_clean, dialect), lambda t: t.isin("(", ")", "'", '"', "`"))
+    marks = F.filter(tokens, lambda t: t.isin("(", ")", "'", '"', "`"))
 
     def step(depth: Column, mark: Column) -> Column:
         return (
@@ -205,13 +259,25 @@ def bracket_balance(sql_clean: Column, dialect: Column) -> Column:
     return F.aggregate(marks, F.lit(0), step)
 
 
-def structural_errors(sql: Column, sql_clean: Column, balance: Column) -> Column:
+def misplaced(tokens: Column) -> Column:
+    """Two comparisons in a row, or a clause word with nothing after it."""
+
+    def wrong(token: Column, i: Column) -> Column:
+        after = F.upper(F.get(tokens, i + 1))
+        empty = F.upper(token).isin(*EMPTY_CLAUSE) & (after.isNull() | after.isin(*EMPTY_CLAUSE, ")"))
+        return empty | (token.isin(*COMPARISONS) & (after.isNull() | after.isin("=", "<", ">", "<=", ">=", "<>", "!=", ")", ",")))
+
+    return F.exists(F.transform(tokens, wrong), lambda x: F.coalesce(x, F.lit(False)))
+
+
+def structural_errors(sql: Column, sql_clean: Column, balance: Column, tokens: Column) -> Column:
     """P10: what stops a statement from being read, as an array of messages."""
     message = (
         F.when(sql.isNull() | ~sql.rlike(r"(?U)[^\s\x1c-\x1f]"), ERROR_BLANK)
         .when(~F.coalesce(sql_clean, F.lit("")).rlike(r"\A[^;]"), ERROR_NOTHING)
         .when(balance == STRAY_QUOTE, ERROR_QUOTES)
         .when(balance != 0, ERROR_BRACKETS)
+        .when(misplaced(tokens), ERROR_PLACE)
     )
     return F.filter(F.array(message), lambda m: m.isNotNull())
 
@@ -266,6 +332,7 @@ def symbol(token: Column, double_quote_literal: Column) -> Column:
     spaced = upper.contains(" ")
     return (
         F.when(token.endswith("'") & (F.length(token) > 1), "str")
+        .when((first == "$") & token.endswith("$") & (F.length(token) > 3), "str")
         .when(first == '"', F.when(double_quote_literal, "str").otherwise("id"))
         .when(first.isin("`", "[") & (F.length(token) > 1), "id")
         .when(first.between("0", "9") | ((first == ".") & (F.length(token) > 1)), "num")
@@ -316,6 +383,16 @@ def explode_tokens(readable: DataFrame) -> DataFrame:
     return tokens.where(~skipped)
 
 
+def settle_soft_words(tokens: DataFrame) -> DataFrame:
+    """Read soft words as names where they stand as one: after AS, or as a whole operand."""
+    window = Window.partitionBy("stmt").orderBy("pos")
+    before, after = F.lag("w").over(window), F.lead("w").over(window)
+    operand = before.isin(*BEFORE_NAMES) & (after.isNull() | after.isin(*AFTER_NAMES))
+    operand &= (F.col("w") != "MATCHED") | (before != "WHEN")
+    named = F.col("w").isin(*SOFT) & (((before == "AS") & F.coalesce(after != "(", F.lit(True))) | operand)
+    return tokens.withColumn("w", F.when(F.coalesce(named, F.lit(False)), "name").otherwise(F.col("w")))
+
+
 def running(order: str, *partition: str):
     """Running frames over a statement: before the row, and up to it."""
     window = Window.partitionBy("stmt", *partition).orderBy(order)
@@ -348,6 +425,7 @@ def with_neighbours(tokens: DataFrame) -> DataFrame:
         level(flag(c("w").isin(*OPENING)), flag(c("w").isin(*CLOSING)), before, upto).alias("depth"),
     )
     unit = (c("p2w") == "INTERVAL") | ((F.upper("tok") == "FILTER") & (c("n1w") == "("))
+    unit |= F.upper("tok").isin(*STAR_CHANGES) & (c("n1w") == "(") & c("p1t").endswith("_star_")
     tokens = tokens.select(
         "*",
         F.coalesce(
@@ -366,12 +444,14 @@ def with_neighbours(tokens: DataFrame) -> DataFrame:
         F.when(c("w") == "CASE", "case")
         .when(c("w") != "(", None)
         .when(c("n1w").isin("SELECT", "WITH"), "query")
+        .when((c("p1w") == "ON") & (c("p2w") == "DISTINCT"), "distinct")
         .when(c("p1w") == "OVER", "over")
         .when(c("p1w") == "USING", "using")
         .when(c("p1w").isin("FROM", "JOIN", "APPLY", "LATERAL"), "table")
         .when((c("p1w") == "(") & c("p2w").isin("FROM", "JOIN"), "table")
         .when(p1_alias | (c("p1w") == "WITH") | (c("p1w").isin(*NAMES) & c("p2w").isin("INTO", "TABLE", "VIEW", "WITH", "RECURSIVE")), "list")
         .when(c("p1w").isin(*NAMES) & (called == "FILTER") & (c("n1w") == "WHERE"), "plain")
+        .when(c("p1w").isin(*NAMES) & called.isin(*STAR_CHANGES) & c("p2t").endswith("_star_"), "plain")
         .when(c("p1w").isin(*NAMES) & called.isin(*CAST_FUNCTIONS), "cast")
         .when(c("p1w").isin(*NAMES) | (c("p1w") == "MOD"), "fn")
         .otherwise("plain")
@@ -419,12 +499,15 @@ def with_brackets(tokens: DataFrame) -> DataFrame:
         F.when(c("outer").isNotNull(), F.struct(*[c(f"outer.{name}").alias(name) for name in ("open", "kind", "type", "before")])).alias("entered"),
     )
     _, _, upto = running("pos", "depth")
-    delimiter = c("w").isin(*DELIMITERS) | c("is_alias")
+    # What follows the list of DISTINCT ON begins the select list; the list itself is no item.
+    tokens = tokens.withColumn("m", F.last("bracket", ignorenulls=True).over(upto))
+    listed = F.coalesce(c("m.kind") == "distinct", F.lit(False))
+    tokens = tokens.withColumn("is_alias", c("is_alias") & ~(listed & (c("p1w") == ")")))
+    delimiter = c("w").isin(*DELIMITERS) | c("is_alias") | (listed & c("w").isin("(", ")"))
     arithmetic = c("w").isin("+", "-", "*", "/", "%", "MOD") & c("p1w").isin(*OPERAND_ENDS)
     tokens = tokens.select(
         "*",
         F.last("entered", ignorenulls=True).over(upto).alias("g"),
-        F.last("bracket", ignorenulls=True).over(upto).alias("m"),
         F.coalesce(
             F.last(F.when(c("entered").isNotNull() | delimiter, c("pos")), ignorenulls=True).over(upto), F.lit(-1)
         ).alias("seg"),
@@ -507,6 +590,7 @@ def with_scopes(tokens: DataFrame) -> DataFrame:
     starts = F.coalesce("enters_query", F.lit(False))
     # A table hint or table function is no clause of its own.
     hint = c("w").isin("WITH", "TABLE") & (c("n1w") == "(")
+    hint |= (c("w") == "UPDATE") & (c("p1w") == "FOR")
     clause = F.when(~F.coalesce(hint, F.lit(False)), lookup(CLAUSES, c("w")))
     keyword = F.when(
         own & clause.isNotNull(),
@@ -524,7 +608,7 @@ def with_scopes(tokens: DataFrame) -> DataFrame:
         latest(F.when(select, c("pos")).when(starts, F.lit(-1))).alias("sel"),
         latest(F.when(select & (F.coalesce(c("p1w"), F.lit("")) != "SETOP"), c("pos")).when(starts, F.lit(-1))).alias("first_sel"),
         latest(keyword).alias("kw"),
-        latest(F.when(own & (c("w") == ","), c("pos"))).alias("comma"),
+        latest(F.when(own & ((c("w") == ",") | ((c("w") == ")") & (c("m_kind") == "distinct"))), c("pos"))).alias("comma"),
         F.coalesce(latest(F.when(own & (c("w") == "SETOP"), True).when(starts, False)), F.lit(False)).alias("in_union"),
         F.coalesce(latest(F.when(starts, c("od"))), F.lit(0)).alias("od_outer"),
     )
@@ -554,7 +638,7 @@ def with_roles(tokens: DataFrame) -> DataFrame:
     name = c("w").isin(*NAMES)
     in_tables = c("clause").isin(*TABLE_CLAUSES)
     table_position = (
-        c("p1w").isin("FROM", "JOIN", "APPLY", "INTO", "UPDATE", "TABLE", "VIEW")
+        (c("p1w").isin("FROM", "JOIN", "APPLY", "INTO", "UPDATE", "TABLE", "VIEW") & ~F.coalesce((c("p1w") == "UPDATE") & (c("p2w") == "FOR"), F.lit(False)))
         | ((c("p1w") == ",") & in_tables)
         | ((c("p1w") == "(") & (c("g_kind") == "table"))
         | ((c("p1w") == "USING") & c("scope").isNull())
@@ -660,7 +744,7 @@ def lexemes(readable: DataFrame) -> DataFrame:
     ``readable`` holds ``stmt``, ``dialect`` and ``tokens`` and is partitioned by ``stmt``.
     """
     tokens = explode_tokens(readable)
-    for step in (with_neighbours, with_brackets, with_levels, with_scopes, with_roles):
+    for step in (settle_soft_words, with_neighbours, with_brackets, with_levels, with_scopes, with_roles):
         tokens = step(tokens)
     c = F.col
     return tokens.where(

@@ -31,7 +31,12 @@ class Analysis:
         self.stages = Stages(statements.sparkSession)
 
     def release(self) -> None:
+        """Delete the stages; facts asked for later are built anew."""
         self.stages.delete()
+        for name, value in list(vars(self).items()):
+            if isinstance(value, DataFrame) and name != "statements":
+                del self.__dict__[name]
+        self.stages = Stages(self.statements.sparkSession)
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -40,7 +45,7 @@ class Analysis:
 
     @cached_property
     def texts(self) -> DataFrame:
-        """``(stmt, sql, dialect, copies, sql_clean, parse_errors)``, one row per text."""
+        """``(stmt, sql, dialect, copies, sql_clean, parse_errors, tokens)``, one row per text."""
         return self.stages.write("texts", st.clean_statements(st.distinct_statements(self.statements)))
 
     @cached_property

@@ -33,9 +33,20 @@ STAGE_SETTINGS = {
 }
 
 
+_settings_lock = threading.RLock()
+
+
 @contextmanager
 def stage_settings(spark: SparkSession):
-    """Apply the stage settings to what is planned inside, then restore the session's."""
+    """Apply the stage settings to what is planned inside, then restore the session's.
+
+    They hold for the session, so one analysis at a time has them, in whatever thread it runs.
+    """
+    with _settings_lock:
+        yield from _with_settings(spark)
+
+
+def _with_settings(spark: SparkSession):
     before = {key: spark.conf.get(key) for key in STAGE_SETTINGS}
     for key, value in STAGE_SETTINGS.items():
         spark.conf.set(key, value)

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from sqltrail.functions.clean import preprocess
 from sqltrail.operators import tokens as tk
 
-# A text that holds more than 1/HOT_SHARE of all queries is split when its facts are
-# handed back, so the list of such texts can never exceed HOT_SHARE rows.
-HOT_SHARE = 10_000
-BUCKET_ROWS = 100_000
-# A text becomes token rows of many times its size, so a task gets little text.
+# Rows of (query, fact) that one bucket of a text gives at most, whatever the size of the log.
+BUCKET_ROWS = 4_000_000
+FACTS = 40
+# The list of split texts is broadcast up to this many, and joined by shuffle beyond.
+BROADCAST_TEXTS = 1_000_000
+# A text becomes token rows of many times its size, so a task gets little text. The driver
+# keeps the state of every task, so their number has a ceiling; beyond it tasks grow and spill.
 TEXT_BYTES_PER_TASK = 4 << 20
+MAX_TASKS = 50_000
 
 
 def statement_key(sql: Column, dialect: Column) -> Column:
@@ -37,52 +40,53 @@ def distinct_statements(statements: DataFrame) -> DataFrame:
 
 
 def clean_statements(texts: DataFrame) -> DataFrame:
-    """Add ``sql_clean`` and ``parse_errors`` (P8, P10). Row-wise, so no exchange."""
+    """Add ``sql_clean``, ``tokens`` and ``parse_errors`` (P8, P10). Row-wise, so no exchange.
+
+    A text is tokenised here and nowhere else. The outer generator of one row keeps the optimizer
+    from repeating the tokenising in each expression that reads it.
+    """
+    cleaned = texts.withColumn("sql_clean", preprocess(F.col("sql"), F.col("dialect")))
+    once = F.array(F.struct(tk.token_array(F.col("sql_clean"), F.col("dialect")).alias("tokens")))
+    tokens = F.col("tokens")
     return (
-        texts.withColumn("sql_clean", preprocess(F.col("sql"), F.col("dialect")))
-        .withColumn("balance", tk.bracket_balance(F.col("sql_clean"), F.col("dialect")))
-        .withColumn("parse_errors", tk.structural_errors(F.col("sql"), F.col("sql_clean"), F.col("balance")))
-        .drop("balance")
+        cleaned.select("*", F.inline_outer(once))
+        .withColumn("parse_errors", tk.structural_errors(F.col("sql"), F.col("sql_clean"), tk.bracket_balance(tokens), tokens))
+        .select("stmt", "sql", "dialect", "copies", "sql_clean", "parse_errors", "tokens")
     )
 
 
 def token_partitions(text_bytes: int, at_least: int) -> int:
     """Tasks for the token stage, from the size of the written texts."""
-    return max(at_least, -(-text_bytes // TEXT_BYTES_PER_TASK))
+    return min(MAX_TASKS, max(at_least, -(-text_bytes // TEXT_BYTES_PER_TASK)))
 
 
 def with_tokens(texts: DataFrame, partitions: int) -> DataFrame:
     """``(stmt, dialect, tokens)`` partitioned by statement.
 
-    The exchange moves the cleaned text, which is far smaller than its token rows. The
+    The exchange moves token arrays, which are far smaller than token rows. The
     number of partitions is given, as the size of the text says little about what the
     windows after it have to sort.
     """
-    tokens = tk.token_array(F.col("sql_clean"), F.col("dialect"))
-    return (
-        texts.select("stmt", "dialect", "sql_clean")
-        .repartition(partitions, "stmt")
-        .select("stmt", "dialect", tokens.alias("tokens"))
-    )
+    return texts.select("stmt", "dialect", "tokens").repartition(partitions, "stmt")
 
 
 def hot_statements(texts: DataFrame, bucket_rows: int) -> DataFrame:
     """Texts with more copies than one bucket takes, and how many buckets each needs."""
-    total = texts.agg(F.coalesce(F.sum("copies"), F.lit(0))).scalar()
-    bucket = F.greatest(F.lit(bucket_rows).cast("bigint"), F.ceil(total / HOT_SHARE).cast("bigint"))
-    return texts.where(F.col("copies") > bucket).select(
-        "stmt", F.ceil(F.col("copies") / bucket).cast("int").alias("buckets")
-    )
+    copies = max(1, bucket_rows // FACTS)
+    return texts.where(F.col("copies") > copies).select("stmt", F.ceil(F.col("copies") / copies).cast("int").alias("buckets"))
 
 
 def per_query(facts: DataFrame, queries: DataFrame, texts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Facts of a text, repeated for every query that ran it.
 
     A plain join on ``stmt`` would send all copies of a hot text to one task. Its queries
-    are spread over buckets by their id, and its few facts are copied to each bucket. The
-    broadcast list of hot texts is bounded by ``HOT_SHARE`` whatever the size of the log.
+    are spread over buckets by their id, and its few facts are copied to each bucket. A bucket
+    holds a fixed number of rows, so the list of hot texts may grow with the log; it is counted first and
+    broadcast only up to ``BROADCAST_TEXTS``.
     """
-    hot = F.broadcast(hot_statements(texts, bucket_rows))
+    hot = hot_statements(texts, bucket_rows)
+    if hot.count() <= BROADCAST_TEXTS:
+        hot = F.broadcast(hot)
     buckets = F.coalesce(F.col("buckets"), F.lit(1))
     spread = (
         queries.select("query_id", "stmt")

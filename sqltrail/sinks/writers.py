@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqltrail.functions.text import comma_list
@@ -194,6 +194,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "error", separator: str = ",
     df.write.mode(mode).options(header=True, sep=separator, encoding="UTF-8", escape='"', emptyValue="").csv(path)
 
 
+# A page of the text output: its first line, and what ends it.
+QUERY_LINE, PAGE_END = "query_id: ", "\f\n"
+
+
 def write_json(documents_per_query: DataFrame, path: str, mode: str = "error") -> None:
     """One document per line, keyed by its query in the same order of fields."""
     line = F.concat(
@@ -204,8 +208,21 @@ def write_json(documents_per_query: DataFrame, path: str, mode: str = "error") -
 
 
 def write_text(reports_per_query: DataFrame, path: str, mode: str = "error") -> None:
-    """K4: reports one after another. A directory per query would not survive a large log."""
-    reports_per_query.select(F.col("report").alias("value")).write.mode(mode).text(path)
+    """K4: reports one after another, each under a line that names its query, on a page of its own.
+
+    A directory per query would not survive a large log.
+    """
+    named = F.concat(F.lit(QUERY_LINE), F.col("query_id").cast("string"), F.lit("\n"), F.col("report"))
+    reports_per_query.select(named.alias("value")).write.mode(mode).option("lineSep", PAGE_END).text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """``query_id`` as text and ``report`` of a written text output."""
+    pages = spark.read.option("lineSep", PAGE_END).text(path)
+    name = F.substring_index("value", "\n", 1)
+    return pages.select(
+        F.replace(name, F.lit(QUERY_LINE), F.lit("")).alias("query_id"), F.substr("value", F.length(name) + 2).alias("report")
+    )
 
 
 def sheets(analysis, report_time: str) -> dict[str, DataFrame]:

@@ -42,17 +42,32 @@ def test_shuffled_and_repeated_log_gives_the_same_facts(spark):
 def test_hot_text_is_split_and_nothing_is_lost(spark):
     analysis = entry._analysis(spark, SF)
     texts = analysis.texts.select("stmt", "copies")
-    hot = st.hot_statements(texts, bucket_rows=2)
+    hot = st.hot_statements(texts, bucket_rows=2 * st.FACTS)
     most = texts.agg(F.max("copies")).first()[0]
     assert hot.agg(F.max("buckets")).first()[0] == -(-most // 2) > 1
-    split = st.per_query(analysis.columns, analysis.queries, texts, bucket_rows=2)
+    split = st.per_query(analysis.columns, analysis.queries, texts, bucket_rows=2 * st.FACTS)
     assert rows(split) == rows(analysis.per_query(analysis.columns))
 
 
-def test_hot_list_is_bounded(spark):
-    one = spark.range(50_000).select(F.col("id").cast("string").cast("binary").alias("stmt"), (F.col("id") + 1).alias("copies"))
-    hot = st.hot_statements(one, bucket_rows=1)
-    assert hot.count() <= st.HOT_SHARE
+def test_long_hot_list_is_joined_by_shuffle(spark, monkeypatch):
+    analysis = entry._analysis(spark, SF)
+    texts = analysis.texts.select("stmt", "copies")
+    monkeypatch.setattr(st, "BROADCAST_TEXTS", 0)
+    split = st.per_query(analysis.columns, analysis.queries, texts, bucket_rows=2 * st.FACTS)
+    assert "ResolvedHint" not in plan(split) and rows(split) == rows(analysis.per_query(analysis.columns))
+
+
+def test_distinct_texts_grow_with_the_log(spark):
+    texts = entry._analysis(spark, SF).texts
+    assert texts.count() > 500 and texts.agg(F.max("copies")).first()[0] > 20
+
+
+def test_released_facts_are_built_anew(spark):
+    analysis = Analysis(log(spark).limit(40))
+    first = rows(analysis.columns)
+    analysis.release()
+    assert rows(analysis.columns) == first
+    analysis.release()
 
 
 def test_copies_are_counted_before_the_exchange(spark):
@@ -70,6 +85,7 @@ def test_token_stage_has_one_exchange(spark):
 def test_token_tasks_follow_the_text_size():
     assert st.token_partitions(10, 8) == 8
     assert st.token_partitions(10 * st.TEXT_BYTES_PER_TASK + 1, 8) == 11
+    assert st.token_partitions(100 << 40, 8) == st.MAX_TASKS
 
 
 def test_mentions_and_edges_agree(spark):
@@ -101,4 +117,4 @@ def test_shared_folder_comes_from_the_session(spark):
 def test_entry(spark):
     result = entry.entry(spark)
     assert result.columns == ["table", "column_name", "queries", "mentions"]
-    assert result.count() == 50
+    assert result.count() > 1000 and result.where("queries = 0").isEmpty()
