@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqltrail.operators import tokens as tk
@@ -167,46 +167,48 @@ def last_by_output(projections: DataFrame) -> DataFrame:
     )
 
 
-PROJECTIONS = (
-    "array<struct<is_cte:boolean,relation_pos:int,item:int,scope:int,relation:string,output:string,"
-    "calc:struct<type:string,lo:int,hi:int,open:int>,source_table:string,source_column:string>>"
-)
-
-
 def projection_map(sources: DataFrame) -> DataFrame:
     """Every relation output with the column it stands for.
 
-    A derived table maps to what its own SELECT names. A CTE may name a derived table or
-    an earlier CTE, so outputs are folded in that order and text order, each looking up
-    the ones before it. Only statements whose CTEs name another relation need the fold;
-    its arrays hold the outputs of one statement.
+    A derived table maps to what its own SELECT names. A CTE may name a derived table or an
+    earlier CTE, so outputs are numbered in that order and text order, and each CTE output
+    finds the last one before it that it names by a join. Only the numbers are then folded, to
+    the output at the end of each chain, whose own source it is.
     """
-    fields = ("is_cte", "relation_pos", "item", "scope", "relation", "output", "calc")
-    output = F.struct(*fields, "qualifier", "column", "base_table")
-    rows = sources.groupBy("stmt").agg(F.array_sort(F.collect_list(output)).alias("rows"))
+    c = F.col
+    order = ("is_cte", "relation_pos", "item", "scope", "relation", "output")
+    rows = sources.withColumn("number", F.row_number().over(Window.partitionBy("stmt").orderBy(*order)) - 1)
+    named = rows.select("stmt", c("relation").alias("qualifier"), c("output").alias("column"), c("number").alias("earlier"), c("is_cte").alias("from_cte"))
+    parents = (
+        rows.where("is_cte")
+        .select("stmt", "qualifier", "column", "number")
+        .join(named, ["stmt", "qualifier", "column"])
+        .where("earlier < number")
+        .groupBy("stmt", "number")
+        .agg(F.max_by("earlier", F.struct(~c("from_cte"), "earlier")).alias("parent"))
+    )
+    chains = (
+        rows.select("stmt", "number")
+        .join(parents.select("stmt").distinct(), "stmt", "left_semi")
+        .join(parents, ["stmt", "number"], "left")
+        .groupBy("stmt")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "parent"))), lambda x: x.parent).alias("parents"))
+    )
 
-    def mapped(row: Column, table: Column, column: Column) -> Column:
-        return F.struct(
-            *[row[name].alias(name) for name in fields], table.alias("source_table"), column.alias("source_column")
-        )
+    def follow(roots: Column, parent: Column) -> Column:
+        return F.concat(roots, F.array(F.coalesce(F.get(roots, parent), F.size(roots))))
 
-    def last_named(done: Column, row: Column, is_cte: bool) -> Column:
-        same = F.filter(
-            done, lambda d: (d.is_cte == F.lit(is_cte)) & (d.relation == row.qualifier) & (d.output == row.column)
+    roots = F.aggregate("parents", F.array().cast("array<int>"), follow)
+    ends = chains.select("stmt", F.posexplode(roots).alias("number", "root")).where("number != root")
+    own = rows.select("stmt", c("number").alias("root"), c("base_table").alias("root_table"), c("column").alias("root_column"))
+    return (
+        rows.join(ends.join(own, ["stmt", "root"]), ["stmt", "number"], "left")
+        .select(
+            "stmt", "is_cte", "relation_pos", "item", "scope", "relation", "output", "calc",
+            F.coalesce("root_table", "base_table").alias("source_table"),
+            F.when(c("root").isNotNull(), c("root_column")).otherwise(c("column")).alias("source_column"),
         )
-        return F.when(row.is_cte, F.try_element_at(same, F.lit(-1)))
-
-    def follow(done: Column, row: Column) -> Column:
-        derived, cte = last_named(done, row, False), last_named(done, row, True)
-        table = F.coalesce(derived.source_table, cte.source_table, row.base_table)
-        column = F.coalesce(derived.source_column, cte.source_column, row.column)
-        return F.concat(done, F.array(mapped(row, table, column)))
-
-    names = F.transform("rows", lambda r: r.relation)
-    chained = F.exists("rows", lambda r: r.is_cte & F.array_contains(names, r.qualifier))
-    as_is = F.transform("rows", lambda r: mapped(r, r.base_table, r.column))
-    folded = F.aggregate("rows", F.array().cast(PROJECTIONS), follow)
-    return rows.select("stmt", F.inline_outer(F.when(F.coalesce(chained, F.lit(False)), folded).otherwise(as_is)))
+    )
 
 
 def resolve_mentions(
