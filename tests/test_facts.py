@@ -86,6 +86,8 @@ STATEMENTS = {
     "empty_where": "SELECT a FROM t WHERE GROUP BY a",
     "empty_from": "SELECT a FROM WHERE b = 1",
     "empty_end": "SELECT a FROM t ORDER BY",
+    "wide_chain": f"WITH p AS (SELECT {', '.join(f't.c{i}' for i in range(150))} FROM t), q AS (SELECT "
+    f"{', '.join(f'p.c{i} AS d{i}' for i in range(150))} FROM p), r AS (SELECT q.d7 AS e FROM q) SELECT r.e FROM r",
     "names": "SELECT LPAD(a, 2) AS b, DENSE_RANK() AS c, JSON_VALUE(d, '$.x') AS e, MONTHS_BETWEEN(f, g) AS h FROM t",
 }
 DIALECTS = {"dollar": "postgres", "mysql": "mysql", "top": "tsql", "lateral_view": "hive"}
@@ -299,6 +301,12 @@ def test_words_that_change_a_list(facts):
     assert errors["dollar"] == [] and set(columns["dollar"]) == {"t.a", "t.b"}
 
 
+def test_wide_chains(columns):
+    wide = columns["wide_chain"]
+    assert all(wide[f"q.d{i}"].dependencies == [f"t.c{i}"] for i in range(150))
+    assert wide["r.e"].dependencies == ["t.c7"] and wide["t.c7"].usage_count == 4
+
+
 def test_function_names(columns):
     types = {key: row.calculation_type for key, row in columns["names"].items() if key.startswith("CALC.")}
     assert types == {"CALC.b": "PAD", "CALC.c": "DENSERANK", "CALC.e": "JSONVALUE", "CALC.h": "MONTHSBETWEEN"}
