@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqltrail.operators import tokens
+
 DEFAULT_DIALECT = "oracle"
 
 # Dialect names and the canonical name of each.
@@ -62,3 +64,26 @@ def read_sql_files(spark: SparkSession, path: str, dialect: str = DEFAULT_DIALEC
             normalize_dialect(F.lit(dialect)).alias("dialect"),
         )
     )
+
+
+# One statement of a text: comments, literals and quoted names are skipped whole.
+STATEMENT = (
+    r"(?s)(?:[^;'\"`\[$/-]++|--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)|"
+    + tokens.LITERAL_DOLLAR
+    + "|"
+    + tokens.QUOTED_NAME
+    + r"|[^;])++"
+)
+
+
+def split_statements(statements: DataFrame) -> DataFrame:
+    """Every statement of each text as a row of its own; ``query_id`` becomes ``(id, part)``, part 0 the first.
+
+    The facts of a text are those of its first statement. Split first, nothing of a script is left
+    out. A text without any statement stays as part 0.
+    """
+    found = F.filter(F.regexp_extract_all("sql", F.lit(STATEMENT), F.lit(0)), lambda x: x.rlike(r"\S"))
+    parts = F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(F.array("sql"))
+    return statements.select("query_id", "dialect", F.posexplode(parts).alias("part", "sql")).select(
+        F.struct(F.col("query_id").alias("id"), "part").alias("query_id"), "sql", "dialect"
+    )

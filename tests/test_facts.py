@@ -3,6 +3,7 @@
 import pytest
 
 from sqltrail import Analysis
+from sqltrail.sources.statements import split_statements
 
 STATEMENTS = {
     "contexts": "SELECT b.isbn AS code, b.pages AS length, COUNT(l.taken) AS loans FROM books b LEFT JOIN loans l ON b.isbn = l.isbn "
@@ -310,3 +311,21 @@ def test_wide_chains(columns):
 def test_function_names(columns):
     types = {key: row.calculation_type for key, row in columns["names"].items() if key.startswith("CALC.")}
     assert types == {"CALC.b": "PAD", "CALC.c": "DENSERANK", "CALC.e": "JSONVALUE", "CALC.h": "MONTHSBETWEEN"}
+
+
+def test_scripts_are_split(spark):
+    scripts = [
+        (1, "SELECT a FROM t; SELECT b FROM u;\n DELETE FROM v;;", "oracle"),
+        (2, "SELECT ';' AS x, c FROM w -- no; end\n WHERE d = 1 /* ; */; SELECT \"e;f\" FROM [g;h]", "tsql"),
+        (3, "SELECT $$;$$ AS y, k FROM m", "postgres"),
+        (4, "  ;", "oracle"),
+        (5, None, "oracle"),
+    ]
+    parts = split_statements(spark.createDataFrame(scripts, "query_id long, sql string, dialect string"))
+    assert sorted(tuple(r.query_id) for r in parts.collect()) == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 0), (4, 0), (5, 0)]
+    analysis = Analysis(parts)
+    found = {}
+    for row in analysis.per_query(analysis.tables).collect():
+        found.setdefault(tuple(row.query_id), set()).add(row.name)
+    assert found == {(1, 0): {"t"}, (1, 1): {"u"}, (1, 2): {"v"}, (2, 0): {"w"}, (2, 1): {"g;h"}, (3, 0): {"m"}}
+    analysis.release()
