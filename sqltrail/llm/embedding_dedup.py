@@ -126,9 +126,13 @@ def _trees(classes: DataFrame, size: int, number: int, cosine: float, trees: int
 _PLACED = "dim int, tree int, leaf long, node long, copies long, places binary, v binary"
 
 
+def _raw_type(classes: DataFrame) -> str:
+    return "<f4" if classes.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
 def _placed(classes: DataFrame, forests: dict[int, list[Tree]]) -> DataFrame:
     """A row for each leaf that a class comes to; ``places``: hashes of all its leaves, in order."""
-    shared = classes.sparkSession.sparkContext.broadcast(forests)
+    shared, kind = classes.sparkSession.sparkContext.broadcast(forests), _raw_type(classes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees_of = shared.value
@@ -146,7 +150,7 @@ def _placed(classes: DataFrame, forests: dict[int, list[Tree]]) -> DataFrame:
                     marks = leaf * 64 + tree  # trees are few
                     cuts = np.searchsorted(row, np.arange(len(part) + 1))
                     places = [marks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                    raw = [v.tobytes() for v in vectors]
+                    raw = [np.asarray(v, kind).tobytes() for v in part["v"]]
                     yield pd.DataFrame({"dim": np.full(len(row), size, np.int32), "tree": tree, "leaf": leaf, "node": part["node"].to_numpy()[row], "copies": part["copies"].to_numpy()[row],
                                         "places": [places[i] for i in row], "v": [raw[i] for i in row]})
 
@@ -156,13 +160,19 @@ def _placed(classes: DataFrame, forests: dict[int, list[Tree]]) -> DataFrame:
 class _Leaf:
     """Entries of one share of a leaf and what its probes have found."""
 
-    def __init__(self, mark: int, cosine: float):
-        self.mark, self.cosine, self.rows, self.ready = mark, cosine, [], False
+    def __init__(self, mark: int, cosine: float, kind: str):
+        self.mark, self.cosine, self.kind, self.rows, self.ready = mark, cosine, kind, [], False
 
     def add(self, rows: pd.DataFrame) -> None:
         self.rows.append(rows)
         self.ready = False
 
+    def _units(self, rows: pd.DataFrame) -> np.ndarray:
+        return units([np.frombuffer(v, self.kind) for v in rows["v"]])
+
+    def all(self) -> pd.DataFrame:
+        return pd.concat(self.rows) if len(self.rows) > 1 else self.rows[0]
+
     def _earlier(self, rows: pd.DataFrame) -> list[np.ndarray]:
         """Each vector's leaves before this one, as places are in order of tree and leaf."""
         out = []
@@ -174,16 +184,15 @@ class _Leaf:
     def probe(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Nodes and their number of links; ends of links that join groups."""
         if not self.ready:
-            held = pd.concat(self.rows) if len(self.rows) > 1 else self.rows[0]
-            self.rows = [held]
-            self.vectors = np.array([np.frombuffer(v) for v in held["v"]])
+            held = self.all()
+            self.rows, self.vectors = [held], self._units(held)
             self.nodes, self.copies = held["node"].to_numpy(), held["copies"].to_numpy()
             self.before, self.forest, self.ready = self._earlier(held), Forest(len(held)), True
         nodes, counts, a, b = [], [], [], []
         for at in range(0, len(rows), 512):
             some = rows.iloc[at : at + 512]
             own = some["node"].to_numpy()
-            cosine = np.array([np.frombuffer(v) for v in some["v"]]) @ self.vectors.T
+            cosine = self._units(some) @ self.vectors.T
             r, c = np.nonzero(cosine >= self.cosine)
             keep = own[r] != self.nodes[c]
             r, c = r[keep], c[keep]
@@ -213,11 +222,18 @@ class _Leaf:
         return tuple(np.concatenate(x) if x else empty for x in (nodes, counts, a, b))
 
 
-def _compare(placed: DataFrame, cosine: float) -> DataFrame:
-    """Rows ``a, b, n``: with a null ``b``, n links of node a; else a link."""
+def _compare(placed: DataFrame, cosine: float, kind: str) -> DataFrame:
+    """Rows ``a, b, n``: with a null ``b``, n links of node a; else a link.
+
+    Roles: 0 an entry of a share, 1 a probe of it, 2 both, in a leaf that is not dealt.
+    """
+
+    def found(nodes: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        ends = pd.array([None] * len(nodes) + b.tolist(), "Int64")
+        return pd.DataFrame({"a": np.concatenate([nodes, a]), "b": ends, "n": np.concatenate([counts, np.zeros(len(a), np.int64)])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, leaf = None, None
+        key, leaf, whole = None, None, False
         for batch in batches:
             if batch.empty:
                 continue
@@ -226,16 +242,18 @@ def _compare(placed: DataFrame, cosine: float) -> DataFrame:
             for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(batch)], strict=True):
                 dim, tree, number, share, role = place[s]
                 if key != (now := (dim, tree, number, share)):
-                    key, leaf = now, _Leaf(int(number) * 64 + int(tree), cosine)
+                    if whole:
+                        yield found(*leaf.probe(leaf.all()))
+                    key, leaf, whole = now, _Leaf(int(number) * 64 + int(tree), cosine, kind), role == 2
                 some = batch.iloc[s:e]
-                if role == 0:
+                if role == 1:
+                    yield found(*leaf.probe(some))
+                else:
                     leaf.add(some)
-                    continue
-                nodes, counts, a, b = leaf.probe(some)
-                if len(nodes):
-                    yield pd.DataFrame({"a": np.concatenate([nodes, a]), "b": pd.array([None] * len(nodes) + b.tolist(), "Int64"), "n": np.concatenate([counts, np.zeros(len(a), np.int64)])})
+        if whole:
+            yield found(*leaf.probe(leaf.all()))
 
-    return placed.mapInPandas(run, "a long, b long, n long")
+    return placed.mapInPandas(run, "a long, b long, n long").where("b IS NOT NULL OR n > 0")
 
 
 def found_links(classes: DataFrame, cosine: float = COSINE, trees: int = TREES, seed: int = SEED) -> DataFrame:
@@ -248,11 +266,12 @@ def found_links(classes: DataFrame, cosine: float = COSINE, trees: int = TREES,
     # at most 1 / SHARES of the leaves' rows are in a leaf this large, so the list is bounded
     large = leaves.where(F.col("rows") > F.greatest(F.lit(BLOCK), total * F.lit(1e-4))).select("dim", "tree", "leaf", F.ceil(F.col("rows") / BLOCK).cast("int").alias("shares"))
     dealt = placed.join(F.broadcast(large), ["dim", "tree", "leaf"], "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-    entries = dealt.withColumn("share", F.pmod(F.xxhash64("node"), "shares").cast("int")).withColumn("role", F.lit(0))
-    probes = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("role", F.lit(1))
+    entries = dealt.withColumn("share", F.pmod(F.xxhash64("node"), "shares").cast("int"))
+    entries = entries.withColumn("role", F.when(F.col("shares") == 1, 2).otherwise(0))
+    probes = dealt.where("shares > 1").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("role", F.lit(1))
     place = ["dim", "tree", "leaf", "share"]
     moved = entries.unionByName(probes).drop("shares").repartition(*place).sortWithinPartitions(*place, "role")
-    return stored(_compare(moved, cosine), "vector-links")
+    return stored(_compare(moved, cosine, _raw_type(classes)), "vector-links")
 
 
 def report(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, seed: int = SEED) -> DataFrame:
