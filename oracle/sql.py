@@ -36,7 +36,7 @@ def values(name: str, columns: str, rows) -> str:
 EVENTS = (
     "ev AS (SELECT event_id AS query_id, CAST(event_id % {n} AS INTEGER) AS tpl, "
     "CASE WHEN event_id % 3 = 0 THEN coalesce(event_type, 'none') "
-    "ELSE coalesce(user_id, 0) || 'x' || (event_id // {n}) END AS g FROM events)"
+    "ELSE CAST(coalesce(user_id, 0) AS VARCHAR) END AS g FROM events)"
 ).format(n=N)
 BODIES = values(
     "bodies",

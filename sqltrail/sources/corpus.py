@@ -1,7 +1,7 @@
 """A statement log derived from the ``events`` table: one statement per event.
 
-``event_id`` picks a template; user, time and type of the event give the table suffix. So the log
-has as many queries as there are events, its distinct texts grow with them, and some texts are hot.
+``event_id`` picks a template; user or type of the event give the table suffix. So the log has as
+many queries as there are events, its distinct texts grow with its users, and some texts are hot.
 """
 
 from __future__ import annotations
@@ -47,11 +47,11 @@ DIALECT_NAMES = {9: "SQLSERVER", 18: "POSTGRESQL"}
 
 
 def suffix() -> Column:
-    """``{g}`` of an event: a third of the events share one of few, the others' differ by user and time.
+    """``{g}`` of an event: a third of the events share one of few, the others have their user's own.
 
-    So distinct texts grow with the log, and some texts are hot.
+    So distinct texts grow with the users of the log, and some texts are hot.
     """
-    own = F.concat_ws("x", F.coalesce("user_id", F.lit(0)), F.floor(F.col("event_id") / len(TEMPLATES)))
+    own = F.coalesce("user_id", F.lit(0)).cast("string")
     return F.when(F.pmod("event_id", F.lit(3)) == 0, F.coalesce("event_type", F.lit("none"))).otherwise(own)
 
 

@@ -58,8 +58,9 @@ def test_long_hot_list_is_joined_by_shuffle(spark, monkeypatch):
 
 
 def test_distinct_texts_grow_with_the_log(spark):
-    texts = entry._analysis(spark, SF).texts
-    assert texts.count() > 500 and texts.agg(F.max("copies")).first()[0] > 20
+    small, large = (st.distinct_statements(entry._log(spark, f"/root/testdata/{sf}")) for sf in ("sf0.001", "sf0.01"))
+    assert large.count() > 6 * small.count() > 1800
+    assert large.agg(F.max("copies")).first()[0] > 20
 
 
 def test_released_facts_are_built_anew(spark):
