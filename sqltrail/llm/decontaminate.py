@@ -38,7 +38,7 @@ SOLID = (0, 1, 2, 3, 4, 5, 6, 7)
 SPAN, MIN_TOKENS = 13, 8
 WINDOW, IDENTITY = 20, 0.8
 MAX_BITS = 1 << 27
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 200_000
 _OTHER = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 

@@ -34,7 +34,7 @@ FOLDS = 5
 THRESHOLD = 0.3
 #: Passes over the sample, or as many as make STEPS steps.
 EPOCHS, STEPS, BATCH, RATE, DECAY = 8, 600, 64, 0.01, 1e-4
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 200_000
 _OTHER = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 _CLASSES = np.zeros((256, 6))
 for _c in range(256):
