@@ -37,7 +37,7 @@ MASKS = ((0, 1, 2, 4, 7, 8, 11, 12), (0, 1, 3, 4, 8, 10, 11, 12), (0, 2, 3, 5, 8
 SOLID = (0, 1, 2, 3, 4, 5, 6, 7)
 SPAN, MIN_TOKENS = 13, 8
 WINDOW, IDENTITY = 20, 0.8
-MAX_BITS = 1 << 27
+MAX_BITS, BITS_EACH = 1 << 27, 1024
 KNOWN_WORDS = 200_000
 _OTHER = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -120,7 +120,7 @@ def item_classes(items: DataFrame) -> DataFrame:
 def bitmap(item_hashes: DataFrame) -> tuple[bytes, int]:
     """Bits of the hashes, each set at two places, and the binary logarithm of their number, at most that of ``MAX_BITS``."""
     n = item_hashes.count()
-    power = min(MAX_BITS.bit_length() - 1, max(20, (64 * n).bit_length()))
+    power = min(MAX_BITS.bit_length() - 1, max(20, (BITS_EACH * n).bit_length()))
     shift = 64 - power
     places = F.array(F.shiftrightunsigned("hash", shift), F.shiftrightunsigned(F.shiftleft("hash", 20), shift))
     words = item_hashes.select(F.explode(places).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 31 AS INT)))").alias("bits"))
