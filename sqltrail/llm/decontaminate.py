@@ -1,7 +1,11 @@
 """Benchmark decontamination by spaced seeds.
 
-A fixed mask takes 8 of 13 token positions and ignores the others, so a hash over it survives
-substitutions at the ignored places. Benchmark items are hashed at every position under each mask;
+A mask takes six of up to 18 token positions and ignores the others, so a hash over it survives substitutions
+at the ignored places. The masks are pairs of three-token blocks (items of 15 tokens or more) or triples of
+two-token blocks (shorter items), at every distance in blocks. A window that is cut into more blocks than it has
+substitutions keeps enough whole ones, so every placement of the substitutions that ``IDENTITY`` allows in
+min(``WINDOW``, item length) tokens leaves one mask untouched (other windows or a lower identity may miss some).
+Benchmark items are hashed at every position under each mask;
 documents likewise, whole. A document's hash first has to be in a bitmap of the benchmark's hashes, whose
 size is bounded (``MAX_BITS``) and which only saves work: what passes meets the benchmark in an ordinary join,
 so nothing depends on the bitmap's precision or on the benchmark's size. Each hash carries the tokens
@@ -12,8 +16,7 @@ Hits are joined on the hash. A passage that a third of all documents quote is on
 rows and one benchmark row, as equal items are one class, and such hashes are salted.
 
 Tokens: text in lower case (ASCII), cut at ASCII characters that are neither letters nor digits.
-Items of ``MIN_TOKENS`` to 12 tokens are looked for by a solid mask of eight; shorter ones are no evidence
-and are not looked for.
+Items of fewer than ``MIN_TOKENS`` tokens are no evidence and are not looked for.
 
 Defined cases: null and empty texts have no tokens and are clean. Repeated documents are judged each (rows
 of one ``doc_id`` are reported together), null ids are reported as null. Equal items (by tokens) are reported
@@ -32,10 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import hot_keys, salted_join, stored
 
-#: Token positions that each mask takes; the last is for items shorter than the others' span.
-MASKS = ((0, 1, 2, 4, 7, 8, 11, 12), (0, 1, 3, 4, 8, 10, 11, 12), (0, 2, 3, 5, 8, 9, 10, 12))
-SOLID = (0, 1, 2, 3, 4, 5, 6, 7)
-SPAN, MIN_TOKENS = 13, 8
+#: Masks by number: the length of their blocks and where the blocks begin.
+LONG = {g: (3, (0, 3 * g)) for g in range(1, 6)}
+SHORT = {10 * a + b: (2, (0, 2 * a, 2 * (a + b))) for a, b in ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2))}
+LONG_TOKENS, MIN_TOKENS = 15, 8
 WINDOW, IDENTITY = 20, 0.8
 MAX_BITS, BITS_EACH = 1 << 27, 1024
 KNOWN_WORDS = 200_000
@@ -60,19 +63,33 @@ def tokens(text: str | None) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
-def seeds(token: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
-    """Hash under a mask at each position where it fits."""
-    n = len(token) - mask[-1]
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.full(n, np.uint64(number + 1))
-    for offset, odd in zip(mask, _ODD, strict=True):
-        part = token[offset : offset + n] * odd
+def _mixed(parts: list[np.ndarray], number: int) -> np.ndarray:
+    """One hash of the values at each place, in their order."""
+    total = np.full(len(parts[0]), np.uint64(number))
+    for part, odd in zip(parts, _ODD, strict=False):
+        part = part * odd
         total = total * np.uint64(31) + (part ^ (part >> np.uint64(29)))
     total ^= total >> np.uint64(32)
     return total * _ODD[1]
 
 
+def masks(n_tokens: int) -> dict[int, tuple[int, tuple[int, ...]]]:
+    """The masks for an item of so many tokens."""
+    return {} if n_tokens < MIN_TOKENS else SHORT if n_tokens < LONG_TOKENS else LONG
+
+
+def seeds(token: np.ndarray, numbered: dict[int, tuple[int, tuple[int, ...]]]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each mask its number and the hash under it at each position where it fits."""
+    blocks: dict[int, np.ndarray] = {}
+    for number, (size, starts) in numbered.items():
+        n = len(token) - size - starts[-1] + 1
+        if n <= 0:
+            continue
+        if size not in blocks:
+            blocks[size] = _mixed([token[i : len(token) - size + 1 + i] for i in range(size)], size)
+        yield number, _mixed([blocks[size][at : at + n] for at in starts], number)
+
+
 def _around(token: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """32 bits of each token from ``window`` before a position to ``window`` after it; 0 beyond the text."""
     short = (token >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -80,11 +97,7 @@ def _around(token: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return padded[at[:, None] + np.arange(2 * window)[None, :]]
 
 
-def _masks(solid: bool) -> list[tuple[int, tuple[int, ...]]]:
-    return list(enumerate(MASKS)) + ([(len(MASKS), SOLID)] if solid else [])
-
-
-_ITEM = "hash long, item_id long, item_at int, item_tokens int, item_around binary"
+_ITEM = "hash long, mask int, item_id long, item_at int, item_tokens int, item_around binary"
 
 
 def item_seeds(items: DataFrame, window: int) -> DataFrame:
@@ -94,13 +107,10 @@ def item_seeds(items: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
                 token = tokens(text)
-                if len(token) < MIN_TOKENS:
-                    continue
-                for number, mask in _masks(True)[-1:] if len(token) < SPAN else _masks(False):
-                    found = seeds(token, mask, number)
+                for number, found in seeds(token, masks(len(token))):
                     at = np.arange(len(found))
                     around = _around(token, at, window)
-                    yield pd.DataFrame({"hash": found.view(np.int64), "item_id": item, "item_at": at.astype(np.int32), "item_tokens": np.int32(len(token)),
+                    yield pd.DataFrame({"hash": found.view(np.int64), "mask": np.int32(number), "item_id": item, "item_at": at.astype(np.int32), "item_tokens": np.int32(len(token)),
                                         "item_around": [x.tobytes() for x in around]})
 
     return items.mapInPandas(run, _ITEM)
@@ -163,7 +173,8 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, identity:
     context = docs.sparkSession.sparkContext
     known = stored(item_seeds(item_classes(items), window), "benchmark-seeds")
     flat, power = bitmap(known.select("hash").distinct())
-    solid = not known.where(F.col("item_tokens") < SPAN).isEmpty()
+    used = {r.mask for r in known.select("mask").distinct().collect()}
+    numbered = {number: mask for number, mask in (SHORT | LONG).items() if number in used}
     shared = context.broadcast(flat)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -173,8 +184,7 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, identity:
             rows, size = [], 0
             for doc, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True):
                 token = tokens(text)
-                for number, mask in _masks(solid):
-                    found = seeds(token, mask, number)
+                for _, found in seeds(token, numbered):
                     at = _in_bitmap(found, bits, power)
                     for i in range(0, len(at), 5_000):
                         some = at[i : i + 5_000]

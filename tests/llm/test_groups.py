@@ -1,5 +1,6 @@
 """SimHash, embeddings, components and decontamination against brute force."""
 
+import itertools
 import random
 import re
 
@@ -255,6 +256,28 @@ def test_decontamination_cases(spark, monkeypatch):
     assert decontaminate.overlaps(table.limit(0), bench).count() == 0 and decontaminate.decontaminate(table, bench.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("length", range(8, 21))
+def test_masks_cover_the_identity(length):
+    """Whatever tokens are substituted, one mask lies on equal tokens only."""
+    places = [{at + start + i for start in starts for i in range(size)} for size, starts in decontaminate.masks(length).values() for at in range(length - starts[-1] - size + 1)]
+    for changed in itertools.combinations(range(length), length // 5):
+        assert any(not place.intersection(changed) for place in places)
+
+
+def test_substituted_items_are_found(spark):
+    """Items of 8, 13, 16 and 20 tokens with each placement of the substitutions that defeated the former masks at times."""
+    chance = random.Random(9)
+    word = lambda: "".join(chance.choices("abcdefgh", k=6))
+    items, docs = [], []
+    for k, n in enumerate((8, 13, 16, 20)):
+        item = [word() for _ in range(n)]
+        items.append((k, " ".join(item)))
+        for changed in itertools.islice(itertools.combinations(range(n), n // 5), 0, None, 7 if n < 20 else 97):
+            docs.append((1000 * k + len(docs), " ".join([word(), *(word() if i in changed else w for i, w in enumerate(item)), word()])))
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, d // 1000) for d, _ in docs}
+
+
 def test_decontamination_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = {r.item_id: split(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
