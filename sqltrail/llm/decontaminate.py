@@ -15,8 +15,11 @@ around it. After the join those are compared along the diagonal, and a hit count
 Hits are joined on the hash. A passage that a third of all documents quote is one hash with many document
 rows and one benchmark row, as equal items are one class, and such hashes are salted.
 
-Tokens: text in lower case (ASCII), cut at ASCII characters that are neither letters nor digits.
-Items of fewer than ``MIN_TOKENS`` tokens are no evidence and are not looked for.
+Tokens: text in lower case (ASCII), cut at ASCII characters that are neither letters nor digits and at the
+punctuation, symbols, separators and controls of Unicode. Each character of a script that is written without
+spaces (Chinese, Japanese, Thai, ...) is a token. Items of fewer than ``MIN_TOKENS`` tokens are looked for
+exactly, as a whole sequence of tokens anywhere in a document: one hash for the item, and one row for a document
+that has it, with the number of its places. However short, such an item marks every document with its words.
 
 Defined cases: null and empty texts have no tokens and are clean. Repeated documents are judged each (rows
 of one ``doc_id`` are reported together), null ids are reported as null. Equal items (by tokens) are reported
@@ -25,6 +28,8 @@ under their smallest id. Empty tables give an empty result. Other columns are no
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +44,7 @@ from .common import hot_keys, salted_join, stored
 LONG = {g: (3, (0, 3 * g)) for g in range(1, 6)}
 SHORT = {10 * a + b: (2, (0, 2 * a, 2 * (a + b))) for a, b in ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2))}
 LONG_TOKENS, MIN_TOKENS = 15, 8
+EXACT = {100 + n: (n, (0,)) for n in range(1, MIN_TOKENS)}
 WINDOW, IDENTITY = 20, 0.8
 MAX_BITS, BITS_EACH = 1 << 27, 1024
 KNOWN_WORDS = 200_000
@@ -46,6 +52,28 @@ _OTHER = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lo
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
+#: Scripts without spaces between words, as ranges of code points.
+_UNSPACED = re.compile(
+    "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u2e80-\u2fdf\u3005-\u3007\u3021-\u30ff\u3105-\u312f\u31a0-\u31bf"
+    "\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001aff0-\U0001b16f\U00020000-\U0003ffff]"
+)
+
+
+class _Spacing(dict):
+    """By code point what stands for a character: a space, itself, or itself between spaces."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        cut = code >= 128 and (unicodedata.category(char)[0] in "PSZ" or unicodedata.category(char) == "Cc" or char == "\u200b")
+        self[code] = value = " " if cut else f" {char} " if _UNSPACED.match(char) else char
+        return value
+
+
+_spacing = _Spacing()
+#: What the spacing changes; beyond the first plane it is asked about every character.
+_SPACED = re.compile("[" + "".join(f"\\U{c:08x}" for c in range(128, 0x10000) if _spacing[c] != chr(c)) + "\U00010000-\U0010ffff]")
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KNOWN_WORDS:
@@ -57,9 +85,17 @@ class _Words(dict):
 _words = _Words()
 
 
+def split(text: str | None) -> list[bytes]:
+    """The tokens of a text."""
+    text = text or ""
+    if not text.isascii() and _SPACED.search(text):
+        text = text.translate(_spacing)
+    return text.encode().translate(_OTHER).split()
+
+
 def tokens(text: str | None) -> np.ndarray:
     """Hash of each token of a text."""
-    words = (text or "").encode().translate(_OTHER).split()
+    words = split(text)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
@@ -75,7 +111,9 @@ def _mixed(parts: list[np.ndarray], number: int) -> np.ndarray:
 
 def masks(n_tokens: int) -> dict[int, tuple[int, tuple[int, ...]]]:
     """The masks for an item of so many tokens."""
-    return {} if n_tokens < MIN_TOKENS else SHORT if n_tokens < LONG_TOKENS else LONG
+    if n_tokens < MIN_TOKENS:
+        return {n: mask for n, mask in EXACT.items() if mask[0] == n_tokens}
+    return SHORT if n_tokens < LONG_TOKENS else LONG
 
 
 def seeds(token: np.ndarray, numbered: dict[int, tuple[int, tuple[int, ...]]]) -> Iterator[tuple[int, np.ndarray]]:
@@ -121,7 +159,7 @@ def item_classes(items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words = batch["text"].map(lambda t: b" ".join((t or "").encode().translate(_OTHER).split()).decode("utf-8", "replace"))
+            words = batch["text"].map(lambda t: b" ".join(split(t)).decode("utf-8", "replace"))
             yield pd.DataFrame({"item_id": batch["item_id"], "text": words})
 
     return items.select(F.col("item_id").cast("long"), "text").mapInPandas(run, "item_id long, text string").groupBy("text").agg(F.min("item_id").alias("item_id"))
@@ -174,7 +212,7 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, identity:
     known = stored(item_seeds(item_classes(items), window), "benchmark-seeds")
     flat, power = bitmap(known.select("hash").distinct())
     used = {r.mask for r in known.select("mask").distinct().collect()}
-    numbered = {number: mask for number, mask in (SHORT | LONG).items() if number in used}
+    numbered = {number: mask for number, mask in (EXACT | SHORT | LONG).items() if number in used}
     shared = context.broadcast(flat)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -184,11 +222,17 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, identity:
             rows, size = [], 0
             for doc, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True):
                 token = tokens(text)
-                for _, found in seeds(token, numbered):
-                    at = _in_bitmap(found, bits, power)
+                for number, found in seeds(token, numbered):
+                    at = last = _in_bitmap(found, bits, power)
+                    places = np.ones(len(at), np.int64)
+                    if number in EXACT and len(at):  # the places of an exact hash differ in nothing
+                        _, first, group, places = np.unique(found[at], return_index=True, return_inverse=True, return_counts=True)
+                        last = np.zeros(len(first), np.int64)
+                        np.maximum.at(last, group, at)
+                        at = at[first]
                     for i in range(0, len(at), 5_000):
                         some = at[i : i + 5_000]
-                        rows.append((doc, found[some].view(np.int64), some, _around(token, some, window)))
+                        rows.append((doc, found[some].view(np.int64), some, _around(token, some, window), last[i : i + 5_000], places[i : i + 5_000]))
                         size += len(some)
                         if size > 20_000:
                             yield _hits(rows)
@@ -201,25 +245,28 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, identity:
         doc = pd.Series(np.repeat(np.array([r[0] for r in rows] + [None], object)[:-1], counts), dtype=object)
         doc = doc.where(doc.notna(), None)
         around = np.concatenate([r[3] for r in rows])
-        return pd.DataFrame({"doc_id": doc, "hash": np.concatenate([r[1] for r in rows]), "doc_at": np.concatenate([r[2] for r in rows]).astype(np.int32), "around": [x.tobytes() for x in around]})
+        return pd.DataFrame({"doc_id": doc, "hash": np.concatenate([r[1] for r in rows]), "doc_at": np.concatenate([r[2] for r in rows]).astype(np.int32),
+                             "doc_last": np.concatenate([r[4] for r in rows]).astype(np.int32), "places": np.concatenate([r[5] for r in rows]), "around": [x.tobytes() for x in around]})
 
-    hits = docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, hash long, doc_at int, around binary")
+    hits = docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, hash long, doc_at int, doc_last int, places long, around binary")
     hits = stored(hits, "benchmark-hits")
     counts = stored(hits.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "benchmark-hit-counts")
     pairs = salted_join(hits, known, ["hash"], ["doc_id", "doc_at"], hot_keys(counts, ["hash"], "n"), "inner")
-    pairs = pairs.select("doc_id", "doc_at", "around", "item_id", "item_at", "item_tokens", "item_around")
+    pairs = pairs.select("doc_id", "doc_at", "doc_last", "places", "around", "item_id", "item_at", "item_tokens", "item_around")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
-            best = _agree(b"".join(batch["around"]), b"".join(batch["item_around"]), window, batch["item_at"].to_numpy(), batch["item_tokens"].to_numpy(), identity)
+            size = batch["item_tokens"].to_numpy()
+            best = _agree(b"".join(batch["around"]), b"".join(batch["item_around"]), window, batch["item_at"].to_numpy(), size, identity)
+            best = np.where((size < MIN_TOKENS) & (best < 1), 0, best)
             kept = batch[best > 0]
-            yield pd.DataFrame({"doc_id": kept["doc_id"], "item_id": kept["item_id"], "doc_at": kept["doc_at"], "identity": best[best > 0]})
+            yield pd.DataFrame({"doc_id": kept["doc_id"], "item_id": kept["item_id"], "doc_at": kept["doc_at"], "doc_last": kept["doc_last"], "places": kept["places"], "identity": best[best > 0]})
 
-    checked = pairs.mapInPandas(verify, f"doc_id {kind}, item_id long, doc_at int, identity double")
+    checked = pairs.mapInPandas(verify, f"doc_id {kind}, item_id long, doc_at int, doc_last int, places long, identity double")
     return checked.groupBy("doc_id", "item_id").agg(
-        F.count(F.lit(1)).alias("n_hits"), F.min("doc_at").alias("first_token"), F.max("doc_at").alias("last_token"), F.max("identity").alias("identity")
+        F.sum("places").alias("n_hits"), F.min("doc_at").alias("first_token"), F.max("doc_last").alias("last_token"), F.max("identity").alias("identity")
     )
 
 

@@ -278,6 +278,26 @@ def test_substituted_items_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(d, d // 1000) for d, _ in docs}
 
 
+def test_tokens_of_any_script(spark):
+    words = lambda t: [w.decode() for w in decontaminate.split(t)]
+    assert words("It’s “an” Été—Ok… naïve_x\u00a0y\u3000z") == ["it", "s", "an", "Été", "ok", "naïve", "x", "y", "z"]
+    assert words("水は低い、ＡＢ。ไทย 𠀋😀a 한국 ① हिन्दी") == [*"水は低い", "ＡＢ", *"ไทย", "𠀋", "a", "한국", "①", "हिन्दी"]
+    assert words(None) == words("、。") == [] and all(words(" ".join(words(t))) == words(t) for t in ("“中文”—ab’c", "ไทย"))
+
+
+def test_short_and_unspaced_items_are_found(spark):
+    chinese = "光合作用是植物把光能变成化学能的过程，它在叶绿体中进行。"
+    items = [(1, chinese), (2, "Capital of “Peru”?"), (3, "lima"), (4, "、"), (5, "LIMA!"), (6, "of peru capital")]
+    docs = [(1, f"老师说：「{chinese}」大家记住了。"), (2, "老师说光合作用是植物把光能转成化学能的过程它在叶绿体中进行大家"), (3, "the capital—of ‘Peru’ and the capital of Peru"), (4, "capital of all Peru"),
+            (5, "Lima"), (6, "limas"), (7, "光合作用"), (8, "capital of"), (None, "lima, lima")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.overlaps(table, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (5, 3), (None, 3)}
+    assert [tuple(got[3, 2])[2:], tuple(got[None, 3])[2:]] == [(2, 1, 6, 1.0), (2, 0, 1, 1.0)]
+    assert {r.doc_id for r in decontaminate.decontaminate(table, bench).collect()} == {4, 6, 7, 8}
+
+
 def test_decontamination_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = {r.item_id: split(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
