@@ -9,6 +9,12 @@ else the nearer, and of two equally near ones, good.
 A page that has ``article`` or ``main`` elements speaks of its article there: outside them every block
 is bad, and inside them a block is never bad for its words alone, so an article in a language without
 known stop words, a list of figures or a one-word paragraph is kept. On other pages the words decide.
+Linked blocks of an article stay open; where nothing near is decided, linked headings are good and others bad.
+
+Words in class and id names hint at boilerplate, but not after words such as ``no`` or ``has`` and not before
+words such as ``open``, which tell of the page's layout. A hinted element is a guess: on a page without an article
+elsewhere it is taken back where the element encloses an article that has most of the page's text, or, if the
+hint is one of layout, where it holds most of the long prose.
 
 Pages are rows: each is read whole by one task and nothing is shuffled.
 
@@ -50,6 +56,14 @@ _HINTS = frozenset(
     navigation breadcrumb breadcrumbs masthead header footer comment comments disqus reply replies related recommended
     share sharing social toolbar pagination pager login signup search skip hidden copyright disclaimer""".split()
 )
+#: Of the hints, those that no amount of prose takes back.
+_STRICT = frozenset(
+    """ad ads adv advert adverts advertisement adbox sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal
+    newsletter comment comments disqus reply replies related recommended login signup hidden copyright disclaimer""".split()
+)
+#: Before a hint, after it: the name tells of the layout around the content, or of the content's own header.
+_LAYOUT, _STATES = frozenset("no not non has have with without".split()), frozenset("open closed enabled disabled active inactive on off visible".split())
+_CONTENT, _TITLES = frozenset("entry post article content story".split()), frozenset("header masthead".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _COMMENTS = frozenset("comment comments reply replies".split())
 _TAG = re.compile(
@@ -60,14 +74,21 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[a-z]+")
+SOFT, STRICT, COMMENTS, HARD = 1, 2, 3, 4
 
 
 @dataclass
 class Block:
-    """Text of one block and what stands around it."""
+    """Text of one block and what stands around it.
+
+    ``wrapper`` is the innermost hinted element around a block that is boilerplate by hints alone (its kind),
+    ``held`` says that an article in it encloses the block.
+    """
 
     boiler: bool
     inside: bool
+    wrapper: list[int] | None
+    held: bool
     heading: bool
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
@@ -75,35 +96,52 @@ class Block:
     good: bool | None = None
 
 
-def _is_boiler(name: str, attributes: str, inside: bool) -> bool:
+def _hints(value: str, known: frozenset[str], inside: bool) -> set[str]:
+    """The hints of a class or id."""
+    found = set()
+    for name in value.split():
+        words = _NAME.findall(name)
+        if not words or words[-1] in _STATES:
+            continue
+        for i, word in enumerate(words):
+            if word in _LAYOUT:
+                break
+            if word in known and not (word in _TITLES and (inside or (i and words[i - 1] in _CONTENT))):
+                found.add(word)
+    return found
+
+
+def _boiler(name: str, attributes: str, inside: bool) -> int:
+    """0, or how surely an element is boilerplate."""
     if name in _BOILER or (name == "header" and not inside):
-        return True
+        return HARD
     if not attributes or name in ("html", "body", "main"):
-        return False
+        return 0
+    kind = 0
     for a in _ATTRIBUTE.finditer(attributes):
         key, value = a[1].lower(), (a[2] or "").strip("\"'").lower()
         if key == "role":
             if value in _ROLES:
-                return True
+                return HARD
         elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return HARD
         elif key == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
+                return HARD
         elif key in ("class", "id"):
-            words = set(_NAME.findall(value))
-            if words & (_COMMENTS if name == "article" else _HINTS):
-                return True
-    return False
+            if hints := _hints(value, _COMMENTS if name == "article" else _HINTS, inside):
+                kind = max(kind, COMMENTS if hints & _COMMENTS else STRICT if hints & _STRICT else SOFT)
+    return kind
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: name, boilerplate, inside the article
+    # open block elements: name, boilerplate, inside the article, hinted element, inside an article of that
+    stack: list[tuple[str, bool, bool, list[int] | None, bool]] = []
     links = at = breaks = 0
     heading = False
-    block = Block(False, False, False)
+    block = Block(False, False, None, False, False)
 
     def end() -> None:
         nonlocal block
@@ -111,7 +149,7 @@ def blocks(page: str) -> list[Block]:
             block.text = " ".join("".join(block.pieces).split())
             if block.text:
                 found.append(block)
-        block = Block(*(stack[-1][1:] if stack else (False, False)), heading)
+        block = Block(*(stack[-1][1:] if stack else (False, False, None, False)), heading)
 
     def say(text: str) -> None:
         nonlocal breaks
@@ -154,7 +192,7 @@ def blocks(page: str) -> list[Block]:
         if name == "a":
             links = 0 if closing else 1
             continue
-        hinted = name not in _BLOCK and not closing and attributes and name not in _VOID and _is_boiler(name, attributes, bool(stack and stack[-1][2]))
+        hinted = name not in _BLOCK and not closing and attributes and name not in _VOID and _boiler(name, attributes, bool(stack and stack[-1][2]))
         if name not in _BLOCK and not hinted and not (closing and any(e[0] == name for e in stack)):
             continue
         # a block element, or an inline one that is boilerplate by its attributes
@@ -170,26 +208,59 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             if name == "body":
                 stack[:] = [e for e in stack if e[0] == "html"]
-            boiler, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            boiler = boiler or _is_boiler(name, attributes, inside)
-            stack.append((name, boiler, (inside or name in ("article", "main")) and not (boiler and not inside)))
+            boiler, inside, wrapper, held = stack[-1][1:] if stack else (False, False, None, False)
+            kind, main = _boiler(name, attributes, inside or held), name in ("article", "main")
+            if kind == HARD or (boiler and not wrapper):
+                wrapper, held = None, False
+            elif kind:
+                wrapper, held = [kind], False
+            elif wrapper:
+                held = held or main
+            boiler = boiler or kind > 0
+            stack.append((name, boiler, (inside or main) and not (boiler and not inside), wrapper, held))
             heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
         end()
     end()
     return found
 
 
+def _linked(block: Block) -> bool:
+    return block.linked > MAX_LINK_DENSITY * max(1, len(block.text) - block.text.count(" "))
+
+
+def _stops(block: Block) -> float:
+    words = _WORD.findall(block.text.casefold())
+    return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+
+
+def _take_back(found: list[Block]) -> None:
+    """Frees what hints alone call boilerplate, on a page without another article."""
+    spoken = [b for b in found if (b.held or b.wrapper[0] == SOFT if b.wrapper else not b.boiler) and not _linked(b)]
+    prose = [b for b in spoken if len(b.text) > LONG and _stops(b) >= STOP_HIGH]
+    for wrapper in {id(b.wrapper): b.wrapper for b in spoken if b.wrapper}.values():
+        own = [b for b in found if b.wrapper is wrapper]
+        share = sum(len(b.text) for b in spoken if b.wrapper is wrapper and b.held)
+        if wrapper[0] < COMMENTS and 2 * share > sum(len(b.text) for b in spoken):
+            for b in own:
+                b.boiler, b.inside = not b.held, b.held
+        elif wrapper[0] == SOFT and 2 * sum(len(b.text) for b in prose if b.wrapper is wrapper) > sum(len(b.text) for b in prose):
+            for b in own:
+                b.boiler = False
+
+
 def classify(found: list[Block]) -> list[Block]:
     """Sets ``good`` of every block."""
+    if any(b.wrapper for b in found) and not any(b.inside for b in found):
+        _take_back(found)
     has_article = any(b.inside for b in found)
     for b in found:
-        length = len(b.text)
-        dense = b.linked > MAX_LINK_DENSITY * max(1, length - b.text.count(" "))
-        if b.boiler or dense or (has_article and not b.inside):
+        length, dense = len(b.text), _linked(b)
+        if b.boiler or (dense and not b.inside) or (has_article and not b.inside):
             b.good = False
             continue
-        words = _WORD.findall(b.text.casefold())
-        stops = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+        if dense:
+            continue
+        stops = _stops(b)
         if length > LONG and stops >= STOP_HIGH:
             b.good = True
         elif b.inside or b.heading or length < SHORT or stops >= STOP_LOW:
@@ -214,7 +285,7 @@ def classify(found: list[Block]) -> list[Block]:
                 continue
             (p, left), (q, right) = before[i], last
             if left is None and right is None:
-                part[i].good = region or (decided[i] is None and _prose(part[i]))
+                part[i].good = (part[i].heading or not _linked(part[i])) if region else (decided[i] is None and _prose(part[i]))
             elif left is None or right is None:
                 part[i].good = right if left is None else left
             else:

@@ -156,6 +156,26 @@ def test_html_without_article():
     assert html_text.main_text(PAGE).split("\n\n") == [f"{prose} & bold", "Short <one>."]
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "layout-with-header", "share-enabled", "comments-open", "left-sidebar", "page-header"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_html_hints_at_the_layout(name, inner):
+    page = f"<nav>a</nav><div class='{name}'><{inner}><p>{PROSE}</p><div class='ad'>{PROSE}</div></{inner}></div><p>xy</p>"
+    assert html_text.main_text(page).split("\n\n")[0] == PROSE.strip() and html_text.main_text(page).count("The story") == 4
+
+
+def test_html_hints_that_stay():
+    for name in ("cookie-notice", "post-comments", "related"):
+        assert html_text.main_text(f"<div class='{name}'><p>{PROSE}</p></div>") == ""
+        assert html_text.main_text(f"<article><p>own</p></article><div class='{name}'><article><p>{PROSE}</p></article></div>") == "own"
+    assert html_text.main_text(f"<div class='comments'><article><p>{PROSE}</p></article></div>") == ""
+
+
+def test_html_article_headers_and_links():
+    page = f"<article><header class='entry-header'><h1>Title</h1></header><p>{PROSE}</p><p><a href='x'>A linked paragraph</a></p><footer>f</footer></article>"
+    assert html_text.main_text(page) == f"Title\n\n{PROSE.strip()}\n\nA linked paragraph"
+    assert html_text.main_text("<article><h2><a href='x'>Linked</a></h2><p>xyz</p></article>") == "Linked\n\nxyz"
+
+
 def test_html_article_keeps_all_its_blocks():
     page = f"<nav>a</nav><div>{PROSE}</div><article><h1>H</h1><p><b>zz<br>qq<p>1&nbsp; 2\n3<div class='ad'>{PROSE}</div><ul><li><a>l</a></ul><p>xyz</article><footer>{PROSE}</footer>"
     assert html_text.main_text(page) == "H\n\nzz qq\n\n1 2 3\n\nxyz"
