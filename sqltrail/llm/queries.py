@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embedding_dedup, html_text, line_dedup, quality, simhash, token_counts, url_filter, warc
+from . import bpe, decontaminate, embedding_dedup, html_text, line_dedup, prefix_trie, quality, simhash, token_counts, toxicity, url_filter, warc, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,19 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return toxicity.report(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": _op1,
@@ -67,8 +80,11 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": _op8,
         "op9_embedding_near_dedup": _op9,
         "op10_quality_classifier": _op10,
+        "op11_embedding_whitening": _op11,
+        "op12_toxicity": _op12,
+        "op13_conversation_trie": _op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op4_url_filters": url_filter.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op4_url_filters": url_filter.ORACLE, "op13_conversation_trie": prefix_trie.ORACLE}
