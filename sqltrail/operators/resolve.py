@@ -17,14 +17,15 @@ def scope_tables(references: DataFrame, around: DataFrame) -> DataFrame:
 
     Tables inside its derived tables and ON subqueries count too.
     """
-    in_tables = F.col("clause").isin(*tk.TABLE_CLAUSES)
-    direct = references.where(in_tables & F.col("scope").isNotNull()).select("stmt", "scope", "alias", "name", "pos")
+    under = F.col("clause").isin(*tk.TABLE_CLAUSES) & F.col("scope").isNotNull()
+    own = F.when(under, F.array("scope")).otherwise(F.array().cast("array<int>"))
     outer = F.filter("around", lambda p: p.clause.isin(*tk.TABLE_CLAUSES) & p.scope.isNotNull())
-    nested = references.join(
-        around.select("stmt", "qid", F.explode(F.transform(outer, lambda p: p.scope)).alias("outer_scope")),
-        ["stmt", "qid"],
-    ).select("stmt", F.col("outer_scope").alias("scope"), "alias", "name", "pos")
-    return direct.unionByName(nested)
+    scopes = F.concat(own, F.coalesce(F.transform(outer, lambda p: p.scope), F.array().cast("array<int>")))
+    return (
+        references.join(around, ["stmt", "qid"], "left")
+        .select("stmt", "alias", "name", "pos", F.explode(scopes).alias("scope"))
+        .select("stmt", "scope", "alias", "name", "pos")
+    )
 
 
 def column_mentions(lex: DataFrame, tables: DataFrame, around: DataFrame) -> DataFrame:
@@ -130,13 +131,10 @@ def select_items(lex: DataFrame) -> DataFrame:
     )
 
 
-def relation_items(items: DataFrame, lex: DataFrame, ctes: DataFrame, derived: DataFrame) -> DataFrame:
+def relation_items(items: DataFrame, lex: DataFrame) -> DataFrame:
     """Items that are outputs of a CTE or derived table whose body is one plain SELECT."""
-    bodies = (
-        ctes.withColumn("is_cte", F.lit(True))
-        .unionByName(derived.withColumn("is_cte", F.lit(False)))
-        .where(F.col("body").isNotNull())
-        .select("stmt", F.col("body").alias("qid"), F.col("name").alias("relation"), F.col("pos").alias("relation_pos"), "is_cte")
+    bodies = lex.where(F.col("role").isin("cte", "derived") & F.col("alias").isNotNull() & F.col("body").isNotNull()).select(
+        "stmt", F.col("body").alias("qid"), F.col("alias").alias("relation"), F.col("pos").alias("relation_pos"), (F.col("role") == "cte").alias("is_cte")
     )
     unions = lex.where(F.col("own") & (F.col("w") == "SETOP")).select("stmt", "qid").distinct()
     return (
@@ -167,19 +165,17 @@ def last_by_output(projections: DataFrame) -> DataFrame:
     )
 
 
-def projection_map(sources: DataFrame) -> DataFrame:
-    """Every relation output with the column it stands for.
+def numbered_outputs(sources: DataFrame) -> DataFrame:
+    """Relation outputs of a statement numbered: those of derived tables before those of CTEs, then in text order."""
+    order = ("is_cte", "relation_pos", "item", "scope", "relation", "output")
+    return sources.withColumn("number", F.row_number().over(Window.partitionBy("stmt").orderBy(*order)) - 1)
 
-    A derived table maps to what its own SELECT names. A CTE may name a derived table or an
-    earlier CTE, so outputs are numbered in that order and text order, and each CTE output
-    finds the last one before it that it names by a join. Only the numbers are then folded, to
-    the output at the end of each chain, whose own source it is.
-    """
+
+def earlier_outputs(rows: DataFrame) -> DataFrame:
+    """``(stmt, number, parent)``: the output before it that a CTE output names, the last one of a derived table or else of a CTE."""
     c = F.col
-    order = ("is_cte", "relation_pos", "item", "scope", "relation", "output")
-    rows = sources.withColumn("number", F.row_number().over(Window.partitionBy("stmt").orderBy(*order)) - 1)
     named = rows.select("stmt", c("relation").alias("qualifier"), c("output").alias("column"), c("number").alias("earlier"), c("is_cte").alias("from_cte"))
-    parents = (
+    return (
         rows.where("is_cte")
         .select("stmt", "qualifier", "column", "number")
         .join(named, ["stmt", "qualifier", "column"])
@@ -187,22 +183,20 @@ def projection_map(sources: DataFrame) -> DataFrame:
         .groupBy("stmt", "number")
         .agg(F.max_by("earlier", F.struct(~c("from_cte"), "earlier")).alias("parent"))
     )
-    chains = (
-        rows.select("stmt", "number")
-        .join(parents.select("stmt").distinct(), "stmt", "left_semi")
-        .join(parents, ["stmt", "number"], "left")
-        .groupBy("stmt")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "parent"))), lambda x: x.parent).alias("parents"))
-    )
 
-    def follow(roots: Column, parent: Column) -> Column:
-        return F.concat(roots, F.array(F.coalesce(F.get(roots, parent), F.size(roots))))
 
-    roots = F.aggregate("parents", F.array().cast("array<int>"), follow)
-    ends = chains.select("stmt", F.posexplode(roots).alias("number", "root")).where("number != root")
+def projection_map(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Every relation output with the column it stands for.
+
+    A derived table maps to what its own SELECT names. A CTE may name a derived table or an
+    earlier CTE; ``ends`` has the output at the end of such a chain, whose own source it is.
+    """
+    c = F.col
+    root = ends.withColumnRenamed("parent", "root")
     own = rows.select("stmt", c("number").alias("root"), c("base_table").alias("root_table"), c("column").alias("root_column"))
     return (
-        rows.join(ends.join(own, ["stmt", "root"]), ["stmt", "number"], "left")
+        rows.join(root, ["stmt", "number"], "left")
+        .join(own, ["stmt", "root"], "left")
         .select(
             "stmt", "is_cte", "relation_pos", "item", "scope", "relation", "output", "calc",
             F.coalesce("root_table", "base_table").alias("source_table"),

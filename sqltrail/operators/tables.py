@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqltrail.functions.text import sorted_set
@@ -46,39 +48,27 @@ def outer_marks(texts: DataFrame) -> DataFrame:
     )
 
 
-def enclosing_scopes(lex: DataFrame) -> DataFrame:
+def enclosing_scopes(lex: DataFrame, write: Callable[[int, DataFrame], DataFrame]) -> DataFrame:
     """For each subquery, where it and the queries around it stand: ``(stmt, qid, around)``.
 
-    ``around`` runs from the outermost query inwards. Subqueries of one statement are
-    folded in text order with a stack; only their opening brackets are gathered, so an
-    array is bounded by the text of its own row.
+    ``around`` runs from the outermost query inwards. A subquery knows the one around it; each round
+    puts the list of that one before its own and goes on where that one ends, so the rounds
+    grow with the logarithm of the nesting. ``write(step, df)`` stores a round.
     """
-    opens = (
-        lex.where("opens_query")
-        .groupBy("stmt")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct("pos", "sd", F.struct("scope", "clause", "item", "join_type").alias("place"))
-                )
-            ).alias("opens")
-        )
-    )
-
-    def push(acc: Column, bracket: Column) -> Column:
-        stack = F.concat(F.slice(acc.stack, F.lit(1), bracket.sd), F.array(bracket.place)).cast(AROUND)
-        return F.struct(
-            stack.alias("stack"),
-            F.concat(acc.done, F.array(F.struct(bracket.pos.alias("qid"), stack.alias("around")))).alias("done"),
-        )
-
-    empty = F.struct(
-        F.array().cast(AROUND).alias("stack"),
-        F.array().cast(f"array<struct<qid:int,around:{AROUND}>>").alias("done"),
-    )
-    return opens.select(
-        "stmt", F.inline_outer(F.aggregate("opens", empty, push, lambda acc: acc.done))
+    place = F.struct("scope", "clause", "item", "join_type")
+    step = 0
+    now = write(
+        step,
+        lex.where("opens_query").select(
+            "stmt", F.col("pos").alias("qid"), F.when(F.col("qid") >= 0, F.col("qid")).alias("outer"), F.array(place).cast(AROUND).alias("around")
+        ),
     )
+    while not now.where("outer IS NOT NULL").isEmpty():
+        step += 1
+        further = now.select("stmt", F.col("qid").alias("outer"), F.col("outer").alias("beyond"), F.col("around").alias("before"))
+        longer = F.when(F.col("before").isNull(), F.col("around")).otherwise(F.concat("before", "around"))
+        now = write(step, now.join(further, ["stmt", "outer"], "left").select("stmt", "qid", F.col("beyond").alias("outer"), longer.alias("around")))
+    return now.select("stmt", "qid", "around")
 
 
 def table_references(lex: DataFrame) -> DataFrame:
@@ -126,11 +116,8 @@ def classify_references(references: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def upsert_tables(references: DataFrame, ctes: DataFrame, derived: DataFrame) -> DataFrame:
-    """One row per schema, name and type; aliases united, first join type kept.
-
-    ``rank`` is the order in which the rows were found: CTEs, references, subqueries.
-    """
+def found_tables(references: DataFrame, ctes: DataFrame, derived: DataFrame) -> DataFrame:
+    """Every table, CTE and subquery as it was found, by ``step`` (CTEs, references, subqueries) and ``pos``."""
 
     def named(df: DataFrame, label: str, step: int) -> DataFrame:
         return df.select(
@@ -147,9 +134,16 @@ def upsert_tables(references: DataFrame, ctes: DataFrame, derived: DataFrame) ->
     found = references.select(
         "stmt", "schema", "name", "table_type", "alias", "join_type", F.lit(1).alias("step"), "pos"
     )
-    rows = named(ctes, CTE, 0).unionByName(found).unionByName(named(derived, SUBQUERY, 2))
+    return named(ctes, CTE, 0).unionByName(found).unionByName(named(derived, SUBQUERY, 2))
+
+
+def upsert_tables(found: DataFrame) -> DataFrame:
+    """One row per schema, name and type; aliases united, first join type kept.
+
+    ``rank`` is the order in which the rows were found.
+    """
     position = F.struct("step", "pos")
-    return rows.groupBy("stmt", "schema", "name", "table_type").agg(
+    return found.groupBy("stmt", "schema", "name", "table_type").agg(
         sorted_set(F.collect_set("alias")).alias("aliases"),
         F.min_by("join_type", F.when(F.col("join_type").isNotNull(), position)).alias("join_type"),
         F.min(position).alias("rank"),

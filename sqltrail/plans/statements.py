@@ -60,16 +60,6 @@ def token_partitions(text_bytes: int, at_least: int) -> int:
     return min(MAX_TASKS, max(at_least, -(-text_bytes // TEXT_BYTES_PER_TASK)))
 
 
-def with_tokens(texts: DataFrame, partitions: int) -> DataFrame:
-    """``(stmt, dialect, tokens)`` partitioned by statement.
-
-    The exchange moves token arrays, which are far smaller than token rows. The
-    number of partitions is given, as the size of the text says little about what the
-    windows after it have to sort.
-    """
-    return texts.select("stmt", "dialect", "tokens").repartition(partitions, "stmt")
-
-
 def hot_statements(texts: DataFrame, bucket_rows: int) -> DataFrame:
     """Texts with more copies than one bucket takes, and how many buckets each needs."""
     copies = max(1, bucket_rows // FACTS)

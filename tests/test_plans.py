@@ -1,14 +1,16 @@
 """Copies, skew, layout and the plans behind them."""
 
+import random
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sqltrail import Analysis
-from sqltrail.operators import tokens as tk
 from sqltrail.plans import statements as st
-from sqltrail.plans.stages import shared_folder
+from sqltrail.plans.numbering import numbered
+from sqltrail.plans.stages import Stages, chain_ends, shared_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,11 +78,69 @@ def test_copies_are_counted_before_the_exchange(spark):
     assert text.count("partial_count") >= 1
 
 
-def test_token_stage_has_one_exchange(spark):
-    lex = tk.lexemes(entry._analysis(spark, SF).tokenised)
-    physical = lex._jdf.queryExecution().executedPlan().toString()
-    assert physical.count("Exchange hashpartitioning") == 1
-    assert "BatchEvalPython" not in physical and "ArrowEvalPython" not in physical
+def test_stages_are_co_located(spark, monkeypatch):
+    """Every stage moves rows once at most, without broadcasts, and no setting of the session changes."""
+    monkeypatch.setattr(Stages, "write", counted_write)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    settings = spark.conf.getAll
+    analysis = Analysis(log(spark))
+    analysis.enriched
+    assert spark.conf.getAll == settings
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plans = analysis.stages.plans
+    moved = {name: text.count("Exchange ") for name, text in plans.items()}
+    assert {"lexemes", "items", "base_mentions", "outputs", "projections", "mentions", "references", "enriched"} <= {n for n, m in moved.items() if m == 0}
+    assert max(moved.values()) == 1 and {n for n, m in moved.items() if m} <= {"distinct", "texts", "columns", "tables"}
+    assert not any("BatchEvalPython" in text or "ArrowEvalPython" in text for text in plans.values())
+    analysis.release()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(analysis.stages._name)]
+
+
+def counted_write(self, name, build, buckets=None, write=Stages.write):
+    """Keeps the plan of each stage."""
+    if name not in self._written:
+        df = build()
+        vars(self).setdefault("plans", {})[name] = df._jdf.queryExecution().executedPlan().toString()
+        write(self, name, lambda: df, buckets)
+
+
+def test_chains_are_followed_in_few_rounds(spark, tmp_path):
+    def write(step, df):
+        df.coalesce(1).write.parquet(str(tmp_path / str(step)))
+        return spark.read.parquet(str(tmp_path / str(step)))
+
+    links = [("s", i, i - 1) for i in range(1, 1000)] + [("t", 5, 2), ("t", 9, 5), ("u", 1, 0)]
+    ends = chain_ends(spark.createDataFrame(links, "stmt string, number int, parent int"), write)
+    assert sorted(map(tuple, ends.collect())) == sorted([("s", i, 0) for i in range(1, 1000)] + [("t", 5, 2), ("t", 9, 2), ("u", 1, 0)])
+    assert len(list(tmp_path.iterdir())) <= 13
+
+
+def test_row_numbers_need_no_single_task(spark):
+    chance = random.Random(1)
+    keyed = [(chance.choice("aab"), chance.randrange(1000), i) for i in range(3000)] + [("c", 7, -1)]
+    df = spark.createDataFrame(keyed, "k string, v int, i int").repartition(7)
+    whole = numbered(df, [], [F.col("v"), F.col("i")], lambda x: x.cache())
+    assert [r.number for r in whole.orderBy("v", "i").collect()] == list(range(3001))
+    each = numbered(df, ["k"], [F.col("v").desc(), F.col("i")], lambda x: x.cache())
+    for key in "abc":
+        mine = sorted((r for r in each.collect() if r.k == key), key=lambda r: (-r.v, r.i))
+        assert [r.number for r in mine] == list(range(len(mine)))
+    assert numbered(df.limit(0), ["k"], [F.col("v")], lambda x: x).count() == 0
+
+
+def test_wide_statements_take_little_time(spark):
+    """20,000 columns through two CTEs."""
+    wide = ", ".join(f"t.c{i}" for i in range(20_000))
+    again = ", ".join(f"p.c{i} AS d{i}" for i in range(20_000))
+    sql = f"WITH p AS (SELECT {wide} FROM t), q AS (SELECT {again} FROM p) SELECT q.d7 FROM q"
+    analysis = Analysis(spark.createDataFrame([(1, sql, "oracle")], "query_id int, sql string, dialect string"))
+    analysis.base_mentions, analysis.items
+    start = time.perf_counter()
+    projections = analysis.projections
+    assert time.perf_counter() - start < 20
+    assert projections.where("source_table = 't'").count() == 40_000
+    analysis.release()
 
 
 def test_token_tasks_follow_the_text_size():
