@@ -8,10 +8,16 @@ min(``WINDOW``, item length) tokens leaves one mask untouched (other windows or
 Benchmark items are hashed at every position under each mask;
 documents likewise, whole. A document's hash first has to be in a bitmap of the benchmark's hashes, whose
 size is bounded (``MAX_BITS``) and which only saves work: what passes meets the benchmark in an ordinary join,
-so nothing depends on the bitmap's precision or on the benchmark's size. Each hash carries the tokens
+so nothing depends on the bitmap's precision. A benchmark too large for one bitmap is scanned for in several passes, each for a share of the hashes. Each hash carries the tokens
 around it. After the join those are compared along the diagonal, and a hit counts if some window of
 ``window`` tokens around it (or the whole item, if that is shorter) agrees in ``identity`` of its places.
 
+Items may share a question's stem, and documents hold it that quote no item. A seed of more than ``SHARED`` items is therefore
+joined on one more token: a window with no more substitutions than it may have agrees in some of its tokens that few of these items have
+at that place, if it has more of such tokens than substitutions. Documents and items meet on (seed, place, token) of such tokens only, so a document
+meets at most ``SHARED`` items for each token around it, and each pair is compared once. Items with fewer rare tokens in some
+window (nearly the whole window is common to many items, and a document with it does overlap with many) are joined on the seed.
+
 Hits are joined on the hash. A passage that a third of all documents quote is one hash with many document
 rows and one benchmark row, as equal items are one class, and such hashes are salted.
 
@@ -46,7 +52,9 @@ SHORT = {10 * a + b: (2, (0, 2 * a, 2 * (a + b))) for a, b in ((1, 1), (1, 2), (
 LONG_TOKENS, MIN_TOKENS = 15, 8
 EXACT = {100 + n: (n, (0,)) for n in range(1, MIN_TOKENS)}
 WINDOW, IDENTITY = 20, 0.8
-MAX_BITS, BITS_EACH = 1 << 27, 1024
+MAX_BITS, BITS_EACH, LEAST_BITS = 1 << 27, 1024, 16
+#: Items that may share a seed, or a token beside a shared seed, before other tokens are asked for.
+SHARED = 32
 KNOWN_WORDS = 200_000
 _OTHER = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -136,6 +144,7 @@ def _around(token: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
 
 
 _ITEM = "hash long, mask int, item_id long, item_at int, item_tokens int, item_around binary"
+_PAIR = ["doc_id", "doc_at", "doc_last", "places", "around", "item_id", "item_at", "item_tokens", "item_around"]
 
 
 def item_seeds(items: DataFrame, window: int) -> DataFrame:
@@ -206,17 +215,64 @@ def _agree(left: bytes, right: bytes, window: int, item_at: np.ndarray, item_tok
     return np.where(best >= identity - 1e-9, best, 0)
 
 
+def _tokens_around(rows: DataFrame, column: str, keep: list[str], window: int) -> DataFrame:
+    """The tokens around each seed as rows: ``place`` (from the context's start) and ``token``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            around = np.frombuffer(b"".join(batch[column]), np.int32).reshape(-1, 2 * window)
+            row, place = np.nonzero(around)
+            yield batch[keep].iloc[row].assign(place=place.astype(np.int32), token=around[row, place])
+
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
+    return rows.select(*keep, column).mapInPandas(run, f"{fields}place int, token int")
+
+
+def _pairs(hits: DataFrame, known: DataFrame, window: int, identity: float) -> DataFrame:
+    """Seeds of documents and items to be compared: those of one hash or, where many items share it, of one more rare token."""
+    shared = known.groupBy("hash").agg(F.count(F.lit(1)).alias("items")).where(F.col("items") > SHARED).select("hash")
+    if shared.isEmpty():
+        return _by_hash(hits, known)
+    shared = stored(shared, "shared-seeds")
+    crowd = known.where(F.col("item_tokens") >= MIN_TOKENS).join(shared, "hash", "left_semi")
+    tokens = stored(_tokens_around(crowd, "item_around", ["seed", "hash"], window), "shared-seed-tokens")
+    place = ["hash", "place", "token"]
+    rare = tokens.join(tokens.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SHARED).drop("n"), place)
+    held = crowd.join(rare.groupBy("seed").agg(F.collect_list("place").alias("rare")), "seed")
+    # windows as in _agree: each has to hold more rare tokens than it may have substitutions
+    size = F.least(F.lit(window), F.col("item_tokens"))
+    low, high = F.greatest(window - size + 1, window - F.col("item_at")), F.least(F.lit(window), window - F.col("item_at") + F.col("item_tokens") - size)
+    allowed = size - F.ceil(F.lit(identity) * size - F.lit(1e-9))
+    enough = F.forall(F.sequence(low, high), lambda start: F.size(F.filter("rare", lambda at: (at >= start) & (at < start + size))) > allowed)
+    apart = stored(held.where(enough).select("seed"), "rare-seeds")
+    direct = _by_hash(hits, known.join(apart, "seed", "left_anti"))
+    crowded = hits.join(shared, "hash", "left_semi")
+    asked = stored(_tokens_around(crowded, "around", ["hit", "hash"], window), "shared-hit-tokens")
+    asked = asked.join(rare.select(*place).distinct(), place, "left_semi")
+    hot = hot_keys(stored(asked.groupBy(*place).agg(F.count(F.lit(1)).alias("n")), "shared-hit-counts"), place, "n")
+    met = salted_join(asked, rare.join(apart, "seed", "left_semi"), place, ["hit"], hot, "inner").select("hit", "seed").distinct()
+    met = stored(met, "rare-pairs")
+    hot = hot_keys(stored(met.groupBy("seed").agg(F.count(F.lit(1)).alias("n")), "rare-pair-counts"), ["seed"], "n")
+    through = salted_join(met, known.drop("hash", "mask"), ["seed"], ["hit"], hot, "inner").join(hits.drop("hash"), "hit")
+    return direct.unionByName(through.select(*_PAIR))
+
+
+def _by_hash(hits: DataFrame, known: DataFrame) -> DataFrame:
+    counts = stored(hits.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "benchmark-hit-counts")
+    return salted_join(hits, known, ["hash"], ["doc_id", "doc_at"], hot_keys(counts, ["hash"], "n"), "inner").select(*_PAIR)
+
+
 def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, identity: float = IDENTITY) -> DataFrame:
     """Per document and item class that overlap: hits that count, first and last token of the hits, best identity."""
     context = docs.sparkSession.sparkContext
-    known = stored(item_seeds(item_classes(items), window), "benchmark-seeds")
-    flat, power = bitmap(known.select("hash").distinct())
+    known = stored(item_seeds(item_classes(items), window).withColumn("seed", F.monotonically_increasing_id()), "benchmark-seeds")
+    seeds_ = known.select("hash").distinct()
+    passes = max(1, -(-seeds_.count() * LEAST_BITS // MAX_BITS))
     used = {r.mask for r in known.select("mask").distinct().collect()}
     numbered = {number: mask for number, mask in (EXACT | SHORT | LONG).items() if number in used}
-    shared = context.broadcast(flat)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.DataFrame], shared, power: int, turn: int) -> Iterator[pd.DataFrame]:
         bits = np.frombuffer(shared.value, np.uint32)
         for batch in batches:
             rows, size = [], 0
@@ -224,6 +280,8 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, identity:
                 token = tokens(text)
                 for number, found in seeds(token, numbered):
                     at = last = _in_bitmap(found, bits, power)
+                    if passes > 1:
+                        at = last = at[found[at].view(np.int64) % passes == turn]
                     places = np.ones(len(at), np.int64)
                     if number in EXACT and len(at):  # the places of an exact hash differ in nothing
                         _, first, group, places = np.unique(found[at], return_index=True, return_inverse=True, return_counts=True)
@@ -248,11 +306,14 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, identity:
         return pd.DataFrame({"doc_id": doc, "hash": np.concatenate([r[1] for r in rows]), "doc_at": np.concatenate([r[2] for r in rows]).astype(np.int32),
                              "doc_last": np.concatenate([r[4] for r in rows]).astype(np.int32), "places": np.concatenate([r[5] for r in rows]), "around": [x.tobytes() for x in around]})
 
-    hits = docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, hash long, doc_at int, doc_last int, places long, around binary")
-    hits = stored(hits, "benchmark-hits")
-    counts = stored(hits.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "benchmark-hit-counts")
-    pairs = salted_join(hits, known, ["hash"], ["doc_id", "doc_at"], hot_keys(counts, ["hash"], "n"), "inner")
-    pairs = pairs.select("doc_id", "doc_at", "doc_last", "places", "around", "item_id", "item_at", "item_tokens", "item_around")
+    found = None
+    for turn in range(passes):
+        flat, power = bitmap(seeds_.where(F.pmod("hash", F.lit(passes)) == turn))
+        shared = context.broadcast(flat)
+        one = docs.select("doc_id", "text").mapInPandas(lambda batches, s=shared, p=power, t=turn: scan(batches, s, p, t), f"doc_id {kind}, hash long, doc_at int, doc_last int, places long, around binary")
+        one = stored(one.withColumn("hit", F.monotonically_increasing_id()), "benchmark-hits")
+        found = one if found is None else found.unionByName(one.withColumn("hit", F.col("hit") + F.lit(turn << 58)))
+    pairs = _pairs(found, known, window, identity)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -5,12 +5,14 @@ threshold of each node is the median of a bounded sample (``SAMPLE`` classes, at
 node above it (further down). A vector within the spill margin of a threshold goes to both sides, so
 near vectors part only if a threshold separates them by more than both margins. The depth follows
 from the number of classes, so that leaves keep their expected size however many rows there are. Every vector
-passes every tree of the forest.
+passes every tree of the forest. The deeper the trees, the likelier one of them parts a pair, so their number follows from
+the depth: enough for a pair at the threshold to share a leaf with a chance of ``RECALL``. A narrow margin and more trees
+cost fewer rows than a wide margin: at a depth of 20, some 80 rows a vector.
 
 Within a leaf all classes are compared by their cosine in double precision. A leaf larger than ``BLOCK`` is
 dealt over shares: each of its vectors is an entry of one share and is compared with all of them, so the
-work is split and complete. A pair is counted in the first leaf that both share, known from the
-leaves that each row carries, so pairs never leave a task to be made distinct: a leaf returns
+work is split and complete. A pair is counted in the first leaf that both share, found by sending the vectors that have links
+through the earlier trees once more, so rows carry nothing but the vector and pairs never leave a task to be made distinct: a leaf returns
 the number of links of each vector and the links that join groups in it, a number of rows linear in
 its vectors. Links with a cosine below the threshold are never made.
 
@@ -30,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +40,12 @@ from .common import hot_keys, salted_join, stored, wide_hash
 from .components import Forest, connected_components
 
 COSINE = 0.9
-TREES, LEAF, BLOCK, SAMPLE, SEED = 4, 400, 4_096, 20_000, 11
+LEAF, BLOCK, SAMPLE, SEED = 400, 4_096, 20_000, 11
+#: The chance that a pair at the threshold shares a leaf of the forest.
+RECALL = 0.97
+MOST_TREES = 255
 #: Spill margin, in standard deviations of the projected distance of two vectors at the threshold.
-SPILL = 0.5
+SPILL = 0.25
 #: Levels whose thresholds are kept for each node.
 NODES = 12
 
@@ -113,26 +119,37 @@ def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("vec_id", "key"), classes
 
 
-def _trees(classes: DataFrame, size: int, number: int, cosine: float, trees: int, seed: int) -> list[Tree]:
+def trees_for(depth: int, cosine: float) -> int:
+    """Trees that a pair at the threshold needs to share a leaf with a chance of ``RECALL``.
+
+    A level parts a pair if its threshold falls between the two by more than both margins.
+    """
+    wide = 2 * SPILL
+    beyond = 2 * (math.exp(-wide * wide / 2) / math.sqrt(2 * math.pi) - wide * math.erfc(wide / math.sqrt(2)) / 2)
+    kept = (1 - min(0.9, math.sqrt(max(0.0, 2 - 2 * cosine) / (2 * math.pi)) * beyond)) ** depth
+    return min(MOST_TREES, max(1, math.ceil(math.log(1 - RECALL) / math.log(max(1e-12, 1 - kept))))) if kept < 1 else 1
+
+
+def _trees(classes: DataFrame, size: int, number: int, cosine: float, trees: int | None, seed: int) -> list[Tree]:
     own = classes.where(F.size("v") == size)
     sample = [r.v for r in own.orderBy(F.xxhash64("key")).limit(SAMPLE).select("v").collect()]
     found = units(sample)
     # a level leaves a bit more than half to each side, as what is within the margin goes to both
     share = 0.5 + 0.4 * SPILL * math.sqrt(max(0.0, 2 - 2 * cosine) / size) / max(1e-9, float((found @ np.random.default_rng(seed).normal(size=size) / math.sqrt(size)).std()))
     depth = max(0, math.ceil(math.log(max(1, number / LEAF)) / -math.log(min(0.8, share))))
-    return [grow(found, depth, cosine, seed + t) for t in range(trees)]
+    return [grow(found, depth, cosine, seed + t) for t in range(trees or trees_for(depth, cosine))]
 
 
-_PLACED = "dim int, tree int, leaf long, node long, copies long, places binary, v binary"
+_PLACED = "dim int, tree int, leaf long, node long, copies long, v binary"
 
 
 def _raw_type(classes: DataFrame) -> str:
     return "<f4" if classes.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
 
 
-def _placed(classes: DataFrame, forests: dict[int, list[Tree]]) -> DataFrame:
-    """A row for each leaf that a class comes to; ``places``: hashes of all its leaves, in order."""
-    shared, kind = classes.sparkSession.sparkContext.broadcast(forests), _raw_type(classes)
+def _placed(classes: DataFrame, shared: Broadcast) -> DataFrame:
+    """A row for each leaf that a class comes to."""
+    kind = _raw_type(classes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees_of = shared.value
@@ -141,18 +158,11 @@ def _placed(classes: DataFrame, forests: dict[int, list[Tree]]) -> DataFrame:
                 for at in range(0, len(some), 1_000):
                     part = some.iloc[at : at + 1_000]
                     vectors = units(part["v"].tolist())
-                    found = [(t, *tree.leaves(vectors)) for t, tree in enumerate(trees_of[size])]
-                    row = np.concatenate([r for _, r, _ in found])
-                    tree = np.concatenate([np.full(len(r), t, np.int32) for t, r, _ in found])
-                    leaf = np.concatenate([n for _, _, n in found])
-                    order = np.lexsort((leaf, tree, row))
-                    row, tree, leaf = row[order], tree[order], leaf[order]
-                    marks = leaf * 64 + tree  # trees are few
-                    cuts = np.searchsorted(row, np.arange(len(part) + 1))
-                    places = [marks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                    raw = [np.asarray(v, kind).tobytes() for v in part["v"]]
-                    yield pd.DataFrame({"dim": np.full(len(row), size, np.int32), "tree": tree, "leaf": leaf, "node": part["node"].to_numpy()[row], "copies": part["copies"].to_numpy()[row],
-                                        "places": [places[i] for i in row], "v": [raw[i] for i in row]})
+                    nodes, copies = part["node"].to_numpy(), part["copies"].to_numpy()
+                    raw = np.array([np.asarray(v, kind).tobytes() for v in part["v"]], object)
+                    for t, tree in enumerate(trees_of[size]):
+                        row, leaf = tree.leaves(vectors)
+                        yield pd.DataFrame({"dim": np.full(len(row), size, np.int32), "tree": np.full(len(row), t, np.int32), "leaf": leaf, "node": nodes[row], "copies": copies[row], "v": raw[row]})
 
     return classes.select("v", "node", "copies").mapInPandas(run, _PLACED)
 
@@ -160,8 +170,8 @@ def _placed(classes: DataFrame, forests: dict[int, list[Tree]]) -> DataFrame:
 class _Leaf:
     """Entries of one share of a leaf and what its probes have found."""
 
-    def __init__(self, mark: int, cosine: float, kind: str):
-        self.mark, self.cosine, self.kind, self.rows, self.ready = mark, cosine, kind, [], False
+    def __init__(self, trees: list[Tree], tree: int, leaf: int, cosine: float, kind: str):
+        self.trees, self.leaf, self.cosine, self.kind, self.rows, self.ready = trees[: tree + 1], leaf, cosine, kind, [], False
 
     def add(self, rows: pd.DataFrame) -> None:
         self.rows.append(rows)
@@ -173,13 +183,18 @@ class _Leaf:
     def all(self) -> pd.DataFrame:
         return pd.concat(self.rows) if len(self.rows) > 1 else self.rows[0]
 
-    def _earlier(self, rows: pd.DataFrame) -> list[np.ndarray]:
-        """Each vector's leaves before this one, as places are in order of tree and leaf."""
-        out = []
-        for p in rows["places"]:
-            marks = np.frombuffer(p, np.int64)
-            out.append(marks[: int(np.flatnonzero(marks == self.mark)[0])])
-        return out
+    def _earlier(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """Each vector's leaves before this one, in order of tree and leaf."""
+        rows, marks = [], []
+        for t, tree in enumerate(self.trees):
+            row, leaf = tree.leaves(vectors)
+            if t == len(self.trees) - 1:
+                row, leaf = row[leaf < self.leaf], leaf[leaf < self.leaf]
+            rows.append(row)
+            marks.append(leaf * (MOST_TREES + 1) + t)
+        rows, marks = np.concatenate(rows), np.concatenate(marks)
+        order = np.argsort(rows, kind="stable")
+        return np.split(marks[order], np.searchsorted(rows[order], np.arange(1, len(vectors))))
 
     def probe(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Nodes and their number of links; ends of links that join groups."""
@@ -187,12 +202,13 @@ class _Leaf:
             held = self.all()
             self.rows, self.vectors = [held], self._units(held)
             self.nodes, self.copies = held["node"].to_numpy(), held["copies"].to_numpy()
-            self.before, self.forest, self.ready = self._earlier(held), Forest(len(held)), True
+            self.before, self.forest, self.ready = [None] * len(held), Forest(len(held)), True
         nodes, counts, a, b = [], [], [], []
         for at in range(0, len(rows), 512):
             some = rows.iloc[at : at + 512]
             own = some["node"].to_numpy()
-            cosine = self._units(some) @ self.vectors.T
+            probes = self._units(some)
+            cosine = probes @ self.vectors.T
             r, c = np.nonzero(cosine >= self.cosine)
             keep = own[r] != self.nodes[c]
             r, c = r[keep], c[keep]
@@ -200,7 +216,10 @@ class _Leaf:
                 continue
             # of these, the pairs that share no earlier leaf
             near, far = np.unique(r), np.unique(c)
-            mine, theirs = self._earlier(some.iloc[near]), [self.before[i] for i in far]
+            fresh = [i for i in far if self.before[i] is None]
+            for i, marks in zip(fresh, self._earlier(self.vectors[fresh]) if fresh else [], strict=True):
+                self.before[i] = marks
+            mine, theirs = self._earlier(probes[near]), [self.before[i] for i in far]
             marks = np.unique(np.concatenate([*mine, *theirs])) if len(near) else np.zeros(0, np.int64)
             if len(marks):
                 left, right = np.zeros((len(near), len(marks)), np.float32), np.zeros((len(far), len(marks)), np.float32)
@@ -222,7 +241,7 @@ class _Leaf:
         return tuple(np.concatenate(x) if x else empty for x in (nodes, counts, a, b))
 
 
-def _compare(placed: DataFrame, cosine: float, kind: str) -> DataFrame:
+def _compare(placed: DataFrame, shared: Broadcast, cosine: float, kind: str) -> DataFrame:
     """Rows ``a, b, n``: with a null ``b``, n links of node a; else a link.
 
     Roles: 0 an entry of a share, 1 a probe of it, 2 both, in a leaf that is not dealt.
@@ -244,7 +263,7 @@ def _compare(placed: DataFrame, cosine: float, kind: str) -> DataFrame:
                 if key != (now := (dim, tree, number, share)):
                     if whole:
                         yield found(*leaf.probe(leaf.all()))
-                    key, leaf, whole = now, _Leaf(int(number) * 64 + int(tree), cosine, kind), role == 2
+                    key, leaf, whole = now, _Leaf(shared.value[dim], int(tree), int(number), cosine, kind), role == 2
                 some = batch.iloc[s:e]
                 if role == 1:
                     yield found(*leaf.probe(some))
@@ -256,11 +275,12 @@ def _compare(placed: DataFrame, cosine: float, kind: str) -> DataFrame:
     return placed.mapInPandas(run, "a long, b long, n long").where("b IS NOT NULL OR n > 0")
 
 
-def found_links(classes: DataFrame, cosine: float = COSINE, trees: int = TREES, seed: int = SEED) -> DataFrame:
+def found_links(classes: DataFrame, cosine: float = COSINE, trees: int | None = None, seed: int = SEED) -> DataFrame:
     """Stored rows ``a, b, n`` as of ``_compare``, from all leaves of all trees."""
     sizes = classes.groupBy(F.size("v").alias("size")).count().collect()  # one row for each length of vectors
     forests = {r["size"]: _trees(classes, r["size"], r["count"], cosine, trees, seed) for r in sizes}
-    placed = stored(_placed(classes, forests), "vector-places")
+    shared = classes.sparkSession.sparkContext.broadcast(forests)
+    placed = stored(_placed(classes, shared), "vector-places")
     leaves = placed.groupBy("dim", "tree", "leaf").agg(F.count(F.lit(1)).alias("rows"))
     total = leaves.agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar()
     # at most 1 / SHARES of the leaves' rows are in a leaf this large, so the list is bounded
@@ -271,10 +291,10 @@ def found_links(classes: DataFrame, cosine: float = COSINE, trees: int = TREES,
     probes = dealt.where("shares > 1").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("role", F.lit(1))
     place = ["dim", "tree", "leaf", "share"]
     moved = entries.unionByName(probes).drop("shares").repartition(*place).sortWithinPartitions(*place, "role")
-    return stored(_compare(moved, cosine, _raw_type(classes)), "vector-links")
+    return stored(_compare(moved, shared, cosine, _raw_type(classes)), "vector-links")
 
 
-def report(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, seed: int = SEED) -> DataFrame:
+def report(vectors: DataFrame, cosine: float = COSINE, trees: int | None = None, seed: int = SEED) -> DataFrame:
     """Per vector: vectors linked directly, the smallest id reachable by links and whether that is its own."""
     rows, classes = classes_of(vectors)
     found = found_links(classes.select("key", "v", "node", "copies"), cosine, trees, seed)

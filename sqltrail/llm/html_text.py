@@ -16,11 +16,16 @@ words such as ``open``, which tell of the page's layout. A hinted element is a g
 elsewhere it is taken back where the element encloses an article that has most of the page's text, or, if the
 hint is one of layout, where it holds most of the long prose.
 
+A page of which no long block reaches the lower density of stop words is in a language that the list does not know. There length and link
+density decide alone: long blocks and those that end as a sentence are good, others open, and where none is good, all of some
+length are. Characters of scripts without spaces count three times.
+
 Pages are rows: each is read whole by one task and nothing is shuffled.
 
 Defined cases: a null or empty html gives an empty text. A tag cut off at the end of the page is
 dropped, unclosed elements end with the page or with what encloses them, and an unclosed comment,
-script or style reaches to the end. Repeated rows are read each. An empty table gives an empty table.
+script or style reaches to the end. Repeated rows are read each. A very long page is one row and held by one task with its blocks.
+Other columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -74,6 +79,8 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[a-z]+")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_ENDS = re.compile(r"""[.!?…。！？।۔؟։။។][”"'»）)」』]*$""")
 SOFT, STRICT, COMMENTS, HARD = 1, 2, 3, 4
 
 
@@ -253,7 +260,14 @@ def classify(found: list[Block]) -> list[Block]:
     if any(b.wrapper for b in found) and not any(b.inside for b in found):
         _take_back(found)
     has_article = any(b.inside for b in found)
+    foreign = not any(_weight(b) >= SHORT and _stops(b) >= STOP_LOW for b in found if not b.boiler and not _linked(b))
     for b in found:
+        if foreign and not (b.boiler or _linked(b) or (has_article and not b.inside)):
+            sentence = _weight(b) > LONG or (_weight(b) >= SHORT // 2 and _ENDS.search(b.text) is not None)
+            b.good = True if sentence and not b.inside else None
+            if not b.inside and "©" in b.text and len(b.text) < LONG:
+                b.good = False
+            continue
         length, dense = len(b.text), _linked(b)
         if b.boiler or (dense and not b.inside) or (has_article and not b.inside):
             b.good = False
@@ -269,6 +283,10 @@ def classify(found: list[Block]) -> list[Block]:
             b.good = False
         if not b.inside and "©" in b.text and length < LONG:
             b.good = False
+    if foreign and not any(b.good for b in found):
+        for b in found:
+            if b.good is None and not b.inside and not _linked(b) and _weight(b) >= SHORT:
+                b.good = True
     # second pass: nearest decided neighbours of the same region; boilerplate says nothing of an article beside it
     for region in (True, False):
         part = [b for b in found if b.inside == region and not (region and b.good is False)]
@@ -285,7 +303,7 @@ def classify(found: list[Block]) -> list[Block]:
                 continue
             (p, left), (q, right) = before[i], last
             if left is None and right is None:
-                part[i].good = (part[i].heading or not _linked(part[i])) if region else (decided[i] is None and _prose(part[i]))
+                part[i].good = (part[i].heading or not _linked(part[i])) if region else _prose(part[i])
             elif left is None or right is None:
                 part[i].good = right if left is None else left
             else:
@@ -293,6 +311,11 @@ def classify(found: list[Block]) -> list[Block]:
     return found
 
 
+def _weight(block: Block) -> int:
+    """Length, with characters of scripts without spaces counted three times."""
+    return len(block.text) + 2 * len(_UNSPACED.findall(block.text))
+
+
 def _prose(block: Block) -> bool:
     """For a page without any decided block: does the block read as a sentence?"""
     words = _WORD.findall(block.text.casefold())

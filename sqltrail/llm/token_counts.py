@@ -7,7 +7,8 @@ there, and any quantile. The histogram is summed in two steps, within blocks of
 and over the blocks, so no task has to read all lengths of a group.
 
 Defined cases: a null or empty text has length 0. A null group is a group of its own. Repeated rows
-count each. An empty table gives an empty histogram.
+count each. A very long text is encoded whole by one task. Documents of equal length are one row, so ties need no order. Further columns
+are read only if they are named, and may have any name but those starting with ``__``. An empty table gives an empty histogram.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .bpe import encoder
 from .common import stored
 
 BLOCK = 1024
+#: What the report answers for each language and for all documents.
+LIMITS, QUANTILES = (512, 2048, 8192, 32768), (0.5, 0.9, 0.99)
 
 
 def count_tokens(docs: DataFrame, text_column: str = "text", keep: tuple[str, ...] = (), path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -46,8 +49,16 @@ def histogram(counted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     ``docs_total``, ``tokens_total``: of the group; ``tokens_cut``: what the group holds when every
     document is cut at this length.
     """
-    bins = counted.groupBy(*by, "n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
-    bins = stored(bins, "length-bins")  # both uses below would encode the documents anew
+    return suffix_sums(length_bins(counted, by), by)
+
+
+def length_bins(counted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Documents of each length, stored, as each use would encode the documents anew."""
+    return stored(counted.groupBy(*by, "n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "length-bins")
+
+
+def suffix_sums(bins: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The histogram of stored bins, with the suffix sums that ``histogram`` tells of."""
     bins = bins.withColumn("__block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("__tokens", F.col("n_docs") * F.col("n_tokens"))
     blocks = bins.groupBy(*by, "__block").agg(F.sum("n_docs").alias("__d"), F.sum("__tokens").alias("__t"))
     whole = W.partitionBy(*by)
@@ -94,6 +105,29 @@ def quantile(hist: DataFrame, q: float, by: tuple[str, ...] = ()) -> DataFrame:
     return hist.where(reached).groupBy(*by).agg(F.min("n_tokens").alias("n_tokens"))
 
 
+def answers(hist: DataFrame, by: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """A row for each group: documents, tokens, the quantiles, and the tokens left at each limit, all from the suffix sums."""
+    c = F.col
+    known = [F.first("docs_total").alias(f"{prefix}docs"), F.first("tokens_total").alias(f"{prefix}tokens")]
+    for q in QUANTILES:
+        reached = c("docs_total") - c("docs_from") + c("n_docs") >= F.ceil(F.lit(q) * c("docs_total"))
+        known.append(F.min(F.when(reached, c("n_tokens"))).alias(f"{prefix}p{round(100 * q)}"))
+    for limit in LIMITS:
+        longer = c("n_tokens") >= limit
+        next_ = F.min_by(F.when(longer, c("tokens_from") - c("docs_from") * limit), F.when(longer, c("n_tokens")))
+        known.append((F.first("tokens_total") - F.coalesce(next_, F.lit(0))).alias(f"{prefix}cut_{limit}"))
+    return hist.groupBy(*by).agg(*known)
+
+
 def report(docs: DataFrame) -> DataFrame:
-    """The histogram of all documents for each language, with its suffix sums."""
-    return histogram(count_tokens(docs, keep=("lang",)), ("lang",))
+    """The histogram of all documents for each language, with its suffix sums.
+
+    Beside them stand the answers to ``QUANTILES`` and ``LIMITS``, for the language (``lang_...``) and for all documents (``all_...``).
+    """
+    bins = length_bins(count_tokens(docs, keep=("lang",)), ("lang",))
+    hist = suffix_sums(bins, ("lang",))
+    every = suffix_sums(stored(bins.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "all-length-bins"))
+    each = answers(hist, ("lang",), "lang_").withColumnRenamed("lang", "__lang")
+    whole = answers(every, (), "all_").first()  # one row
+    joined = hist.join(each, F.col("lang").eqNullSafe(F.col("__lang"))).drop("__lang")
+    return joined.select("*", *[F.lit(value).cast("long").alias(name) for name, value in whole.asDict().items()])

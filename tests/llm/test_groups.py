@@ -199,11 +199,31 @@ def test_forest_recall(spark, monkeypatch, block):
 
 def test_vector_query(spark):
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
-    got = {r.vec_id: tuple(r) for r in queries.queries()["op9_embedding_near_dedup"](spark, SF).collect()}
-    matrix = np.array([v for _, v in rows])
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    links = (matrix @ matrix.T >= 0.9).sum(1) - 1
-    assert len(got) == len(rows) and sum(r[1] for r in got.values()) >= 0.9 * links.sum()
+    got = [tuple(r) for r in queries.queries()["op9_embedding_near_dedup"](spark, SF).collect()]
+    assert sorted(got) == sorted(brute_vectors(rows))
+
+
+@pytest.mark.parametrize("depth", [8, 14, 20])
+def test_forest_recall_by_depth(depth):
+    """Pairs at the threshold share a leaf however deep the trees are, as their number follows."""
+    chance = np.random.default_rng(depth)
+    size, pairs = 64, 250
+    x = chance.normal(size=(pairs, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = chance.normal(size=x.shape)
+    other -= (other * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    sample = embedding_dedup.units(list(chance.normal(size=(4000, size))))
+    trees = [embedding_dedup.grow(sample, depth, 0.9, 100 + t) for t in range(embedding_dedup.trees_for(depth, 0.9))]
+    met, places = set(), 0
+    for tree in trees:
+        left, right = tree.leaves(x), tree.leaves(y)
+        places += len(left[0])
+        at = set(zip(*left, strict=True))
+        met |= {i for i, leaf in zip(*right, strict=True) if (i, leaf) in at}
+    print(depth, len(trees), places / pairs, len(met) / pairs)
+    assert len(met) >= 0.95 * pairs
+    assert places / pairs * 300 < 40_000  # bytes a vector
 
 
 # ------------------------------------------------------------------ decontamination
@@ -298,6 +318,62 @@ def test_short_and_unspaced_items_are_found(spark):
     assert {r.doc_id for r in decontaminate.decontaminate(table, bench).collect()} == {4, 6, 7, 8}
 
 
+def stems(n, chance):
+    """Items of one common stem of 13 tokens, clean documents that hold it, and one document that quotes an item with substitutions."""
+    word = lambda: "".join(chance.choices("abcdefgh", k=6))
+    stem = [word() for _ in range(13)]
+    tails = [[word() for _ in range(12)] for _ in range(n)]
+    items = [(i, " ".join(stem + tail)) for i, tail in enumerate(tails)]
+    docs = [(i, " ".join([*(word() for _ in range(8)), *stem, *(word() for _ in range(20))])) for i in range(n)]
+    quoted = stem + tails[3]
+    changed = [word() if i in (2, 7, 15, 18) else w for i, w in enumerate(quoted)]
+    return items, [*docs, (-1, " ".join(["x", *changed])), (-2, " ".join(["y"] * 3 + quoted[9:]))]
+
+
+def test_common_stems_make_no_product(spark, monkeypatch):
+    """Rows that are compared grow with the documents, not with documents times items; nothing is missed."""
+    compared = []
+    pairs = decontaminate._pairs
+
+    def counted(*args):
+        found = common.stored(pairs(*args), "pairs")
+        compared.append(found.count())
+        return found
+
+    monkeypatch.setattr(decontaminate, "_pairs", counted)
+    for n in (60, 240):
+        items, docs = stems(n, random.Random(4))
+        got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(-1, 3), (-2, 3)}
+    assert compared[1] <= 4 * max(compared[0], 50)
+
+
+@pytest.mark.parametrize("shared", [2, 1000])
+def test_shared_seeds_against_brute_force(spark, monkeypatch, shared):
+    """Items with common parts of all lengths: rare tokens or not, the same overlaps are found."""
+    monkeypatch.setattr(decontaminate, "SHARED", shared)
+    chance = random.Random(11)
+    word = lambda: "".join(chance.choices("abcd", k=2))
+    parts = [[word() for _ in range(n)] for n in (7, 12, 18, 30)]
+    texts = [chance.choice(parts) + [word() for _ in range(chance.randint(0, 14))] + chance.choice([[], parts[1]]) for _ in range(60)]
+    items = [(i, " ".join(t)) for i, t in enumerate(texts) if len(t) >= 8]
+    docs = []
+    for i in range(60):
+        base = list(chance.choice(texts))
+        for _ in range(chance.randint(0, 6)):
+            base[chance.randrange(len(base))] = word()
+        docs.append((i, " ".join([word() for _ in range(3)] + base + [word() for _ in range(3)])))
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute_overlaps(docs, items)
+
+
+def test_a_large_benchmark_takes_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_BITS", 1 << 12)
+    items, docs = stems(30, random.Random(5))
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(-1, 3), (-2, 3)}
+
+
 def test_decontamination_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = {r.item_id: split(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}

@@ -103,6 +103,36 @@ def test_token_counts_query(spark, reference):
     assert {(r.lang, r.n_tokens): r.n_docs for r in rows} == {(k, n): v.count(n) for k, v in lengths.items() for n in v}
 
 
+def test_token_answers(spark, reference):
+    rows = queries.queries()["op1_token_counts"](spark, SF).collect()
+    lengths = {}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").select("lang", "text").collect():
+        lengths.setdefault(d.lang, []).append(len(reference.encode_ordinary(d.text or "")))
+    every = [n for v in lengths.values() for n in v]
+
+    def least(v, share):
+        return min(x for x in v if sum(y <= x for y in v) >= -(-share * len(v) // 1))
+
+    for r in rows:
+        own = lengths[r.lang]
+        assert r.docs_from == sum(x >= r.n_tokens for x in own) and r.tokens_from == sum(x for x in own if x >= r.n_tokens)
+        assert r.docs_total == len(own) and r.tokens_total == sum(own) and r.tokens_cut == sum(min(x, r.n_tokens) for x in own)
+        for name, v in (("lang", own), ("all", every)):
+            assert [r[f"{name}_docs"], r[f"{name}_tokens"]] == [len(v), sum(v)]
+            assert [r[f"{name}_p{q}"] for q in (50, 90, 99)] == [least(v, q / 100) for q in (50, 90, 99)]
+            assert [r[f"{name}_cut_{x}"] for x in (512, 2048, 8192, 32768)] == [sum(min(y, x) for y in v) for x in (512, 2048, 8192, 32768)]
+
+
+def test_bpe_registered_query(spark, reference):
+    rows = {r.doc_id: r for r in queries.queries()["op6_byte_bpe"](spark, SF).collect()}
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(texts)
+    for d in texts:
+        ids = reference.encode_ordinary(d.text or "")
+        assert tuple(rows[d.doc_id])[1:3] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert rows[d.doc_id].decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
 def brute_lines(rows, least):
     key = lambda x: re.sub("[A-Z]", lambda c: c[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     seen = {}
@@ -181,6 +211,30 @@ def test_html_article_keeps_all_its_blocks():
     assert html_text.main_text(page) == "H\n\nzz qq\n\n1 2 3\n\nxyz"
 
 
+FOREIGN = {
+    "ja": "昨日は朝から雨が降っていたので、私たちは家で本を読んだ。",
+    "ru": "Вчера утром шёл сильный дождь, и мы остались дома читать старые книги.",
+    "el": "άλφα βήτα γάμμα δέλτα έψιλον ζήτα ήτα θήτα γιώτα κάππα λάμδα μι νι ξι όμικρον πι ρο σίγμα ταυ ύψιλον φι χι ψι ωμέγα",
+    "tr": "Dün sabah yağmur yağdı, evde kaldık ve eski kitapları okuduk, sonra çay içtik.",
+    "pl": "Wczoraj rano padał deszcz, zostaliśmy w domu i czytaliśmy stare książki.",
+    "ko": "어제 아침에 비가 많이 와서 우리는 집에서 오래된 책을 읽었습니다.",
+    "th": "เมื่อวานตอนเช้าฝนตกหนักเราจึงอยู่บ้านอ่านหนังสือเก่า",
+    "ar": "هطل المطر صباح أمس فبقينا في البيت وقرأنا كتبا قديمة.",
+}
+
+
+@pytest.mark.parametrize("lang", FOREIGN)
+def test_html_in_any_language(lang):
+    """Sentences apart, and one long paragraph, between menus and links, without ``article``."""
+    sentence = FOREIGN[lang]
+    around = "<nav><ul><li><a href='/'>1</a></li></ul></nav>{}<div><a href='a'>" + sentence + "</a></div><footer>" + sentence + "</footer>"
+    parts = [f"{i} {sentence}" for i in range(10)]
+    assert html_text.main_text(around.format("".join(f"<p>{p}</p>" for p in parts))) == "\n\n".join(parts)
+    whole = " ".join(parts)
+    assert html_text.main_text(around.format(f"<div>{whole}</div>")) == whole
+    assert html_text.main_text(around.format(f"<h1>7 8</h1><p>{whole}</p><div class='comments'><p>{whole}</p></div>")) == f"7 8\n\n{whole}"
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "<script>", "&", "</p></div>", "<p><b", "a<b>c", "<a href='x", "<br><br><br>"])
 def test_html_broken_pages(page):
     assert "<p" not in html_text.main_text(page)
