@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import threading
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from sqltrail.operators import tables as tab
 from sqltrail.plans import reports
 from sqltrail.sinks import writers
 from sqltrail.sources import corpus
-from sqltrail.sources.statements import DIALECTS, normalize_dialect, statements_from_table
+from sqltrail.sources.statements import DIALECTS, normalize_dialect, split_statements, statements_from_table
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 _analyses: dict[tuple[str, str], Analysis] = {}
@@ -41,6 +43,15 @@ def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
         return _analyses[key]
 
 
+@atexit.register
+def _release() -> None:
+    """Delete the stages of the application that is still running."""
+    context = SparkContext._active_spark_context
+    for (application, _), analysis in _analyses.items():
+        if context and application == context.applicationId:
+            analysis.release()
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The most used tables and columns of the log, counted over all its queries."""
     analysis = _analysis(spark, SMOKE_DIR)
@@ -72,6 +83,12 @@ def _corpus(build: Callable[[Analysis], DataFrame]) -> Callable[[SparkSession, s
     return lambda spark, sf_dir: build(_analysis(spark, sf_dir))
 
 
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every statement of the log's scripts as a row."""
+    parts = split_statements(_log(spark, sf_dir))
+    return parts.select(F.col("query_id.id").alias("query_id"), F.col("query_id.part").alias("part"), "sql")
+
+
 def _dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [*DIALECTS, "no such dialect", None]
     picked = F.get(F.array(*[F.lit(n) for n in names]), F.pmod("event_id", F.lit(len(names))).cast("int"))
@@ -161,7 +178,7 @@ def _alias_refs(a: Analysis) -> DataFrame:
 
 
 def _named_tables(a: Analysis) -> DataFrame:
-    found = tab.table_by_name(a.tables, "t_view", "s").unionByName(tab.table_by_name(a.tables, "recent"))
+    found = tab.table_by_name(a.tables, "t_view", "s").unionByName(tab.table_by_name(a.tables, "ripe"))
     return found.select("stmt", "schema", "name", "table_type")
 
 
@@ -228,6 +245,7 @@ def engine_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     calculated = "is_calculation"
     return {
         "S2_statements_from_table": _log,
+        "S2_split_statements": _split,
         "S3_normalize_dialect": _dialects,
         "P1_remove_comments": _cleaned(clean.remove_comments),
         "P2_convert_to_cast": _cleaned(clean.convert_to_cast),
@@ -311,9 +329,9 @@ def engine_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "M7_columns_sample_text": _facts(lambda a: reports.columns_sample_text(a.texts, a.columns)),
         "M8_text_report": _facts(_report),
         "M9_search_columns": _facts(
-            lambda a: reports.search_metadata(reports.columns_view(a.enriched), "STOCK", "stmt")
+            lambda a: reports.search_metadata(reports.columns_view(a.enriched), "LEAKS", "stmt")
         ),
-        "M9_search_tables": _facts(lambda a: reports.search_metadata(reports.tables_view(a.tables), "STOCK", "stmt")),
+        "M9_search_tables": _facts(lambda a: reports.search_metadata(reports.tables_view(a.tables), "LEAKS", "stmt")),
         "M10_sort_view": _sorted_columns,
         "M11_run_summary": _facts(lambda a: reports.run_summary(a.texts, a.statistics)),
         "K1_json_documents": _facts(

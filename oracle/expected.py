@@ -10,27 +10,28 @@ TABLE, SUBQUERY, CTE = "Таблица", "Подзапрос", "CTE"
 
 # template, order found, schema, name, type, aliases, join type, columns
 TABLES = [
-    (0, 1, None, "stock_{g}", TABLE, "s", None, "stock_{g}.hidden, stock_{g}.sku, stock_{g}.title"),
-    (0, 2, None, "reviews_{g}", TABLE, "r", "LEFT OUTER JOIN", "reviews_{g}.lang, reviews_{g}.paid, reviews_{g}.sku, reviews_{g}.stars"),
-    (1, 1, None, "parcels_{g}", TABLE, "p", None, "parcels_{g}.depot, parcels_{g}.weight"),
-    (2, 1, None, "workers_{g}", TABLE, "w", None, "workers_{g}.badge"),
-    (2, 2, None, "shifts_{g}", TABLE, "h", "INNER JOIN", "shifts_{g}.badge"),
-    (3, 1, None, "recent", CTE, "n, recent", None, "recent.host, recent.seen"),
-    (3, 2, None, "visits_{g}", TABLE, "v", None, "visits_{g}.host, visits_{g}.seen"),
-    (3, 3, None, "bans_{g}", TABLE, "b", None, "bans_{g}.day"),
-    (4, 1, None, "topics_{g}", TABLE, "k", None, "topics_{g}.hits, topics_{g}.tag"),
-    (4, 2, None, "feeds", TABLE, "", "LEFT JOIN", "feeds.lag, feeds.tag"),
-    (4, 3, None, "fd", SUBQUERY, "fd", None, "fd.lag, fd.tag"),
-    (5, 1, None, "cities", TABLE, "c", None, "cities.code"),
-    (5, 2, None, "districts", TABLE, "d", "LEFT JOIN", "districts.city, districts.code, districts.label"),
-    (5, 3, None, "exams", TABLE, "e", "INNER JOIN", "exams.district, exams.score"),
-    (5, 4, None, "feasts", TABLE, "f", "FULL OUTER JOIN", "feasts.city"),
-    (6, 1, None, "marks_{g}", TABLE, "m", None, "marks_{g}.grade, marks_{g}.yr"),
-    (6, 2, None, "years_{g}", TABLE, "y", "LEFT JOIN", "years_{g}.unit, years_{g}.yr"),
+    (0, 1, None, "wagons_{g}", TABLE, "w", None, "wagons_{g}.kg"),
+    (0, 2, None, "zones_{g}", TABLE, "z", "CROSS JOIN", "zones_{g}.high, zones_{g}.kind, zones_{g}.low"),
+    (1, 1, None, "tanks_{g}", TABLE, "t", None, "tanks_{g}.lot"),
+    (1, 2, None, "leaks_{g}", TABLE, "k", None, "leaks_{g}.litres, leaks_{g}.lot"),
+    (2, 1, None, "novels_{g}", TABLE, "n", None, "novels_{g}.critic_id, novels_{g}.title, novels_{g}.year"),
+    (2, 2, None, "quotes_{g}", TABLE, "q", "INNER JOIN", "quotes_{g}.critic_id, quotes_{g}.votes, quotes_{g}.year"),
+    (2, 3, None, "critics_{g}", TABLE, "", "LEFT JOIN", "critics_{g}.critic_id, critics_{g}.year"),
+    (3, 1, None, "ripe", CTE, "r, ripe", "RIGHT OUTER JOIN", "ripe.plot, ripe.sugar"),
+    (3, 2, None, "harvest_{g}", TABLE, "h", None, "harvest_{g}.brix, harvest_{g}.plot"),
+    (3, 3, None, "plots", TABLE, "", None, "plots.id, plots.owner"),
+    (4, 1, None, "docks_{g}", TABLE, "d", None, "docks_{g}.dock_no, docks_{g}.pier"),
+    (4, 2, None, "arrivals_{g}", TABLE, "a", "INNER JOIN", "arrivals_{g}.delay, arrivals_{g}.dock_no, arrivals_{g}.ship"),
+    (4, 3, None, "late", SUBQUERY, "late", None, "late.dock_no, late.ships"),
+    (5, 1, None, "ports", TABLE, "", None, "ports.code"),
+    (5, 2, None, "closed_ports", TABLE, "", None, "closed_ports.closed_on, closed_ports.old_code"),
+    (6, 1, None, "vans_{g}", TABLE, "v", None, "vans_{g}.plate"),
+    (6, 2, None, "tolls_{g}", TABLE, "t", "LEFT JOIN", "tolls_{g}.day, tolls_{g}.fee, tolls_{g}.plate"),
+    (6, 3, None, "roads_{g}", TABLE, "", "INNER JOIN", ""),
     (7, 1, None, "logs_{g}", TABLE, "", None, "logs_{g}.*, logs_{g}.sev"),
-    (8, 1, None, "jobs_{g}", TABLE, "", None, "jobs_{g}.made"),
+    (8, 1, None, "jobs_{g}", TABLE, "j", None, "jobs_{g}.due, jobs_{g}.id, jobs_{g}.made"),
     (9, 1, "s", "t_{g}", TABLE, "", None, "t_{g}.a b"),
-    (10, 1, None, "nodes_{g}", TABLE, "p, q", "INNER JOIN", "nodes_{g}.above, nodes_{g}.id"),
+    (10, 1, None, "staff_{g}", TABLE, "h, s", None, "staff_{g}.name, staff_{g}.pay, staff_{g}.unit"),
     (13, 1, None, "t_{g}", TABLE, "", None, ""),
     (14, 1, None, "deals_{g}", TABLE, "d", None, "deals_{g}.fee, deals_{g}.region, deals_{g}.total"),
     (15, 1, None, "a", CTE, "a", None, "a.k, a.v"),
@@ -51,31 +52,33 @@ TABLES = [
     (19, 3, None, "map_{g}", TABLE, "m", "RIGHT JOIN", "map_{g}.k"),
     (19, 4, None, "i", SUBQUERY, "i", None, "i.x"),
     (19, 5, None, "o2", SUBQUERY, "o2", None, "o2.x"),
+    (20, 1, None, "one_{g}", TABLE, "a", None, "one_{g}.x"),
 ]
 
 # template, schema, name, alias, type, join type as written, join type after outer marks
 REFERENCES = [
-    (0, None, "stock_{g}", "s", TABLE, None, None),
-    (0, None, "reviews_{g}", "r", TABLE, "LEFT OUTER JOIN", "LEFT OUTER JOIN"),
-    (1, None, "parcels_{g}", "p", TABLE, None, None),
-    (2, None, "workers_{g}", "w", TABLE, None, None),
-    (2, None, "shifts_{g}", "h", TABLE, "INNER JOIN", "INNER JOIN"),
-    (3, None, "visits_{g}", "v", TABLE, None, None),
-    (3, None, "recent", "n", CTE, None, None),
-    (3, None, "bans_{g}", "b", TABLE, None, None),
-    (4, None, "topics_{g}", "k", TABLE, None, None),
-    (4, None, "feeds", None, TABLE, "LEFT JOIN", "LEFT JOIN"),
-    (5, None, "cities", "c", TABLE, None, None),
-    (5, None, "districts", "d", TABLE, "LEFT JOIN", "LEFT JOIN"),
-    (5, None, "exams", "e", TABLE, "INNER JOIN", "INNER JOIN"),
-    (5, None, "feasts", "f", TABLE, "FULL OUTER JOIN", "FULL OUTER JOIN"),
-    (6, None, "marks_{g}", "m", TABLE, None, None),
-    (6, None, "years_{g}", "y", TABLE, "INNER JOIN", "LEFT JOIN"),
+    (0, None, "wagons_{g}", "w", TABLE, None, None),
+    (0, None, "zones_{g}", "z", TABLE, "CROSS JOIN", "CROSS JOIN"),
+    (1, None, "tanks_{g}", "t", TABLE, None, None),
+    (1, None, "leaks_{g}", "k", TABLE, None, None),
+    (2, None, "novels_{g}", "n", TABLE, None, None),
+    (2, None, "quotes_{g}", "q", TABLE, "INNER JOIN", "INNER JOIN"),
+    (2, None, "critics_{g}", None, TABLE, "LEFT JOIN", "LEFT JOIN"),
+    (3, None, "harvest_{g}", "h", TABLE, None, None),
+    (3, None, "plots", None, TABLE, None, None),
+    (3, None, "ripe", "r", CTE, "RIGHT OUTER JOIN", "RIGHT OUTER JOIN"),
+    (4, None, "docks_{g}", "d", TABLE, None, None),
+    (4, None, "arrivals_{g}", "a", TABLE, "INNER JOIN", "INNER JOIN"),
+    (5, None, "ports", None, TABLE, None, None),
+    (5, None, "closed_ports", None, TABLE, None, None),
+    (6, None, "vans_{g}", "v", TABLE, None, None),
+    (6, None, "tolls_{g}", "t", TABLE, "INNER JOIN", "LEFT JOIN"),
+    (6, None, "roads_{g}", None, TABLE, "INNER JOIN", "INNER JOIN"),
     (7, None, "logs_{g}", None, TABLE, None, None),
-    (8, None, "jobs_{g}", None, TABLE, None, None),
+    (8, None, "jobs_{g}", "j", TABLE, None, None),
     (9, "s", "t_{g}", None, TABLE, None, None),
-    (10, None, "nodes_{g}", "p", TABLE, None, None),
-    (10, None, "nodes_{g}", "q", TABLE, "INNER JOIN", "INNER JOIN"),
+    (10, None, "staff_{g}", "h", TABLE, None, None),
+    (10, None, "staff_{g}", "s", TABLE, None, None),
     (13, None, "t_{g}", None, TABLE, None, None),
     (14, None, "deals_{g}", "d", TABLE, None, None),
     (15, None, "src_{g}", "t", TABLE, None, None),
@@ -94,81 +97,166 @@ REFERENCES = [
     (19, None, "core_{g}", "c", TABLE, None, None),
     (19, None, "dim_{g}", "d", TABLE, "RIGHT JOIN", "RIGHT JOIN"),
     (19, None, "map_{g}", "m", TABLE, "RIGHT JOIN", "RIGHT JOIN"),
+    (20, None, "one_{g}", "a", TABLE, None, None),
 ]
 
 # template, alias, table, number of SELECTs whose FROM or JOINs reach it
 SCOPE_TABLES = [
-    (0, "s", "stock_{g}", 1), (0, "r", "reviews_{g}", 1), (1, "p", "parcels_{g}", 1),
-    (2, "w", "workers_{g}", 1), (2, "h", "shifts_{g}", 1),
-    (3, "v", "visits_{g}", 1), (3, "n", "recent", 1), (3, "b", "bans_{g}", 1),
-    (4, "k", "topics_{g}", 1), (4, None, "feeds", 2),
-    (5, "c", "cities", 1), (5, "d", "districts", 1), (5, "e", "exams", 1), (5, "f", "feasts", 1),
-    (6, "m", "marks_{g}", 1), (6, "y", "years_{g}", 1), (7, None, "logs_{g}", 1), (8, None, "jobs_{g}", 1),
-    (9, None, "t_{g}", 1), (10, "p", "nodes_{g}", 1), (10, "q", "nodes_{g}", 1), (14, "d", "deals_{g}", 1),
-    (15, "t", "src_{g}", 1), (15, None, "a", 1), (15, None, "b", 1), (15, "q", "b", 1),
-    (16, "p", "prices_{g}", 1), (16, "o", "orders_{g}", 1), (16, None, "dual", 1), (16, "x", "arch_{g}", 1),
-    (17, None, "l_{g}", 2), (17, None, "r_{g}", 2), (18, "e", "ev_{g}", 1), (18, "u", "us_{g}", 1),
-    (19, "c", "core_{g}", 3), (19, "d", "dim_{g}", 1), (19, "m", "map_{g}", 2),
-]
+    (0, "w", "wagons_{g}", 1),
+    (0, "z", "zones_{g}", 1),
+    (1, "t", "tanks_{g}", 1),
+    (1, "k", "leaks_{g}", 1),
+    (2, "n", "novels_{g}", 1),
+    (2, "q", "quotes_{g}", 1),
+    (2, None, "critics_{g}", 1),
+    (3, "h", "harvest_{g}", 1),
+    (3, None, "plots", 1),
+    (3, "r", "ripe", 1),
+    (4, "d", "docks_{g}", 1),
+    (4, "a", "arrivals_{g}", 2),
+    (5, None, "ports", 1),
+    (5, None, "closed_ports", 1),
+    (6, "v", "vans_{g}", 1),
+    (6, "t", "tolls_{g}", 1),
+    (6, None, "roads_{g}", 1),
+    (7, None, "logs_{g}", 1),
+    (8, "j", "jobs_{g}", 1),
+    (9, None, "t_{g}", 1),
+    (10, "h", "staff_{g}", 1),
+    (10, "s", "staff_{g}", 1),
+    (14, "d", "deals_{g}", 1),
+    (15, "t", "src_{g}", 1),
+    (15, None, "a", 1),
+    (15, None, "b", 1),
+    (15, "q", "b", 1),
+    (16, "p", "prices_{g}", 1),
+    (16, "o", "orders_{g}", 1),
+    (16, None, "dual", 1),
+    (16, "x", "arch_{g}", 1),
+    (17, None, "l_{g}", 2),
+    (17, None, "r_{g}", 2),
+    (18, "e", "ev_{g}", 1),
+    (18, "u", "us_{g}", 1),
+    (19, "c", "core_{g}", 3),
+    (19, "d", "dim_{g}", 1),
+    (19, "m", "map_{g}", 2),
+    (20, "a", "one_{g}", 1),
+]
 
 # template, qualifier, column as written, owner and column it means, times, by select alias
 MENTIONS = [
-    (0, "s", "sku", "stock_{g}", "sku", 3, False), (0, "s", "title", "stock_{g}", "title", 2, False),
-    (0, "r", "paid", "reviews_{g}", "paid", 2, False), (0, "r", "stars", "reviews_{g}", "stars", 1, False),
-    (0, "r", "sku", "reviews_{g}", "sku", 1, False), (0, "r", "lang", "reviews_{g}", "lang", 1, False),
-    (0, "s", "hidden", "stock_{g}", "hidden", 1, False), (0, None, "item_sku", "stock_{g}", "sku", 1, True),
-    (1, "p", "weight", "parcels_{g}", "weight", 1, False), (1, "p", "depot", "parcels_{g}", "depot", 1, False),
-    (2, "w", "badge", "workers_{g}", "badge", 2, False),
-    (3, "v", "host", "visits_{g}", "host", 1, False), (3, "v", "seen", "visits_{g}", "seen", 1, False),
-    (3, "n", "host", "recent", "host", 1, False), (3, "n", "seen", "recent", "seen", 1, False),
-    (3, "b", "day", "bans_{g}", "day", 1, False),
-    (4, "k", "tag", "topics_{g}", "tag", 2, False), (4, "k", "hits", "topics_{g}", "hits", 1, False),
-    (4, "feeds", "tag", "feeds", "tag", 1, False), (4, "feeds", "lag", "feeds", "lag", 1, False),
-    (4, "fd", "tag", "feeds", "tag", 1, False),
-    (5, "c", "code", "cities", "code", 3, False), (5, "d", "label", "districts", "label", 1, False),
-    (5, "e", "score", "exams", "score", 1, False), (5, "d", "city", "districts", "city", 1, False),
-    (5, "e", "district", "exams", "district", 1, False), (5, "d", "code", "districts", "code", 1, False),
-    (5, "f", "city", "feasts", "city", 1, False),
-    (6, "m", "grade", "marks_{g}", "grade", 1, False), (6, "y", "unit", "years_{g}", "unit", 1, False),
-    (6, "m", "yr", "marks_{g}", "yr", 1, False), (6, "y", "yr", "years_{g}", "yr", 1, False),
-    (7, None, "*", "logs_{g}", "*", 1, False), (7, None, "sev", "logs_{g}", "sev", 1, False),
-    (8, None, "made", "jobs_{g}", "made", 1, False), (9, None, "a b", "t_{g}", "a b", 1, False),
-    (10, "p", "id", "nodes_{g}", "id", 1, False), (10, "q", "id", "nodes_{g}", "id", 2, False),
-    (10, "p", "above", "nodes_{g}", "above", 1, False), (12, None, "x_{g}", "UNKNOWN", "x_{g}", 1, False),
-    (14, "d", "region", "deals_{g}", "region", 2, False), (14, "d", "total", "deals_{g}", "total", 2, False),
+    (0, "z", "kind", "zones_{g}", "kind", 3, False),
+    (0, "w", "kg", "wagons_{g}", "kg", 2, False),
+    (0, "z", "low", "zones_{g}", "low", 1, False),
+    (0, "z", "high", "zones_{g}", "high", 1, False),
+    (0, None, "tons", "CALC", "tons", 1, True),
+    (1, "t", "lot", "tanks_{g}", "lot", 2, False),
+    (1, "t", "lot", "t", "lot", 1, False),
+    (1, "k", "lot", "leaks_{g}", "lot", 1, False),
+    (1, "k", "litres", "leaks_{g}", "litres", 1, False),
+    (2, "n", "title", "novels_{g}", "title", 1, False),
+    (2, "q", "votes", "quotes_{g}", "votes", 2, False),
+    (3, "h", "plot", "harvest_{g}", "plot", 2, False),
+    (3, "h", "brix", "harvest_{g}", "brix", 2, False),
+    (3, "plots", "owner", "plots", "owner", 1, False),
+    (3, "plots", "id", "plots", "id", 1, False),
+    (3, "r", "sugar", "ripe", "sugar", 2, False),
+    (3, "r", "plot", "ripe", "plot", 1, False),
+    (4, "d", "pier", "docks_{g}", "pier", 1, False),
+    (4, "d", "dock_no", "docks_{g}", "dock_no", 1, False),
+    (4, "late", "ships", "arrivals_{g}", "ship", 1, False),
+    (4, "late", "dock_no", "arrivals_{g}", "dock_no", 1, False),
+    (4, "a", "dock_no", "arrivals_{g}", "dock_no", 2, False),
+    (4, "a", "ship", "arrivals_{g}", "ship", 1, False),
+    (4, "a", "delay", "arrivals_{g}", "delay", 1, False),
+    (5, None, "code", "ports", "code", 1, False),
+    (5, None, "old_code", "closed_ports", "old_code", 1, False),
+    (5, None, "closed_on", "closed_ports", "closed_on", 1, False),
+    (6, "v", "plate", "vans_{g}", "plate", 2, False),
+    (6, "t", "fee", "tolls_{g}", "fee", 2, False),
+    (6, "t", "plate", "tolls_{g}", "plate", 1, False),
+    (6, "t", "day", "tolls_{g}", "day", 1, False),
+    (7, None, "*", "logs_{g}", "*", 1, False),
+    (7, None, "sev", "logs_{g}", "sev", 1, False),
+    (8, "j", "id", "jobs_{g}", "id", 1, False),
+    (8, None, "made", "jobs_{g}", "made", 1, False),
+    (8, "j", "due", "jobs_{g}", "due", 1, False),
+    (9, None, "a b", "t_{g}", "a b", 1, False),
+    (10, "h", "name", "staff_{g}", "name", 1, False),
+    (10, "h", "pay", "staff_{g}", "pay", 1, False),
+    (10, "s", "pay", "staff_{g}", "pay", 1, False),
+    (10, "s", "unit", "staff_{g}", "unit", 1, False),
+    (12, None, "x_{g}", "UNKNOWN", "x_{g}", 1, False),
+    (14, "d", "region", "deals_{g}", "region", 2, False),
+    (14, "d", "total", "deals_{g}", "total", 2, False),
     (14, "d", "fee", "deals_{g}", "fee", 1, False),
-    (15, "t", "k", "src_{g}", "k", 1, False), (15, "t", "v", "src_{g}", "v", 1, False),
-    (15, "a", "k", "src_{g}", "k", 2, False), (15, "a", "v", "src_{g}", "v", 1, False),
-    (15, "b", "kk", "src_{g}", "k", 1, False), (15, "q", "s", "b", "s", 1, False), (15, "b", "s", "src_{g}", "v", 1, False),
-    (16, "o", "id", "orders_{g}", "id", 1, False), (16, "o", "qty", "orders_{g}", "qty", 1, False),
-    (16, "p", "price", "prices_{g}", "price", 1, False), (16, "p", "item", "prices_{g}", "item", 1, False),
-    (16, "o", "item", "o", "item", 1, False), (16, "o", "note", "orders_{g}", "note", 1, False),
-    (16, "o", "status", "orders_{g}", "status", 1, False), (16, "x", "id", "arch_{g}", "id", 1, False),
-    (16, "x", "c1", "arch_{g}", "c1", 1, False), (16, "x", "c2", "arch_{g}", "c2", 1, False),
-    (16, "x", "c3", "arch_{g}", "c3", 1, False), (16, None, "size_class", "CALC", "size_class", 1, True),
-    (17, "z", "v", "z", "v", 1, False), (17, "z", "n", "z", "n", 1, False), (17, "z", "m", "z", "m", 1, False),
-    (17, None, "v", "l_{g}", "v", 1, False), (17, None, "n", "l_{g}", "n", 1, False), (17, None, "m", "l_{g}", "m", 1, False),
-    (17, None, "v", "r_{g}", "v", 1, False), (17, None, "n", "r_{g}", "n", 1, False), (17, None, "m", "r_{g}", "m", 1, False),
-    (18, "e", "day", "ev_{g}", "day", 2, False), (18, "e", "ts", "ev_{g}", "ts", 1, False),
-    (18, None, "yr", "CALC", "yr", 1, True), (18, None, "n", "CALC", "n", 1, True),
-    (19, "o2", "x", "i", "x", 1, False), (19, "i", "x", "core_{g}", "x", 1, False), (19, "c", "x", "core_{g}", "x", 1, False),
-    (19, "d", "k", "dim_{g}", "k", 1, False), (19, "m", "k", "map_{g}", "k", 1, False),
-]
+    (15, "t", "k", "src_{g}", "k", 1, False),
+    (15, "t", "v", "src_{g}", "v", 1, False),
+    (15, "a", "k", "src_{g}", "k", 2, False),
+    (15, "a", "v", "src_{g}", "v", 1, False),
+    (15, "b", "kk", "src_{g}", "k", 1, False),
+    (15, "q", "s", "b", "s", 1, False),
+    (15, "b", "s", "src_{g}", "v", 1, False),
+    (16, "o", "id", "orders_{g}", "id", 1, False),
+    (16, "o", "qty", "orders_{g}", "qty", 1, False),
+    (16, "p", "price", "prices_{g}", "price", 1, False),
+    (16, "p", "item", "prices_{g}", "item", 1, False),
+    (16, "o", "item", "o", "item", 1, False),
+    (16, "o", "note", "orders_{g}", "note", 1, False),
+    (16, "o", "status", "orders_{g}", "status", 1, False),
+    (16, "x", "id", "arch_{g}", "id", 1, False),
+    (16, "x", "c1", "arch_{g}", "c1", 1, False),
+    (16, "x", "c2", "arch_{g}", "c2", 1, False),
+    (16, "x", "c3", "arch_{g}", "c3", 1, False),
+    (16, None, "size_class", "CALC", "size_class", 1, True),
+    (17, "z", "v", "z", "v", 1, False),
+    (17, "z", "n", "z", "n", 1, False),
+    (17, "z", "m", "z", "m", 1, False),
+    (17, None, "v", "l_{g}", "v", 1, False),
+    (17, None, "n", "l_{g}", "n", 1, False),
+    (17, None, "m", "l_{g}", "m", 1, False),
+    (17, None, "v", "r_{g}", "v", 1, False),
+    (17, None, "n", "r_{g}", "n", 1, False),
+    (17, None, "m", "r_{g}", "m", 1, False),
+    (18, "e", "day", "ev_{g}", "day", 2, False),
+    (18, "e", "ts", "ev_{g}", "ts", 1, False),
+    (18, None, "yr", "CALC", "yr", 1, True),
+    (18, None, "n", "CALC", "n", 1, True),
+    (19, "o2", "x", "i", "x", 1, False),
+    (19, "i", "x", "core_{g}", "x", 1, False),
+    (19, "c", "x", "core_{g}", "x", 1, False),
+    (19, "d", "k", "dim_{g}", "k", 1, False),
+    (19, "m", "k", "map_{g}", "k", 1, False),
+    (20, "a", "x", "one_{g}", "x", 1, False),
+]
 
 # template, relation, output, source table, source column
 PROJECTIONS = [
-    (3, "recent", "host", "visits_{g}", "host"), (3, "recent", "seen", "visits_{g}", "seen"),
-    (4, "fd", "tag", "feeds", "tag"), (4, "fd", "lag", "feeds", "lag"),
-    (15, "a", "k", "src_{g}", "k"), (15, "a", "v", "src_{g}", "v"),
-    (15, "b", "kk", "src_{g}", "k"), (15, "b", "s", "src_{g}", "v"),
-    (19, "i", "x", "core_{g}", "x"), (19, "o2", "x", "i", "x"),
-]
+    (3, "ripe", "plot", "harvest_{g}", "plot"),
+    (3, "ripe", "sugar", "harvest_{g}", "brix"),
+    (4, "late", "dock_no", "arrivals_{g}", "dock_no"),
+    (4, "late", "ships", "arrivals_{g}", "ship"),
+    (15, "a", "k", "src_{g}", "k"),
+    (15, "a", "v", "src_{g}", "v"),
+    (15, "b", "kk", "src_{g}", "k"),
+    (15, "b", "s", "src_{g}", "v"),
+    (19, "i", "x", "core_{g}", "x"),
+    (19, "o2", "x", "i", "x"),
+]
 
 # template, table, column per USING name and table of the SELECT
 USING = [
-    (2, "workers_{g}", "badge"), (2, "shifts_{g}", "badge"),
-    (18, "ev_{g}", "uid"), (18, "us_{g}", "uid"), (18, "ev_{g}", "org"), (18, "us_{g}", "org"),
-]
+    (2, "novels_{g}", "critic_id"),
+    (2, "quotes_{g}", "critic_id"),
+    (2, "critics_{g}", "critic_id"),
+    (2, "novels_{g}", "year"),
+    (2, "quotes_{g}", "year"),
+    (2, "critics_{g}", "year"),
+    (18, "ev_{g}", "uid"),
+    (18, "us_{g}", "uid"),
+    (18, "ev_{g}", "org"),
+    (18, "us_{g}", "org"),
+]
 
 GROSS = "d.total * 2 + d.fee"
 RANKED = "ROW_NUMBER() OVER (PARTITION BY d.region ORDER BY d.total)"
@@ -177,50 +265,57 @@ SIZED = "CASE WHEN o.qty > 5 THEN 'big' ELSE 'small' END"
 # template, owner, column, table alias, aliases, select aliases, usage, count,
 # calculation type, calculation expression, dependencies
 COLUMNS = [
-    (0, "stock_{g}", "sku", "s", "item_sku, s.sku", "item_sku", "GROUP BY, JOIN, ORDER BY, SELECT", 4, None, None, ""),
-    (0, "stock_{g}", "title", "s", "s.title", "", "GROUP BY, SELECT", 2, None, None, ""),
-    (0, "stock_{g}", "hidden", "s", "s.hidden", "", "WHERE", 1, None, None, ""),
-    (0, "reviews_{g}", "paid", "r", "r.paid", "", "HAVING, SELECT, calculation", 2, "MAX", "MAX(r.paid)", ""),
-    (0, "reviews_{g}", "stars", "r", "r.stars", "", "SELECT, calculation", 1, "AVG", "AVG(r.stars)", ""),
-    (0, "reviews_{g}", "sku", "r", "r.sku", "", "JOIN", 1, None, None, ""),
-    (0, "reviews_{g}", "lang", "r", "r.lang", "", "WHERE", 1, None, None, ""),
-    (0, "CALC", "least_paid", None, "least_paid", "", "SELECT", 1, "MIN", "MIN(r.paid)", "reviews_{g}.paid"),
-    (0, "CALC", "mean_stars", None, "mean_stars", "", "SELECT", 1, "AVG", "AVG(r.stars)", "reviews_{g}.stars"),
-    (1, "parcels_{g}", "weight", "p", "p.weight", "", "SELECT, calculation", 1, "MAX", "MAX(p.weight)", ""),
-    (1, "parcels_{g}", "depot", "p", "p.depot", "", "GROUP BY", 1, None, None, ""),
-    (1, "CALC", "heaviest", None, "heaviest", "", "SELECT", 1, "MAX", "MAX(p.weight)", "parcels_{g}.weight"),
-    (2, "workers_{g}", "badge", "w", "w.badge", "", "JOIN, SELECT, WHERE", 3, None, None, ""),
-    (2, "shifts_{g}", "badge", None, "", "", "JOIN", 1, None, None, ""),
-    (3, "recent", "host", "n", "n.host, recent.host", "", "SELECT", 2, None, None, "visits_{g}.host"),
-    (3, "recent", "seen", "n", "n.seen, recent.seen", "", "SELECT, WHERE", 2, None, None, "visits_{g}.seen"),
-    (3, "visits_{g}", "host", "v", "recent.host, v.host", "", "SELECT", 1, None, None, ""),
-    (3, "visits_{g}", "seen", "v", "recent.seen, v.seen", "", "SELECT", 1, None, None, ""),
-    (3, "bans_{g}", "day", "b", "b.day", "", "SELECT", 1, None, None, ""),
-    (4, "topics_{g}", "tag", "k", "k.tag, label", "label", "JOIN, SELECT", 2, None, None, ""),
-    (4, "topics_{g}", "hits", "k", "k.hits", "", "SELECT", 1, None, None, ""),
-    (4, "feeds", "tag", "feeds", "fd.tag", "", "JOIN, SELECT", 2, None, None, ""),
-    (4, "feeds", "lag", "feeds", "fd.lag", "", "SELECT", 1, None, None, ""),
-    (4, "fd", "tag", "fd", "fd.tag", "", "SELECT", 1, None, None, "feeds.tag"),
-    (4, "fd", "lag", "fd", "fd.lag", "", "SELECT", 1, None, None, "feeds.lag"),
-    (5, "cities", "code", "c", "c.code", "", "JOIN, SELECT", 3, None, None, ""),
-    (5, "districts", "label", "d", "d.label", "", "SELECT", 1, None, None, ""),
-    (5, "districts", "city", "d", "d.city", "", "JOIN", 1, None, None, ""),
-    (5, "districts", "code", "d", "d.code", "", "JOIN", 1, None, None, ""),
-    (5, "exams", "score", "e", "e.score", "", "SELECT", 1, None, None, ""),
-    (5, "exams", "district", "e", "e.district", "", "JOIN", 1, None, None, ""),
-    (5, "feasts", "city", "f", "f.city", "", "JOIN", 1, None, None, ""),
-    (6, "marks_{g}", "grade", "m", "m.grade", "", "SELECT", 1, None, None, ""),
-    (6, "marks_{g}", "yr", "m", "m.yr", "", "WHERE", 1, None, None, ""),
-    (6, "years_{g}", "unit", "y", "y.unit", "", "SELECT", 1, None, None, ""),
-    (6, "years_{g}", "yr", "y", "y.yr", "", "WHERE", 1, None, None, ""),
+    (0, "zones_{g}", "kind", "z", "z.kind", "", "GROUP BY, ORDER BY, SELECT", 3, None, None, ""),
+    (0, "zones_{g}", "low", "z", "z.low", "", "WHERE", 1, None, None, ""),
+    (0, "zones_{g}", "high", "z", "z.high", "", "WHERE", 1, None, None, ""),
+    (0, "wagons_{g}", "kg", "w", "w.kg", "", "SELECT, WHERE, calculation", 2, "SUM", "SUM(w.kg)", ""),
+    (0, "CALC", "seen", None, "seen", "", "SELECT", 1, "COUNT", "COUNT(*)", ""),
+    (0, "CALC", "tons", None, "tons", "", "ORDER BY, SELECT", 2, "ARITHMETIC", "SUM(w.kg) / 1000", "wagons_{g}.kg"),
+    (1, "tanks_{g}", "lot", "t", "t.lot", "", "ORDER BY, SELECT", 2, None, None, ""),
+    (1, "t", "lot", "t", "t.lot", "", "WHERE", 1, None, None, ""),
+    (1, "leaks_{g}", "lot", "k", "k.lot", "", "WHERE", 1, None, None, ""),
+    (1, "leaks_{g}", "litres", "k", "k.litres", "", "WHERE", 1, None, None, ""),
+    (2, "novels_{g}", "title", "n", "n.title", "", "SELECT, calculation", 1, "SUBSTRING", "SUBSTR(n.title, 1, 3)", ""),
+    (2, "CALC", "stub", None, "stub", "", "SELECT", 1, "SUBSTRING", "SUBSTR(n.title, 1, 3)", "novels_{g}.title"),
+    (2, "quotes_{g}", "votes", "q", "q.votes", "", "SELECT, WHERE", 2, None, None, ""),
+    (2, "novels_{g}", "critic_id", None, "", "", "JOIN", 1, None, None, ""),
+    (2, "quotes_{g}", "critic_id", None, "", "", "JOIN", 1, None, None, ""),
+    (2, "critics_{g}", "critic_id", None, "", "", "JOIN", 1, None, None, ""),
+    (2, "novels_{g}", "year", None, "", "", "JOIN", 1, None, None, ""),
+    (2, "quotes_{g}", "year", None, "", "", "JOIN", 1, None, None, ""),
+    (2, "critics_{g}", "year", None, "", "", "JOIN", 1, None, None, ""),
+    (3, "ripe", "plot", "r", "r.plot, ripe.plot", "", "JOIN, SELECT", 2, None, None, "harvest_{g}.plot"),
+    (3, "ripe", "sugar", "r", "r.sugar, ripe.sugar", "", "SELECT, WHERE", 3, "AVG", "AVG(h.brix)", "harvest_{g}.brix"),
+    (3, "harvest_{g}", "plot", "h", "h.plot, ripe.plot", "", "GROUP BY, SELECT", 2, None, None, ""),
+    (3, "harvest_{g}", "brix", "h", "h.brix, ripe.sugar", "", "SELECT, WHERE, calculation", 2, "AVG", "AVG(h.brix)", ""),
+    (3, "CALC", "sugar", None, "sugar", "", "SELECT", 1, "AVG", "AVG(h.brix)", "harvest_{g}.brix"),
+    (3, "plots", "owner", "plots", "plots.owner", "", "SELECT", 1, None, None, ""),
+    (3, "plots", "id", "plots", "plots.id", "", "JOIN", 1, None, None, ""),
+    (4, "docks_{g}", "pier", "d", "d.pier", "", "SELECT", 1, None, None, ""),
+    (4, "docks_{g}", "dock_no", "d", "d.dock_no", "", "JOIN", 1, None, None, ""),
+    (4, "arrivals_{g}", "dock_no", "a", "a.dock_no, late.dock_no", "", "GROUP BY, JOIN, SELECT", 3, None, None, ""),
+    (4, "arrivals_{g}", "ship", "late", "a.ship, late.ship, late.ships", "", "SELECT, calculation", 2, "COUNT", "COUNT(DISTINCT a.ship)", ""),
+    (4, "arrivals_{g}", "delay", "a", "a.delay", "", "WHERE", 1, None, None, ""),
+    (4, "late", "dock_no", "late", "late.dock_no", "", "SELECT", 1, None, None, "arrivals_{g}.dock_no"),
+    (4, "late", "ships", "late", "late.ships", "", "SELECT", 1, "COUNT", "COUNT(DISTINCT a.ship)", "arrivals_{g}.ship"),
+    (4, "CALC", "ships", None, "ships", "", "SELECT", 1, "COUNT", "COUNT(DISTINCT a.ship)", "arrivals_{g}.ship"),
+    (5, "ports", "code", None, "", "", "SELECT", 1, None, None, ""),
+    (5, "closed_ports", "old_code", None, "", "", "SELECT", 1, None, None, ""),
+    (5, "closed_ports", "closed_on", None, "", "", "WHERE", 1, None, None, ""),
+    (6, "vans_{g}", "plate", "v", "v.plate", "", "SELECT, WHERE", 2, None, None, ""),
+    (6, "tolls_{g}", "fee", "t", "t.fee", "", "ORDER BY, SELECT", 2, None, None, ""),
+    (6, "tolls_{g}", "plate", "t", "t.plate", "", "WHERE", 1, None, None, ""),
+    (6, "tolls_{g}", "day", "t", "t.day", "", "WHERE", 1, None, None, ""),
     (7, "logs_{g}", "*", None, "", "", "SELECT", 1, None, None, ""),
     (7, "logs_{g}", "sev", None, "", "", "WHERE", 1, None, None, ""),
+    (8, "jobs_{g}", "id", "j", "j.id", "", "SELECT", 1, None, None, ""),
     (8, "jobs_{g}", "made", None, "", "", "SELECT, calculation", 1, "CAST", "CAST(made AS DATETIME)", ""),
+    (8, "jobs_{g}", "due", "j", "j.due", "", "WHERE", 1, None, None, ""),
     (8, "CALC", "made_at", None, "made_at", "", "SELECT", 1, "CAST", "CAST(made AS DATETIME)", "jobs_{g}.made"),
-    (8, "CALC", "fixed_day", None, "fixed_day", "", "SELECT", 1, "CAST", "CAST('2000-01-01' AS DATE)", ""),
     (9, "t_{g}", "a b", None, "", "", "SELECT", 1, None, None, ""),
-    (10, "nodes_{g}", "id", "p", "p.id, q.id", "", "JOIN, SELECT", 3, None, None, ""),
-    (10, "nodes_{g}", "above", "p", "p.above", "", "JOIN", 1, None, None, ""),
+    (10, "staff_{g}", "name", "h", "h.name", "", "SELECT", 1, None, None, ""),
+    (10, "staff_{g}", "pay", "h", "h.pay, s.pay", "", "WHERE, calculation", 2, "AVG", "AVG(s.pay)", ""),
+    (10, "staff_{g}", "unit", "s", "s.unit", "", "WHERE", 1, None, None, ""),
     (12, "UNKNOWN", "x_{g}", None, "", "", "WHERE", 1, None, None, ""),
     (14, "deals_{g}", "region", "d", "d.region", "", "SELECT, calculation", 2, "WINDOW", RANKED, ""),
     (14, "deals_{g}", "total", "d", "d.total", "", "ORDER BY, SELECT, calculation", 2, "ARITHMETIC", GROSS, ""),
@@ -270,4 +365,5 @@ COLUMNS = [
     (19, "o2", "x", "o2", "o2.x", "", "SELECT", 1, None, None, "i.x"),
     (19, "dim_{g}", "k", "d", "d.k", "", "JOIN", 1, None, None, ""),
     (19, "map_{g}", "k", "m", "m.k", "", "calculation", 1, "MIN", "MIN(m.k)", ""),
+    (20, "one_{g}", "x", "a", "a.x", "", "SELECT", 1, None, None, ""),
 ]

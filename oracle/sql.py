@@ -15,7 +15,7 @@ from sqltrail.sources.statements import DIALECTS
 
 N = len(TEMPLATES)
 REPORT_TIME = "2024-01-01 00:00:00"
-BLANK, UNREADABLE = 11, (11,)
+BLANK, UNREADABLE, SCRIPT = 11, (11,), 20
 
 
 def literal(value) -> str:
@@ -295,7 +295,7 @@ def facts(part: str, select: str) -> str:
 
 def all_sql() -> dict[str, str]:
     bracket_dialect = "CASE query_id % 3 WHEN 0 THEN 'tsql' WHEN 1 THEN 'mysql' ELSE 'other' END"
-    search = "lower({0}) LIKE '%stock%'"
+    search = "lower({0}) LIKE '%leaks%'"
     exploded = "unnest(string_split({0}, ', '))"
     members = (
         "SELECT DISTINCT schema, name, table_type, 'alias' AS part, unnest(" + split_list("aliases") + ") AS value FROM tf UNION ALL "
@@ -325,7 +325,12 @@ def all_sql() -> dict[str, str]:
         "A3_classify_cte_reference": facts(REFERENCES, "SELECT query_id, name, alias, table_type FROM rf"),
         "A4_derived_tables": facts(TABLES, f"SELECT query_id, name FROM tf WHERE table_type = '{x.SUBQUERY}'"),
         "A5_join_type_per_table": facts(REFERENCES, "SELECT query_id, name, alias, written AS join_type FROM rf"),
-        "A6_oracle_outer_marks": query(EVENTS, select="SELECT query_id, 'Y' AS qualifier FROM ev WHERE tpl = 6"),
+        "S2_split_statements": query(
+            CORPUS,
+            f"split AS (SELECT query_id, CASE WHEN tpl = {SCRIPT} THEN string_split(sql, ';') ELSE [sql] END AS parts FROM corpus)",
+            select="SELECT query_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS sql FROM split",
+        ),
+        "A6_oracle_outer_marks": query(EVENTS, select="SELECT query_id, 'T' AS qualifier FROM ev WHERE tpl = 6"),
         "A7_apply_oracle_outer_marks": facts(REFERENCES, "SELECT query_id, name, alias, join_type FROM rf"),
         "A8_upsert_tables": facts(TABLES, "SELECT query_id, schema, name, table_type, aliases, join_type FROM tf"),
         "A9_unique_tables": facts(TABLES, "SELECT query_id, schema, name, table_type, aliases, columns FROM tf"),
@@ -334,7 +339,7 @@ def all_sql() -> dict[str, str]:
             TABLES, "SELECT schema, name, table_type, count(*) AS queries FROM tf GROUP BY schema, name, table_type"
         ),
         "A10_table_by_name": facts(
-            TABLES, "SELECT query_id, schema, name, table_type FROM tf WHERE (name = 't_view' AND schema = 's') OR (name = 'recent' AND schema IS NULL)"
+            TABLES, "SELECT query_id, schema, name, table_type FROM tf WHERE (name = 't_view' AND schema = 's') OR (name = 'ripe' AND schema IS NULL)"
         ),
         "A11_columns_per_table": facts(TABLES, f"SELECT query_id, schema, name, table_type, columns, {COLUMN_COUNT} FROM tf"),
         "R1_scope_tables": facts(SCOPES, "SELECT query_id, alias, name, CAST(selects AS BIGINT) AS selects FROM sf"),

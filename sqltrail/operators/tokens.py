@@ -260,11 +260,12 @@ def bracket_balance(tokens: Column) -> Column:
 
 
 def misplaced(tokens: Column) -> Column:
-    """Two comparisons in a row, or a clause word with nothing after it."""
+    """Two comparisons or commas in a row, or a clause word with nothing after it or what cannot begin an expression."""
 
     def wrong(token: Column, i: Column) -> Column:
         after = F.upper(F.get(tokens, i + 1))
-        empty = F.upper(token).isin(*EMPTY_CLAUSE) & (after.isNull() | after.isin(*EMPTY_CLAUSE, ")"))
+        empty = F.upper(token).isin(*EMPTY_CLAUSE) & (after.isNull() | after.isin(*EMPTY_CLAUSE, ")", "AND", "OR", ","))
+        empty |= (token == ",") & (after == ",")
         return empty | (token.isin(*COMPARISONS) & (after.isNull() | after.isin("=", "<", ">", "<=", ">=", "<>", "!=", ")", ",")))
 
     return F.exists(F.transform(tokens, wrong), lambda x: F.coalesce(x, F.lit(False)))
@@ -449,8 +450,9 @@ def with_neighbours(tokens: DataFrame) -> DataFrame:
         .when(c("p1w") == "USING", "using")
         .when(c("p1w").isin("FROM", "JOIN", "APPLY", "LATERAL"), "table")
         .when((c("p1w") == "(") & c("p2w").isin("FROM", "JOIN"), "table")
+        .when((F.upper("p1t") == "INSERT") & (c("p2w") == "THEN"), "list")
         .when(p1_alias | (c("p1w") == "WITH") | (c("p1w").isin(*NAMES) & c("p2w").isin("INTO", "TABLE", "VIEW", "WITH", "RECURSIVE")), "list")
-        .when(c("p1w").isin(*NAMES) & (called == "FILTER") & (c("n1w") == "WHERE"), "plain")
+        .when(c("p1w").isin(*NAMES) & (called == "FILTER") & (c("n1w") == "WHERE"), "filter")
         .when(c("p1w").isin(*NAMES) & called.isin(*STAR_CHANGES) & c("p2t").endswith("_star_"), "plain")
         .when(c("p1w").isin(*NAMES) & called.isin(*CAST_FUNCTIONS), "cast")
         .when(c("p1w").isin(*NAMES) | (c("p1w") == "MOD"), "fn")
@@ -659,6 +661,7 @@ def with_roles(tokens: DataFrame) -> DataFrame:
         | literal_prefix
         | (c("p2w") == "INTERVAL")
         | c("p1w").isin("::", "OVER", "COLLATE", "WINDOW")
+        | (c("n1w") == "=>")
         | c("clause").isin("LIMIT", "WITH", "NONE")
     )
     column = (
@@ -696,6 +699,7 @@ def with_roles(tokens: DataFrame) -> DataFrame:
         F.array(
             F.when(c("clause").isin("WHERE", "JOIN", "GROUP BY", "HAVING", "ORDER BY"), c("clause")),
             F.when(in_order, "ORDER BY"),
+            F.when((c("g_kind") == "filter") & (c("clause") != "WHERE"), "WHERE"),
             F.when((calc.open > c("qid")) & calc.isNotNull(), "calculation"),
         ),
         lambda p: p.isNotNull(),

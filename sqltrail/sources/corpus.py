@@ -10,21 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TEMPLATES = (
-    "SELECT s.sku AS item_sku, s.title, MIN(r.paid) AS least_paid, AVG(r.stars) AS mean_stars "
-    "FROM stock_{g} s LEFT OUTER JOIN reviews_{g} r ON r.sku = s.sku WHERE s.hidden = 0 AND r.lang = 'en' "
-    "GROUP BY s.sku, s.title HAVING MAX(r.paid) < 9 ORDER BY item_sku",
-    "SELECT MAX(p.weight) AS heaviest FROM parcels_{g} p GROUP BY p.depot",
-    "SELECT w.badge FROM workers_{g} w JOIN shifts_{g} h USING (badge) WHERE w.badge > 7",
-    "WITH recent AS (SELECT v.host, v.seen FROM visits_{g} v) SELECT n.host FROM recent n "
-    "WHERE n.seen IN (SELECT b.day FROM bans_{g} b)",
-    "SELECT k.tag AS label, k.hits FROM topics_{g} k LEFT JOIN (SELECT feeds.tag, feeds.lag FROM feeds) fd ON fd.tag = k.tag",
-    "SELECT c.code, d.label, e.score FROM cities c LEFT JOIN districts d ON d.city = c.code "
-    "INNER JOIN exams e ON e.district = d.code FULL OUTER JOIN feasts f ON f.city = c.code",
-    "SELECT m.grade, y.unit FROM marks_{g} m, years_{g} y WHERE m.yr = y.yr(+)",
-    "SELECT * FROM logs_{g} /* every\nfield */ -- of the bad ones\nWHERE sev = 3",
-    "SELECT CONVERT(datetime, made) AS made_at, to_date('05.06.2021','DD.MM.YYYY') AS fixed_day FROM jobs_{g}",
+    "SELECT z.kind, COUNT(*) AS seen, SUM(w.kg) / 1000 AS tons FROM wagons_{g} w CROSS JOIN zones_{g} z "
+    "WHERE w.kg BETWEEN z.low AND z.high GROUP BY z.kind ORDER BY tons DESC, z.kind",
+    "SELECT t.lot FROM tanks_{g} t WHERE NOT EXISTS (SELECT 1 FROM leaks_{g} k WHERE k.lot = t.lot AND k.litres > 5) ORDER BY t.lot",
+    "SELECT SUBSTR(n.title, 1, 3) stub, q.votes FROM novels_{g} n NATURAL JOIN quotes_{g} q "
+    "LEFT JOIN critics_{g} USING (critic_id, year) WHERE q.votes IS NOT NULL",
+    "WITH ripe AS (SELECT h.plot, AVG(h.brix) sugar FROM harvest_{g} h WHERE h.brix > 18 GROUP BY h.plot) "
+    "SELECT plots.owner, r.sugar FROM plots RIGHT OUTER JOIN ripe r ON plots.id = r.plot WHERE r.sugar <> 0",
+    "SELECT d.pier, late.ships FROM docks_{g} d INNER JOIN (SELECT a.dock_no, COUNT(DISTINCT a.ship) AS ships FROM arrivals_{g} a "
+    "WHERE a.delay > 2 GROUP BY a.dock_no) late ON late.dock_no = d.dock_no",
+    "SELECT code FROM ports INTERSECT SELECT old_code FROM closed_ports WHERE closed_on < DATE '2020-01-01'",
+    "SELECT v.plate, t.fee FROM vans_{g} v, tolls_{g} t, roads_{g} WHERE t.plate(+) = v.plate AND t.day (+) > 3 ORDER BY t.fee NULLS LAST",
+    "SELECT DISTINCT * -- all of them\nFROM logs_{g} /* day\nby day */ WHERE sev >= 3",
+    "SELECT j.id, CONVERT(datetime, made) made_at FROM jobs_{g} j WHERE j.due < to_date('05.06.2021','DD.MM.YYYY')",
     "SELECT [a b], 'x[1]' FROM [s].[t_{g}]",
-    "SELECT p.id, q.id FROM nodes_{g} p INNER JOIN nodes_{g} q ON p.above = q.id",
+    "SELECT h.name FROM staff_{g} h WHERE h.pay > (SELECT AVG(s.pay) FROM staff_{g} s WHERE s.unit = 7)",
     "   ",
     "SELECT 1 WHERE x_{g} = 1",
     "DELETE FROM t_{g}",
@@ -42,6 +42,7 @@ TEMPLATES = (
     "LEFT JOIN us_{g} u USING (uid, org) GROUP BY e.day, yr HAVING COUNT(*) > @low(f(1), 2) ORDER BY n DESC LIMIT 10",
     "SELECT o2.x AS xx FROM (SELECT i.x FROM (SELECT c.x FROM core_{g} c) i) o2 "
     "RIGHT JOIN dim_{g} d ON d.k = (SELECT MIN(m.k) FROM map_{g} m)",
+    "SELECT a.x FROM one_{g} a; DELETE FROM two_{g} WHERE y = 1;\nSELECT b.z FROM three_{g} b",
 )
 DIALECT_NAMES = {9: "SQLSERVER", 18: "POSTGRESQL"}
 

@@ -6,12 +6,14 @@ from sqltrail import Analysis
 from sqltrail.sources.statements import split_statements
 
 STATEMENTS = {
-    "contexts": "SELECT b.isbn AS code, b.pages AS length, COUNT(l.taken) AS loans FROM books b LEFT JOIN loans l ON b.isbn = l.isbn "
-    "WHERE b.lost = 0 GROUP BY b.isbn, b.pages HAVING COUNT(l.taken) > 2 ORDER BY code",
-    "left_outer": "SELECT c.plate, f.paid FROM cars c LEFT OUTER JOIN fines f ON f.plate = c.plate",
-    "no_join": "SELECT hue FROM paints",
-    "self_join": "SELECT x.id, y.id FROM parts x INNER JOIN parts y ON y.id = x.within",
-    "bare_join": "SELECT r.km, s.fee FROM roads r JOIN signs s ON s.road = r.id",
+    "contexts": "SELECT g.song AS tune, SUM(g.plays) AS total FROM gigs g WHERE g.city = 'X' AND g.song LIKE 'a%' "
+    "GROUP BY g.song HAVING MIN(g.plays) > 1 ORDER BY tune",
+    "join_kinds": "SELECT 1 FROM a LEFT OUTER JOIN b ON b.k = a.k JOIN a c ON c.k = b.k RIGHT JOIN d USING (k)",
+    "merge_insert": "MERGE INTO t USING s ON (t.id = s.id) WHEN MATCHED THEN UPDATE SET v = s.v WHEN NOT MATCHED THEN INSERT (id, v) VALUES (s.id, s.v + 1)",
+    "named_argument": "SELECT v.value FROM t, LATERAL FLATTEN(input => t.js) v WHERE MAKE_DATE(year => t.y, month => 2) > 3",
+    "filter_where": "SELECT SUM(t.a) FILTER (WHERE t.b > 1) AS f FROM t",
+    "two_commas": "SELECT a,, b FROM t",
+    "where_and": "SELECT a FROM t WHERE AND b = 1",
     "alias_same": "SELECT name AS name FROM t",
     "calc_alias_same": "SELECT SUM(x) AS x FROM t",
     "unaliased_sum": "SELECT SUM(x), a || b, (c) FROM t",
@@ -65,12 +67,8 @@ STATEMENTS = {
     "delete_from": "DELETE t FROM t JOIN u ON t.k = u.k WHERE u.v = 1",
     "set_operations": "SELECT a FROM t MINUS SELECT b FROM u EXCEPT (SELECT c FROM v) UNION SELECT minus FROM w",
     "deep": "SELECT " + "(" * 60 + "a" + ")" * 60 + " AS v FROM t",
-    "long_joins": "SELECT p.id AS plane, h.city, SUM(f.km) AS flown FROM planes p JOIN hangars h ON h.id = p.hangar "
-    "LEFT JOIN flights f ON f.plane = p.id LEFT JOIN (SELECT checks.plane, checks.passed FROM checks) ck ON ck.plane = p.id "
-    "RIGHT JOIN crews one ON one.plane = p.id WHERE p.built > 1990 AND h.city NOT IN ('X') GROUP BY p.id, h.city ORDER BY flown DESC, plane",
-    "long_ctes": "WITH wet AS (SELECT site, SUM(mm) AS rain FROM gauges WHERE mm > 0 GROUP BY site), far AS (SELECT s.site FROM sites s "
-    "WHERE EXISTS (SELECT 1 FROM roads r WHERE r.site = s.site AND r.km > :least)) SELECT w.site, w.rain / 10 AS cm FROM wet w "
-    "JOIN far x ON x.site = w.site WHERE w.rain >= ROUND(CURRENT_DATE - :days, 0)",
+    "long_mixed": "WITH a AS (SELECT k, MAX(v) m FROM x GROUP BY k) SELECT y.k, a.m * 2 AS twice FROM y JOIN a ON a.k = y.k "
+    "WHERE y.k IN (SELECT z.k FROM z WHERE z.d > CURRENT_DATE - :days)",
     "soft_alias": "SELECT a AS offset, b FROM t WHERE c = 1",
     "soft_column": "SELECT offset, a FROM t",
     "soft_middle": "SELECT t.a, view, b FROM t",
@@ -120,17 +118,22 @@ def joins(facts):
 
 
 def test_contexts_and_counts(columns):
-    column = columns["contexts"]["books.isbn"]
+    column = columns["contexts"]["gigs.song"]
     assert column.usage_count == 4
-    assert column.usage_locations == ["GROUP BY", "JOIN", "ORDER BY", "SELECT"]
-    assert column.aliases == ["b.isbn", "code"] and column.column_aliases == ["code"]
+    assert column.usage_locations == ["GROUP BY", "ORDER BY", "SELECT", "WHERE"]
+    assert column.aliases == ["g.song", "tune"] and column.column_aliases == ["tune"]
+
+
+def test_nested_clauses(columns):
+    assert set(columns["merge_insert"]) == {"t.id", "s.id", "s.v", "UNKNOWN.v"} and not columns["merge_insert"]["UNKNOWN.v"].is_calculation
+    assert "t.input" not in columns["named_argument"] and not {k for k in columns["named_argument"] if k.endswith((".input", ".year", ".month"))}
+    assert "t.js" in columns["named_argument"] and "t.y" in columns["named_argument"]
+    assert columns["filter_where"]["t.b"].usage_locations == ["SELECT", "WHERE"]
+    assert columns["filter_where"]["t.a"].usage_locations == ["SELECT", "calculation"]
 
 
 def test_join_types(joins):
-    assert joins["left_outer"] == {"cars": None, "fines": "LEFT OUTER JOIN"}
-    assert joins["no_join"] == {"paints": None}
-    assert joins["self_join"] == {"parts": "INNER JOIN"}
-    assert joins["bare_join"] == {"roads": None, "signs": "INNER JOIN"}
+    assert joins["join_kinds"] == {"a": "INNER JOIN", "b": "LEFT OUTER JOIN", "d": "RIGHT JOIN"}
     assert joins["joins"] == {
         "a": None, "b": "INNER JOIN", "c": "FULL OUTER JOIN", "d": "LEFT SEMI JOIN", "e": "CROSS JOIN", "f": "INNER JOIN",
     }
@@ -165,7 +168,7 @@ def test_relations(columns):
 def test_errors(facts):
     columns, tables, errors = facts
     assert errors["empty"] == errors["null"] == ["SQL запрос пустой"]
-    broken = {"unclosed_quote", "unclosed_bracket", "extra_bracket", "comment_only", "two_operators", "empty_where", "empty_from", "empty_end"}
+    broken = {"unclosed_quote", "unclosed_bracket", "extra_bracket", "comment_only", "two_operators", "empty_where", "empty_from", "empty_end", "two_commas", "where_and"}
     for name in broken:
         assert len(errors[name]) == 1 and errors[name][0].startswith("Ошибка парсинга: "), name
     for name, found in errors.items():
@@ -267,12 +270,10 @@ def test_words_around_clauses(facts):
 
 def test_long_statements(facts):
     columns, tables, _ = facts
-    assert {key[1] for key in tables["long_joins"]} == {"planes", "hangars", "flights", "checks", "crews", "ck"}
-    assert columns["long_joins"]["planes.id"].usage_count == 6
-    assert "ORDER BY" in columns["long_joins"]["planes.id"].usage_locations
-    assert {key[1] for key in tables["long_ctes"]} == {"gauges", "wet", "sites", "roads", "far"}
-    assert columns["long_ctes"]["CALC.cm"].dependencies == ["wet.rain"]
-    assert not [key for key in columns["long_ctes"] if "CURRENT" in key or "days" in key or "least" in key]
+    assert {key[1] for key in tables["long_mixed"]} == {"a", "x", "y", "z"}
+    assert columns["long_mixed"]["CALC.twice"].dependencies == ["x.v"]
+    assert columns["long_mixed"]["y.k"].usage_locations == ["JOIN", "SELECT", "WHERE"]
+    assert not [key for key in columns["long_mixed"] if "CURRENT" in key or "days" in key]
 
 
 def test_soft_words(facts):

@@ -63,7 +63,7 @@ def test_json(spark, analysis, tmp_path):
     first = next(d for d in documents if d["query_id"] == 3)
     assert list(first) == ["query_id", "metadata", "tables", "columns", "json_schema"]
     assert first["json_schema"] == writers.JSON_SCHEMA
-    assert [t["name"].split("_")[0] for t in first["tables"]] == ["recent", "visits", "bans"]
+    assert [t["name"].split("_")[0] for t in first["tables"]] == ["ripe", "harvest", "plots"]
     assert first["metadata"]["statistics"]["table_types"] == {"Таблица": 2, "CTE": 1}
     assert list(first["columns"][0]) == list(writers.JSON_SCHEMA["properties"]["columns"]["items"]["properties"])
     blank = next(d for d in documents if d["query_id"] == 11)
@@ -107,7 +107,7 @@ def test_escapes(spark):
 def test_search_and_sort(analysis):
     view = reports.columns_view(analysis.enriched)
     assert reports.search_metadata(view, "") is view
-    found = reports.search_metadata(view, "ITEM_SKU", "stmt").collect()
-    assert found and all("item_sku" in " ".join(map(str, row)).lower() for row in found)
+    found = reports.search_metadata(view, "CRITIC_ID", "stmt").collect()
+    assert found and all("critic_id" in " ".join(map(str, row)).lower() for row in found)
     counts = [r.usage_count for r in reports.sort_view(view, "usage_count", descending=True).collect()]
     assert counts == sorted(counts, reverse=True)
