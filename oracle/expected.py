@@ -53,6 +53,7 @@ TABLES = [
     (19, 4, None, "i", SUBQUERY, "i", None, "i.x"),
     (19, 5, None, "o2", SUBQUERY, "o2", None, "o2.x"),
     (20, 1, None, "one_{g}", TABLE, "a", None, "one_{g}.x"),
+    (21, 1, None, "games_{g}", TABLE, "p", None, "games_{g}.team, games_{g}.won"),
 ]
 
 # template, schema, name, alias, type, join type as written, join type after outer marks
@@ -98,6 +99,7 @@ REFERENCES = [
     (19, None, "dim_{g}", "d", TABLE, "RIGHT JOIN", "RIGHT JOIN"),
     (19, None, "map_{g}", "m", TABLE, "RIGHT JOIN", "RIGHT JOIN"),
     (20, None, "one_{g}", "a", TABLE, None, None),
+    (21, None, "games_{g}", "p", TABLE, None, None),
 ]
 
 # template, alias, table, number of SELECTs whose FROM or JOINs reach it
@@ -141,6 +143,7 @@ SCOPE_TABLES = [
     (19, "d", "dim_{g}", 1),
     (19, "m", "map_{g}", 2),
     (20, "a", "one_{g}", 1),
+    (21, "p", "games_{g}", 1),
 ]
 
 # template, qualifier, column as written, owner and column it means, times, by select alias
@@ -228,6 +231,8 @@ MENTIONS = [
     (19, "d", "k", "dim_{g}", "k", 1, False),
     (19, "m", "k", "map_{g}", "k", 1, False),
     (20, "a", "x", "one_{g}", "x", 1, False),
+    (21, "p", "won", "games_{g}", "won", 1, False),
+    (21, "p", "team", "games_{g}", "team", 1, False),
 ]
 
 # template, relation, output, source table, source column
@@ -366,4 +371,6 @@ COLUMNS = [
     (19, "dim_{g}", "k", "d", "d.k", "", "JOIN", 1, None, None, ""),
     (19, "map_{g}", "k", "m", "m.k", "", "calculation", 1, "MIN", "MIN(m.k)", ""),
     (20, "one_{g}", "x", "a", "a.x", "", "SELECT", 1, None, None, ""),
+    (21, "games_{g}", "won", "p", "p.won, wins", "wins", "SELECT, calculation", 1, "SUM", "SUM(p.won)", ""),
+    (21, "games_{g}", "team", "p", "p.team, wins", "wins", "SELECT, WHERE", 1, None, None, ""),
 ]

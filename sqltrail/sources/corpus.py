@@ -43,6 +43,7 @@ TEMPLATES = (
     "SELECT o2.x AS xx FROM (SELECT i.x FROM (SELECT c.x FROM core_{g} c) i) o2 "
     "RIGHT JOIN dim_{g} d ON d.k = (SELECT MIN(m.k) FROM map_{g} m)",
     "SELECT a.x FROM one_{g} a; DELETE FROM two_{g} WHERE y = 1;\nSELECT b.z FROM three_{g} b",
+    "SELECT SUM(p.won) FILTER (WHERE p.team = 4) AS wins FROM games_{g} p",
 )
 DIALECT_NAMES = {9: "SQLSERVER", 18: "POSTGRESQL"}
 
