@@ -11,7 +11,7 @@ The text is first cut at white space, where no piece of the pattern crosses; wha
 looked up in a bounded cache, so a frequent word is split and merged once for a while.
 
 Defined cases: a null text is an empty one, with no tokens and an empty decoding. Repeated rows are
-encoded each. Texts are whole, whatever their length. An empty table gives an empty table. Lone
+encoded each. Texts are whole, whatever their length. An empty table gives an empty table. Other columns are not read. Lone
 surrogates cannot occur in Spark strings.
 """
 

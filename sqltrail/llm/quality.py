@@ -14,7 +14,7 @@ the model by Adam and returns it; its size is fixed. Everything else is one pass
 Defined cases: a null text is an empty one; empty texts are scored by their statistics. Null or
 non-finite metadata has a feature of its own. A null id is held out. Null labels and labels without a document are
 not used; of repeated rows of one id the one with the smallest text hash is used. Without labels of both classes the score is the
-share of label 1 (0.5 without any). An empty table gives an empty table.
+share of label 1 (0.5 without any). Of further columns only the named metadata are read. An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ fits gets the default verdict. Among fitting rules the longest wins: more of the
 the path. Host and path are taken as written: a port belongs to the host, and a path may be empty.
 Repeated urls and repeated rows are judged each. An empty table gives an empty table. Of two equal
 rules, ``allow`` wins. A null rule host is ignored; a null rule path is the empty path.
+Very long urls are keys like others. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ Defined cases: a null html is an empty payload; empty payloads are equal payload
 is an empty one; blanks and control characters in it are percent-encoded. A null ``page_id`` is kept as
 null; among equal payloads the smallest id that is not null is the response, and without any id all are
 responses. Repeated rows with the response's id are responses too. An empty table gives no archive. Other
-columns are not read. A broken archive raises ``ValueError`` and names the file.
+columns are not read. A very long payload is one record, held whole by the task that writes or reads it. A broken archive raises ``ValueError`` and names the file.
 """
 
 from __future__ import annotations
