@@ -325,6 +325,13 @@ def all_sql() -> dict[str, str]:
         "A3_classify_cte_reference": facts(REFERENCES, "SELECT query_id, name, alias, table_type FROM rf"),
         "A4_derived_tables": facts(TABLES, f"SELECT query_id, name FROM tf WHERE table_type = '{x.SUBQUERY}'"),
         "A5_join_type_per_table": facts(REFERENCES, "SELECT query_id, name, alias, written AS join_type FROM rf"),
+        "S1_read_sql_scripts": query(
+            CORPUS,
+            f"split AS (SELECT query_id, CASE WHEN tpl = {SCRIPT} THEN string_split(sql, ';') ELSE [sql] END AS parts FROM corpus)",
+            "rows AS (SELECT query_id, generate_subscripts(parts, 1) AS part, unnest(parts) AS sql FROM split)",
+            "named AS (SELECT CASE WHEN part = 1 THEN '/*' || query_id || '*/' || sql ELSE regexp_replace(sql, '^\\n', '') END AS sql FROM rows)",
+            select="SELECT sql, count(*) AS statements FROM named GROUP BY sql",
+        ),
         "S2_split_statements": query(
             CORPUS,
             f"split AS (SELECT query_id, CASE WHEN tpl = {SCRIPT} THEN string_split(sql, ';') ELSE [sql] END AS parts FROM corpus)",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltrail.operators import tokens
+from sqltrail.plans.stages import Stages
+from sqltrail.sources.scripts import split_files, statements_of
 
 DEFAULT_DIALECT = "oracle"
 
@@ -52,7 +53,8 @@ def statements_from_table(
 def read_sql_files(spark: SparkSession, path: str, dialect: str = DEFAULT_DIALECT) -> DataFrame:
     """One ``.sql`` or ``.txt`` file is one statement, keyed by its path.
 
-    Files are never split, so a statement stays whole; small files share a task.
+    Files are never split, so a statement stays whole; small files share a task. ``read_sql_scripts`` is for
+    files that hold many statements.
     """
     return (
         spark.read.option("recursiveFileLookup", True)
@@ -66,14 +68,15 @@ def read_sql_files(spark: SparkSession, path: str, dialect: str = DEFAULT_DIALEC
     )
 
 
-# One statement of a text: comments, literals and quoted names are skipped whole.
-STATEMENT = (
-    r"(?s)(?:[^;'\"`\[$/-]++|--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)|"
-    + tokens.LITERAL_DOLLAR
-    + "|"
-    + tokens.QUOTED_NAME
-    + r"|[^;])++"
-)
+def read_sql_scripts(spark: SparkSession, path: str, stages: Stages, dialect: str = DEFAULT_DIALECT) -> DataFrame:
+    """S1 for scripts: every statement of each file, keyed by ``(id, part)`` with the path as id, as ``split_statements`` would.
+
+    A file of any size is read by many tasks. ``stages`` keeps what is written on the way until it is deleted.
+    """
+    name = DIALECTS.get(dialect.strip().upper(), dialect.strip().lower())
+    name = name if name in DIALECTS.values() else DEFAULT_DIALECT
+    rows = split_files(spark, path, stages, name)
+    return rows.select(F.struct(F.col("file").alias("id"), "part").alias("query_id"), "sql", F.lit(name).alias("dialect"))
 
 
 def split_statements(statements: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def split_statements(statements: DataFrame) -> DataFrame:
     The facts of a text are those of its first statement. Split first, nothing of a script is left
     out. A text without any statement stays as part 0.
     """
-    found = F.filter(F.regexp_extract_all("sql", F.lit(STATEMENT), F.lit(0)), lambda x: x.rlike(r"\S"))
+    found = statements_of(F.col("sql"), F.col("dialect"))
     parts = F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(F.array("sql"))
     return statements.select("query_id", "dialect", F.posexplode(parts).alias("part", "sql")).select(
         F.struct(F.col("query_id").alias("id"), "part").alias("query_id"), "sql", "dialect"
