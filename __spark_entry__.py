@@ -257,6 +257,7 @@ def engine_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "S1_read_sql_scripts": _scripts,
         "S2_statements_from_table": _log,
         "S2_split_statements": _split,
+        "S2_unread_statements": _facts(lambda a: a.scripts),
         "S3_normalize_dialect": _dialects,
         "P1_remove_comments": _cleaned(clean.remove_comments),
         "P2_convert_to_cast": _cleaned(clean.convert_to_cast),

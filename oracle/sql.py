@@ -337,6 +337,9 @@ def all_sql() -> dict[str, str]:
             f"split AS (SELECT query_id, CASE WHEN tpl = {SCRIPT} THEN string_split(sql, ';') ELSE [sql] END AS parts FROM corpus)",
             select="SELECT query_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS sql FROM split",
         ),
+        "S2_unread_statements": query(
+            EVENTS, select=f"SELECT query_id, CAST(3 AS INTEGER) AS statements, CAST(2 AS INTEGER) AS unread FROM ev WHERE tpl = {SCRIPT}"
+        ),
         "A6_oracle_outer_marks": query(EVENTS, select="SELECT query_id, 'T' AS qualifier FROM ev WHERE tpl = 6"),
         "A7_apply_oracle_outer_marks": facts(REFERENCES, "SELECT query_id, name, alias, join_type FROM rf"),
         "A8_upsert_tables": facts(TABLES, "SELECT query_id, schema, name, table_type, aliases, join_type FROM tf"),

@@ -15,6 +15,7 @@ from sqltrail.operators import tokens as tk
 from sqltrail.plans import reports
 from sqltrail.plans import statements as st
 from sqltrail.plans.stages import Stages, chain_ends, own_session
+from sqltrail.sources.scripts import statements_of
 
 
 class Analysis:
@@ -81,6 +82,12 @@ class Analysis:
         """``(stmt, sql, dialect, copies, sql_clean, parse_errors, tokens)``, one row per text."""
         return self._stage("texts", lambda a: st.clean_statements(a.distinct.repartition(a.buckets, "stmt")))
 
+    @property
+    def scripts(self) -> DataFrame:
+        """``(stmt, statements, unread)`` of texts with several statements: facts are those of the first, the rest are unread."""
+        counted = self.texts.select("stmt", F.size(statements_of(F.col("sql"), F.col("dialect"))).alias("statements"))
+        return counted.where(F.col("statements") > 1).withColumn("unread", F.col("statements") - 1)
+
     @cached_property
     def readable(self) -> DataFrame:
         """Texts without parse errors; only these yield facts (P10)."""

@@ -330,3 +330,21 @@ def test_scripts_are_split(spark):
         found.setdefault(tuple(row.query_id), set()).add(row.name)
     assert found == {(1, 0): {"t"}, (1, 1): {"u"}, (1, 2): {"v"}, (2, 0): {"w"}, (2, 1): {"g;h"}, (3, 0): {"m"}}
     analysis.release()
+
+
+def test_unsplit_scripts_are_marked(spark):
+    """Facts of an unsplit text are those of its first statement, and the text says how many are unread."""
+    texts = [
+        (1, "SELECT a FROM t; SELECT b FROM u;\n DELETE FROM v;;", "oracle"),
+        (2, "SELECT ';' AS x, c FROM w -- no; end\n;", "tsql"),
+        (3, r"SELECT 'it\'s; one' FROM m", "mysql"),
+        (4, None, "oracle"),
+        (5, " ; ", "oracle"),
+    ]
+    log = spark.createDataFrame(texts, "query_id long, sql string, dialect string")
+    analysis = Analysis(log)
+    assert [tuple(r) for r in analysis.per_query(analysis.scripts).collect()] == [(1, 3, 2)]
+    analysis.release()
+    split = Analysis(split_statements(log))
+    assert split.scripts.isEmpty()
+    split.release()

@@ -69,7 +69,7 @@ def test_backslash_by_dialect(spark):
     rows = [(1, r"SELECT 'a\'; b'; SELECT 2", "mysql"), (2, r"SELECT 'a\'; SELECT 2", "oracle")]
     parts = split_statements(spark.createDataFrame(rows, "query_id int, sql string, dialect string"))
     found = sorted((r.query_id.id, r.sql.strip()) for r in parts.collect())
-    assert found == [(1, "SELECT 2"), (1, r"SELECT 'a\'; b'"), (2, "SELECT 2"), (2, r"SELECT 'a\'")]
+    assert found == [(1, r"SELECT 'a\'; b'"), (1, "SELECT 2"), (2, r"SELECT 'a\'"), (2, "SELECT 2")]
 
 
 def test_no_files(spark, tmp_path):
