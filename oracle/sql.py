@@ -15,7 +15,10 @@ from sqltrail.sources.statements import DIALECTS
 
 N = len(TEMPLATES)
 REPORT_TIME = "2024-01-01 00:00:00"
-BLANK, UNREADABLE, SCRIPT = 11, (11,), 20
+BLANK, SCRIPT, MISPLACED = 11, 20, (22, 23)
+UNREADABLE = (BLANK, *MISPLACED)
+ERRORS = {BLANK: "SQL запрос пустой", **dict.fromkeys(MISPLACED, "Ошибка парсинга: соседние слова не сочетаются")}
+ERROR_OF = "CASE tpl " + " ".join(f"WHEN {tpl} THEN '{message}'" for tpl, message in ERRORS.items()) + " ELSE '' END"
 
 
 def literal(value) -> str:
@@ -257,9 +260,9 @@ def documents_sql() -> str:
         "'{\"total_columns\":' || total_columns || ',\"total_tables\":' || total_tables || ',\"unique_tables\":' || unique_tables || "
         "',\"calculation_columns\":' || calculation_columns || ',\"total_column_mentions\":' || total_column_mentions || "
         "',\"table_types\":{' || coalesce(types.docs, '') || '}},\"parse_errors\":' || "
-        f"CASE WHEN tpl = {BLANK} THEN '[\"SQL запрос пустой\"]' ELSE '[]' END || '}},\"tables\":[' || coalesce(td.docs, '') || "
+        f"CASE WHEN tpl IN {UNREADABLE} THEN '[\"' || {ERROR_OF} || '\"]' ELSE '[]' END || '}},\"tables\":[' || coalesce(td.docs, '') || "
         "'],\"columns\":[' || coalesce(cd.docs, '') || '],\"json_schema\":' || "
-        f"CASE WHEN tpl = {BLANK} THEN '{{}}' ELSE {literal(json.dumps(JSON_SCHEMA))} END || '}}' AS document "
+        f"CASE WHEN tpl IN {UNREADABLE} THEN '{{}}' ELSE {literal(json.dumps(JSON_SCHEMA))} END || '}}' AS document "
         "FROM corpus JOIN st USING (query_id) LEFT JOIN td USING (query_id) LEFT JOIN cd USING (query_id) LEFT JOIN types USING (query_id)",
     )
 
@@ -318,7 +321,7 @@ def all_sql() -> dict[str, str]:
             f"WHEN NOT contains(upper(sql), 'FROM') AND contains(upper(sql), 'WHERE') THEN {literal(ERROR_NO_FROM)} END AS error"
         ),
         "P10_capture_errors": on_corpus(
-            f"query_id, CASE WHEN trim(sql) = '' THEN 'SQL запрос пустой' ELSE '' END AS parse_errors"
+            f"query_id, {ERROR_OF} AS parse_errors"
         ),
         "A1_cte_definitions": facts(TABLES, f"SELECT query_id, name FROM tf WHERE table_type = '{x.CTE}'"),
         "A2_table_references": facts(REFERENCES, "SELECT query_id, schema, name, alias FROM rf"),
@@ -468,7 +471,7 @@ def all_sql() -> dict[str, str]:
         "M10_sort_view": query(EVENTS, ENRICHED, select=f"SELECT {VIEW_COLUMNS} FROM ef ORDER BY usage_count DESC"),
         "M11_run_summary": query(
             EVENTS, STATISTICS,
-            select=f"SELECT query_id, total_columns, unique_tables, CAST(CASE WHEN tpl = {BLANK} THEN 1 ELSE 0 END AS INTEGER) AS errors "
+            select=f"SELECT query_id, total_columns, unique_tables, CAST(CASE WHEN tpl IN {UNREADABLE} THEN 1 ELSE 0 END AS INTEGER) AS errors "
             "FROM ev JOIN st USING (query_id)",
         ),
         "K1_json_documents": documents_sql(),

@@ -224,8 +224,7 @@ ERROR_PREFIX = "Ошибка парсинга: "
 ERROR_NOTHING = ERROR_PREFIX + "нет выражения"
 ERROR_BRACKETS = ERROR_PREFIX + "непарные скобки"
 ERROR_QUOTES = ERROR_PREFIX + "незакрытая кавычка"
-ERROR_PLACE = ERROR_PREFIX + "пропущено выражение"
-EMPTY_CLAUSE = ("WHERE", "HAVING", "GROUP BY", "ORDER BY", "FROM", "JOIN", "ON")
+ERROR_PLACE = ERROR_PREFIX + "соседние слова не сочетаются"
 
 
 def token_array(sql_clean: Column, dialect: Column) -> Column:
@@ -259,26 +258,14 @@ def bracket_balance(tokens: Column) -> Column:
     return F.aggregate(marks, F.lit(0), step)
 
 
-def misplaced(tokens: Column) -> Column:
-    """Two comparisons or commas in a row, or a clause word with nothing after it or what cannot begin an expression."""
-
-    def wrong(token: Column, i: Column) -> Column:
-        after = F.upper(F.get(tokens, i + 1))
-        empty = F.upper(token).isin(*EMPTY_CLAUSE) & (after.isNull() | after.isin(*EMPTY_CLAUSE, ")", "AND", "OR", ","))
-        empty |= (token == ",") & (after == ",")
-        return empty | (token.isin(*COMPARISONS) & (after.isNull() | after.isin("=", "<", ">", "<=", ">=", "<>", "!=", ")", ",")))
-
-    return F.exists(F.transform(tokens, wrong), lambda x: F.coalesce(x, F.lit(False)))
-
-
-def structural_errors(sql: Column, sql_clean: Column, balance: Column, tokens: Column) -> Column:
+def structural_errors(sql: Column, sql_clean: Column, balance: Column, misplaced: Column) -> Column:
     """P10: what stops a statement from being read, as an array of messages."""
     message = (
         F.when(sql.isNull() | ~sql.rlike(r"(?U)[^\s\x1c-\x1f]"), ERROR_BLANK)
         .when(~F.coalesce(sql_clean, F.lit("")).rlike(r"\A[^;]"), ERROR_NOTHING)
         .when(balance == STRAY_QUOTE, ERROR_QUOTES)
         .when(balance != 0, ERROR_BRACKETS)
-        .when(misplaced(tokens), ERROR_PLACE)
+        .when(misplaced, ERROR_PLACE)
     )
     return F.filter(F.array(message), lambda m: m.isNotNull())
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sqltrail.functions.clean import preprocess
 from sqltrail.operators import tokens as tk
+from sqltrail.operators.neighbours import misplaced
 
 # Rows of (query, fact) that one bucket of a text gives at most, whatever the size of the log.
 BUCKET_ROWS = 4_000_000
@@ -50,7 +51,7 @@ def clean_statements(texts: DataFrame) -> DataFrame:
     tokens = F.col("tokens")
     return (
         cleaned.select("*", F.inline_outer(once))
-        .withColumn("parse_errors", tk.structural_errors(F.col("sql"), F.col("sql_clean"), tk.bracket_balance(tokens), tokens))
+        .withColumn("parse_errors", tk.structural_errors(F.col("sql"), F.col("sql_clean"), tk.bracket_balance(tokens), misplaced(tokens)))
         .select("stmt", "sql", "dialect", "copies", "sql_clean", "parse_errors", "tokens")
     )
 

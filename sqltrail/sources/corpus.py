@@ -44,6 +44,8 @@ TEMPLATES = (
     "RIGHT JOIN dim_{g} d ON d.k = (SELECT MIN(m.k) FROM map_{g} m)",
     "SELECT a.x FROM one_{g} a; DELETE FROM two_{g} WHERE y = 1;\nSELECT b.z FROM three_{g} b",
     "SELECT SUM(p.won) FILTER (WHERE p.team = 4) AS wins FROM games_{g} p",
+    "SELECT m.ore m.grade pit FROM mines_{g} m",
+    "SELECT c.hue FROM paints_{g} c GROUP BY c.hue WHERE c.gloss = 2",
 )
 DIALECT_NAMES = {9: "SQLSERVER", 18: "POSTGRESQL"}
 
