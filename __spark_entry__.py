@@ -17,7 +17,9 @@ from sqltrail.functions.text import comma_list, escape_source_text, filter_calcu
 from sqltrail.operators import columns as col_ops
 from sqltrail.operators import tables as tab
 from sqltrail.plans import reports
+from sqltrail.plans.search import read_postings, search_indexed, write_postings
 from sqltrail.sinks import writers
+from sqltrail.sinks.manifest import read_committed
 from sqltrail.sources import corpus
 from sqltrail.sources.statements import DIALECTS, normalize_dialect, read_sql_scripts, split_statements, statements_from_table
 
@@ -204,6 +206,34 @@ def _sorted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sort_view(analysis.per_query(reports.columns_view(analysis.enriched)), "usage_count", descending=True)
 
 
+def _numbered_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sorted view of columns with its row numbers."""
+    analysis = _analysis(spark, sf_dir)
+
+    def store(df: DataFrame) -> DataFrame:
+        analysis.stages.write("M10-sorted", lambda: df)
+        return analysis.stages.read("M10-sorted", spark)
+
+    view = analysis.per_query(reports.columns_view(analysis.enriched))
+    return reports.number_sorted(view, "usage_count", store, descending=True)
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of columns searched by its postings."""
+    analysis = _analysis(spark, sf_dir)
+    view, path = reports.columns_view(analysis.enriched), f"{analysis.stages.root}/M9-postings"
+    write_postings(view, path, mode="overwrite")
+    return analysis.per_query(search_indexed(view, read_postings(spark, path), "LEAKS"))
+
+
+def _sheets_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 as a user has it: all sheets in one commit, then the one of columns read by its manifest."""
+    analysis = _analysis(spark, sf_dir)
+    path = f"{analysis.stages.root}/K5.xlsx"
+    writers.write_metadata(analysis, path, report_time=oracle.REPORT_TIME, mode="overwrite")
+    return read_committed(spark, writers.sheet_manifest(path), "columns")
+
+
 def _report(a: Analysis) -> DataFrame:
     return reports.text_report(a.texts, a.tables, a.columns, oracle.REPORT_TIME)
 
@@ -343,8 +373,10 @@ def engine_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "M9_search_columns": _facts(
             lambda a: reports.search_metadata(reports.columns_view(a.enriched), "LEAKS", "stmt")
         ),
+        "M9_search_columns_indexed": _searched,
         "M9_search_tables": _facts(lambda a: reports.search_metadata(reports.tables_view(a.tables), "LEAKS", "stmt")),
         "M10_sort_view": _sorted_columns,
+        "M10_number_sorted_view": _numbered_columns,
         "M11_run_summary": _facts(lambda a: reports.run_summary(a.texts, a.statistics)),
         "K1_json_documents": _facts(
             lambda a: writers.documents(a.texts, a.statistics, a.tables, a.columns)
@@ -355,6 +387,7 @@ def engine_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "K5_text_sheet": _facts(
             lambda a: reports.text_lines(a.texts, a.tables, a.columns, oracle.REPORT_TIME)
         ),
+        "K5_sheet_set": _sheets_read_back,
         "K6_escape_source_text": _source,
         "K7_tsv_summary": _facts(lambda a: writers.tsv_summary(a.enriched)),
         "K8_write_metadata": _json_read_back,

@@ -463,12 +463,27 @@ def all_sql() -> dict[str, str]:
                 for name in ("column_name", "full_name", "schema", "table", "table_alias", "object_type", "aliases", "usage", "usage_count")
             ),
         ),
+        "M9_search_columns_indexed": query(
+            EVENTS, ENRICHED,
+            f"vf AS (SELECT {VIEW_COLUMNS} FROM ef)",
+            select="SELECT * FROM vf WHERE "
+            + " OR ".join(
+                search.format(f'CAST("{name}" AS VARCHAR)')
+                for name in ("column_name", "full_name", "schema", "table", "table_alias", "object_type", "aliases", "usage", "usage_count")
+            ),
+        ),
         "M9_search_tables": facts(
             f"{TABLES}, vf AS (SELECT {VIEW_TABLES} FROM tf)",
             "SELECT * FROM vf WHERE "
             + " OR ".join(search.format(f'CAST("{name}" AS VARCHAR)') for name in ("schema", "table", "aliases", "table_type", "column_count", "join_type")),
         ),
         "M10_sort_view": query(EVENTS, ENRICHED, select=f"SELECT {VIEW_COLUMNS} FROM ef ORDER BY usage_count DESC"),
+        "M10_number_sorted_view": query(
+            EVENTS, ENRICHED, f"vf AS (SELECT {VIEW_COLUMNS} FROM ef)",
+            select="SELECT *, row_number() OVER (ORDER BY usage_count DESC NULLS LAST, query_id NULLS FIRST, column_name NULLS FIRST, "
+            "full_name NULLS FIRST, schema NULLS FIRST, \"table\" NULLS FIRST, table_alias NULLS FIRST, object_type NULLS FIRST, "
+            "aliases NULLS FIRST, usage NULLS FIRST) AS row_no FROM vf",
+        ),
         "M11_run_summary": query(
             EVENTS, STATISTICS,
             select=f"SELECT query_id, total_columns, unique_tables, CAST(CASE WHEN tpl IN {UNREADABLE} THEN 1 ELSE 0 END AS INTEGER) AS errors "
@@ -486,6 +501,7 @@ def all_sql() -> dict[str, str]:
         ),
         "K4_text_output": report_sql(),
         "K8_write_metadata": documents_sql(),
+        "K5_sheet_set": query(EVENTS, ENRICHED, select=f"SELECT {VIEW_COLUMNS} FROM ef"),
         "K5_text_sheet": lines_sql(),
         "K6_escape_source_text": on_corpus(
             "query_id, CASE WHEN regexp_replace(sql, '^\\n+', '') LIKE '`%' THEN regexp_replace(sql, '^\\n+', '') "

@@ -6,6 +6,7 @@ with ``Analysis.per_query``. Lists built per statement are bounded by its own te
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sqltrail.functions.text import comma_list, escape_formula_text, escape_source_text, filter_calculation
 from sqltrail.operators.tables import CTE, SUBQUERY, TABLE
+from sqltrail.plans.numbering import numbered as row_numbers
 
 COUNTS = ("total_columns", "total_tables", "unique_tables", "calculation_columns", "total_column_mentions")
 
@@ -149,6 +151,17 @@ def sort_view(view: DataFrame, column: str, descending: bool = False) -> DataFra
     return view.orderBy(chosen, *[F.col(name) for name in view.columns if name != column])
 
 
+def number_sorted(view: DataFrame, column: str, store: Callable[[DataFrame], DataFrame], descending: bool = False) -> DataFrame:
+    """The view with ``row_no``, the place of each row (from 1) when sorted by one column.
+
+    Ranges of the sorted rows are numbered by the counts of earlier ranges, so no task holds all rows, and a page
+    of the view is a filter on ``row_no``. The other columns break ties, as in ``sort_view``. ``store`` writes the sorted rows.
+    """
+    chosen = F.col(column).desc() if descending else F.col(column).asc()
+    order = [chosen, *[F.col(name).asc() for name in view.columns if name != column]]
+    return row_numbers(view, [], order, store, "row_no").withColumn("row_no", F.col("row_no") + 1)
+
+
 def listed(df: DataFrame, order: Column, value: Column, name: str) -> DataFrame:
     """Values of each text as one array in a given order."""
     entry = F.struct(order.alias("order"), value.alias("value"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sqltrail.functions.text import comma_list
 from sqltrail.plans import reports
+from sqltrail.sinks.manifest import commit
 
 # The document schema and the display headers.
 JSON_SCHEMA = {
@@ -93,6 +94,7 @@ SUMMARY_HEADERS = {
 }
 BYTE_ORDER_MARK = "﻿"
 
+# The formats and their extensions.
 FORMATS = {"excel": (".xlsx", ".xls"), "json": (".json",), "csv": (".csv",), "text": (".txt",)}
 
 
@@ -239,18 +241,37 @@ def sheets(analysis, report_time: str) -> dict[str, DataFrame]:
     return {name: analysis.per_query(view) for name, view in views.items()}
 
 
+def sheet_manifest(path: str) -> str:
+    return f"{path}/manifest.json"
+
+
 def write_sheet_set(analysis, path: str, report_time: str, mode: str = "error") -> None:
-    for name, sheet in sheets(analysis, report_time).items():
-        sheet.write.mode(mode).parquet(f"{path}/{name}")
+    """K5: the sheets in one commit, a folder each; ``read_committed`` with ``sheet_manifest`` reads one back."""
+
+    def writer(sheet: DataFrame):
+        return lambda folder: sheet.write.mode("append").parquet(folder)
+
+    parts = {name: (f"{path}/{name}", writer(sheet)) for name, sheet in sheets(analysis, report_time).items()}
+    commit(analysis.session, sheet_manifest(path), parts, mode)
+
+
+def csv_manifest(path: str) -> str:
+    return f"{os.path.splitext(path)[0]}_manifest.json"
 
 
 def write_csv_pair(analysis, path: str, mode: str = "error") -> None:
-    """K2 and K3 beside each other: ``<base>_tables.csv`` and ``<base>_columns.csv``."""
+    """K2 and K3 in one commit: ``<base>_tables.csv`` and ``<base>_columns.csv``, with ``<base>_manifest.json``."""
     base = os.path.splitext(path)[0]
-    tables = analysis.per_query(csv_tables(analysis.tables))
-    columns = analysis.per_query(csv_columns(analysis.enriched))
-    write_csv(with_headers(tables, TABLE_HEADERS), f"{base}_tables.csv", mode)
-    write_csv(with_headers(columns, COLUMN_HEADERS), f"{base}_columns.csv", mode)
+
+    def writer(view: DataFrame, headers: dict[str, str]):
+        rows = with_headers(analysis.per_query(view), headers)
+        return lambda folder: write_csv(rows, folder, "append")
+
+    parts = {
+        "tables": (f"{base}_tables.csv", writer(csv_tables(analysis.tables), TABLE_HEADERS)),
+        "columns": (f"{base}_columns.csv", writer(csv_columns(analysis.enriched), COLUMN_HEADERS)),
+    }
+    commit(analysis.session, csv_manifest(path), parts, mode)
 
 
 def write_tsv_summary(analysis, path: str, mode: str = "error") -> None:

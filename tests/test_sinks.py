@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,8 @@ import __spark_entry__ as entry
 from sqltrail import Analysis
 from sqltrail.functions.text import escape_formula_text, escape_source_text
 from sqltrail.plans import reports
-from sqltrail.sinks import writers
+from sqltrail.plans.search import read_postings, search_indexed, write_postings
+from sqltrail.sinks import manifest, writers
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,6 +99,60 @@ def test_write_errors_reach_the_caller(analysis, tmp_path):
         writers.write_metadata(analysis, str(tmp_path / "out.json"))
 
 
+def write(spark, rows, fail=False):
+    df = spark.range(rows).withColumn("v", F.when(F.lit(fail) & (F.col("id") == rows - 1), F.raise_error(F.lit("no room"))).otherwise("x"))
+    return lambda folder: df.write.mode("append").parquet(folder)
+
+
+def test_commit_is_whole_or_nothing(spark, tmp_path):
+    target, names = str(tmp_path / "m.json"), ("a", "b", "c")
+
+    def parts(rows, broken=None):
+        return {name: (str(tmp_path / name), write(spark, rows, name == broken)) for name in names}
+
+    def counts():
+        return [manifest.read_committed(spark, target, name).count() for name in names]
+
+    with pytest.raises(Exception, match="no room"):
+        manifest.commit(spark, target, parts(5, "b"))
+    with pytest.raises(FileNotFoundError):
+        manifest.read_manifest(spark, target)
+    assert not list(tmp_path.glob("*/part-*"))
+    manifest.commit(spark, target, parts(5), "overwrite")
+    assert counts() == [5, 5, 5]
+    with pytest.raises(Exception, match="no room"):
+        manifest.commit(spark, target, parts(7, "c"), "overwrite")
+    assert counts() == [5, 5, 5] and spark.read.parquet(str(tmp_path / "a")).count() == 5
+    manifest.commit(spark, target, parts(2), "append")
+    assert counts() == [7, 7, 7]
+    # What a driver lost between two datasets would leave counts for no reader, and goes with the next commit.
+    write(spark, 9)(str(tmp_path / "a"))
+    assert counts() == [7, 7, 7]
+    manifest.commit(spark, target, parts(0), "overwrite")
+    assert counts() == [0, 0, 0] and spark.read.parquet(str(tmp_path / "a")).count() == 0
+    manifest.commit(spark, target, parts(3), "ignore")
+    assert counts() == [0, 0, 0]
+    with pytest.raises(FileExistsError):
+        manifest.commit(spark, target, parts(3))
+
+
+def test_outputs_of_several_datasets_follow_their_manifest(spark, analysis, tmp_path, monkeypatch):
+    for name, target in (("set.xlsx", writers.sheet_manifest), ("pair.csv", writers.csv_manifest)):
+        path = str(tmp_path / name)
+        writers.write_metadata(analysis, path, report_time="2024-01-01 00:00:00")
+        first = manifest.read_manifest(spark, target(path))
+        broken = "source_view" if name == "set.xlsx" else "csv_columns"
+        owner = reports if name == "set.xlsx" else writers
+        build = getattr(owner, broken)
+        monkeypatch.setattr(owner, broken, lambda df: build(df).withColumn("stmt", F.when(F.raise_error(F.lit("no room")).isNull(), F.col("stmt"))))
+        with pytest.raises(Exception, match="no room"):
+            writers.write_metadata(analysis, path, report_time="2024-01-01 00:00:00", mode="overwrite")
+        monkeypatch.undo()
+        assert manifest.read_manifest(spark, target(path)) == first
+        for dataset, entry in first.items():
+            assert set(manifest._part_files(spark, entry["path"])) == set(entry["writes"])
+
+
 def test_escapes(spark):
     cells = spark.createDataFrame([("=1",), ("-",), ("+x",), ("@a",), ("a=",), ("",)], "t string")
     assert [r[0] for r in cells.select(escape_formula_text(F.col("t"))).collect()] == ["`=1", "`-", "`+x", "`@a", "a=", ""]
@@ -111,3 +167,31 @@ def test_search_and_sort(analysis):
     assert found and all("critic_id" in " ".join(map(str, row)).lower() for row in found)
     counts = [r.usage_count for r in reports.sort_view(view, "usage_count", descending=True).collect()]
     assert counts == sorted(counts, reverse=True)
+
+
+def test_search_by_postings(spark, analysis, tmp_path):
+    view = reports.columns_view(analysis.enriched)
+    write_postings(view, str(tmp_path / "postings"))
+    postings = read_postings(spark, str(tmp_path / "postings"))
+    for text in ("CRITIC_ID", "ritic", "aaa", "no such text", "o.", "", "Таблица", "h, r", "SUM"):
+        scanned = reports.search_metadata(view, text, "stmt")
+        assert as_text(search_indexed(view, postings, text)) == as_text(scanned), text
+    plan = search_indexed(view, postings, "critic_id")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*folder#\d+", plan) and re.search(r"PushedFilters: \[[^\]]*In\(piece", plan)
+
+
+def test_search_by_postings_edges(spark, tmp_path):
+    rows = [(b"a", "Abcabc", 5), (b"b", None, None), (b"c", "", 1234), (b"c", "abc", 0), (b"d", "a\nbc", 12)]
+    view = spark.createDataFrame(rows, "stmt binary, v string, n int")
+    for name, df in (("rows", view), ("none", view.limit(0))):
+        write_postings(df, str(tmp_path / name))
+        postings = read_postings(spark, str(tmp_path / name))
+        for text in ("abc", "BCA", "123", "1234", "bcabcx", "12", "a\nb"):
+            assert as_text(search_indexed(df, postings, text)) == as_text(reports.search_metadata(df, text, "stmt")), text
+
+
+def test_number_sorted(spark):
+    view = spark.range(5000).select((F.col("id") % 7).alias("n"), F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("v"), "id")
+    rows = reports.number_sorted(view, "n", lambda df: df.cache(), descending=True).orderBy("row_no").collect()
+    assert [r.row_no for r in rows] == list(range(1, 5001))
+    assert [tuple(r)[:3] for r in rows] == [tuple(r) for r in reports.sort_view(view, "n", descending=True).collect()]
