@@ -15,7 +15,7 @@ from sqltrail.sources.statements import DIALECTS
 
 N = len(TEMPLATES)
 REPORT_TIME = "2024-01-01 00:00:00"
-BLANK, SCRIPT, MISPLACED = 11, 20, (22, 23)
+BLANK, SCRIPT, MISPLACED = 11, 20, (22, 23, 24)
 UNREADABLE = (BLANK, *MISPLACED)
 ERRORS = {BLANK: "SQL запрос пустой", **dict.fromkeys(MISPLACED, "Ошибка парсинга: соседние слова не сочетаются")}
 ERROR_OF = "CASE tpl " + " ".join(f"WHEN {tpl} THEN '{message}'" for tpl, message in ERRORS.items()) + " ELSE '' END"

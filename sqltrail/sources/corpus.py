@@ -46,6 +46,7 @@ TEMPLATES = (
     "SELECT SUM(p.won) FILTER (WHERE p.team = 4) AS wins FROM games_{g} p",
     "SELECT m.ore m.grade pit FROM mines_{g} m",
     "SELECT c.hue FROM paints_{g} c GROUP BY c.hue WHERE c.gloss = 2",
+    "SELECT k.id FROM kites_{g} k winds",
 )
 DIALECT_NAMES = {9: "SQLSERVER", 18: "POSTGRESQL"}
 
