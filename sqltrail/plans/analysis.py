@@ -73,9 +73,8 @@ class Analysis:
 
     @cached_property
     def buckets(self) -> int:
-        """Buckets of every stage of statement rows, from the size of the distinct texts."""
-        self.distinct  # written before it is measured
-        return st.token_partitions(self.stages.size("distinct"), self.session.sparkContext.defaultParallelism)
+        """Buckets of every stage of statement rows, from the bytes of the distinct texts."""
+        return st.token_partitions(st.text_bytes(self.distinct), self.session.sparkContext.defaultParallelism)
 
     @cached_property
     def texts(self) -> DataFrame:

@@ -14,9 +14,9 @@ BUCKET_ROWS = 4_000_000
 FACTS = 40
 # The list of split texts is broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_TEXTS = 1_000_000
-# A text becomes token rows of many times its size, so a task gets little text. The driver
+# A text becomes token rows of some 400 times its size, so a task gets little text. The driver
 # keeps the state of every task, so their number has a ceiling; beyond it tasks grow and spill.
-TEXT_BYTES_PER_TASK = 4 << 20
+TEXT_BYTES_PER_TASK = 1 << 20
 MAX_TASKS = 50_000
 
 
@@ -56,8 +56,13 @@ def clean_statements(texts: DataFrame) -> DataFrame:
     )
 
 
+def text_bytes(texts: DataFrame) -> int:
+    """Bytes of all texts as they are read; files of texts made from a few templates are some ten times smaller."""
+    return texts.agg(F.sum(F.octet_length("sql").cast("bigint"))).first()[0] or 0
+
+
 def token_partitions(text_bytes: int, at_least: int) -> int:
-    """Tasks for the token stage, from the size of the written texts."""
+    """Tasks for the token stage, from the bytes of the texts."""
     return min(MAX_TASKS, max(at_least, -(-text_bytes // TEXT_BYTES_PER_TASK)))
 
 

@@ -149,6 +149,18 @@ def test_token_tasks_follow_the_text_size():
     assert st.token_partitions(100 << 40, 8) == st.MAX_TASKS
 
 
+def test_buckets_follow_the_bytes_of_the_texts(spark):
+    """Texts that are alike make small files, but as many tokens as any other."""
+    alike = F.concat(F.col("id").cast("string"), F.repeat(F.lit(" SELECT t.a FROM t"), 20_000))
+    analysis = Analysis(spark.range(40).select(F.col("id").alias("query_id"), alike.alias("sql"), F.lit("oracle").alias("dialect")))
+    size = analysis.distinct.agg(F.sum(F.length("sql"))).first()[0]
+    assert analysis.buckets == -(-size // st.TEXT_BYTES_PER_TASK) > spark.sparkContext.defaultParallelism
+    analysis.release()
+    empty = Analysis(spark.createDataFrame([(1, None, "oracle")], "query_id int, sql string, dialect string"))
+    assert empty.buckets == spark.sparkContext.defaultParallelism
+    empty.release()
+
+
 def test_mentions_and_edges_agree(spark):
     analysis = entry._analysis(spark, SF)
     mentions = analysis.mentions.where(F.col("key_table").isNotNull()).count()
