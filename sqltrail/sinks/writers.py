@@ -198,6 +198,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "error", separator: str = ",
 
 # A page of the text output: its first line, and what ends it.
 QUERY_LINE, PAGE_END = "query_id: ", "\f\n"
+# Documents and reports repeat their frames for every query, so plain files would be the largest part of a run's disk.
+COMPRESSION = "gzip"
 
 
 def write_json(documents_per_query: DataFrame, path: str, mode: str = "error") -> None:
@@ -206,7 +208,7 @@ def write_json(documents_per_query: DataFrame, path: str, mode: str = "error") -
         F.lit('{"query_id":'), F.to_json(F.array("query_id")).substr(F.lit(2), F.length(F.to_json(F.array("query_id"))) - 2),
         F.lit(","), F.col("document").substr(F.lit(2), F.length("document")),
     )
-    documents_per_query.select(line.alias("value")).write.mode(mode).text(path)
+    documents_per_query.select(line.alias("value")).write.mode(mode).option("compression", COMPRESSION).text(path)
 
 
 def write_text(reports_per_query: DataFrame, path: str, mode: str = "error") -> None:
@@ -215,7 +217,7 @@ def write_text(reports_per_query: DataFrame, path: str, mode: str = "error") ->
     A directory per query would not survive a large log.
     """
     named = F.concat(F.lit(QUERY_LINE), F.col("query_id").cast("string"), F.lit("\n"), F.col("report"))
-    reports_per_query.select(named.alias("value")).write.mode(mode).option("lineSep", PAGE_END).text(path)
+    reports_per_query.select(named.alias("value")).write.mode(mode).options(lineSep=PAGE_END, compression=COMPRESSION).text(path)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:

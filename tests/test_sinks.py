@@ -86,6 +86,15 @@ def test_text_and_sheets(spark, analysis, tmp_path):
         assert as_text(spark.read.parquet(str(tmp_path / "out.xlsx" / name))) == as_text(sheet)
 
 
+@pytest.mark.parametrize("name", ["out.json", "out.txt"])
+def test_whole_documents_take_little_disk(spark, analysis, tmp_path, name):
+    """Frames that every query repeats are not written out for each."""
+    path = tmp_path / name
+    writers.write_metadata(analysis, str(path), report_time="2024-01-01 00:00:00")
+    written = sum(file.stat().st_size for file in path.glob("part-*"))
+    assert written * 5 < spark.read.text(str(path)).agg(F.sum(F.octet_length("value"))).first()[0]
+
+
 def test_tsv(spark, analysis, tmp_path):
     writers.write_tsv_summary(analysis, str(tmp_path / "summary"))
     back = spark.read.csv(str(tmp_path / "summary"), header=True, sep="\t", escape='"')
