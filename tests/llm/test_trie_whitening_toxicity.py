@@ -222,3 +222,54 @@ def test_thresholds_by_language(spark):
     langs = spark.createDataFrame([("a",), ("b",), (None,)], "lang string")
     got = [r.t for r in langs.select(toxicity.thresholds(network.dump(), langs.lang).alias("t")).collect()]
     assert got == [pytest.approx(0.2), pytest.approx(0.2), pytest.approx(0.7)]
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Rows of several tasks, and words that stand in long texts only, are learnt."""
+    monkeypatch.setattr(toxicity, "STEPS", 48)
+    chance = random.Random(4)
+    kinds = ["vile", "nasty", "foul", "grim", "rotten"]
+    docs, labels = [], []
+    for i in range(1200):
+        words = chance.choices([f"w{k}" for k in range(50)], k=chance.choice([3, 12, 40]))
+        if i % 3 == 0:
+            words.insert(chance.randrange(len(words)), kinds[i % 5])
+        filler = " w1 w2" * 3500 if i % 15 == 3 else ""  # all texts of one kind are long
+        docs.append((i, " ".join(words) + filler, "ab"[i % 2]))
+        labels.append((i, int(i % 3 == 0)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = {r.doc_id for r in docs.select("doc_id").where(toxicity.held_out(docs.doc_id)).collect()}
+    for rows in (400, 10_000):
+        model = toxicity.train(docs, labels, shard_rows=rows)
+        found = {r.doc_id: r.score for r in docs.select("doc_id", toxicity.score(docs, model).alias("score")).collect()}
+        wrong = [i for i in held if (found[i] >= 0.5) != (i % 3 == 0)]
+        assert len(wrong) <= 0.02 * len(held), (rows, wrong)
+
+
+def test_toxicity_pieces_of_training_texts():
+    """Long texts find the same windows in pieces as whole."""
+    network = toxicity.Network()
+    network.table = np.random.default_rng(3).normal(size=network.table.shape).astype(np.float32)
+    network.table[0] = 0
+    numbers, slots, _ = toxicity.read(["a b c d e f g h i j k l m", "", "n o", "p q r s t u v w x y z a b c d"])
+    whole = network._tops(numbers, slots)
+    before, toxicity.PIECE = toxicity.PIECE, 4
+    pieces = network._tops(numbers, slots)
+    toxicity.PIECE = before
+    assert np.allclose(whole[0], pieces[0], atol=1e-5) and (whole[1] == pieces[1]).all()
+    vectors = [network.table[slots[n]].sum(1) for n in numbers]
+    assert np.allclose(whole[0], [network.pooled(v) for v in vectors], atol=1e-5)
+
+
+def test_toxicity_thresholds_of_bins():
+    chance = np.random.default_rng(6)
+    labels = (chance.random(400) < 0.3).astype(int)
+    scores = np.floor(np.clip(labels * 0.3 + chance.random(400) * 0.6, 0, 1) * 50) / 50
+    bins, counts = np.unique(np.stack([scores, labels]), axis=1, return_counts=True)
+    got = toxicity.Network().calibrate(bins[0], bins[1], ["x"] * len(counts), counts)
+
+    def f1(t):
+        return 2 * ((scores >= t) & (labels == 1)).sum() / ((scores >= t).sum() + labels.sum())
+
+    assert f1(got.overall) == max(f1(t) for t in scores) and got.thresholds == {"x": got.overall}
