@@ -55,6 +55,8 @@ FOLDS, THRESHOLD = 5, 0.5
 LEAST_TOXIC = 10
 #: Passes over the rows, or as many as make STEPS steps.
 EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 200, 64, 0.1, 1e-5
+#: Passes over the rows of several shards, or as many as make STEPS steps in each.
+SHARD_PASSES = 2
 PIECE = 1 << 16
 KNOWN_WORDS = 100_000
 _CUT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
@@ -94,8 +96,8 @@ def log_odds(share: float) -> float:
     return float(np.log(np.clip(share, 1e-3, 1 - 1e-3) / np.clip(1 - share, 1e-3, 1 - 1e-3)))
 
 
-def passes(rows: int) -> int:
-    return max(EPOCHS, -(-STEPS // -(-rows // BATCH)))
+def passes(rows: int, least: int) -> int:
+    return max(least, -(-STEPS // -(-rows // BATCH)))
 
 
 def read(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -104,7 +106,7 @@ def read(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     numbers = [known.numbers(t) for t in texts]
     used = np.zeros(BUCKETS, np.int32)
     for t in numbers:
-        used[np.unique(known.rows[t])] += 1
+        used[np.unique(known.rows[np.unique(t)])] += 1
     return numbers, known.rows, used
 
 
@@ -261,9 +263,14 @@ class Network:
                 rows, table = rows[1:], table[1:]
             step(0, self.table, table, rows)
 
-    def loss(self, texts: list[str | None], labels: np.ndarray) -> float:
+    def scores_of(self, numbers: list[np.ndarray], slots: np.ndarray) -> np.ndarray:
+        """As ``scores``, of texts that are read."""
+        vectors = self.table[slots].sum(1)
+        return np.array([self.chance(self.pooled(vectors[t])) for t in numbers], np.float64)
+
+    def loss(self, scores: np.ndarray, labels: np.ndarray) -> float:
         """The sum over texts of the negative logarithm of what their labels are given."""
-        found = np.clip(self.scores(texts), 1e-6, 1 - 1e-6)
+        found = np.clip(scores, 1e-6, 1 - 1e-6)
         return float(-np.sum(np.where(np.asarray(labels) == 1, np.log(found), np.log(1 - found))))
 
     def fit(self, texts: list[str | None], labels: np.ndarray, check: list[str | None] = (), check_labels: np.ndarray = (), share: float | None = None, seed: int = 7) -> Network:
@@ -279,10 +286,10 @@ class Network:
         self.start(alive, mean, random)
         slots = np.where(alive[slots], slots, 0)
         best, kept = np.inf, None
-        for _ in range(passes(len(texts))):
+        for _ in range(passes(len(texts), EPOCHS)):
             self.learn(numbers, slots, labels, random)
             if len(check):
-                loss = self.loss(check, check_labels)
+                loss = self.loss(self.scores(check), check_labels)
                 if loss < best:
                     best, kept = loss, [p.copy() for p in self.parameters()]
         if kept:
@@ -373,13 +380,46 @@ def _arrays(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, li
     return group["text"].to_numpy(object), group["label"].to_numpy().astype(np.float64), aside, [None if pd.isna(g) else g for g in group["lang"][aside]]
 
 
+#: Rows of a shard's file that hold no text: the table's rows of each word, and the texts that use each row of the table.
+SLOTS, USES = -1, -2
+
+
+def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The texts of a shard as the numbers of their words, then its vocabulary."""
+    known, used = Vocabulary(), np.zeros(BUCKETS, np.int32)
+    for rows in batches:
+        aside, numbers = rows["fold"].to_numpy() == 1, [known.numbers(t) for t in rows["text"]]
+        for t in (t for t, a in zip(numbers, aside, strict=True) if not a):
+            used[np.unique(known.rows[np.unique(t)])] += 1
+        yield pd.DataFrame({"shard": rows["shard"], "label": rows["label"], "aside": aside, "lang": rows["lang"], "numbers": [t.astype(np.int32).tobytes() for t in numbers]})
+    slots = known.rows[: len(known) + 1].tobytes()
+    yield pd.DataFrame({"shard": [-1] * 2, "label": [SLOTS, USES], "aside": [False] * 2, "lang": [None] * 2, "numbers": [slots, used.tobytes()]})
+
+
+class _Shard:
+    """What ``_encode`` gave for a shard."""
+
+    def __init__(self, batches: Iterator[pd.DataFrame]):
+        every = pd.concat(list(batches))
+        slots = every["numbers"][every["label"] == SLOTS].iloc[0]
+        self.slots = np.frombuffer(slots, np.int32).reshape(-1, 1 + len(HEADS) + len(TAILS))
+        rows = every[every["label"] >= 0]
+        numbers = [np.frombuffer(t, np.int32).astype(np.int64) for t in rows["numbers"]]
+        aside, labels = rows["aside"].to_numpy(bool), rows["label"].to_numpy(np.float64)
+        self.learnt, self.checked = ([t for t, a in zip(numbers, aside, strict=True) if a == kind] for kind in (False, True))
+        self.labels, self.check_labels = labels[~aside], labels[aside]
+        self.langs = [None if pd.isna(g) else g for g in rows["lang"][aside]]
+        self.number = int(rows["shard"].min()) if len(rows) else 0
+
+
 def _train_shards(once: DataFrame, share: float, shards: int) -> bytes:
     """The network of rows of many tasks: in each pass all shards learn from the same values, and what they changed is averaged."""
     context = once.sparkSession.sparkContext
-    # the cached rows stay where they are from pass to pass
-    dealt = once.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition(shards, "shard").persist(StorageLevel.DISK_ONLY)
+    dealt = once.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("id", "label")
+    # texts are read once, and the kept rows stay where they are from pass to pass
+    dealt = dealt.mapInPandas(_encode, "shard int, label int, aside boolean, lang string, numbers binary").persist(StorageLevel.DISK_ONLY)
     try:
-        fitted = {(r.label, r.aside): r["count"] for r in dealt.groupBy("label", (F.col("fold") == 1).alias("aside")).count().collect()}
+        fitted = {(r.label, r.aside): r["count"] for r in dealt.where("label >= 0").groupBy("label", "aside").count().collect()}
         own = [fitted.get((k, False), 0) for k in (0, 1)]
         mean, checked = own[1] / max(1, sum(own)), sum(v for (_, aside), v in fitted.items() if aside)
         model = Network()
@@ -387,28 +427,27 @@ def _train_shards(once: DataFrame, share: float, shards: int) -> bytes:
             model.fit([], np.zeros(0), share=share)
         else:
 
-            def uses(group: pd.DataFrame) -> pd.DataFrame:
-                texts, _, aside, _ = _arrays(group)
-                used = read(list(texts[~aside]))[2]
-                return pd.DataFrame({"row": np.flatnonzero(used), "texts": used[used > 0]})
+            def uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for rows in batches:
+                    for used in (np.frombuffer(t, np.int32) for t in rows["numbers"]):
+                        yield pd.DataFrame({"row": np.flatnonzero(used), "texts": used[used > 0]})
 
-            found = dealt.groupBy("shard").applyInPandas(uses, "row int, texts int").groupBy("row").agg(F.sum("texts").alias("texts"))
+            found = dealt.where(F.col("label") == USES).select("numbers").mapInPandas(uses, "row int, texts int").groupBy("row").agg(F.sum("texts").alias("texts"))
             alive = np.zeros(BUCKETS, bool)
             alive[[r.row for r in found.where(F.col("texts") >= LEAST_DOCS).select("row").collect()]] = True
             alive[0] = False
             model.start(alive, mean, np.random.default_rng(7))
-            _passes(dealt, model, alive, passes(sum(own) // shards), checked)
+            _passes(dealt, model, alive, passes(max(1, sum(own) // shards), SHARD_PASSES), checked)
             model.base += log_odds(share) - log_odds(mean)
         shared = context.broadcast(model.parameters())
 
-        def bins(group: pd.DataFrame) -> pd.DataFrame:
-            texts, labelled, aside, langs = _arrays(group)
-            network = Network()
+        def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shard, network = _Shard(batches), Network()
             network.assign(shared.value)
-            floors = np.floor(network.scores(texts[aside]) * BINS).astype(int)
-            return pd.DataFrame({"lang": pd.Series(langs, dtype=object), "bin": floors, "label": labelled[aside].astype(int)})
+            floors = np.floor(network.scores_of(shard.checked, shard.slots) * BINS).astype(int)
+            yield pd.DataFrame({"lang": pd.Series(shard.langs, dtype=object), "bin": floors, "label": shard.check_labels.astype(int)})
 
-        counts = dealt.groupBy("shard").applyInPandas(bins, "lang string, bin int, label int").groupBy("lang", "bin", "label").count().toPandas()
+        counts = dealt.mapInPandas(bins, "lang string, bin int, label int").groupBy("lang", "bin", "label").count().toPandas()
         langs = [None if pd.isna(g) else g for g in counts["lang"]]
         model.calibrate(counts["bin"].to_numpy() / BINS, counts["label"].to_numpy(), langs, counts["count"].to_numpy())
         shared.destroy()
@@ -426,24 +465,22 @@ def _passes(dealt: DataFrame, model: Network, alive: np.ndarray, count: int, che
     for number in range(count + 1):
         shared = context.broadcast((model.parameters(), model.state, alive))
 
-        def one_pass(group: pd.DataFrame) -> pd.DataFrame:
-            texts, labelled, aside, _ = _arrays(group)
+        def one_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shard, network = _Shard(batches), Network()
             values, state, alive = shared.value
-            network = Network()
             network.assign([v.copy() for v in values])
-            loss = network.loss(texts[aside], labelled[aside]) if aside.any() and number else 0.0
+            loss = network.loss(network.scores_of(shard.checked, shard.slots), shard.check_labels) if number else 0.0
             out = pd.DataFrame({"row": [-1], "loss": [loss], **{name: [0] for name in names}})
-            if number == count or aside.all():
-                return out
-            network.state = [v.copy() for v in state]
-            numbers, slots, _ = read(list(texts[~aside]))
-            network.learn(numbers, np.where(alive[slots], slots, 0), labelled[~aside], np.random.default_rng((number, int(group["shard"].iloc[0]))))
-            moved = np.concatenate([pack(new).astype(np.float64) - pack(old) for new, old in ((network.parameters(), values), (network.state, state))], axis=1)
-            rows = np.flatnonzero(moved.any(1))
-            found = pd.DataFrame(np.rint(moved[rows] * UNITS).astype(np.int64), columns=names)
-            return pd.concat([out, found.assign(row=rows, loss=0.0)[out.columns]])
-
-        moved = dealt.groupBy("shard").applyInPandas(one_pass, schema)
+            yield out
+            if number < count and shard.learnt:
+                network.state = [v.copy() for v in state]
+                network.learn(shard.learnt, np.where(alive[shard.slots], shard.slots, 0), shard.labels, np.random.default_rng((number, shard.number)))
+                moved = np.concatenate([pack(new).astype(np.float64) - pack(old) for new, old in ((network.parameters(), values), (network.state, state))], axis=1)
+                rows = np.flatnonzero(moved.any(1))
+                found = pd.DataFrame(np.rint(moved[rows] * UNITS).astype(np.int64), columns=names)
+                yield found.assign(row=rows, loss=0.0)[out.columns]
+
+        moved = dealt.mapInPandas(one_pass, schema)
         sums = moved.groupBy("row").agg(F.count(F.lit(1)).alias("shards"), F.sum("loss").alias("loss"), *[F.sum(name).alias(name) for name in names]).toArrow().to_pandas()
         shared.destroy()
         loss = float(sums["loss"][sums["row"] == -1].sum())
