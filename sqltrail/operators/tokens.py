@@ -366,9 +366,9 @@ def explode_tokens(readable: DataFrame) -> DataFrame:
         F.col("dialect").isin(*DOUBLE_QUOTE_LITERAL_DIALECTS).alias("dq"),
         F.posexplode_outer("tokens").alias("pos", "tok"),
     )
-    tokens = tokens.select("stmt", "pos", "tok", symbol(F.col("tok"), F.col("dq")).alias("w"))
-    skipped = F.col("w").isin("IF EXISTS", "IF NOT EXISTS") | (F.col("w").startswith("(") & (F.col("w") != "("))
-    return tokens.where(~skipped)
+    # Told by the token, as a test of its class would make the optimizer classify every token once more for each mention.
+    skipped = F.upper("tok").isin("IF EXISTS", "IF NOT EXISTS") | (F.col("tok").startswith("(") & (F.col("tok") != "("))
+    return tokens.where(~skipped).select("stmt", "pos", "tok", symbol(F.col("tok"), F.col("dq")).alias("w"))
 
 
 def settle_soft_words(tokens: DataFrame) -> DataFrame:
@@ -400,33 +400,30 @@ def level(opens: Column, closes: Column, before, upto) -> Column:
     return (F.coalesce(F.sum(opens).over(before), F.lit(0)) - F.sum(closes).over(upto)).cast("int")
 
 
+def names_alias(tok: Column, w: Column, p1t: Column, p1w: Column, p2w: Column, n1w: Column) -> Column:
+    """Whether a token between its neighbours is an alias."""
+    unit = (p2w == "INTERVAL") | ((F.upper(tok) == "FILTER") & (n1w == "("))
+    unit |= F.upper(tok).isin(*STAR_CHANGES) & (n1w == "(") & p1t.endswith("_star_")
+    named = (w.isin(*NAMES) & ((p1w == "AS") | p1w.isin(*OPERAND_ENDS))) | ((w == "str") & (p1w == "AS"))
+    return F.coalesce(~F.coalesce(unit, F.lit(False)) & named, F.lit(False))
+
+
 def with_neighbours(tokens: DataFrame) -> DataFrame:
+    """What the tokens around a token say of it; ``kept`` holds what no step before ``with_roles`` sorts or compares."""
     window, before, upto = running("pos")
     c = F.col
     tokens = tokens.select(
         "*",
-        *[F.lag("w", i).over(window).alias(f"p{i}w") for i in (1, 2)],
+        *[F.lag("w", i).over(window).alias(f"p{i}w") for i in (1, 2, 3)],
         *[F.lead("w", i).over(window).alias(f"n{i}w") for i in (1, 2, 3)],
         *[F.lag("tok", i).over(window).alias(f"p{i}t") for i in (1, 2)],
         *[F.lead("tok", i).over(window).alias(f"n{i}t") for i in (1, 2)],
         F.lag("pos").over(window).alias("p1pos"),
         level(flag(c("w").isin(*OPENING)), flag(c("w").isin(*CLOSING)), before, upto).alias("depth"),
     )
-    unit = (c("p2w") == "INTERVAL") | ((F.upper("tok") == "FILTER") & (c("n1w") == "("))
-    unit |= F.upper("tok").isin(*STAR_CHANGES) & (c("n1w") == "(") & c("p1t").endswith("_star_")
-    tokens = tokens.select(
-        "*",
-        F.coalesce(
-            ~F.coalesce(unit, F.lit(False))
-            & (
-                (c("w").isin(*NAMES) & ((c("p1w") == "AS") | c("p1w").isin(*OPERAND_ENDS)))
-                | ((c("w") == "str") & (c("p1w") == "AS"))
-            ),
-            F.lit(False),
-        ).alias("is_alias"),
-    )
+    is_alias = names_alias(c("tok"), c("w"), c("p1t"), c("p1w"), c("p2w"), c("n1w"))
     called = F.upper(F.try_element_at(name_parts(c("p1t")), F.lit(-1)))
-    p1_alias = F.lag("is_alias").over(window)
+    p1_alias = names_alias(c("p1t"), c("p1w"), c("p2t"), c("p2w"), c("p3w"), c("w"))
     # What a bracket is, told by the tokens around its opening.
     kind = (
         F.when(c("w") == "CASE", "case")
@@ -457,9 +454,12 @@ def with_neighbours(tokens: DataFrame) -> DataFrame:
     )
     head = c("w").isin(*CLOSING) & (c("n1w") == "AS") & (c("n2w") == "(") & c("n3w").isin("SELECT", "WITH", "(")
     return tokens.select(
-        "stmt", "pos", "tok", "w", "p1w", "p2w", "n1w", "depth", "is_alias",
-        F.when(c("w").isin("name", "id", ")"), follows).alias("follows"),
-        F.when((c("w") == "(") & (c("p1w") == "AS") & c("p2w").isin(*NAMES), c("p2t")).alias("cte_name"),
+        "stmt", "pos", "w", "p1w", "depth", is_alias.alias("is_alias"),
+        F.struct(
+            "tok", "p2w", "n1w",
+            F.when(c("w").isin("name", "id", ")"), follows).alias("follows"),
+            F.when((c("w") == "(") & (c("p1w") == "AS") & c("p2w").isin(*NAMES), c("p2t")).alias("cte_name"),
+        ).alias("kept"),
         F.coalesce(head, F.lit(False)).alias("head"),
         F.when(
             c("w").isin(*OPENING),
@@ -477,7 +477,7 @@ def with_neighbours(tokens: DataFrame) -> DataFrame:
 
 
 def with_brackets(tokens: DataFrame) -> DataFrame:
-    """Innermost bracket ``g``, matching opening ``m`` and operand run ``seg``."""
+    """Innermost bracket ``g``, matching opening ``m`` and operand run ``seg``; from here ``t`` holds all that is settled."""
     c = F.col
     window, _, _ = running("pos")
     closes = c("w").isin(*CLOSING)
@@ -494,8 +494,11 @@ def with_brackets(tokens: DataFrame) -> DataFrame:
     tokens = tokens.withColumn("is_alias", c("is_alias") & ~(listed & (c("p1w") == ")")))
     delimiter = c("w").isin(*DELIMITERS) | c("is_alias") | (listed & c("w").isin("(", ")"))
     arithmetic = c("w").isin("+", "-", "*", "/", "%", "MOD") & c("p1w").isin(*OPERAND_ENDS)
+    # Only of a closing token is the opening one read again.
+    ends = [F.when(closes, c(f"m.{name}")).alias(f"m_{name}") for name in ("open", "kind", "before", "before_w", "after_w")]
     tokens = tokens.select(
-        "*",
+        *[name for name in tokens.columns if name != "m"],
+        *ends,
         F.last("entered", ignorenulls=True).over(upto).alias("g"),
         F.coalesce(
             F.last(F.when(c("entered").isNotNull() | delimiter, c("pos")), ignorenulls=True).over(upto), F.lit(-1)
@@ -511,21 +514,24 @@ def with_brackets(tokens: DataFrame) -> DataFrame:
         F.coalesce(arithmetic, F.lit(False)).alias("arithmetic"),
     )
     run = Window.partitionBy("stmt", "seg")
-    u = F.upper("tok")
+    u = F.upper("kept.tok")
     not_column = (
         ((c("p1w") == "(") & F.upper("g.before").isin(*UNIT_FUNCTIONS) & (c("w") == "name"))
         | ((c("g.type") == "TRIM") & u.isin(*TRIM_WORDS))
         | ((c("g.kind") == "over") & u.isin(*FRAME_WORDS))
     )
-    ends = [F.when(closes, c(f"m.{name}")).alias(f"m_{name}") for name in ("open", "kind", "before", "before_w", "after_w")]
-    return tokens.select(
-        *[name for name in tokens.columns if name not in ("g", "m", "depth", "entered", "head", "ordered")],
+    settled = F.struct(
+        "kept", "w", "p1w", "is_alias", "bracket", "delimiter", "arithmetic", *[f"m_{name}" for name in ("open", "kind", "before", "before_w", "after_w")],
         c("entered.open").alias("entered_open"),
         (c("entered.kind") == "query").alias("enters_query"),
         (c("ordered") & ~F.coalesce(c("g.kind") == "query", F.lit(True))).alias("in_order"),
         c("g.kind").alias("g_kind"),
         F.coalesce(not_column, F.lit(False)).alias("not_column"),
-        *ends,
+    )
+    return tokens.select(
+        "stmt",
+        "pos",
+        settled.alias("t"),
         F.max("arithmetic").over(run).alias("seg_arith"),
         F.max(F.coalesce(c("w") == "::", F.lit(False))).over(run).alias("seg_cast"),
         F.max("head").over(run).alias("seg_head"),
@@ -539,32 +545,32 @@ def with_levels(tokens: DataFrame) -> DataFrame:
     c = F.col
     window, before, upto = running("pos")
     seg_calc = c("seg_arith") | c("seg_cast")
-    kind = F.coalesce("bracket.kind", "m_kind")
+    kind = F.coalesce("t.bracket.kind", "t.m_kind")
     listed = (kind == "list") | ((kind == "fn") & c("seg_head"))
     calc = (kind.isin(*CALC_BRACKETS) & ~listed) | seg_calc
-    opens, closes = c("w").isin(*OPENING), c("w").isin(*CLOSING)
-    typed = F.coalesce(c("bracket.type"), F.when(c("seg_arith"), "ARITHMETIC").when(c("seg_cast"), "CAST"))
+    opens, closes = c("t.w").isin(*OPENING), c("t.w").isin(*CLOSING)
+    typed = F.coalesce(c("t.bracket.type"), F.when(c("seg_arith"), "ARITHMETIC").when(c("seg_cast"), "CAST"))
     own_type = kind.isin(*CALC_BRACKETS)
     tokens = tokens.select(
-        "*",
+        "stmt", "pos", "t", "seg_arith", "seg_cast", "seg_lo", "seg_hi",
         F.when(
             opens & calc,
             F.struct(
                 c("pos").alias("open"),
                 typed.alias("type"),
-                F.when(own_type & (kind != "over"), c("bracket.lo")).otherwise(c("seg_lo")).alias("lo"),
+                F.when(own_type & (kind != "over"), c("t.bracket.lo")).otherwise(c("seg_lo")).alias("lo"),
                 F.when(~own_type, c("seg_hi")).alias("hi"),
             ),
         ).alias("calc_bracket"),
         *[
             level(flag(opens & member), flag(closes & member), before, upto).alias(name)
-            for name, member in (("sd", kind == "query"), ("cd", calc), ("od", c("in_order")), ("ld", listed))
+            for name, member in (("sd", kind == "query"), ("cd", calc), ("od", c("t.in_order")), ("ld", listed))
         ],
-        F.when((c("p1w") == "AS") & (c("p2w") == ")"), F.lag("m_before", 2).over(window)).alias("listed_name"),
-    )
+        F.when((c("t.p1w") == "AS") & (c("t.kept.p2w") == ")"), F.lag("t.m_before", 2).over(window)).alias("listed_name"),
+    )
     return tokens.withColumn(
-        "calc_entered", F.when(c("entered_open").isNotNull(), F.lag("calc_bracket").over(window))
-    ).drop("calc_bracket", "seg_head", "seg")
+        "calc_entered", F.when(c("t.entered_open").isNotNull(), F.lag("calc_bracket").over(window))
+    ).select("stmt", "pos", "sd", "cd", "od", "calc_entered", F.struct("t", "seg_arith", "seg_cast", "seg_lo", "seg_hi", "ld", "listed_name").alias("s"))
 
 
 def with_scopes(tokens: DataFrame) -> DataFrame:
@@ -575,33 +581,34 @@ def with_scopes(tokens: DataFrame) -> DataFrame:
     def latest(value: Column) -> Column:
         return F.last(value, ignorenulls=True).over(upto)
 
-    own = F.coalesce(c("g_kind").isin("query", "table"), F.lit(True))
-    starts = F.coalesce("enters_query", F.lit(False))
+    w, p1w, n1w = c("s.t.w"), c("s.t.p1w"), c("s.t.kept.n1w")
+    own = F.coalesce(c("s.t.g_kind").isin("query", "table"), F.lit(True))
+    starts = F.coalesce("s.t.enters_query", F.lit(False))
     # A table hint or table function is no clause of its own.
-    hint = c("w").isin("WITH", "TABLE") & (c("n1w") == "(")
-    hint |= (c("w") == "UPDATE") & (c("p1w") == "FOR")
-    clause = F.when(~F.coalesce(hint, F.lit(False)), lookup(CLAUSES, c("w")))
+    hint = w.isin("WITH", "TABLE") & (n1w == "(")
+    hint |= (w == "UPDATE") & (p1w == "FOR")
+    opens_clause = w.isin(*CLAUSES) & ~F.coalesce(hint, F.lit(False))
+    clause = lookup(CLAUSES, w)
     keyword = F.when(
-        own & clause.isNotNull(),
+        own & opens_clause,
         F.struct(
             c("pos").alias("pos"),
             clause.alias("clause"),
-            F.when(clause == "JOIN", join_type(c("tok"))).alias("join_type"),
+            F.when(clause == "JOIN", join_type(c("s.t.kept.tok"))).alias("join_type"),
         ),
     ).when(starts, F.struct(c("pos").alias("pos"), F.lit("NONE").alias("clause"), F.lit(None).cast("string").alias("join_type")))
-    select = own & (c("w") == "SELECT")
+    select = own & (w == "SELECT")
     tokens = tokens.select(
-        "*",
+        "stmt", "pos", "sd", "cd", "od", "calc_entered", "s",
         own.alias("own"),
-        F.coalesce(latest(F.when(starts, c("entered_open"))), F.lit(-1)).alias("qid"),
+        F.coalesce(latest(F.when(starts, c("s.t.entered_open"))), F.lit(-1)).alias("qid"),
         latest(F.when(select, c("pos")).when(starts, F.lit(-1))).alias("sel"),
-        latest(F.when(select & (F.coalesce(c("p1w"), F.lit("")) != "SETOP"), c("pos")).when(starts, F.lit(-1))).alias("first_sel"),
+        latest(F.when(select & (F.coalesce(p1w, F.lit("")) != "SETOP"), c("pos")).when(starts, F.lit(-1))).alias("first_sel"),
         latest(keyword).alias("kw"),
-        latest(F.when(own & ((c("w") == ",") | ((c("w") == ")") & (c("m_kind") == "distinct"))), c("pos"))).alias("comma"),
-        F.coalesce(latest(F.when(own & (c("w") == "SETOP"), True).when(starts, False)), F.lit(False)).alias("in_union"),
+        latest(F.when(own & ((w == ",") | ((w == ")") & (c("s.t.m_kind") == "distinct"))), c("pos"))).alias("comma"),
+        F.coalesce(latest(F.when(own & (w == "SETOP"), True).when(starts, False)), F.lit(False)).alias("in_union"),
         F.coalesce(latest(F.when(starts, c("od"))), F.lit(0)).alias("od_outer"),
-    )
-    _, _, calc_upto = running("pos", "cd")
+    )
     after_comma = F.coalesce(c("comma") > c("kw.pos"), F.lit(False))
     tokens = tokens.select(
         "*",
@@ -610,15 +617,19 @@ def with_scopes(tokens: DataFrame) -> DataFrame:
         .alias("clause"),
         F.when(c("kw.clause").isin(*TABLE_CLAUSES) & after_comma, "INNER JOIN").otherwise(c("kw.join_type")).alias("join_type"),
         F.when(after_comma, c("comma")).otherwise(c("kw.pos")).alias("item"),
-        F.when(c("cd") > 0, F.last("calc_entered", ignorenulls=True).over(calc_upto)).alias("calc_around"),
     )
     # ORDER BY after a set operation belongs to no single SELECT.
     trailing = c("in_union") & (c("clause") == "ORDER BY")
-    return tokens.select(
-        "*",
+    tokens = tokens.select(
+        "stmt", "pos", "sd", "cd", "calc_entered", "own", "qid", "clause", "item", "join_type",
+        "s.seg_arith", "s.seg_cast", "s.seg_lo", "s.seg_hi", "s.ld", "s.listed_name", "s.t.*",
+        ((c("od") > c("od_outer")) | c("s.t.in_order")).alias("ordered"),
         F.when(trailing | (c("sel") < 0), None).otherwise(c("sel")).alias("scope"),
         F.when(trailing, c("first_sel")).otherwise(c("sel")).alias("alias_scope"),
-    )
+    ).select("*", "kept.*")
+    # Other tokens have no role, nor do they enter a calculation.
+    read = c("w").isin(*NAMES, *OPENING, *CLOSING, "SETOP") | (c("own") & (c("clause") == "SELECT")) | c("calc_entered").isNotNull()
+    return tokens.where(read)
 
 
 def with_roles(tokens: DataFrame) -> DataFrame:
@@ -665,37 +676,29 @@ def with_roles(tokens: DataFrame) -> DataFrame:
         .when(name & (c("g_kind") == "using"), "using")
         .when(column, "column")
     )
-    calc = (
-        F.when(
-            c("n1w") == "::",
-            F.struct(c("pos").alias("open"), F.lit("CAST").alias("type"), c("seg_lo").alias("lo"), c("seg_hi").alias("hi")),
-        )
-        .when(
-            c("seg_arith") | c("seg_cast"),
-            F.struct(
-                c("seg_lo").alias("open"),
-                F.when(c("seg_arith"), "ARITHMETIC").otherwise("CAST").alias("type"),
-                c("seg_lo").alias("lo"),
-                c("seg_hi").alias("hi"),
-            ),
-        )
-        .otherwise(c("calc_around"))
+    own_calc = F.when(
+        c("n1w") == "::",
+        F.struct(c("pos").alias("open"), F.lit("CAST").alias("type"), c("seg_lo").alias("lo"), c("seg_hi").alias("hi")),
+    ).when(
+        c("seg_arith") | c("seg_cast"),
+        F.struct(
+            c("seg_lo").alias("open"),
+            F.when(c("seg_arith"), "ARITHMETIC").otherwise("CAST").alias("type"),
+            c("seg_lo").alias("lo"),
+            c("seg_hi").alias("hi"),
+        ),
     )
-    in_order = (c("od") > c("od_outer")) | c("in_order")
     places = F.filter(
         F.array(
             F.when(c("clause").isin("WHERE", "JOIN", "GROUP BY", "HAVING", "ORDER BY"), c("clause")),
-            F.when(in_order, "ORDER BY"),
+            F.when(c("ordered"), "ORDER BY"),
             F.when((c("g_kind") == "filter") & (c("clause") != "WHERE"), "WHERE"),
-            F.when((calc.open > c("qid")) & calc.isNotNull(), "calculation"),
         ),
         lambda p: p.isNotNull(),
     )
     parts = name_parts(c("tok"))
     tokens = tokens.withColumn("role", role)
-    return tokens.select(
-        "stmt",
-        "pos",
+    settled = F.struct(
         "tok",
         "w",
         "role",
@@ -724,9 +727,17 @@ def with_roles(tokens: DataFrame) -> DataFrame:
         F.when((c("role") == "cte") & (c("bracket.kind") == "query"), c("pos"))
         .when((c("role") == "derived") & (c("m_kind") == "query"), c("m_open"))
         .alias("body"),
-        F.when(c("role") == "column", calc).alias("calc"),
+        F.when(c("role") == "column", own_calc).alias("own_calc"),
         F.when(c("role") == "column", places).alias("places"),
     )
+    _, _, upto = running("pos", "cd")
+    around = F.when(c("cd") > 0, F.last("calc_entered", ignorenulls=True).over(upto)).alias("around")
+    tokens = tokens.select("stmt", "pos", settled.alias("r"), around)
+    calc = F.when(c("r.role") == "column", F.coalesce("r.own_calc", "around"))
+    calculated = F.when((calc.open > c("r.qid")) & calc.isNotNull(), F.array(F.lit("calculation"))).otherwise(F.array().cast("array<string>"))
+    return tokens.select(
+        "stmt", "pos", "r.*", calc.alias("calc"), F.concat("r.places", calculated).alias("all_places")
+    ).drop("own_calc", "places").withColumnRenamed("all_places", "places")
 
 
 def lexemes(readable: DataFrame) -> DataFrame:

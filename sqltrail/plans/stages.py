@@ -19,6 +19,9 @@ SETTINGS = {
     # Rows bucketed by statement may be joined on the statement and more without moving
     # again. No statement is larger than one input row, so this cannot skew.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Token rows carry what is settled as one struct through sorts and windows; taken apart, every
+    # field is tested and copied by itself in each of them.
+    "spark.sql.optimizer.expression.nestedPruning.enabled": "false",
 }
 
 

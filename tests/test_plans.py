@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sqltrail import Analysis
+from sqltrail.operators import tokens as tk
 from sqltrail.plans import statements as st
 from sqltrail.plans.numbering import numbered
 from sqltrail.plans.stages import Stages, chain_ends, shared_folder
@@ -191,3 +192,16 @@ def test_entry(spark):
     result = entry.entry(spark)
     assert result.columns == ["table", "column_name", "queries", "mentions"]
     assert result.count() > 1000 and result.where("queries = 0").isEmpty()
+
+
+def nodes(plan):
+    children = plan.children()
+    return [plan, *[n for i in range(children.size()) for n in nodes(children.apply(i))]]
+
+
+def test_token_rows_move_few_columns_and_are_classified_once(spark):
+    analysis = entry._analysis(spark, SF)
+    optimized = tk.lexemes(analysis._planner.tokenised)._jdf.queryExecution().optimizedPlan()
+    windows = [n for n in nodes(optimized) if n.nodeName() == "Window"]
+    assert len(windows) <= 9 and max(n.child().output().size() for n in windows) <= 20
+    assert optimized.toString().count("CURRENT_DATETIME,") == 1
