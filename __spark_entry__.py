@@ -384,8 +384,8 @@ def engine_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "K2_csv_tables": _facts(lambda a: writers.csv_tables(a.tables)),
         "K3_csv_columns": _facts(lambda a: writers.csv_columns(a.enriched)),
         "K4_text_output": _text_read_back,
-        "K5_text_sheet": _facts(
-            lambda a: reports.text_lines(a.texts, a.tables, a.columns, oracle.REPORT_TIME)
+        "K5_text_sheet": _corpus(
+            lambda a: reports.line_rows(a.per_query(reports.text_line_lists(a.texts, a.tables, a.columns, oracle.REPORT_TIME)), "query_id")
         ),
         "K5_sheet_set": _sheets_read_back,
         "K6_escape_source_text": _source,

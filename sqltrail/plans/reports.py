@@ -84,11 +84,11 @@ def corpus_unique_tables(tables: DataFrame, texts: DataFrame) -> DataFrame:
 
 def statistics_rows(statistics: DataFrame, key: str = "stmt") -> DataFrame:
     """M2: ``(parameter, value)`` rows; table types as ``table_types.X``."""
-    counts = statistics.unpivot(key, list(COUNTS), "parameter", "value")
-    types = statistics.select(key, F.explode("table_types").alias("type", "value")).select(
-        key, F.concat(F.lit("table_types."), "type").alias("parameter"), "value"
+    counts = F.array(*[F.struct(F.lit(name).alias("parameter"), F.col(name).alias("value")) for name in COUNTS])
+    types = F.transform(
+        F.map_entries("table_types"), lambda e: F.struct(F.concat(F.lit("table_types."), e.key).alias("parameter"), e.value.cast("bigint").alias("value"))
     )
-    return counts.unionByName(types)
+    return statistics.select(key, F.inline(F.concat(counts, types)))
 
 
 def columns_view(enriched: DataFrame) -> DataFrame:
@@ -247,8 +247,8 @@ def text_report(texts: DataFrame, tables: DataFrame, columns: DataFrame, report_
     )
 
 
-def text_lines(texts: DataFrame, tables: DataFrame, columns: DataFrame, report_time: str) -> DataFrame:
-    """The report as one row per line, safe to open in a spreadsheet (K5, K6)."""
+def text_line_lists(texts: DataFrame, tables: DataFrame, columns: DataFrame, report_time: str) -> DataFrame:
+    """The report as a list of lines, safe to open in a spreadsheet (K5, K6)."""
     usage = comma_list(filter_calculation(F.col("usage_locations")))
     column_line = F.concat(
         F.lit("Колонка: "), "column_name",
@@ -271,9 +271,17 @@ def text_lines(texts: DataFrame, tables: DataFrame, columns: DataFrame, report_t
         F.concat(F.lit("Всего уникальных таблиц: "), F.size("table_lines").cast("string")), F.lit(""), F.lit(REPORT_COLUMNS)
     )
     details = F.flatten(F.transform("column_lines", lambda x: F.split(x, "\n")))
-    return parts.select(
-        "stmt", F.posexplode(F.concat(head, "table_lines", middle, details)).alias("line", "text")
-    ).select("stmt", "line", escape_formula_text(F.col("text")).alias("text"))
+    return parts.select("stmt", F.transform(F.concat(head, "table_lines", middle, details), escape_formula_text).alias("lines"))
+
+
+def line_rows(lists: DataFrame, key: str = "stmt") -> DataFrame:
+    """One row per line."""
+    return lists.select(key, F.posexplode("lines").alias("line", "text"))
+
+
+def text_lines(texts: DataFrame, tables: DataFrame, columns: DataFrame, report_time: str) -> DataFrame:
+    """The report as one row per line (K5, K6)."""
+    return line_rows(text_line_lists(texts, tables, columns, report_time))
 
 
 def source_view(texts: DataFrame) -> DataFrame:

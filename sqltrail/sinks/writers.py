@@ -236,11 +236,13 @@ def sheets(analysis, report_time: str) -> dict[str, DataFrame]:
         "columns": reports.columns_view(analysis.enriched),
         "tables": reports.tables_view(tables),
         "lineage": reports.lineage_view(columns),
-        "statistics": reports.statistics_rows(analysis.statistics),
-        "text": reports.text_lines(texts, tables, columns, report_time),
+        "statistics": analysis.statistics,
+        "text": reports.text_line_lists(texts, tables, columns, report_time),
         "source": reports.source_view(texts),
     }
-    return {name: analysis.per_query(view) for name, view in views.items()}
+    found = {name: analysis.per_query(view) for name, view in views.items()}
+    # A text meets its queries as one row, and becomes rows afterwards.
+    return found | {"statistics": reports.statistics_rows(found["statistics"], "query_id"), "text": reports.line_rows(found["text"], "query_id")}
 
 
 def sheet_manifest(path: str) -> str:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from sqltrail import Analysis
 from sqltrail.functions.text import escape_formula_text, escape_source_text
-from sqltrail.plans import reports
+from sqltrail.operators.tokens import token_pieces
+from sqltrail.plans import reports, search
 from sqltrail.plans.search import read_postings, search_indexed, write_postings
 from sqltrail.sinks import manifest, writers
 
@@ -204,3 +205,18 @@ def test_number_sorted(spark):
     rows = reports.number_sorted(view, "n", lambda df: df.cache(), descending=True).orderBy("row_no").collect()
     assert [r.row_no for r in rows] == list(range(1, 5001))
     assert [tuple(r)[:3] for r in rows] == [tuple(r) for r in reports.sort_view(view, "n", descending=True).collect()]
+
+
+def names_of(df):
+    def walk(node):
+        children = node.children()
+        return [node.nodeName(), *[n for i in range(children.size()) for n in walk(children.apply(i))]]
+
+    return walk(df._jdf.queryExecution().optimizedPlan())
+
+
+def test_a_text_meets_its_queries_as_one_row(analysis):
+    found = writers.sheets(analysis, "2024-01-01 00:00:00")
+    for sheet in ("text", "statistics"):
+        names = names_of(found[sheet])
+        assert "Union" not in names and names.index("Generate") < names.index("Join"), sheet
