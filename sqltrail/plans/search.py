@@ -9,13 +9,14 @@ from sqltrail.plans.reports import search_metadata
 
 PIECE = 3
 FOLDERS = 256
+# Rows of the view for which one task holds a piece; more are dealt over several.
+SHARE_ROWS = 2_000_000
 
 
 def pieces(cell: Column) -> Column:
     """Distinct pieces of a cell in lower case, empty for null and for shorter cells."""
-    text = F.lower(cell.cast("string"))
-    starts = F.when(F.length(text) >= PIECE, F.sequence(F.lit(1), F.length(text) - PIECE + 1)).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(PIECE)))), F.array().cast("array<string>"))
+    found = F.regexp_extract_all(F.lower(cell.cast("string")), F.lit(rf"(?s)(?=(.{{{PIECE}}}))."), F.lit(1))
+    return F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
 
 
 def folder(piece: Column) -> Column:
@@ -25,14 +26,16 @@ def folder(piece: Column) -> Column:
 def write_postings(view: DataFrame, path: str, *ignored: str, mode: str = "error") -> None:
     """Index a view with ``stmt``: ``(piece, stmt)`` of all cells but the ignored ones and ``stmt``, in folders by piece.
 
-    Rows of a statement are merged on the map side. Folders are ranges of ``(folder, piece, stmt)``, so a piece that is
-    everywhere spans several tasks, and each task writes few folders, sorted for skipping within files.
+    Equal cells of a statement are cut into pieces once. A folder is dealt over shares by statement, so a piece that is
+    everywhere spans several tasks; ranges would need all pieces twice, first to find where they end. Files are sorted for skipping within them.
     """
-    cells = [pieces(F.col(name)) for name in view.columns if name not in ("stmt", *ignored)]
-    found = view.select("stmt", F.explode(F.array_distinct(F.flatten(F.array(*cells)))).alias("piece")).distinct()
-    placed = found.withColumn("folder", folder(F.col("piece")))
-    order = ("folder", "piece", "stmt")
-    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("folder").parquet(path)
+    cells = F.array(*[F.lower(F.col(name).cast("string")) for name in view.columns if name not in ("stmt", *ignored)])
+    distinct = view.select("stmt", F.explode(cells).alias("cell")).where(F.col("cell").isNotNull()).distinct()
+    found = distinct.select("stmt", F.explode(pieces(F.col("cell"))).alias("piece")).distinct()
+    shares = -(-view.count() // SHARE_ROWS) or 1
+    share = F.pmod(F.xxhash64("stmt"), F.lit(shares))
+    placed = found.withColumn("folder", folder(F.col("piece"))).repartition("folder", share)
+    placed.sortWithinPartitions("folder", "piece", "stmt").write.mode(mode).partitionBy("folder").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:

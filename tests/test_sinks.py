@@ -207,6 +207,24 @@ def test_number_sorted(spark):
     assert [tuple(r)[:3] for r in rows] == [tuple(r) for r in reports.sort_view(view, "n", descending=True).collect()]
 
 
+def test_postings_are_dealt_without_a_pass_for_ranges(spark, tmp_path, monkeypatch):
+    """A piece of all statements spans several tasks, and nothing is computed twice to find ranges."""
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", None)
+    monkeypatch.setattr(search, "SHARE_ROWS", 50)
+    texts = F.concat(F.lit("abc"), F.col("id").cast("string"), F.lit("\U0001f600é"))
+    view = spark.range(1000).select(F.col("id").cast("string").cast("binary").alias("stmt"), texts.alias("v"), texts.alias("again"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_postings(view, str(tmp_path / "p"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    postings = read_postings(spark, str(tmp_path / "p"))
+    held = postings.where("piece = 'abc'").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in held) == 1000 and len(held) > 3
+    for text in ("ABC77", "c9", "9\U0001f600É", "\U0001f600é", "bc1234"):
+        assert as_text(search_indexed(view, postings, text)) == as_text(reports.search_metadata(view, text, "stmt")), text
+
+
 def names_of(df):
     def walk(node):
         children = node.children()
