@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from sqltrail.functions.text import comma_list
 from sqltrail.plans import reports
@@ -143,8 +144,8 @@ def tsv_summary(enriched: DataFrame) -> DataFrame:
     )
 
 
-def documents(texts: DataFrame, statistics: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """K1: one nested JSON document per text, nulls kept."""
+def document_bodies(texts: DataFrame, statistics: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """``(stmt, body, is_read)``: a document without its opening bracket and schema, which is the same in all and need not be moved."""
     table = F.struct(
         "name", "schema", "aliases", F.col("table_type").alias("type"), "column_count", "join_type"
     )
@@ -162,8 +163,6 @@ def documents(texts: DataFrame, statistics: DataFrame, tables: DataFrame, column
         F.struct(*reports.COUNTS, "table_types").alias("statistics"),
         "parse_errors",
     )
-    # Texts that were not read have no schema of their own.
-    schema = F.when(F.size("parse_errors") == 0, json.dumps(JSON_SCHEMA)).otherwise("{}")
     return (
         texts.select("stmt", "sql", "parse_errors")
         .join(statistics, "stmt")
@@ -172,15 +171,30 @@ def documents(texts: DataFrame, statistics: DataFrame, tables: DataFrame, column
         .select(
             "stmt",
             F.concat(
-                F.lit('{"metadata":'), F.to_json(metadata, keep_nulls),
+                F.lit('"metadata":'), F.to_json(metadata, keep_nulls),
                 F.lit(',"tables":'), json_array("tables"),
                 F.lit(',"columns":'), json_array("columns"),
-                F.lit(',"json_schema":'), schema, F.lit("}"),
-            ).alias("document"),
+                F.lit(',"json_schema":'),
+            ).alias("body"),
+            (F.size("parse_errors") == 0).alias("is_read"),
         )
     )
 
 
+def closed_body() -> Column:
+    """A body with its schema; texts that were not read have no schema of their own."""
+    return F.concat("body", F.when(F.col("is_read"), json.dumps(JSON_SCHEMA) + "}").otherwise("{}}"))
+
+
+def whole_documents(bodies: DataFrame, key: str = "stmt") -> DataFrame:
+    return bodies.select(key, F.concat(F.lit("{"), closed_body()).alias("document"))
+
+
+def documents(texts: DataFrame, statistics: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """K1: one nested JSON document per text, nulls kept."""
+    return whole_documents(document_bodies(texts, statistics, tables, columns))
+
+
 def with_headers(df: DataFrame, headers: dict[str, str]) -> DataFrame:
     """Display headers, in order, after the query id."""
     return df.select("query_id", *[F.col(name).alias(label) for name, label in headers.items()])
@@ -198,17 +212,19 @@ def write_csv(df: DataFrame, path: str, mode: str = "error", separator: str = ",
 
 # A page of the text output: its first line, and what ends it.
 QUERY_LINE, PAGE_END = "query_id: ", "\f\n"
-# Documents and reports repeat their frames for every query, so plain files would be the largest part of a run's disk.
-COMPRESSION = "gzip"
+# Documents and reports repeat their frames for every query, so plain files would be the largest part of a run's disk. For such text
+# the fastest level of gzip is close to the best in size, and compressing was most of the work of these outputs.
+COMPRESSED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 
-def write_json(documents_per_query: DataFrame, path: str, mode: str = "error") -> None:
+def write_json(bodies_per_query: DataFrame, path: str, mode: str = "error") -> None:
     """One document per line, keyed by its query in the same order of fields."""
-    line = F.concat(
-        F.lit('{"query_id":'), F.to_json(F.array("query_id")).substr(F.lit(2), F.length(F.to_json(F.array("query_id"))) - 2),
-        F.lit(","), F.col("document").substr(F.lit(2), F.length("document")),
-    )
-    documents_per_query.select(line.alias("value")).write.mode(mode).option("compression", COMPRESSION).text(path)
+    if isinstance(bodies_per_query.schema["query_id"].dataType, IntegralType):
+        query = F.coalesce(F.col("query_id").cast("string"), F.lit("null"))
+    else:
+        query = F.regexp_extract(F.to_json(F.array("query_id")), r"(?s)\A\[(.*)\]\z", 1)
+    line = F.concat(F.lit('{"query_id":'), query, F.lit(","), closed_body())
+    bodies_per_query.select(line.alias("value")).write.mode(mode).options(**COMPRESSED).text(path)
 
 
 def write_text(reports_per_query: DataFrame, path: str, mode: str = "error") -> None:
@@ -217,7 +233,7 @@ def write_text(reports_per_query: DataFrame, path: str, mode: str = "error") ->
     A directory per query would not survive a large log.
     """
     named = F.concat(F.lit(QUERY_LINE), F.col("query_id").cast("string"), F.lit("\n"), F.col("report"))
-    reports_per_query.select(named.alias("value")).write.mode(mode).options(lineSep=PAGE_END, compression=COMPRESSION).text(path)
+    reports_per_query.select(named.alias("value")).write.mode(mode).options(lineSep=PAGE_END, **COMPRESSED).text(path)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -301,7 +317,7 @@ def write_metadata(analysis, path: str, name: str | None = None, report_time: st
     if chosen == "excel":
         write_sheet_set(analysis, path, report_time, mode)
     elif chosen == "json":
-        found = documents(analysis.texts, analysis.statistics, analysis.tables, analysis.columns)
+        found = document_bodies(analysis.texts, analysis.statistics, analysis.tables, analysis.columns)
         write_json(analysis.per_query(found), path, mode)
     elif chosen == "csv":
         write_csv_pair(analysis, path, mode)

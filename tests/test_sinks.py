@@ -238,3 +238,20 @@ def test_a_text_meets_its_queries_as_one_row(analysis):
     for sheet in ("text", "statistics"):
         names = names_of(found[sheet])
         assert "Union" not in names and names.index("Generate") < names.index("Join"), sheet
+
+
+def test_the_schema_is_added_to_documents_after_they_meet_their_queries(analysis):
+    bodies = writers.document_bodies(analysis.texts, analysis.statistics, analysis.tables, analysis.columns)
+    assert bodies.where(F.col("body").contains('"required"')).isEmpty()
+    expected = analysis.per_query(writers.documents(analysis.texts, analysis.statistics, analysis.tables, analysis.columns))
+    assert as_text(writers.whole_documents(analysis.per_query(bodies), "query_id")) == as_text(expected)
+    assert writers.COMPRESSED["zlib.compress.level"] == "BEST_SPEED"
+
+
+def test_query_ids_of_any_type_in_json(spark, tmp_path):
+    rows = [("a\"]b\n", "1"), (None, "2")]
+    bodies = spark.createDataFrame(rows, "query_id string, body string").withColumn("is_read", F.lit(False))
+    writers.write_json(bodies, str(tmp_path / "s"))
+    writers.write_json(bodies.select(F.when(F.col("body") == "1", 5).cast("bigint").alias("query_id"), "body", "is_read"), str(tmp_path / "n"))
+    lines = [sorted(r[0] for r in spark.read.text(str(tmp_path / name)).collect()) for name in "sn"]
+    assert lines == [['{"query_id":"a\\"]b\\n",1{}}', '{"query_id":null,2{}}'], ['{"query_id":5,1{}}', '{"query_id":null,2{}}']]
