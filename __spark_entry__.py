@@ -378,8 +378,8 @@ def engine_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "M10_sort_view": _sorted_columns,
         "M10_number_sorted_view": _numbered_columns,
         "M11_run_summary": _facts(lambda a: reports.run_summary(a.texts, a.statistics)),
-        "K1_json_documents": _facts(
-            lambda a: writers.documents(a.texts, a.statistics, a.tables, a.columns)
+        "K1_json_documents": _corpus(
+            lambda a: writers.whole_documents(a.per_query(writers.document_bodies(a.texts, a.statistics, a.tables, a.columns)), "query_id")
         ),
         "K2_csv_tables": _facts(lambda a: writers.csv_tables(a.tables)),
         "K3_csv_columns": _facts(lambda a: writers.csv_columns(a.enriched)),
