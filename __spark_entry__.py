@@ -359,7 +359,7 @@ def engine_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "M1_query_statistics": _facts(_statistics),
         "M1_corpus_statistics": _corpus(lambda a: reports.corpus_statistics(a.statistics, a.texts)),
-        "M2_statistics_rows": _facts(lambda a: reports.statistics_rows(a.statistics)),
+        "M2_statistics_rows": _corpus(lambda a: reports.statistics_rows(a.per_query(a.statistics), "query_id")),
         "M3_columns_view": _facts(lambda a: reports.columns_view(a.enriched)),
         "M4_tables_view": _facts(lambda a: reports.tables_view(a.tables)),
         "M5_lineage_view": _facts(lambda a: reports.lineage_view(a.columns)),
