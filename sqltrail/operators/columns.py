@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sqltrail.functions.text import sorted_set
 from sqltrail.operators.resolve import CALC, UNKNOWN
+from sqltrail.operators.tokens import token_pieces
 
 CALC_TYPE = "struct<open:int,type:string,lo:int,hi:int>"
 CONTRIBUTION = (
@@ -182,12 +183,12 @@ def using_contributions(using: DataFrame) -> DataFrame:
     return spread(using, joined)
 
 
-def expression_text(lo: Column, hi: Column, pieces: Column) -> Column:
+def expression_text(lo: Column, hi: Column, tokens: Column) -> Column:
     """Source tokens of an expression, joined as readable text."""
-    return F.ltrim(F.array_join(F.slice(pieces, lo + 1, hi - lo + 1), ""))
+    return F.ltrim(F.array_join(token_pieces(tokens, lo, hi), ""))
 
 
-def merge_columns(contributions: DataFrame, closes: DataFrame, pieces: DataFrame) -> DataFrame:
+def merge_columns(contributions: DataFrame, closes: DataFrame, tokens: DataFrame) -> DataFrame:
     """Contributions to ``query_columns``, one row per column of a statement."""
     c = F.col
 
@@ -223,7 +224,7 @@ def merge_columns(contributions: DataFrame, closes: DataFrame, pieces: DataFrame
         merged.withColumn("calc_open", F.when(c("calc.hi").isNull(), c("calc.open")))
         .join(ends, ["stmt", "calc_open"], "left")
         # Only calculated columns meet the token list of their statement.
-        .join(pieces.withColumnRenamed("stmt", "text_stmt"), (c("stmt") == c("text_stmt")) & calculated, "left")
+        .join(tokens.withColumnRenamed("stmt", "text_stmt"), (c("stmt") == c("text_stmt")) & calculated, "left")
         .select(
             "stmt",
             key.alias("column_key"),
@@ -238,7 +239,7 @@ def merge_columns(contributions: DataFrame, closes: DataFrame, pieces: DataFrame
             calculated.alias("is_calculation"),
             c("calc.type").alias("calculation_type"),
             F.when(
-                calculated, expression_text(c("calc.lo"), F.coalesce("calc.hi", "calc_close"), c("pieces"))
+                calculated, expression_text(c("calc.lo"), F.coalesce("calc.hi", "calc_close"), c("tokens"))
             ).alias("calculation_expression"),
             sorted_set(c("dependencies")).alias("dependencies"),
         )

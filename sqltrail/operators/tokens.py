@@ -270,12 +270,12 @@ def structural_errors(sql: Column, sql_clean: Column, balance: Column, misplaced
     return F.filter(F.array(message), lambda m: m.isNotNull())
 
 
-def token_pieces(tokens: Column) -> Column:
-    """Tokens as pieces of readable text: each carries the blank before it, if any."""
+def token_pieces(tokens: Column, lo: Column, hi: Column) -> Column:
+    """Tokens ``lo`` to ``hi`` as pieces of readable text: each carries the blank before it, if any."""
     keywords = [*RESERVED, *CONSTANTS, *BARE_FUNCTIONS, *LITERAL_PREFIXES]
 
-    def piece(token: Column, i: Column) -> Column:
-        before, after = F.get(tokens, i - 1), F.get(tokens, i + 1)
+    def piece(i: Column) -> Column:
+        token, before, after = F.get(tokens, i), F.get(tokens, i - 1), F.get(tokens, i + 1)
         upper = F.upper(token)
         word = token.rlike(r"\A[\p{L}_]")
         text = F.when(
@@ -286,7 +286,7 @@ def token_pieces(tokens: Column) -> Column:
         glued = token.isin(")", ",", "::") | before.isin("(", "::") | opens_call | (i == 0)
         return F.concat(F.when(glued, "").otherwise(" "), F.rtrim(text))
 
-    return F.transform(tokens, piece)
+    return F.transform(F.sequence(lo, hi), piece)
 
 
 def name_parts(token: Column) -> Column:

@@ -188,8 +188,7 @@ class Analysis:
             # a union of different stages does not keep their buckets
             rows = rows.repartition(a.buckets, "stmt")
             closes = a.lexemes.where(F.col("closes_calc").isNotNull()).select("stmt", "closes_calc", "pos")
-            pieces = a.tokenised.select("stmt", tk.token_pieces(F.col("tokens")).alias("pieces"))
-            return col_ops.merge_columns(rows, closes, pieces)
+            return col_ops.merge_columns(rows, closes, a.tokenised.select("stmt", "tokens"))
 
         return self._stage("columns", build)
 

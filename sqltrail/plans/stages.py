@@ -22,6 +22,8 @@ SETTINGS = {
     # Token rows carry what is settled as one struct through sorts and windows; taken apart, every
     # field is tested and copied by itself in each of them.
     "spark.sql.optimizer.expression.nestedPruning.enabled": "false",
+    # A task aggregates the columns of some thousand texts; by default it would sort after 128 of them.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "50000",
 }
 
 

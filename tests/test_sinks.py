@@ -255,3 +255,9 @@ def test_query_ids_of_any_type_in_json(spark, tmp_path):
     writers.write_json(bodies.select(F.when(F.col("body") == "1", 5).cast("bigint").alias("query_id"), "body", "is_read"), str(tmp_path / "n"))
     lines = [sorted(r[0] for r in spark.read.text(str(tmp_path / name)).collect()) for name in "sn"]
     assert lines == [['{"query_id":"a\\"]b\\n",1{}}', '{"query_id":null,2{}}'], ['{"query_id":5,1{}}', '{"query_id":null,2{}}']]
+
+
+def test_readable_text_is_made_of_the_expression_only(spark):
+    tokens = F.split(F.lit("SELECT|f|(|a|+|1|)|FROM|t"), r"\|")
+    piece = spark.range(1).select(token_pieces(tokens, F.lit(1), F.lit(4))).first()[0]
+    assert piece == [" F", "(", "a", " +"]
